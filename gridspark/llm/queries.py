@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .sharding import shard_records
+from .substring_dedup import substring_dedup
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), least=50)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_packing": op10_packing,
 }
 
