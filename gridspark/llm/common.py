@@ -82,13 +82,17 @@ class Words:
 
     __slots__ = ("bounds", "data", "end", "hash", "start")
 
-    def __init__(self, texts: list, lower: bool = False):
+    def __init__(self, texts: list, lower: bool = False, breaks: bytes = b""):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8)
         if lower:
             data = _TO_LOWER[data]
         space = _IS_SPACE[data]
+        if breaks:  # further bytes that end a word
+            table = _IS_SPACE.copy()
+            table[list(breaks)] = True
+            space = table[data]
         before = np.ones_like(space)
         before[1:] = space[:-1]
         self.start = np.flatnonzero(~space & before)
