@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64
+from .common import Words, _span_hashes, materialize, mix64
 from .substring_dedup import _groups
 
 PUNCTUATION = b".,;:!?\"'()[]"
-COUNTS = "h long, w long, toxic long, plain long"
+COUNTS = "h long, w long, g long, toxic long, plain long"
+HEAD = 5  # bytes of a word that its rare forms share
 FEATURES = ("whole", "wide", "narrow", "top")
 WIDE, NARROW = 32, 8
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -34,16 +35,20 @@ def _tokens(part: pa.RecordBatch) -> tuple[Words, np.ndarray]:
     return w, before
 
 
+def _heads(w: Words) -> np.ndarray:
+    return _span_hashes(w.data, w.start, np.minimum(w.end, w.start + HEAD))
+
+
 class KneserNey:
-    """Log ratios of toxic to ordinary probability, for word pairs, contexts and words."""
+    """Log ratios of toxic to ordinary probability, for word pairs, words and heads of words."""
 
-    def __init__(self, pairs, contexts, words, unknown: float):
+    def __init__(self, pairs, words, heads, unknown: float):
         def table(keys, values):
             keys = np.asarray(keys).view(np.uint64)
             order = np.argsort(keys)
             return keys[order], np.asarray(values, np.float32)[order]
 
-        self.pairs, self.contexts, self.words = table(*pairs), table(*contexts), table(*words)
+        self.pairs, self.words, self.heads = table(*pairs), table(*words), table(*heads)
         self.unknown = np.float32(unknown)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.pairs[0] >> np.uint64(42)).astype(np.int64)] = True
@@ -56,8 +61,10 @@ class KneserNey:
         hit = table[0][at] == keys
         return np.where(hit, table[1][at], np.float32(default)), hit
 
-    def ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        out = self._find(self.words, words, self.unknown)[0] + self._find(self.contexts, before, 0.0)[0]
+    def ratios(self, before: np.ndarray, words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        out, known = self._find(self.words, words, self.unknown)
+        rare = np.flatnonzero(~known)
+        out[rare] = self._find(self.heads, heads[rare], self.unknown)[0]
         pair = mix64(before * _PAIR + words)
         maybe = np.flatnonzero(self.bits[(pair >> np.uint64(42)).astype(np.int64)])
         value, hit = self._find(self.pairs, pair[maybe], 0.0)
@@ -96,8 +103,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
     Two bigram models, of toxic and of ordinary text, are fitted on labelled rows outside fold 0
     of ``folds`` (crc32 of the id as text). Bigrams back off to class continuation counts (in how
-    many contexts of the class a word stands), and these to shared ones (in how many classes), so
-    a rare expression weighs little and a frequent one of a single class much; pairs seen fewer than ``least_pairs`` times are scored by back-off alone. A
+    many contexts of the class a word stands); rare words back off to those of their first letters,
+    and these to counts that both classes share (in how many classes they stand), so a rare
+    expression weighs little and a frequent one of a single class much; the share of a context's mass that backs off is
+    counted over both classes. Pairs seen fewer than ``least_pairs`` times are scored by back-off alone. A
     text's features are its length-normalised log-likelihood differences over the whole text,
     over its most toxic windows of 32 and 8 words, and over its two most toxic expressions. A
     logistic curve fitted on the last fold, which the models did not see, makes them a score.
@@ -128,50 +137,58 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
             label = np.repeat(part.column("toxic").to_numpy().astype(np.int64), np.diff(w.bounds))
             _, at, back, n = np.unique(mix64(before * _PAIR + w.hash), return_index=True, return_inverse=True, return_counts=True)
             toxic = np.bincount(back, weights=label, minlength=len(at)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)), pa.array(toxic), pa.array(n - toxic)], names=["h", "w", "toxic", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)), pa.array(_heads(w)[at].view(np.int64)), pa.array(toxic), pa.array(n - toxic)], names=["h", "w", "g", "toxic", "plain"])
 
     fitted = train.where(F.col("fold") < folds - 1).select("text", "toxic")
-    pairs = materialize(fitted.mapInArrow(count, COUNTS).groupBy("h", "w").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "toxic-pairs")
+    pairs = materialize(fitted.mapInArrow(count, COUNTS).groupBy("h", "w").agg(F.max("g").alias("g"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "toxic-pairs")
     kinds = [F.count_if(F.col("toxic") > 0).alias("kt"), F.count_if(F.col("plain") > 0).alias("kp")]
-    contexts = materialize(pairs.groupBy("h").agg(F.sum("toxic").alias("ct"), F.sum("plain").alias("cp"), *kinds), "toxic-contexts")
-    both = (F.col("kt") > 0).cast("int") + (F.col("kp") > 0).cast("int")
-    words = materialize(pairs.groupBy("w").agg(*kinds, F.count(F.lit(1)).alias("seen")).withColumn("k", both), "toxic-words")
-    t = words.agg(F.sum("kt").alias("nt"), F.sum("kp").alias("np"), F.sum("k").alias("n"), F.count_if(F.col("kt") > 0).alias("wt"), F.count_if(F.col("kp") > 0).alias("wp")).first()
+    contexts = materialize(pairs.groupBy("h").agg(F.sum("toxic").alias("ct"), F.sum("plain").alias("cp"), F.count(F.lit(1)).alias("k")), "toxic-contexts")
+    words = materialize(pairs.groupBy("w").agg(*kinds, F.count(F.lit(1)).alias("seen"), F.max("g").alias("g")), "toxic-words")
+    classes = (F.col("kt") > 0).cast("int") + (F.col("kp") > 0).cast("int")
+    heads = words.groupBy("g").agg(F.sum("kt").alias("kt"), F.sum("kp").alias("kp"), F.count(F.lit(1)).alias("forms"))
+    heads = materialize(heads.withColumn("k", classes), "toxic-heads")
+    sizes = [F.sum("kt").alias("nt"), F.sum("kp").alias("np"), F.count_if(F.col("kt") > 0).alias("wt"), F.count_if(F.col("kp") > 0).alias("wp")]
+    t, u = words.agg(*sizes).first(), heads.agg(*sizes, F.sum("k").alias("n")).first()
     if not (t["nt"] and t["np"]):
         return source.select(F.col("id").alias(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("whole_ratio"))
 
     d = discount
 
-    def backed(kinds: str, total: int, types: int) -> Column:
-        """Class continuation probability of a word, backed off to the shared one."""
-        return (F.greatest(F.col(kinds) - d, F.lit(0.0)) + d * types * F.col("k") / t["n"]) / total
+    def head(n: str, total: int, types: int) -> Column:
+        """Class continuation probability of a head, backed off to the shared one."""
+        return (F.greatest(F.col(n) - d, F.lit(0.0)) + d * types * F.col("k") / u["n"]) / total
+
+    def word(n: str, total: int, types: int, p: str) -> Column:
+        """Class continuation probability of a word, backed off to its head."""
+        return (F.greatest(F.col(n) - d, F.lit(0.0)) + d * types * F.col(p) / F.col("forms")) / total
 
-    words = words.select("w", "seen", backed("kt", t["nt"], t["wt"]).alias("pt"), backed("kp", t["np"], t["wp"]).alias("pp"))
-    rest_t = F.when(F.col("ct") > 0, d * F.col("kt") / F.col("ct")).otherwise(1.0)
-    rest_p = F.when(F.col("cp") > 0, d * F.col("kp") / F.col("cp")).otherwise(1.0)
-    contexts = contexts.select("h", "ct", "cp", rest_t.alias("rt"), rest_p.alias("rp"))
-    seen = pairs.where(F.col("toxic") + F.col("plain") >= least_pairs).join(contexts, "h").join(words, "w")
+    heads = heads.select("g", "forms", head("kt", u["nt"], u["wt"]).alias("gt"), head("kp", u["np"], u["wp"]).alias("gp"))
+    heads = materialize(heads, "toxic-head-chances")
+    words = words.join(heads, "g").select("w", "seen", word("kt", t["nt"], t["wt"], "gt").alias("pt"), word("kp", t["np"], t["wp"], "gp").alias("pp"))
+    words = materialize(words, "toxic-word-chances")
+    rest = float(np.log((t["wt"] / t["nt"]) / (t["wp"] / t["np"])))
+    contexts = contexts.select("h", "ct", "cp", (d * F.col("k") / (F.col("ct") + F.col("cp"))).alias("rest"))
+    seen = pairs.drop("g").where(F.col("toxic") + F.col("plain") >= least_pairs).join(contexts, "h").join(words.drop("seen"), "w")
 
-    def conditional(n: str, total: str, rest: str, p: str) -> Column:
-        return F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(0.0) + F.col(rest) * F.col(p)
+    def conditional(n: str, total: str, p: str) -> Column:
+        return F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(0.0) + F.col("rest") * F.col(p)
 
-    pair_ratio = F.log(conditional("toxic", "ct", "rt", "pt") / conditional("plain", "cp", "rp", "pp"))
+    pair_ratio = F.log(conditional("toxic", "ct", "pt") / conditional("plain", "cp", "pp"))
     got = [
         seen.select("h", "w", pair_ratio.cast("float").alias("v")).toArrow(),
-        contexts.where(F.col("ct") + F.col("cp") > 1).select("h", F.log(F.col("rt") / F.col("rp")).cast("float").alias("v")).toArrow(),
         words.where("seen > 1").select("w", F.log(F.col("pt") / F.col("pp")).cast("float").alias("v")).toArrow(),
+        heads.where("forms > 1").select("g", (F.log(F.col("gt") / F.col("gp")) + rest).cast("float").alias("v")).toArrow(),
     ]
     arrays = [[np.asarray(c.to_numpy()) for c in table.columns] for table in got]
     h, w, v = arrays[0]
     joined = mix64(h.view(np.uint64) * _PAIR + w.view(np.uint64)) if len(h) else np.zeros(0, np.uint64)
-    unknown = float(np.log((t["wt"] / t["nt"]) / (t["wp"] / t["np"])))
-    model = docs.sparkSession.sparkContext.broadcast(KneserNey((joined, v), arrays[1], arrays[2], unknown))
+    model = docs.sparkSession.sparkContext.broadcast(KneserNey((joined, v), arrays[1], arrays[2], rest))
     names = [f"{x} double" for x in FEATURES]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 0):
             words, before = _tokens(part)
-            ratios = model.value.ratios(before, words.hash)
+            ratios = model.value.ratios(before, words.hash, _heads(words))
             rows = [features(ratios[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
             cols = np.array(rows, np.float64).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(c) for c in cols]], names=[part.schema.names[1], *FEATURES])
