@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .hidden_markov import hidden_markov_scores
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .sharding import shard_records
@@ -44,6 +45,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), least=50)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
