@@ -192,7 +192,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             rows = [i for i, g in enumerate(sets) if _node(g) == wanted[i]]  # else another row of this id
             yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in rows], pa.int64()), pa.array([signature(sets[i]).tobytes() for i in rows], pa.binary()), _lists([sets[i].view(np.int64) for i in rows], pa.int64())], names=["node", "signature", "grams"])
 
-    texts = members.select("node", "key").join(source.select("key", "text"), "key").select("node", "text")
+    texts = members.select("node", "key").hint("merge").join(source.select("key", "text"), "key").select("node", "text")
     prepared = materialize(texts.mapInArrow(prepare, PREPARED), "near-sets").dropDuplicates(["node"])
     plan = least_matches(threshold, tolerance, 2 * ROWS)
 
