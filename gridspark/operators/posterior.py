@@ -21,10 +21,22 @@ def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where lambdas use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scaled(weights: Column, total: Column | None = None) -> Column:
+    """An array divided by its sum (or by ``total``)."""
+    both = F.struct(weights.alias("w"), (array_sum(weights) if total is None else total).alias("z"))
+    return let(both, lambda s: F.transform(s["w"], lambda v: v / s["z"]))
+
+
 def softmax(scores: Column) -> Column:
     """Stable softmax of an array column."""
-    weights = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
-    return F.transform(weights, lambda v: v / array_sum(weights))
+    top = F.struct(scores.alias("x"), F.array_max(scores).alias("m"))
+    weights = let(top, lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))
+    return let(weights, scaled)
 
 
 def with_softmax(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -36,8 +48,8 @@ def with_softmax(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def log_softmax_at(scores: Column, at: Column) -> Column:
-    top = F.array_max(scores)
-    return F.get(scores, at) - top - F.log(array_sum(F.transform(scores, lambda v: F.exp(v - top))))
+    top = F.struct(scores.alias("x"), F.array_max(scores).alias("m"), at.alias("at"))
+    return let(top, lambda s: F.get(s["x"], s["at"]) - s["m"] - F.log(array_sum(F.transform(s["x"], lambda v: F.exp(v - s["m"])))))
 
 
 def argmax(x: Column) -> Column:

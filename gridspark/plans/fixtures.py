@@ -43,6 +43,7 @@ VIEWS: dict[str, str] = {
         SELECT CAST(r.v AS INT) AS row, CAST(c.v AS INT) AS col, CAST((r.v - 1) * 3 + c.v AS INT) AS code,
                CAST((r.v - 1) * 3 + c.v - 1 AS INT) AS cell_idx, substr('ABCDEFGHI', CAST((r.v - 1) * 3 + c.v AS INT), 1) AS label
         FROM (VALUES (1), (2), (3)) r(v) CROSS JOIN (VALUES (1), (2), (3)) c(v)""",
+    "letters": "SELECT CAST(i - 1 AS INT) AS cell_idx, substr('abcdefghijklmnopqrstuvwxyz ', CAST(i AS INT), 1) AS ch FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27)) v(i)",
     "masked": """
         SELECT run, char_idx, seq_idx, ord, stim_code, logit,
                CASE stim_code WHEN 1 THEN '111000000' WHEN 2 THEN '000111000' WHEN 3 THEN '000000111'
