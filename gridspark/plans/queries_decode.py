@@ -263,12 +263,12 @@ def selection_time(t: Tables) -> DataFrame:
     return decided(t).select("run", "char_idx", M.selection_time(s, F.lit(1.5)).alias("fixed"), M.selection_time(s, flashes_per_seq=6, interval=F.lit(0.25)).alias("measured"))
 
 
-@query("per_subject", f"SELECT subject, count(*) AS characters, sum(CAST(correct AS INT)) AS correct, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(flashes_used), 6) AS flashes, round(avg(-ln(confidence)), 6) AS nll FROM {_COSTED} GROUP BY subject")
+@query("per_subject", f"SELECT subject, count(*) AS characters, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(flashes_used), 6) AS flashes, round(avg(-ln(confidence)), 6) AS nll FROM {_COSTED} GROUP BY subject")
 def per_subject(t: Tables) -> DataFrame:
     return rounded(M.per_subject(costed(t).withColumn("nll", -F.log("confidence"))), "accuracy", "flashes", "nll")
 
 
-@query("pooled_counts", f"SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS characters, sum(flashes_used) AS flashes, round(sum(CAST(correct AS INT)) / count(*), 6) AS accuracy, round(sum(flashes_used) / count(*), 6) AS flashes_per_char FROM {_COSTED} GROUP BY condition")
+@query("pooled_counts", f"SELECT condition, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS characters, CAST(sum(flashes_used) AS BIGINT) AS flashes, round(sum(CAST(correct AS INT)) / count(*), 6) AS accuracy, round(sum(flashes_used) / count(*), 6) AS flashes_per_char FROM {_COSTED} GROUP BY condition")
 def pooled_counts(t: Tables) -> DataFrame:
     return rounded(M.pooled_counts(costed(t), ["condition"]), "accuracy", "flashes_per_char")
 
