@@ -140,8 +140,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ``tolerance``, verifies the rest on the full sets, and returns sums and a spanning forest.
 
     Words are as they stand. A text shorter than ``words`` has one gram; nulls and texts without
-    words have no grams, no links and a class of their own (``class_id`` is their id). Null ids are
-    kept; a class of null ids only has a null ``class_id``. Extra columns are ignored.
+    words have none and are copies of one another, linked to nothing else. Null ids are kept; a
+    class of null ids only has a null ``class_id``. Extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
@@ -165,7 +165,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     scanned = materialize(source.mapInArrow(scan, SCANNED), "near-scan")
     nodes = materialize(
-        scanned.where("n_grams > 0").groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
+        scanned.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
         "near-nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -211,11 +211,4 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = materialize(named, "near-named")
     heads = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     looked = materialize(named.join(materialize(heads, "near-heads"), "root").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-classes")
-    alone = F.col("n_grams") == 0
-    return scanned.select("id", "node", "n_grams").join(looked, "node", "left").select(
-        F.col("id").alias(id_col),
-        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        "n_grams",
-    )
+    return scanned.select("id", "node", "n_grams").join(looked, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", "n_grams")
