@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
+from ..functions.sizes import parameter_table
 from .posterior import CHARACTER, argmax, array_sum, with_softmax
 
 
@@ -55,7 +56,7 @@ def evaluate_arms(traces: DataFrame, arms: DataFrame, max_sequences: int, keys:
     ``traces`` has accumulated evidence and a ``log_prior`` array per step; it is computed once and
     the small table of arms is broadcast against it.
     """
-    each = traces.where(F.col("step") <= max_sequences).join(F.broadcast(arms))
+    each = traces.where(F.col("step") <= max_sequences).join(parameter_table(arms))
     total = F.zip_with("evidence", "log_prior", lambda e, p: F.when(F.col("alpha") == 0, e).otherwise(e + F.col("alpha") * p))
     steps = decode_argmax(each.withColumn("evidence", total))
     return _stop(steps, [*keys, "arm"], (F.col("step") >= F.col("min_sequences")) & (F.col("confidence") >= F.col("tau")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, itr, logit_to_prob
+from ..functions.sizes import parameter_table
 from .decode import decode_argmax
 from .posterior import CHARACTER, array_sum, log_softmax_at, with_softmax
 
@@ -109,7 +110,7 @@ def policy_sweep(traces: DataFrame, policies: DataFrame, targets: DataFrame, def
     Traces do not depend on the policy: each step is decoded once, then met with all policies.
     """
     steps = decode_argmax(traces).select(*keys, "step", "decision", "confidence")
-    each = steps.join(F.broadcast(policies)).where(F.col("step") <= F.col("max_sequences"))
+    each = steps.join(parameter_table(policies)).where(F.col("step") <= F.col("max_sequences"))
     row = F.struct("step", "decision")
     stop = (F.col("step") >= F.col("min_sequences")) & (F.col("confidence") >= F.col("tau"))
     picked = each.groupBy(*keys, "policy").agg(F.coalesce(F.min(F.when(stop, row)), F.max(row)).alias("_d"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import soft_gate, sufficiency_gate
+from ..functions.sizes import parameter_table
 from ..functions.text import context_suffixes, hash_percent, normalize_context
 from .posterior import argmax, array_sum, let
 
@@ -62,7 +63,7 @@ def phrase_matches(contexts: DataFrame, bank: DataFrame, cells: DataFrame, top_k
     index = bank.where(F.length("text") > 1).select(*by, "bank_pos", "text", "weight", F.explode(starts).alias("start")).where(F.col("start") < F.length("text"))
     index = index.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("start"))))
     index = index.select(*by, "bank_pos", "weight", "start", F.substr("text", F.col("start"), F.col("_n")).alias("suffix"), F.substr("text", F.col("start") + F.col("_n"), F.lit(1)).alias("ch"))
-    index = index.join(F.broadcast(cells), "ch")
+    index = index.join(cells, "ch")
     found = asked.join(index, [*by, "suffix"])
     whole = (F.col("start") == 1) & (F.col("suffix") == F.col("_c"))
     score = F.col("weight") * (1.0 + F.length("suffix")) * F.when(whole, 2.0).otherwise(1.0)
@@ -96,7 +97,7 @@ def bigram_backoff_prior(contexts: DataFrame, bigrams: DataFrame, cells: DataFra
     """Shares of frequent successors of the context's last character; none if they are too even."""
     c = normalize_context(F.col("context"))
     last = contexts.select("context", F.when(c == "", " ").otherwise(F.substring(c, -1, 1)).alias("a"))
-    good = bigrams.where(F.col("n") >= min_count).join(F.broadcast(cells.select(F.col("ch").alias("b"), "cell_idx")), "b")
+    good = bigrams.where(F.col("n") >= min_count).join(cells.select(F.col("ch").alias("b"), "cell_idx"), "b")
     total = Window.partitionBy("a")
     good = good.withColumn("p", F.col("n") / F.sum("n").over(total))
     k = F.count(F.lit(1)).over(total)
@@ -189,7 +190,7 @@ def ngram_counts(corpus: DataFrame, order: int = 3, text: str = "text") -> DataF
 
 def ngram_prior(counts: DataFrame, contexts: DataFrame, cells: DataFrame, order: int = 3) -> DataFrame:
     """Base prior: successors of the longest known history of a context; an empty context is uniform."""
-    usable = counts.join(F.broadcast(cells), "ch").select("history", "cell_idx", "n")
+    usable = counts.join(cells, "ch").select("history", "cell_idx", "n")
     c = normalize_context(F.col("context"))
     tails = F.array(*[F.when(F.length(c) >= k, F.substr(c, F.length(c) - k + 1, F.lit(k))) for k in range(order + 1)])
     asked = contexts.where(c != "").select("context", F.explode(tails).alias("history")).where("history is not null")
@@ -197,7 +198,7 @@ def ngram_prior(counts: DataFrame, contexts: DataFrame, cells: DataFrame, order:
     longest = F.max("_k").over(Window.partitionBy("context"))
     found = found.withColumn("_best", longest).where("_k = _best")
     p = found.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("context"))).select("context", "cell_idx", "p")
-    empty = contexts.where(c == "").select("context").join(F.broadcast(cells.select("cell_idx")))
+    empty = contexts.where(c == "").select("context").join(parameter_table(cells.select("cell_idx")))
     n = cells.count()
     return p.unionByName(empty.withColumn("p", F.lit(1.0 / n)))
 

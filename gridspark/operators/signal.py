@@ -140,7 +140,7 @@ def block_majority(events: DataFrame, keys: Keys, order: str, code: str, block:
 
 def codes_to_text(codes: DataFrame, grid: DataFrame, keys: Keys, order: str, code: str = "code") -> DataFrame:
     """Labels of the codes in order, as one text per key; an unknown code shows as ``[code]``."""
-    named = codes.join(F.broadcast(grid.select(F.col("code").alias("_c"), F.col("label").alias("_l"))), F.col(code) == F.col("_c"), "left")
+    named = codes.join(grid.select(F.col("code").alias("_c"), F.col("label").alias("_l")), F.col(code) == F.col("_c"), "left")
     label = F.coalesce("_l", F.concat(F.lit("["), F.col(code).cast("string"), F.lit("]")))
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), label.alias("l"))))
     return named.groupBy(*keys).agg(F.array_join(F.transform(items, lambda s: s["l"]), "").alias("text"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.sizes import parameter_table
 from ..operators import calibrate as K
 from ..operators import classify as C
 from ..operators import epochs as E
@@ -164,7 +165,7 @@ _RAG = f"""(SELECT w, th, count(*) AS characters, avg(-ln(p)) AS nll FROM (SELEC
 def rag_grid_sweep(t: Tables) -> DataFrame:
     """Retrieval weight and threshold: matches do not depend on them, so priors are made once."""
     params = t.spark.sql("SELECT cast(w as double) weight, cast(h as double) threshold FROM VALUES (0.25), (0.7) AS a(w) CROSS JOIN (SELECT * FROM VALUES (0.4), (0.6) AS b(h))")
-    rows = prior_arrays(t).join(t("trials"), ["run", "char_idx"]).select("prior", "target_cell", (F.array_max("prior") * 2).alias("conf")).join(F.broadcast(params))
+    rows = prior_arrays(t).join(t("trials"), ["run", "char_idx"]).select("prior", "target_cell", (F.array_max("prior") * 2).alias("conf")).join(parameter_table(params))
     w = F.col("weight") * N.soft_gate(F.col("conf"), F.col("threshold"), 30)
     p = (1 - w) / 9 + w * F.get("prior", F.col("target_cell"))
     out = rows.groupBy("weight", "threshold").agg(F.count(F.lit(1)).alias("characters"), F.avg(-F.log(p)).alias("_nll"))

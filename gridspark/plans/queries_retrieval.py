@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.sizes import parameter_table
 from ..operators import retrieval as R
 from .queries_decode import prior_arrays
 from .registry import Tables, query
@@ -223,5 +224,5 @@ _GROUPS = "(SELECT code, cell_idx FROM (SELECT CAST(row AS INT) AS code, cell_id
 def rank_groups_by_prior(t: Tables) -> DataFrame:
     grid = t("grid")
     codes = grid.select(F.col("row").alias("code"), "cell_idx").unionByName(grid.select((F.col("col") + 3).alias("code"), "cell_idx"))
-    groups = t("trials").select("run", "char_idx").join(F.broadcast(codes))
+    groups = t("trials").select("run", "char_idx").join(parameter_table(codes))
     return R.rank_groups_by_prior(groups, t("prior"), ["run", "char_idx"], 3).select("run", "char_idx", "code", F.round("mass", 6).alias("mass"), "place")
