@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; rows with a null id stay."""
+    """The rows of ``docs`` whose id is in ``ids``; rows with a null id stay, rows of one id go together."""
     ids = materialize(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "stage-ids").hint("merge")
     return docs.where("doc_id is null").unionByName(docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi"))
 

@@ -24,7 +24,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Null texts stay null and have no lines. Rows with null ids come first. Rows with the same id
     and text count as one document: each gets the same result. Extra columns are passed on; an
-    input column called n_lines or n_removed is replaced.
+    input column called n_lines or n_removed is replaced; names that start with _cut are taken.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
@@ -59,14 +59,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     firsts = materialize(places.groupBy("run").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last")).select("run", "origin"), "line-firsts")
     later = places.join(firsts, "run").where(place > F.col("origin"))
     cuts = later.select("key", F.explode("at").alias("i")).groupBy("key").agg(F.collect_set("i").alias("cut"))
-    cuts = cuts.select(F.col("key.id").alias("cut_id"), F.col("key.t").alias("cut_t"), "cut")
+    cuts = cuts.select(F.col("key.id").alias("_cut_id"), F.col("key.t").alias("_cut_text"), F.col("cut").alias("_cut"))
 
-    own = docs.drop("n_lines", "n_removed").withColumn("cut_key", F.xxhash64(text))
-    joined = own.join(cuts, own[id_col].eqNullSafe(cuts["cut_id"]) & (own["cut_key"] == cuts["cut_t"]), "left")
-    kept = F.filter(nl, lambda x, i: ~F.array_contains("cut", i))
-    out = [F.when(F.col("cut").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = docs.drop("n_lines", "n_removed").withColumn("_cut_key", F.xxhash64(text))
+    joined = own.join(cuts, own[id_col].eqNullSafe(cuts["_cut_id"]) & (own["_cut_key"] == cuts["_cut_text"]), "left")
+    kept = F.filter(nl, lambda x, i: ~F.array_contains("_cut", i))
+    out = [F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *out,
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(nl)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
     )

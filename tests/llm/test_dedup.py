@@ -149,7 +149,7 @@ ODD = [(1, None), (None, "a b c d e f"), (None, "a b c d e f"), (2, ""), (3, "x"
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame(ODD, DOCS).withColumn("h", F.lit(1)).withColumn("key", F.lit("k")).withColumn("digest", F.lit(0)).withColumn("n_lines", F.lit(9))
+    df = spark.createDataFrame(ODD, DOCS).withColumn("h", F.lit(1)).withColumn("key", F.lit("k")).withColumn("digest", F.lit(0)).withColumn("n_lines", F.lit(9)).withColumn("cut", F.lit(0)).withColumn("norm", F.lit("")).withColumn("id", F.lit(7))
     exact = [tuple(r[:4]) for r in exact_dedup(df).collect()]
     assert sorted(exact, key=str) == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True), (3, 3, 2, False), (None, 4, 3, False), (None, 4, 3, False), (4, 4, 3, True)], key=str)
     lines = line_dedup(df).collect()
