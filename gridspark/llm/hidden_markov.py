@@ -201,15 +201,18 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     counts = materialize(train.mapInArrow(count, COUNTS).groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n")), "markov-counts")
     sizes = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(sizes["n"] or 0), int(sizes["v"])
-    levels = counts.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    floor, held = 4096, 0
-    for r in sorted(levels, key=lambda r: -r["n"]):
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 16 for each bit of a count
+    floor, held = max([r["level"] for r in levels], default=0) + 1, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
         held += r["words"]
         if held > frequent:
             break
-        floor = r["n"]
-    top = counts.where(F.col("n") >= floor).orderBy(F.desc("n"), "word").limit(frequent).select("word", "n").toArrow()
+        floor = r["level"]
+    top = counts.where(level >= floor).select("word", "n").toArrow()  # at most ``frequent`` words
     top_words, top_counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    if not len(top_words):  # no level is small enough, or no training row: all counts are joined
+        top_words, top_counts = np.array([1], np.uint64), np.zeros(1, np.int64)
     order = np.lexsort((top_words, -top_counts))[:own]
     least_own = spark.createDataFrame([(int(x),) for x in top_words[order].view(np.int64).tolist()], "word long")
     rarer = counts.join(F.broadcast(least_own), "word", "left_anti")  # at most ``own`` words
@@ -218,8 +221,6 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     for r in class_rows:
         class_sizes[r["class"]] += r["n"] + r["v"]
         class_counts[r["class"]] = r["n"]
-    if not total:
-        top_words, top_counts = np.array([END]), np.zeros(1, np.int64)
     vocabulary = Vocabulary(top_words, top_counts, own, class_sizes, total, distinct)
     sent = spark.sparkContext.broadcast(vocabulary)
     size = vocabulary.size
@@ -310,8 +311,8 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     scored = materialize(source.mapInArrow(score, SCORED.format(id=dict(source.dtypes)["id"])), "markov-scored")
-    rest = counts.where(F.col("n") < floor) if len(top_words) < distinct and total else counts
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(rest.select("word", "n"), "word")
+    rest = counts.where(level < floor).select("word", "n")
+    rare = scored.select("uid", F.explode("rare").alias("word")).join(rest, "word")
     rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("add"), F.count(F.lit(1)).alias("known"))
     extra = F.coalesce("add", F.lit(0.0))
     return scored.join(rare, "uid", "left").select(
