@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,7 +194,10 @@ class Passages:
         return [(d, i, e, s, x, y, len(ps)) for (d, i), (e, s, x, y, ps) in out.items()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+_indexes: dict[str, Passages] = {}
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item that it leaks: the best match and its span.
 
     Columns: doc_id, item_id, edits, shared (q-grams), text_start, text_end (characters of the
@@ -222,8 +226,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         rows = [(r["item"], r["text"]) for r in items.where(F.col("block") == block).select("item", "text").collect()]  # one block
         sent = source.sparkSession.sparkContext.broadcast(rows)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Passages(sent.value, q, length, rate)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, tag=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            if tag not in _indexes:  # once for each worker process; one block's index is kept
+                _indexes.clear()
+                _indexes[tag] = Passages(sent.value, q, length, rate)
+            index = _indexes[tag]
             for part in _groups(batches, 1):
                 found = index.search(part.column(1).to_pylist())
                 ids = part.column(0).to_pylist()
