@@ -197,6 +197,14 @@ class Passages:
 _indexes: dict[str, Passages] = {}
 
 
+def _index(tag: str, sent, q: int, length: int, rate: float) -> Passages:
+    """The index of one block, made once for each worker process, which keeps one."""
+    if tag not in _indexes:
+        _indexes.clear()
+        _indexes[tag] = Passages(sent.value, q, length, rate)
+    return _indexes[tag]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item that it leaks: the best match and its span.
 
@@ -227,10 +235,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         sent = source.sparkSession.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, tag=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            if tag not in _indexes:  # once for each worker process; one block's index is kept
-                _indexes.clear()
-                _indexes[tag] = Passages(sent.value, q, length, rate)
-            index = _indexes[tag]
+            index = _index(tag, sent, q, length, rate)
             for part in _groups(batches, 1):
                 found = index.search(part.column(1).to_pylist())
                 ids = part.column(0).to_pylist()
