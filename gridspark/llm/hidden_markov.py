@@ -29,6 +29,17 @@ def tokens_of(part: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarra
     return np.insert(w.hash, ends, END), np.insert(kind, ends, 0), w.bounds + np.arange(len(w.bounds))
 
 
+def symbol_groups(batches: Iterator[pa.RecordBatch], tokens: int = 700_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and text bounds of slices of about ``tokens`` tokens, one text at least."""
+    for batch in batches:
+        lists = batch.column(0)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        group = (offsets[1:] - offsets[0]) // tokens
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
+            yield values[offsets[a] : offsets[b]], (offsets[a : b + 1] - offsets[a]).astype(np.int64)
+
+
 class Vocabulary:
     """Counts of the frequent words, and the symbol of the model that a token stands for.
 
@@ -166,8 +177,8 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Words of all training rows are counted with a grouped aggregation. The ``frequent`` most
     frequent counts are broadcast (the bound is the parameter); counts of rarer words are joined
-    to the tokens that need them, and enter both scores as a sum. Each Baum-Welch round maps all
-    training rows to expected counts, a table of fixed size for each task, which Spark sums; texts
+    to the tokens that need them, and enter both scores as a sum. Training rows are written once as
+    symbols. Each Baum-Welch round maps all of them to expected counts, a table of fixed size for each task, which Spark sums; texts
     are cut into segments of ``segment`` tokens for that only. Scoring is exact on whole texts.
 
     Null texts count as empty (one end token). Null ids train. Repeated rows and repeated ids are
@@ -227,10 +238,18 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     symbol_counts = np.concatenate([np.sort(top_counts)[::-1][: vocabulary.own], class_counts]).astype(float)
     leading = min(leading, vocabulary.own)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, 0):
+            h, k, bounds = tokens_of(part, classes)
+            symbols = sent.value.look_up(h, k)[0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(symbols))], names=["symbols"])
+
+    encoded = materialize(train.mapInArrow(encode, "symbols array<int>"), "markov-symbols")  # read by all rounds
+
     def summed(mapper, rows: int, width: int) -> np.ndarray:
         """Sum the tables of all tasks, element by element; ``rows`` and ``width`` are fixed."""
         cells = [f"c{i} double" for i in range(width)]
-        parts = train.mapInArrow(mapper, "row long, " + ", ".join(cells))
+        parts = encoded.mapInArrow(mapper, "row long, " + ", ".join(cells))
         got = parts.groupBy("row").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(width)]).toArrow()
         out = np.zeros((rows, width))
         out[got["row"].to_numpy()] = np.column_stack([got[f"c{i}"].to_numpy() for i in range(width)]) if got.num_rows else 0
@@ -242,9 +261,7 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((leading, leading))
-        for part in _groups(batches, 0):
-            h, k, bounds = tokens_of(part, classes)
-            symbols, _ = sent.value.look_up(h, k)
+        for symbols, bounds in symbol_groups(batches):
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             use = symbols < leading
             grid = np.bincount(text[use] * leading + symbols[use], minlength=(len(bounds) - 1) * leading).reshape(-1, leading)
@@ -263,9 +280,8 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
         def learn(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             out = np.zeros((size + states + 1, states))
-            for part in _groups(batches, 0):
-                h, k, bounds = tokens_of(part, classes)
-                expected_counts(sent.value.look_up(h, k)[0], bounds, *model.value, segment, out)
+            for symbols, bounds in symbol_groups(batches):
+                expected_counts(symbols, bounds, *model.value, segment, out)
             yield rows_of(out)
 
         got = summed(learn, size + states + 1, states)
