@@ -128,9 +128,9 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray,
         beta[:n] = ahead @ back
     first = int(offsets[1])
     alpha[:first] *= beta[:first]
-    order = np.argsort(symbols[index], kind="stable")
-    kinds, at = np.unique(symbols[index][order], return_index=True)
-    out[kinds] += np.add.reduceat(alpha[order], at, axis=0)
+    seen_symbols = symbols[index]
+    for s in range(states):
+        out[:size, s] += np.bincount(seen_symbols, weights=alpha[:, s], minlength=size)
     out[size : size + states] += moves * move
     out[size + states] += alpha[:first].sum(axis=0)
 
@@ -192,21 +192,24 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     train = source.where(~F.col("held_out")).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kinds, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds), pa.array(counts)], names=["word", "class", "n"])
+            """What is held, each word once."""
+            h, k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, first, back = np.unique(h, return_index=True, return_inverse=True)
+            summed = np.bincount(back, weights=n, minlength=len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(k[first]), pa.array(summed)], names=["word", "class", "n"])
 
         for part in _groups(batches, 0):
             h, k, _ = tokens_of(part, classes)
             u, at, n = np.unique(h, return_index=True, return_counts=True)
-            both = np.concatenate([words, u])
-            words, first, back = np.unique(both, return_index=True, return_inverse=True)
-            kinds, counts = np.concatenate([kinds, k[at]])[first], np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(words)).astype(np.int64)
-            if len(words) > 1_000_000:
+            held.append((u, k[at], n))
+            size += len(u)
+            if size > 3_000_000:
                 yield rows()
-                words, kinds, counts = words[:0], kinds[:0], counts[:0]
-        if len(words):
+                held, size = [], 0
+        if held:
             yield rows()
 
     counts = materialize(train.mapInArrow(count, COUNTS).groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n")), "markov-counts")
