@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, alone: int | None = None) -> DataFrame:
     """The input's columns with later repeats of runs of ``window`` or more lines deleted from the text.
 
     Adds n_lines and n_removed. Lines are split at newlines and compared byte for byte through
@@ -21,6 +21,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``window`` lines that reaches up or down from the fingerprint is compared with the first place
     that has the same run, and longer matches are the union of those runs. Only first places
     travel, never pairs of places, so a line that a third of all rows hold costs its own rows.
+    A repeated line whose neighbours differ is in no such run and stays, unless ``alone`` is
+    given: lines of ``alone`` or more characters then count as runs by themselves as well.
 
     Null texts stay null and have no lines. Rows with null ids come first. Rows with the same id
     and text count as one document: each gets the same result. Extra columns are passed on; an
@@ -29,8 +31,10 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
     nl = F.split(text, "\n")
-    lines = F.filter(F.transform(nl, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x, F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64(x)).alias("h"))), lambda s: s["h"].isNotNull())
-    hashed = docs.select(key.alias("key"), lines.alias("lines")).where(F.size("lines") >= window)
+    single = (lambda x: [(F.length(x) >= alone).alias("single")]) if alone is not None else (lambda x: [])
+    lines = F.filter(F.transform(nl, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x, F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64(x)).alias("h"), *single(x))), lambda s: s["h"].isNotNull())
+    every = docs.select(key.alias("key"), lines.alias("lines"))
+    hashed = every.where(F.size("lines") >= window)
 
     runs = F.col("hashes")
     last = F.size(runs) - window
@@ -54,7 +58,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = prints.join(shared, "print")
     starts = F.sequence(F.lit(1), F.size("near") - window + 1)
     reach = F.transform(starts, lambda s: F.struct(F.xxhash64(F.slice("near", s, window)).alias("run"), F.slice("near_at", s, window).alias("at")))
-    places = materialize(found.where(F.size("near") >= window).select("key", F.inline(reach)), "line-runs")
+    places = found.where(F.size("near") >= window).select("key", F.inline(reach))
+    if alone is not None:
+        singles = every.select("key", F.inline(F.filter("lines", lambda s: s["single"])))
+        places = places.unionByName(singles.select("key", F.xxhash64(F.array("h")).alias("run"), F.array("i").alias("at")))
+    places = materialize(places, "line-runs")
     place = F.struct("key", F.col("at")[0].alias("first"))
     firsts = materialize(places.groupBy("run").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last")).select("run", "origin"), "line-firsts")
     later = places.join(firsts, "run").where(place > F.col("origin"))

@@ -37,6 +37,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), alone=20)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"), words=5, threshold=0.8)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op4_line_dedup_single": op4_line_dedup_single,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
@@ -96,4 +102,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id
     """,
+    "op4_line_dedup_single": """
+        WITH lines AS (
+            SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+            FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+        ), solid AS (
+            SELECT * FROM lines WHERE NOT regexp_full_match(line, '[ \t\r\v\f]*')
+        ), pairs AS (
+            SELECT doc_id, i, lead(i) OVER d AS next_i, line || chr(10) || lead(line) OVER d AS run
+            FROM solid WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), later AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM pairs WHERE run IS NOT NULL) WHERE k > 1
+        ), again AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM solid WHERE length(line) >= 20) WHERE k > 1
+        ), cuts AS (SELECT doc_id, i FROM later UNION SELECT doc_id, next_i FROM later UNION SELECT doc_id, i FROM again)
+        SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id
+    """,
 }

@@ -60,6 +60,43 @@ def test_line_dedup(spark, corpus, window):
     assert got == brute_lines(corpus, window) and sum(n for n, _ in got.values()) > 0
 
 
+def brute_alone(rows, least, n=2):
+    """Places that brute_lines cuts, and later places of lines of ``least`` or more characters."""
+    first, cut = {}, defaultdict(set)
+    for doc, text in sorted(rows):
+        units = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\v\f")]
+        for size in (1, n):
+            for k in range(len(units) - size + 1):
+                run = tuple(x for _, x in units[k : k + size])
+                if (size > 1 or len(run[0]) >= least) and first.setdefault(run, (doc, k)) != (doc, k):
+                    cut[doc].update(i for i, _ in units[k : k + size])
+    return {d: (len(cut[d]), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut[d])) for d, t in rows}
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_lines_repeated_alone(spark, corpus, least):
+    """Boilerplate with other neighbours in each row goes, also where it is the only line; short lines stay."""
+    boiler = "all rights of this text are reserved"
+    rows = corpus + [(900 + i, f"{boiler}\nown line number {i} é\n}}") for i in range(6)] + [(910, boiler), (911, f"x\n{boiler}\ny\n{boiler}")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["n_removed"], r["text"] or "") for r in line_dedup(df, alone=least).collect()}
+    assert got == brute_alone(rows, least) and got[910] == (1, "") and got[911] == (2, "x\ny")
+    assert got[903][1] == "own line number 3 é" + ("\n}" if least > 1 else "")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup(df).collect()}[910] == 0
+
+
+def test_line_dedup_single_twin(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = entry.queries()["op4_line_dedup_single"](spark, "/root/testdata/sf0.001").collect()
+    want = c.sql(entry.oracle_sql()["op4_line_dedup_single"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_removed"] for r in got) > 0
+
+
 def test_substring_dedup(spark, corpus):
     first, want = {}, {}
     for d, t in corpus:
