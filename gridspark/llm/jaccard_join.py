@@ -76,11 +76,11 @@ def least_matches(threshold: float, tolerance: float, step: int, total: int = BA
     return out
 
 
-def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], threshold: float, plan: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], threshold: float, plan: list[tuple[int, int]], cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links (in rows of the other sets) and the least linked node of each set in one unit.
 
-    Two sets are a candidate pair if they share a band key and, in a unit of two chunks, come from
-    different chunks. MinHash values are compared a block at a time, and the survivors exactly.
+    Two sets are a candidate pair if they share a band key and, in a unit of two chunks (``cross``),
+    come from different chunks; if one of the two is empty there is no pair. MinHash values are compared a block at a time, and the survivors exactly.
     """
     m = len(nodes)
     keys = band_keys(sigs)
@@ -92,7 +92,6 @@ def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs:
             i = int(parent[i])
         return i
 
-    cross = len(set(sides.tolist())) > 1
     universe, flat = np.unique(np.concatenate(grams), return_inverse=True)
     sizes = np.array([len(g) for g in grams])
     ends = np.cumsum(sizes)
@@ -179,11 +178,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     small = loads.where("chunks = 1").agg(F.sum("n"), F.sum("g")).first()
     bins = max(1, math.ceil((small[0] or 0) / unit_sets), math.ceil((small[1] or 0) / unit_grams))
     chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
-    pairs = F.when(F.col("chunks") == 1, F.array(F.xxhash64(F.lit("bin"), F.pmod(F.xxhash64("root"), F.lit(bins))))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.xxhash64(F.col("root"), F.least(o, F.col("chunk")), F.greatest(o, F.col("chunk"))))
+    pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.xxhash64(F.lit("bin"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"), F.lit(False).alias("cross")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.xxhash64(F.col("root"), F.least(o, F.col("chunk")), F.greatest(o, F.col("chunk"))).alias("unit"), (o != F.col("chunk")).alias("cross")))
     )
     tasks = members.join(loads.select("root", "chunks"), "root").withColumn("chunk", chunk)
-    tasks = tasks.select("node", "copies", F.when(F.col("chunks") == 1, 0).otherwise(F.col("chunk")).alias("side"), F.explode(pairs).alias("unit"))
+    tasks = tasks.select("node", "copies", F.when(F.col("chunks") == 1, 0).otherwise(F.col("chunk")).alias("side"), F.inline(pairs))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 1):
@@ -201,7 +200,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         sigs = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in t["signature"]])
         grams = [x.values.to_numpy().view(np.uint64) for x in t["grams"]]
         ids = t["node"].to_numpy()
-        links, roots = compare_unit(ids, t["copies"].to_numpy(), t["side"].to_numpy(), sigs, grams, threshold, plan)
+        links, roots = compare_unit(ids, t["copies"].to_numpy(), t["side"].to_numpy(), sigs, grams, threshold, plan, t["cross"][0].as_py())
         return pa.table({"node": ids, "links": links, "root": roots})
 
     compared = materialize(tasks.join(prepared, "node").groupBy("unit").applyInArrow(compare, COMPARED), "near-links")

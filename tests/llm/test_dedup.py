@@ -165,6 +165,16 @@ def test_jaccard_join(spark, corpus, size):
     assert got == brute_jaccard(rows) and max(n for _, n in got.values()) > 30
 
 
+@pytest.mark.parametrize("grams", [150])
+def test_links_are_counted_once(spark, grams):
+    """Two near copies in more chunks than nodes: units of two chunks can hold one alone."""
+    for k in range(4):  # chunks are dealt by hash; some of these share one
+        w = [f"g{k}x{i}" for i in range(120)]
+        rows = [(1, " ".join(w)), (2, " ".join([*w, "end"]))]
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join(spark.createDataFrame(rows, DOCS), unit_grams=grams).collect()}
+        assert got == {1: (1, 1), 2: (1, 1)}
+
+
 def test_pruning_keeps_likely_pairs():
     for n, m in least_matches(0.8, 1e-6, 14):
         assert m <= 0.8 * n
