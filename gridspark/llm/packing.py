@@ -50,6 +50,49 @@ def attention_cost(tokens: int, linear: float = 1.0, quadratic: float = 1.0 / 20
     return linear * tokens + quadratic * tokens * tokens
 
 
+class OpenSequences:
+    """Sequences by room, with the cheapest of each room in a tree of minima over all rooms.
+
+    ``take(n)`` removes the cheapest sequence with room for ``n`` tokens, the first of equals; its
+    work is the depth of the tree, however many cheaper sequences have too little room.
+    """
+
+    _none = (float("inf"), -1)
+
+    def __init__(self, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.best = [self._none] * (2 * self.width)
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+
+    def put(self, room: int, cost: float, s: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (cost, s))
+        self._update(room)
+
+    def take(self, n: int) -> tuple[int, int] | None:
+        """(room, sequence), or None if no sequence has room."""
+        i, found, room = n + self.width, self.best[n + self.width], n + self.width
+        while i > 1:
+            if not i & 1 and self.best[i + 1] < found:
+                found, room = self.best[i + 1], i + 1
+            i >>= 1
+        if found[1] < 0:
+            return None
+        while room < self.width:
+            room = 2 * room + (self.best[2 * room] != found)
+        room -= self.width
+        heapq.heappop(self.heaps[room])
+        self._update(room)
+        return room, found[1]
+
+    def _update(self, room: int) -> None:
+        i, heap, best = room + self.width, self.heaps[room], self.best
+        new = heap[0] if heap else self._none
+        while i and best[i] != new:
+            best[i] = new
+            new = min(new, best[i ^ 1])
+            i >>= 1
+
+
 def pack_lengths(lengths: list[int], capacity: int, least: int = 1) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
     """Pack documents of these lengths; pieces (document, start, length, sequence, offset) and sequence sizes.
 
@@ -81,26 +124,21 @@ def pack_lengths(lengths: list[int], capacity: int, least: int = 1) -> tuple[lis
             left -= power
     first, used = len(sizes), [0] * len(rooms)
     costs = [0.0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
-    heapq.heapify(heap)
+    open_ = OpenSequences(capacity)
+    for s, room in enumerate(rooms):
+        open_.put(room, 0.0, s)
     cut = []
     for n, d in sorted(rests, key=lambda x: (-attention_cost(x[0]), x[1])):
-        aside = []
-        while heap and rooms[heap[0][1]] - used[heap[0][1]] < n:
-            aside.append(heapq.heappop(heap))
-            if len(aside) > 64:  # no cheap sequence has room: leave it for the cut
-                break
-        if heap and rooms[heap[0][1]] - used[heap[0][1]] >= n:
-            _, s = heapq.heappop(heap)
-            pieces.append((d, lengths[d] - n, n, first + s, used[s]))
-            used[s] += n
-            costs[s] += attention_cost(n)
-            if used[s] < rooms[s]:
-                heapq.heappush(heap, (costs[s], s))
-        else:
+        found = open_.take(n)
+        if found is None:
             cut.append((n, d))
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        room, s = found
+        pieces.append((d, lengths[d] - n, n, first + s, used[s]))
+        used[s] += n
+        costs[s] += attention_cost(n)
+        if room > n:
+            open_.put(room - n, costs[s], s)
     free = [(used[s] - rooms[s], s) for s in range(len(rooms)) if used[s] < rooms[s]]
     heapq.heapify(free)
     for n, d in cut:

@@ -214,6 +214,28 @@ def test_pack_lengths():
         assert sum(1 for n in sizes if n < 64) <= 7 and all(n == 64 or n & (n - 1) == 0 for n in sizes)
 
 
+def test_cheapest_sequence_with_room_is_found():
+    """Also where many cheaper sequences have too little room: cut is only what fits nowhere whole."""
+    rng = random.Random(3)
+    for lengths in ([int(rng.lognormvariate(5.3, 1.1)) + 1 for _ in range(5000)], [rng.choice([3, 40, 400, 700, 1030]) for _ in range(3000)], [2048, 2047, 1, 5000]):
+        rests = sorted(((n % 2048, d) for d, n in enumerate(lengths) if n % 2048), key=lambda x: (-x[0], x[1]))
+        pieces, sizes = pack_lengths(lengths, 2048)
+        first = sum(n // 2048 for n in lengths)
+        rooms, costs = sizes[first:], [0.0] * (len(sizes) - first)
+        cut = {}
+        for d, start, n, s, _ in pieces:
+            if s >= first:
+                cut.setdefault(d, []).append((s - first, n))
+        for n, d in rests:
+            fit = [s for s, room in enumerate(rooms) if room >= n]
+            if not fit:
+                continue
+            s = min(fit, key=lambda k: (costs[k], k))
+            assert cut[d] == [(s, n)]
+            rooms[s] -= n
+            costs[s] += n + n * n / 2048
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
