@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens; one row per piece."""
-    return pack_documents(docs, capacity=2048)
+    return pack_documents(docs, capacity=2048, added_tokens=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

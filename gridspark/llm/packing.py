@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,24 +25,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 @functools.cache
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, added: bool = False):
     """A function from a text to its ids, for the byte-level vocabulary in ``path``.
 
     A rank file of the same name is the same vocabulary in the form that the faster library reads;
-    where there is none, the JSON file itself is loaded. Special tokens are ordinary text in both.
+    where there is none, the JSON file itself is loaded. The file's added (special) tokens are
+    ordinary text, or with ``added`` have their own ids wherever they stand in a text.
     """
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    plain = not any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
     ranks = Path(path).with_suffix(".tiktoken")
-    if ranks.exists():
+    if ranks.exists() and (plain or not added):
         import public_tokenizers
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.open("rb"))}
-        coder = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+        coder = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={t["content"]: t["id"] for t in tokens} if added else {})
+        return lambda text: coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    model.encode_special_tokens = not added
     return lambda text: model.encode(text, add_special_tokens=False).ids
 
 
@@ -168,14 +173,15 @@ PIECES = T.StructType(
 )
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, window_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = 2048, end_id: int = 1, window_tokens: int = 4_000_000, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32 (of the little-endian 32-bit ids), doc_tokens,
     sequence_id, offset, cost, and ``ids`` (array) on request. Each scan task packs what it reads,
     ``window_tokens`` at a time, so nothing is shuffled and memory is bounded; a sequence id is
     the task's partition and a running number, the same again if the task is retried. A document
-    longer than the window is a window by itself.
+    longer than the window is a window by itself. With ``added_tokens``, texts that hold an added
+    token of the vocabulary file (``<|endoftext|>``) get its id there, as ``tokenizers`` gives it.
 
     Null texts count as empty and are packed as the end id alone; repeated rows and null ids are
     packed like any others; an empty table gives no rows.
@@ -184,7 +190,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else PIECES
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(path)
+        encode = load_tokenizer(path, added_tokens)
         task = TaskContext.get()
         state = {"next": task.partitionId() << 32}
 

@@ -63,7 +63,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048)
+    return pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, added_tokens=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -255,6 +255,26 @@ def test_packing_round_trip(spark):
     assert pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    """The ids of the query and the last stage are those of ``tokenizers`` with its defaults."""
+    from tokenizers import Tokenizer
+
+    from gridspark.llm.queries import op10_packing
+
+    model = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n é  <|endoftext|", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*model.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    for got in (op10_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        rows = got.collect()
+        assert len(rows) >= 4
+        for r in rows:
+            part = np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
 def test_pipeline_stages(spark):
     """Each stage keeps the columns, and its decisions equal those of its operator or of brute force."""
     sf = "/root/testdata/sf0.001"
