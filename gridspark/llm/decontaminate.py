@@ -105,14 +105,18 @@ def aligned(passages: list[np.ndarray], regions: list[np.ndarray], budgets: np.n
 class Passages:
     """An index of benchmark passages: q-gram hashes, each with (passage, position)."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, length: int, rate: float):
+    def __init__(self, items: list[tuple[int, str]], q: int, length: int, rate: float, step: int = 16):
         self.q, self.items, self.codes = q, [], []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for item, text in items:
             codes, _ = normalise(text or "")
             n = len(codes)
             if n < 2 * q:
+                codes = codes[: n - 1] if n and codes[-1] == 32 else codes
+                if len(codes):
+                    self.short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(item)
                 continue
-            starts = [0] if n <= length else [*range(0, n - length, length // 2), n - length]
+            starts = [0] if n <= length else [*range(0, n - length, step), n - length]
             for s in starts:
                 self.items.append(item)
                 self.codes.append(codes[s : s + length])
@@ -134,7 +138,7 @@ class Passages:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text number, item, edits, shared q-grams, start, end, passages) for each item found."""
-        if not len(self.keys):
+        if not len(self.keys) and not self.short:
             return []
         normal = [normalise(t or "") for t in texts]
         gap = self.longest + self.slack + self.q
@@ -142,6 +146,31 @@ class Passages:
         whole = np.zeros(int(ends[-1]), np.uint32)
         for e, (c, _) in zip(ends.tolist(), normal, strict=True):
             whole[e - gap - len(c) : e - gap] = c
+        return [*self._short(whole, normal, ends, gap), *(self._long(whole, normal, ends, gap) if len(self.keys) else [])]
+
+    def _short(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int, int, int]]:
+        """Items under two q-grams, found as they are, between ends of words."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        border = (whole == 0) | (whole == 32)
+        for m, table in self.short.items():
+            at = np.flatnonzero(~border[1:] & border[:-1]) + 1
+            at = np.concatenate([[0], at]) if len(border) and not border[0] else at
+            at = at[at + m < len(whole)]
+            at = at[border[at + m]]
+            wanted = np.concatenate([gram_hashes(np.frombuffer(c, np.uint32), m) for c in table])
+            for pos in at[np.isin(gram_hashes(whole, m)[at], wanted)].tolist():
+                doc = int(np.searchsorted(ends, pos, side="right"))
+                codes, origin = normal[doc]
+                first = pos - (int(ends[doc]) - gap - len(codes))
+                for item in table.get(whole[pos : pos + m].tobytes(), ()):
+                    x, y = int(origin[first]), int(origin[first + m - 1]) + 1
+                    low, high = out.get((doc, item), (x, y))
+                    out[doc, item] = (min(low, x), max(high, y))
+        sizes = {i: m for m, table in self.short.items() for ids in table.values() for i in ids}
+        return [(d, i, 0, max(0, sizes[i] - self.q + 1), x, y, 1) for (d, i), (x, y) in out.items()]
+
+    def _long(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int, int, int]]:
+        """Items of two q-grams or more, by their passages."""
         h = gram_hashes(whole, self.q)
         hit = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
         slot = np.searchsorted(self.keys, h[hit])
@@ -197,23 +226,25 @@ class Passages:
 _indexes: dict[str, Passages] = {}
 
 
-def _index(tag: str, sent, q: int, length: int, rate: float) -> Passages:
+def _index(tag: str, sent, q: int, length: int, rate: float, step: int) -> Passages:
     """The index of one block, made once for each worker process, which keeps one."""
     if tag not in _indexes:
         _indexes.clear()
-        _indexes[tag] = Passages(sent.value, q, length, rate)
+        _indexes[tag] = Passages(sent.value, q, length, rate, step)
     return _indexes[tag]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, step: int = 16, block_chars: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item that it leaks: the best match and its span.
 
     Columns: doc_id, item_id, edits, shared (q-grams), text_start, text_end (characters of the
     text as it stands, from the first to the last matching passage), passages (how many).
 
     Texts are compared in lower case with runs of other characters than letters and digits as one
-    space. An item is cut into passages of ``length`` characters that overlap by half (a shorter
-    item is one passage; items under two q-grams, or null, are not searched). A passage of m
+    space. An item is cut into passages of ``length`` characters, one every ``step`` characters
+    and at the end, so each stretch of ``length + step - 1`` characters of it holds a whole one; a
+    leak of a shorter part of a longer item can be missed. A shorter item is one passage; items
+    under two q-grams are found as they are, as whole words; null items are not searched. A passage of m
     characters matches a stretch of text within k = rate * m edits. By the q-gram lemma such a
     stretch shares m + 1 - (k + 1) q q-grams on at most k + 1 neighbouring diagonals, so shared
     q-grams are counted in bands of diagonals that overlap by half, bands with fewer are dropped,
@@ -235,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         sent = source.sparkSession.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, tag=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = _index(tag, sent, q, length, rate)
+            index = _index(tag, sent, q, length, rate, step)
             for part in _groups(batches, 1):
                 found = index.search(part.column(1).to_pylist())
                 ids = part.column(0).to_pylist()

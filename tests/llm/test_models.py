@@ -82,6 +82,17 @@ def test_leaks_with_edits(spark):
     assert decontaminate(df, bench.where("item_id > 50")).count() == 0
 
 
+def test_partial_leaks_and_short_items(spark):
+    """Each stretch of 143 characters of a longer item is found, wherever it starts; short items as whole words."""
+    item = "".join(random.Random(8).choice(LETTERS) for _ in range(400))
+    docs = [(k, f"zz {item[k : k + 143]} zz") for k in range(400 - 143 + 1)]
+    docs += [(900, "So, Tiny-cup!"), (901, "tiny cup"), (902, "tiny cups"), (903, "destiny cup"), (904, "tiny"), (905, None)]
+    bench = spark.createDataFrame([(1, item), (2, "tiny  cup."), (3, "?")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["text_start"], r["text_end"]) for r in decontaminate(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert set(got) == {(k, 1) for k in range(400 - 143 + 1)} | {(900, 2), (901, 2)}
+    assert got[900, 2] == (4, 12) and got[901, 2] == (0, 8)
+
+
 def test_search_against_brute_force():
     items = [(0, prose(12))]
     p = Passages(items, 8, 128, 0.08)
