@@ -216,8 +216,8 @@ def zero_coverage(t: Tables) -> DataFrame:
 
 @query("row_shortlist_decode")
 def row_shortlist_decode(t: Tables) -> DataFrame:
-    scored = P.row_col_scores(t("flashes").where("seq_idx = 1"), SHAPE, F.col("logit"), ["run", "char_idx"]).where("n_row = 3 and n_col = 3")
-    out = D.row_shortlist_decode(scored.join(prior_arrays(t), ["run", "char_idx"]), SHAPE, rows=2)
+    scored = P.row_col_scores(t("flashes"), SHAPE, F.col("logit"), ["run", "char_idx", "seq_idx"]).where("n_row = 3 and n_col = 3")
+    out = D.row_shortlist_decode(scored.join(prior_arrays(t), ["run", "char_idx"]), SHAPE, rows=2, keys=["run", "char_idx", "seq_idx"])
     return out.withColumn("confidence", F.round("confidence", 6))
 
 

@@ -40,5 +40,20 @@ def test_same_rows(spark, duck, name):
     assert rows(got.toPandas().astype(object)) == rows(want.df().astype(object))
 
 
+def test_row_shortlist_decodes_all_sequences(spark):
+    """Each complete sequence of a character with a prior gets one decision."""
+    from pyspark.sql import functions as F
+
+    from gridspark.operators import posterior as P
+    from gridspark.plans.queries_decode import SHAPE, Tables, prior_arrays
+
+    t = Tables(spark, DIR)
+    keys = ["run", "char_idx", "seq_idx"]
+    whole = P.row_col_scores(t("flashes"), SHAPE, F.col("logit"), keys).where("n_row = 3 and n_col = 3")
+    want = whole.join(prior_arrays(t), ["run", "char_idx"]).select(*keys).collect()
+    got = entry.queries()["row_shortlist_decode"](spark, DIR).select(*keys).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r["seq_idx"] for r in got}) > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
