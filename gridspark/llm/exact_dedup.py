@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are equal when their bytes agree after lower-casing A-Z. Each distinct text is one entry
     of the index, found by a grouping on (hash, text) that combines copies before the shuffle and
-    compares bytes. Entries go to buckets of an extendible-hash directory with at most
+    compares bytes; the index only stores these groups. Entries go to buckets of an extendible-hash directory with at most
     ``2 ** max_depth`` slots; tasks own ranges of buckets, chain entries of equal hash, and the
     finished index is a table in the shared folder. Rows then look their entry up by hash and
     digest.
