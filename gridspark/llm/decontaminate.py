@@ -75,8 +75,8 @@ def aligned(passages: list[np.ndarray], regions: list[np.ndarray], budgets: np.n
     n = len(passages)
     m = np.array([len(p) for p in passages])
     size = np.array([len(r) for r in regions])
-    width = int((size - m).max() + budgets.max() + 1)
     lead = int(budgets.max())
+    width = max(int((size - m).max()), 0) + lead + 1  # a region cut off by the end of the buffer may be shorter than its passage
     text = np.full((n, lead + int(size.max()) + int(m.max()) + width + 2), 2**32 - 1, np.uint32)
     for i, r in enumerate(regions):
         text[i, lead : lead + len(r)] = r
@@ -103,11 +103,17 @@ def aligned(passages: list[np.ndarray], regions: list[np.ndarray], budgets: np.n
 
 
 class Passages:
-    """An index of benchmark passages: q-gram hashes, each with (passage, position)."""
+    """An index of benchmark items: q-gram hashes with their places, and the passages over each place.
+
+    Equal items share one entry. ``text_of`` has the items' code points one after the other; the
+    passages over place x are ``first_passage[x]`` and the next ``over[x]``.
+    """
 
     def __init__(self, items: list[tuple[int, str]], q: int, length: int, rate: float, step: int = 16):
-        self.q, self.items, self.codes = q, [], []
+        self.q, self.codes, self.owners = q, [], []
         self.short: dict[int, dict[bytes, list[int]]] = {}
+        known: dict[bytes, int] = {}
+        texts, owner, begin, at = [], [], [], 0
         for item, text in items:
             codes, _ = normalise(text or "")
             n = len(codes)
@@ -116,25 +122,36 @@ class Passages:
                 if len(codes):
                     self.short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(item)
                 continue
-            starts = [0] if n <= length else [*range(0, n - length, step), n - length]
-            for s in starts:
-                self.items.append(item)
+            same = known.setdefault(codes.tobytes(), len(self.owners))
+            if same < len(self.owners):
+                self.owners[same].append(item)
+                continue
+            for s in [0] if n <= length else [*range(0, n - length, step), n - length]:
+                owner.append(same)
+                begin.append(at + s)
                 self.codes.append(codes[s : s + length])
+            self.owners.append([item])
+            texts.append(codes)
+            at += n
         m = np.array([len(c) for c in self.codes], np.int64)
+        self.owner, self.begin = np.array(owner, np.int64), np.array(begin, np.int64)
         # the lemma must leave at least q + 1 shared q-grams
         self.budget = np.maximum(0, np.minimum(np.floor(rate * m), np.floor((m - 2 * q) / q))).astype(np.int64)
         self.needed = m + 1 - (self.budget + 1) * q
-        hashes = [gram_hashes(c, q) for c in self.codes]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else owner
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.place = owner[order], place[order]
+        place = np.arange(at, dtype=np.int64)
+        last = self.begin + m - q  # the last q-gram of each passage; begins and lasts both ascend
+        self.first_passage = np.searchsorted(last, place, side="left")
+        self.over = np.searchsorted(self.begin, place, side="right") - self.first_passage
+        flat = gram_hashes(np.concatenate(texts), q) if texts else np.zeros(0, np.uint64)
+        inside = np.flatnonzero(self.over[: len(flat)] > 0)  # q-grams over the end of an item are in no passage
+        order = inside[np.argsort(flat[inside], kind="stable")]
+        self.place = order
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         self.longest, self.least = int(m.max(initial=0)), int(self.needed.min(initial=1))
         self.slack = int(self.budget.max(initial=0))
+        self.size = at
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text number, item, edits, shared q-grams, start, end, passages) for each item found."""
@@ -146,11 +163,15 @@ class Passages:
         whole = np.zeros(int(ends[-1]), np.uint32)
         for e, (c, _) in zip(ends.tolist(), normal, strict=True):
             whole[e - gap - len(c) : e - gap] = c
-        return [*self._short(whole, normal, ends, gap), *(self._long(whole, normal, ends, gap) if len(self.keys) else [])]
+        out: dict[tuple[int, int], tuple] = {}  # an item id may have several texts
+        for d, i, e, s, x, y, n in [*self._short(whole, normal, ends, gap), *(self._long(whole, normal, ends, gap) if len(self.keys) else [])]:
+            old = out.get((d, i))
+            out[d, i] = (e, s, x, y, n) if old is None else (*min(old[:2], (e, s), key=lambda v: (v[0], -v[1])), min(old[2], x), max(old[3], y), old[4] + n)
+        return [(d, i, *rest) for (d, i), rest in out.items()]
 
     def _short(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int, int, int]]:
         """Items under two q-grams, found as they are, between ends of words."""
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+        out: dict[tuple[int, int, int], tuple[int, int]] = {}
         border = (whole == 0) | (whole == 32)
         for m, table in self.short.items():
             at = np.flatnonzero(~border[1:] & border[:-1]) + 1
@@ -162,14 +183,30 @@ class Passages:
                 doc = int(np.searchsorted(ends, pos, side="right"))
                 codes, origin = normal[doc]
                 first = pos - (int(ends[doc]) - gap - len(codes))
-                for item in table.get(whole[pos : pos + m].tobytes(), ()):
+                for item in dict.fromkeys(table.get(whole[pos : pos + m].tobytes(), ())):
                     x, y = int(origin[first]), int(origin[first + m - 1]) + 1
-                    low, high = out.get((doc, item), (x, y))
-                    out[doc, item] = (min(low, x), max(high, y))
-        sizes = {i: m for m, table in self.short.items() for ids in table.values() for i in ids}
-        return [(d, i, 0, max(0, sizes[i] - self.q + 1), x, y, 1) for (d, i), (x, y) in out.items()]
+                    low, high = out.get((doc, item, m), (x, y))
+                    out[doc, item, m] = (min(low, x), max(high, y))
+        return [(d, i, 0, max(0, m - self.q + 1), x, y, 1) for (d, i, m), (x, y) in out.items()]
+
+    def _regions(self, hit: np.ndarray, slot: np.ndarray, half: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (passage, band of diagonals) with enough shared q-grams among these hits, and how many."""
+        counts = self.count[slot]
+        src = np.repeat(np.arange(len(hit)), counts)
+        place = self.place[np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(src))]
+        over = self.over[place]
+        which = np.repeat(np.arange(len(src)), over)
+        passage = np.repeat(self.first_passage[place] - np.concatenate([[0], np.cumsum(over)[:-1]]), over) + np.arange(len(which))
+        start = hit[src[which]] - (place[which] - self.begin[passage]) + self.longest  # where the passage would begin, made positive
+        key, shared = np.unique(passage * span + start // half, return_counts=True)
+        # bands overlap by half: the hits of two neighbouring halves count together
+        joined = shared.copy()
+        follows = np.flatnonzero(np.diff(key) == 1)
+        joined[follows] += shared[follows + 1]
+        near = joined >= self.needed[key // span]
+        return key[near], joined[near]
 
-    def _long(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    def _long(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int, at_once: int = 4_000_000) -> list[tuple[int, int, int, int, int, int, int]]:
         """Items of two q-grams or more, by their passages."""
         h = gram_hashes(whole, self.q)
         hit = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -178,31 +215,36 @@ class Passages:
         true = self.keys[slot] == h[hit]
         hit, slot = hit[true], slot[true]
         # a region can hold enough shared q-grams only where enough positions hit at all
-        seen = np.searchsorted(hit, hit + self.longest + self.slack) - np.arange(len(hit)) >= self.least
+        wide = self.longest + self.slack
+        seen = np.searchsorted(hit, hit + wide) - np.arange(len(hit)) >= self.least
         edge = np.zeros(len(hit) + 1, np.int64)
         edge[:-1] += seen
-        np.add.at(edge, np.searchsorted(hit, hit[seen] + self.longest + self.slack), -1)
+        np.add.at(edge, np.searchsorted(hit, hit[seen] + wide), -1)
         use = np.cumsum(edge[:-1]) > 0
         hit, slot = hit[use], slot[use]
-        if not len(hit):
-            return []
-        counts = self.count[slot]
-        src = np.repeat(np.arange(len(hit)), counts)
-        entry = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(src))
-        start = hit[src] - self.place[entry] + self.longest  # where the passage would begin, made positive
         half = self.slack + 1
         span = len(whole) // half + self.longest // half + 3
-        key, shared = np.unique(self.owner[entry] * span + start // half, return_counts=True)
-        # bands overlap by half: the hits of two neighbouring halves count together
-        joined = shared.copy()
-        follows = np.flatnonzero(np.diff(key) == 1)
-        joined[follows] += shared[follows + 1]
-        near = joined >= self.needed[key // span]
+        # stretches of hits with a bounded number of places; each reads on over one region's length
+        load = np.cumsum(self.count[slot])
+        keys, found, a = [], [], 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + at_once, side="right")))
+            stop = int(np.searchsorted(hit, hit[b - 1] + wide + 2 * half))
+            key, joined = self._regions(hit[a:stop], slot[a:stop], half, span)
+            keys.append(key)
+            found.append(joined)
+            a = b
+        if not keys:
+            return []
+        key, joined = np.concatenate(keys), np.concatenate(found)
+        order = np.lexsort((-joined, key))
+        key, joined = key[order], joined[order]
+        new = np.diff(key, prepend=-1) != 0
+        key, joined = key[new], joined[new]
         before = np.flatnonzero(np.diff(key) == 1) + 1
-        near[before] &= ~(near[before - 1] & (joined[before - 1] >= joined[before]))  # the same hits, counted once
+        near = np.ones(len(key), bool)
+        near[before] = joined[before - 1] < joined[before]  # else the same hits, counted once
         key, joined = key[near], joined[near]
-        if not len(key):
-            return []
         passage, band = key // span, key % span
         low = np.maximum(band * half - self.longest - self.slack, 0)
         high = np.minimum((band + 2) * half - self.longest + self.slack + np.array([len(c) for c in self.codes])[passage], len(whole))
@@ -217,10 +259,10 @@ class Passages:
                 base = int(ends[doc]) - gap - len(codes)
                 last = min(max(end - base - 1, 0), len(at) - 1)
                 first = max(0, end - base - len(self.codes[p]))
-                new = (int(best[k]), int(joined[a + k]), int(at[min(first, last)]), int(at[last]) + 1, {p})
-                old = out.get((doc, self.items[p]))
-                out[doc, self.items[p]] = new if old is None else (*min(old[:2], new[:2], key=lambda x: (x[0], -x[1])), min(old[2], new[2]), max(old[3], new[3]), old[4] | {p})
-        return [(d, i, e, s, x, y, len(ps)) for (d, i), (e, s, x, y, ps) in out.items()]
+                mine = (int(best[k]), int(joined[a + k]), int(at[min(first, last)]), int(at[last]) + 1, {p})
+                old = out.get((doc, int(self.owner[p])))
+                out[doc, int(self.owner[p])] = mine if old is None else (*min(old[:2], mine[:2], key=lambda x: (x[0], -x[1])), min(old[2], mine[2]), max(old[3], mine[3]), old[4] | {p})
+        return [(d, i, e, s, x, y, len(ps)) for (d, o), (e, s, x, y, ps) in out.items() for i in dict.fromkeys(self.owners[o])]
 
 
 _indexes: dict[str, Passages] = {}
@@ -234,7 +276,7 @@ def _index(tag: str, sent, q: int, length: int, rate: float, step: int) -> Passa
     return _indexes[tag]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, step: int = 16, block_chars: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, step: int = 16, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document and benchmark item that it leaks: the best match and its span.
 
     Columns: doc_id, item_id, edits, shared (q-grams), text_start, text_end (characters of the
@@ -244,21 +286,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     space. An item is cut into passages of ``length`` characters, one every ``step`` characters
     and at the end, so each stretch of ``length + step - 1`` characters of it holds a whole one; a
     leak of a shorter part of a longer item can be missed. A shorter item is one passage; items
-    under two q-grams are found as they are, as whole words; null items are not searched. A passage of m
-    characters matches a stretch of text within k = rate * m edits. By the q-gram lemma such a
-    stretch shares m + 1 - (k + 1) q q-grams on at most k + 1 neighbouring diagonals, so shared
-    q-grams are counted in bands of diagonals that overlap by half, bands with fewer are dropped,
-    and the rest is verified by an alignment inside the band.
-
-    The benchmark is dealt into blocks by hash so that a block has about ``block_chars``
-    characters; each block is broadcast by itself and searched against all documents, so memory
-    does not grow with the benchmark. Null texts match nothing; rows with null ids, repeated rows
-    and rows with the same id are reported row by row; clashing extra columns are ignored.
+    under two q-grams are found as they are, as whole words; null items are not searched. A passage
+    of m characters matches a stretch of text within k edits, k the lesser of rate * m and m / q - 2,
+    rounded down: at q = 8 and a rate of 0.08 the second is the lesser one for some m under 50, where
+    more edits would leave too few shared q-grams. By the q-gram lemma such a stretch shares
+    m + 1 - (k + 1) q q-grams on at most k + 1 neighbouring diagonals, so shared q-grams are counted
+    in bands of diagonals that overlap by half, bands with fewer are dropped, and the rest is
+    verified by an alignment inside the band.
+
+    The benchmark is dealt into blocks by a hash of the item id, so that a block has about
+    ``block_chars`` characters and all texts of an item; each block is broadcast by itself and
+    searched against all documents, so memory does not grow with the benchmark: an index takes some
+    40 bytes a character. A benchmark within one block, the usual case, is one pass without a
+    shuffle. Frequent q-grams are looked up in stretches of bounded size.
+
+    Null texts match nothing; rows with null ids, repeated rows and rows with the same id are
+    reported row by row, items with a null id as one item; very long texts are searched whole, one
+    at a time; empty tables give no rows; extra columns, also of clashing names, are ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in range(blocks):

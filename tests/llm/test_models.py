@@ -106,6 +106,53 @@ def test_search_against_brute_force():
         assert bool(p.search([text])) == (distance <= int(p.budget[0])), (n, distance)
 
 
+def brute_leaks(docs, items, p):
+    """Documents and items of which a passage lies within its budget in the text, by plain edit distance."""
+    flat = lambda s: " ".join("".join(c if c.isalnum() else " " for c in (s or "").lower()).split())
+    out = set()
+    for item, text in items:
+        one = Passages([(item, text)], 8, 128, 0.08)
+        for codes, k in zip(one.codes, one.budget, strict=True):
+            out |= {(d, item) for d, t in docs if edits("".join(map(chr, codes)), flat(t)) <= k}
+        if not one.codes and flat(text):
+            out |= {(d, item) for d, t in docs if f" {flat(text)} " in f" {flat(t)} "}
+    return out
+
+
+@pytest.mark.parametrize("block", [20, 4_000_000])
+def test_decontamination_edges(spark, block):
+    """Texts that open or end inside an item, periodic and repeated items, repeated and null ids, several blocks."""
+    rng = random.Random(21)
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(126))
+    items = [(1, long_), (2, prose(12)), (2, prose(9)), (3, "ab" * 40), (4, "a" * 70), (5, long_), (6, "tiny"), (6, prose(8)), (None, prose(10)), (7, prose(40))]
+    texts = [long_[-60:] + " " + prose(5), long_[:70], long_[66:], "ab" * 45, "ba" * 100, "a" * 200, "a" * 66, "", None, "tiny", prose(50)]
+    texts += [prose(3) + " " + t for _, t in items] + [t + " " + prose(3) for _, t in items] + [items[1][1] + " " + items[2][1]]
+    docs = [(i if i % 5 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("x")).withColumn("EDITS", F.lit(1))
+    got = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=block).collect()
+    want = sorted(((d, i) for row in docs for d, i in {(row[0], x) for _, x in brute_leaks([row], items, None)}), key=str)
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == want and len(want) > 25
+
+
+def test_very_long_text_is_searched_whole(spark):
+    item = prose(30)
+    docs = spark.createDataFrame([(1, prose(200_000) + " " + item), (2, prose(5))], DOCS)
+    got = decontaminate(docs, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got] == [(1, 4, 0)]
+    assert decontaminate(docs.limit(0), spark.createDataFrame([(4, item)], "item_id long, text string")).count() == 0
+
+
+def test_frequent_grams_in_stretches():
+    """The same regions are found however few places are looked up at once."""
+    items = [(0, "abcdefghij" * 12), (1, prose(30)), (2, "abcdefghij" * 7)]
+    p = Passages(items, 8, 128, 0.08)
+    texts = ["abcdefghij" * 60, prose(20) + items[1][1], "x", items[2][1][3:]]
+    whole = sorted(p.search(texts))
+    long_ = Passages._long
+    p._long = lambda *a: long_(p, *a, at_once=50)
+    assert sorted(p.search(texts)) == whole and len(whole) >= 4
+
+
 def test_rendezvous_moves_few(spark):
     df = spark.range(4000).select(F.col("id").cast("string").alias("k"))
     got = df.select(rendezvous(F.col("k"), range(4)).alias("a"), rendezvous(F.col("k"), range(5)).alias("b"), rendezvous(F.col("k"), range(4), [1, 1, 1, 3]).alias("w")).toPandas()
