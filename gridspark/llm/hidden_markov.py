@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, _span_hashes, materialize
@@ -64,32 +65,24 @@ class Vocabulary:
         return np.where(own >= 0, own, self.own + kinds), np.where(hit, self.counts[at], -1)
 
 
-def in_step(bounds: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order tokens so that all texts advance together: by position, longest text first.
+def in_step(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order the tokens of stretches so that all advance together: by position, longest stretch first.
 
-    Returns the token order, the offset of each step, and the texts in order. With ``longest``,
-    texts are first cut into segments of at most that many tokens.
+    Returns the token order, the offset of each step, and the stretches in order.
     """
-    starts, sizes = bounds[:-1], np.diff(bounds)
-    owner = np.arange(len(sizes))
-    if longest:
-        parts = np.maximum(1, -(-sizes // longest))
-        owner = np.repeat(owner, parts)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, sizes = starts[owner] + k * longest, np.minimum(longest, sizes[owner] - k * longest)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes, owner = starts[order], sizes[order], owner[order]
+    starts, sizes = starts[order], sizes[order]
     steps = int(sizes.max(initial=0))
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
     offsets = np.concatenate([[0], np.cumsum(active)])
     index = np.concatenate([starts[:n] + t for t, n in enumerate(active)]) if steps else np.zeros(0, np.int64)
-    return index, offsets, owner
+    return index, offsets, order
 
 
 def forward(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Exact natural log-likelihood of each text by the scaled forward recursion."""
-    index, offsets, owner = in_step(bounds)
-    out = np.zeros(len(owner))
+    index, offsets, order = in_step(bounds[:-1], np.diff(bounds))
+    out = np.zeros(len(order))
     state = None
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         seen = emit[symbols[index[a:b]]]
@@ -97,26 +90,88 @@ def forward(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np
         scale = state.sum(axis=1)
         state /= scale[:, None]
         out[: b - a] += np.log(scale)
-    result = np.zeros(len(owner))
-    result[owner] = out
+    result = np.zeros(len(order))
+    result[order] = out
     return result
 
 
-def expected_counts(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, longest: int, out: np.ndarray) -> None:
-    """Add one batch's expected Baum-Welch counts to ``out``: a row per symbol, then per state moves, then starts."""
-    index, offsets, _ = in_step(bounds, longest)
-    if not len(index):
-        return
+def segments_of(bounds: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of segments of at most ``longest`` tokens, and their number in their text."""
+    sizes = np.diff(bounds)
+    parts = -(-sizes // longest)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return bounds[:-1][owner] + number * longest, np.minimum(longest, sizes[owner] - number * longest), number
+
+
+def borders(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """What the rest of its text says about each segment.
+
+    ``inlet`` has the scaled forward state after the segment before, ``outlet`` the backward state
+    after the segment's last token up to a factor. Both come from the segments' transfer matrices
+    (the product of a move and an emission for each token), chained along each text.
+    """
+    states = emit.shape[1]
+    inlet, outlet = np.zeros((len(starts), states), emit.dtype), np.ones((len(starts), states), emit.dtype)
+    many = np.flatnonzero((number > 0) | np.append(number[1:] > 0, False))  # segments of texts that have several
+    if not len(many):
+        return inlet, outlet
+    through = np.empty((len(many), states, states), emit.dtype)
+    for x in range(0, len(many), at_once):
+        part = many[x : x + at_once]
+        index, offsets, order = in_step(starts[part], sizes[part])
+        lead = number[part][order] == 0
+        product = np.where(lead[:, None, None], np.eye(states, dtype=emit.dtype), move)
+        for t, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            here = product[: b - a]
+            if t:
+                here = (here.reshape(-1, states) @ move).reshape(here.shape)
+            here = here * emit[symbols[index[a:b]]][:, None, :]
+            product[: b - a] = here / here.sum(axis=(1, 2), keepdims=True)
+        through[x + order] = product
+    place, own = number[many], np.arange(len(many))
+    for r in range(1, int(place.max()) + 1):
+        at = own[place == r]
+        before = np.tile(start, (len(at), 1)) if r == 1 else inlet[many[at - 1]]
+        state = np.einsum("ni,nij->nj", before, through[at - 1])
+        inlet[many[at]] = state / state.sum(axis=1, keepdims=True)
+    for r in range(int(place.max()), 0, -1):
+        at = own[place == r]
+        state = np.einsum("nij,nj->ni", through[at], outlet[many[at]])
+        outlet[many[at - 1]] = state / state.sum(axis=1, keepdims=True)
+    return inlet, outlet
+
+
+def expected_counts(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, longest: int, out: np.ndarray, at_once: int = 700_000) -> None:
+    """Add one batch's expected Baum-Welch counts to ``out``.
+
+    Rows: one per symbol, then per state its moves, then starts, then the log-likelihood. The
+    counts are those of whole texts: texts are cut into segments of ``longest`` tokens that advance
+    together, ``at_once`` tokens at a time, and each segment begins and ends with the states that
+    the rest of its text implies.
+    """
+    starts, sizes, number = segments_of(bounds, longest)
+    inlet, outlet = borders(symbols, starts, sizes, number, start, move, emit)
+    group = np.cumsum(sizes) // at_once
+    edges = np.flatnonzero(np.diff(group, prepend=-1))
+    for x, y in zip(edges, [*edges[1:], len(starts)], strict=True):
+        _segment_counts(symbols, starts[x:y], sizes[x:y], number[x:y] == 0, inlet[x:y], outlet[x:y], start, move, emit, out)
+
+
+def _segment_counts(symbols, starts, sizes, first, inlet, outlet, start, move, emit, out) -> None:
+    index, offsets, order = in_step(starts, sizes)
+    sizes, first, inlet, outlet = sizes[order], first[order], inlet[order], outlet[order]
     size, states = emit.shape
     seen = emit[symbols[index]]
     alpha, scale = np.empty_like(seen), np.empty(len(index), seen.dtype)
     state = None
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        state = (start if state is None else state[: b - a] @ move) * seen[a:b]
+        state = (np.where(first[:, None], start, inlet @ move) if state is None else state[: b - a] @ move) * seen[a:b]
         scale[a:b] = state.sum(axis=1)
         state = state / scale[a:b, None]
         alpha[a:b] = state
-    beta = np.ones((int(offsets[1]), states), seen.dtype)
+    last = alpha[offsets[sizes - 1] + np.arange(len(sizes))]
+    beta = outlet / (last * outlet).sum(axis=1, keepdims=True)
     back = move.T.copy()
     moves = np.zeros((states, states))
     for k in range(len(offsets) - 2, 0, -1):
@@ -126,13 +181,16 @@ def expected_counts(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray,
         moves += alpha[p : p + n].T @ ahead
         alpha[a:b] *= beta[:n]  # from here on the posterior
         beta[:n] = ahead @ back
-    first = int(offsets[1])
-    alpha[:first] *= beta[:first]
+    heads = int(offsets[1])
+    entered = (beta[:heads] * seen[:heads] / scale[:heads, None])[~first]
+    moves += inlet[~first].T @ entered
+    alpha[:heads] *= beta[:heads]
     seen_symbols = symbols[index]
     for s in range(states):
         out[:size, s] += np.bincount(seen_symbols, weights=alpha[:, s], minlength=size)
     out[size : size + states] += moves * move
-    out[size + states] += alpha[:first].sum(axis=0)
+    out[size + states] += alpha[:heads][first].sum(axis=0)
+    out[size + states + 1, 0] += np.log(scale.astype(np.float64)).sum()
 
 
 def initial_model(together: np.ndarray, vocabulary: Vocabulary, symbol_counts: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,31 +223,62 @@ def initial_model(together: np.ndarray, vocabulary: Vocabulary, symbol_counts: n
     return np.full(states, 1 / states), move, emit
 
 
-def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, states: int = 8, own: int = 16_384, classes: int = 2_048, frequent: int = 262_144, rounds: int = 3, segment: int = 512, leading: int = 512) -> DataFrame:
+@dataclass
+class HiddenMarkov:
+    """A fitted model: symbols of tokens, chances of states, and the table of all training counts.
+
+    ``counts`` (word, class, n) is a written table of all training words; words whose count has a
+    level under ``floor`` are in no task's vocabulary and are looked up there. ``likelihood`` has
+    the training log-likelihood before each round.
+    """
+
+    vocabulary: Vocabulary
+    start: np.ndarray
+    move: np.ndarray
+    emit: np.ndarray
+    counts: DataFrame
+    floor: int
+    classes: int
+    likelihood: list[float]
+
+
+def _level() -> Column:
+    """16 levels for each doubling of a count."""
+    return F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+
+
+def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **settings) -> DataFrame:
     """One row per input row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are words lower-cased in A-Z, then one end token. Rows whose crc32 of the id as text is
-    ``held_fold`` modulo ``folds`` are held out; all others train. ``base_score`` is the add-one
-    unigram log10 probability; ``score`` the log10 probability under the model: hidden states emit
-    frequent words or classes of rarer ones (by their last letters), and a class gives each of its
-    words a share in proportion to its training count plus one, with one share for words that
-    training never saw. The probabilities of all texts of a length sum to one.
-
-    Words of all training rows are counted with a grouped aggregation. The ``frequent`` most
-    frequent counts are broadcast (the bound is the parameter); counts of rarer words are joined
-    to the tokens that need them, and enter both scores as a sum. Training rows are written once as
-    symbols. Each Baum-Welch round maps all of them to expected counts, a table of fixed size for each task, which Spark sums; texts
-    are cut into segments of ``segment`` tokens for that only. Scoring is exact on whole texts.
-
-    Null texts count as empty (one end token). Null ids train. Repeated rows and repeated ids are
-    counted and scored row by row. With no training rows the frequent table is empty and scores
-    are 0 for known tokens alone. Extra columns are ignored.
+    ``held_fold`` modulo ``folds`` are held out; ``fit_hidden_markov`` learns from all others, with
+    ``settings``, and ``score_texts`` scores every row. Null texts count as empty (one end token).
+    Null ids train. Repeated rows and repeated ids are counted and scored row by row, very long
+    texts whole. If no row trains, no token is known and all chances are even. Extra columns are
+    ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     fold = part_of(F.col("id"), folds)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.withColumn("held_out", F.coalesce(fold == held_fold, F.lit(False)))
-    train = source.where(~F.col("held_out")).select("text")
+    model = fit_hidden_markov(source.where(~F.col("held_out")).select("text"), **settings)
+    return score_texts(source, model).withColumnRenamed("id", id_col)
+
+
+def fit_hidden_markov(train: DataFrame, *, states: int = 8, own: int = 16_384, classes: int = 2_048, frequent: int = 262_144, rounds: int = 12, tolerance: float = 2e-3, segment: int = 512, leading: int = 512) -> HiddenMarkov:
+    """A hidden Markov model of the texts in column ``text``, by Baum-Welch.
+
+    Hidden states emit frequent words or classes of rarer ones (by their last letters), and a class
+    gives each of its words a share in proportion to its training count plus one, with one share
+    for words that training never saw. The probabilities of all texts of a length sum to one.
+
+    Words of all rows are counted with a grouped aggregation. The ``frequent`` most frequent counts
+    are broadcast (the bound is the parameter); rarer ones stay in a table. Rows are written once
+    as symbols. Each round maps all of them to the expected counts of whole texts, a table of fixed
+    size for each task, which Spark sums; ``segment`` only sets how many tokens of a long text
+    advance together. Rounds end when the log-likelihood of a token grows by less than
+    ``tolerance``, after ``rounds`` at the latest.
+    """
+    spark = train.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -215,7 +304,7 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     counts = materialize(train.mapInArrow(count, COUNTS).groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n")), "markov-counts")
     sizes = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(sizes["n"] or 0), int(sizes["v"])
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    level = _level()
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 16 for each bit of a count
     floor, held = max([r["level"] for r in levels], default=0) + 1, 0
     for r in sorted(levels, key=lambda r: -r["level"]):
@@ -278,23 +367,39 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     together = summed(neighbours, leading * wide // 64, 64).reshape(leading, wide)[:, :leading]
     start, move, emit = initial_model(together + 1e-6, vocabulary, symbol_counts, states)
 
+    likelihood: list[float] = []
     for _ in range(rounds if total else 0):
         model = spark.sparkContext.broadcast((start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)))
 
         def learn(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((size + states + 1, states))
+            out = np.zeros((size + states + 2, states))
             for symbols, bounds in symbol_groups(batches):
                 expected_counts(symbols, bounds, *model.value, segment, out)
             yield rows_of(out)
 
-        got = summed(learn, size + states + 1, states)
+        got = summed(learn, size + states + 2, states)
+        likelihood.append(float(got[-1, 0]))
         emit = got[:size] + 0.5 * (symbol_counts[:, None] + 1e-3) / (symbol_counts.sum() + 1e-3 * size) * states
         emit /= emit.sum(axis=0)
         move = got[size : size + states] + 0.1
         move /= move.sum(axis=1, keepdims=True)
-        start = got[-1] + 0.1
+        start = got[size + states] + 0.1
         start /= start.sum()
-    final = spark.sparkContext.broadcast((start, move, emit))
+        if len(likelihood) > 1 and likelihood[-1] - likelihood[-2] < tolerance * total:
+            break
+    return HiddenMarkov(vocabulary, start, move, emit, counts, floor, classes, likelihood)
+
+
+def score_texts(source: DataFrame, model: HiddenMarkov) -> DataFrame:
+    """Score all rows of ``source`` (id, text, held_out): columns as in ``hidden_markov_scores``.
+
+    ``base_score`` is the add-one unigram log10 probability, ``score`` that under the model, exact
+    on whole texts. Counts of words outside the vocabulary are joined to the tokens that need them,
+    and enter both scores as a sum.
+    """
+    spark = source.sparkSession
+    sent, final = spark.sparkContext.broadcast(model.vocabulary), spark.sparkContext.broadcast((model.start, model.move, model.emit))
+    classes, counts, level, floor = model.classes, model.counts, _level(), model.floor
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
@@ -335,11 +440,11 @@ def hidden_markov_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("add"), F.count(F.lit(1)).alias("known"))
     extra = F.coalesce("add", F.lit(0.0))
     return scored.join(rare, "uid", "left").select(
-        F.col("id").alias(id_col),
+        "id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
+        F.lit(model.vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("base") + extra).alias("base_score"),
         (F.col("score") + extra).alias("score"),
     )

@@ -6,13 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridspark.llm.common import Words, window_hashes
 from gridspark.llm.decontaminate import Passages, aligned, decontaminate
-from gridspark.llm.hidden_markov import Vocabulary, expected_counts, forward, hidden_markov_scores
+from gridspark.llm.hidden_markov import expected_counts, fit_hidden_markov, forward, hidden_markov_scores, score_texts, tokens_of
 from gridspark.llm.language_id import language_id, visible_text
 from gridspark.llm.packing import load_tokenizer, pack_documents, pack_lengths, tokenizer_path
 from gridspark.llm.sharding import rendezvous, shard_records
@@ -209,7 +210,7 @@ def test_toxicity_held_out(spark):
 def test_forward_is_exact_and_counts_match():
     rng = np.random.default_rng(4)
     start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3).T
-    texts = [[0, 1, 3], [2], [3, 3, 0, 1]]
+    texts = [[0, 1, 3], [2], [3, 3, 0, 1, 2, 2, 0]]
     symbols, bounds = np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])
 
     def paths(t):
@@ -221,18 +222,20 @@ def test_forward_is_exact_and_counts_match():
 
     want = [math.log(sum(p for _, p in paths(t))) for t in texts]
     assert np.allclose(forward(symbols, bounds, start, move, emit), want)
-    counts = np.zeros((4 + 3 + 1, 3))
-    expected_counts(symbols, bounds, start, move, emit, 512, counts)
-    brute = np.zeros_like(counts)
+    brute = np.zeros((4 + 3 + 2, 3))
     for t in texts:
         z = sum(p for _, p in paths(t))
+        brute[8, 0] += math.log(z)
         for s, p in paths(t):
             brute[7, s[0]] += p / z
             for x, k in zip(t, s, strict=True):
                 brute[x, k] += p / z
             for a, b in zip(s, s[1:], strict=False):
                 brute[4 + a, b] += p / z
-    assert np.allclose(counts, brute)
+    for longest, at_once in ((512, 700_000), (3, 700_000), (2, 4), (1, 1)):  # also with texts longer than a segment or a block
+        counts = np.zeros_like(brute)
+        expected_counts(symbols, bounds, start, move, emit, longest, counts, at_once)
+        assert np.allclose(counts, brute)
 
 
 def test_language_model_beats_base(spark):
@@ -252,10 +255,52 @@ def test_language_model_beats_base(spark):
     assert hidden_markov_scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_model_is_a_distribution():
-    vocabulary = Vocabulary(np.array([1, 2, 3], np.uint64), np.array([5, 3, 2]), 1, np.array([2 + 1 + 1.0, 3 + 1 + 1.0]), 10, 3)
-    symbols, counts = vocabulary.look_up(np.array([1, 2, 3, 9], np.uint64), np.array([0, 1, 0, 0]))
-    assert symbols.tolist() == [0, 2, 1, 1] and counts.tolist() == [5, 3, 2, -1]
+def test_scores_are_a_distribution_and_exact(spark):
+    """Chances of all tokens, unknown ones included, sum to one; scores equal a sum over all state paths."""
+    rng = random.Random(6)
+    words_ = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words_[: 10 + i % 20]) for _ in range(rng.randint(0, 6)))) for i in range(80)] + [(90, "new W1 newer"), (91, " ".join(words_ * 3)), (91, "w1")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.lit("x")).withColumn("N", F.lit(1))
+    source = df.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held_out"))
+    model = fit_hidden_markov(source.select("text"), states=2, own=6, classes=4, frequent=12, segment=4)
+    assert all(y >= x - 1e-3 * abs(x) for x, y in itertools.pairwise(model.likelihood)) and 1 < len(model.likelihood) <= 12
+    counts = {r["word"]: (r["class"], r["n"]) for r in model.counts.collect()}
+    v = model.vocabulary
+
+    def emission(word: int, kind: int) -> np.ndarray:
+        own = v.look_up(np.array([word], np.int64).view(np.uint64), np.array([kind]))[0][0]
+        share = 1.0 if own < v.own else (counts.get(word, (0, 0))[1] + 1) / v.class_sizes[kind]
+        return model.emit[own] * share
+
+    every = sum(emission(w, k) for w, (k, _) in counts.items()) + sum(emission(-5 - k, k) for k in range(4))
+    assert np.allclose(every, 1)
+    scored = score_texts(source, model).collect()
+    assert len(scored) == len(rows) and sum(n for _, n in counts.values()) == scored[0]["train_tokens"]
+    for text in ["new W1 newer", "", rows[5][1], rows[11][1]]:
+        h, k, _ = tokens_of(pa.RecordBatch.from_pydict({"text": [text]}), 4)
+        e = [emission(int(x), int(y)) for x, y in zip(h.view(np.int64), k, strict=True)]
+        total = 0.0
+        for s in itertools.product(range(2), repeat=len(e)):
+            p = model.start[s[0]] * e[0][s[0]]
+            for a, b, x in zip(s, s[1:], e[1:], strict=False):
+                p *= model.move[a, b] * x[b]
+            total += p
+        ids = {d for d, t in rows if t == text}
+        assert [r["score"] for r in scored if r["id"] in ids][0] == pytest.approx(math.log10(total))
+
+
+def test_model_without_training_rows(spark):
+    held = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = hidden_markov_scores(spark.createDataFrame([(held, "a b"), (held, None)], DOCS), states=2).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_model_of_a_very_long_text(spark):
+    """A text of many segments, and repeated rows: each is scored whole, row by row."""
+    text = " ".join(RNG.choice("abcdefgh") for _ in range(60_000))
+    got = hidden_markov_scores(spark.createDataFrame([(1, text), (1, text), (3, "a b")], DOCS), states=2, rounds=2).collect()
+    assert sorted(r["n_tokens"] for r in got) == [3, 60_001, 60_001] and len({r["score"] for r in got}) == 2
 
 
 def test_pack_lengths():
