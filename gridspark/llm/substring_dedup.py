@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, materialize, window_hashes
 
-SCANNED = "key long, id long, n_words long, digest string, anchors array<long>"
+SCANNED = "key long, id long, t long, n_words long, digest string, anchors array<long>"
 EXTENDED = "key long, digest string, text string, starts array<int>, windows array<long>, checks array<long>"
 CUT = "key long, digest string, n_removed long, kept_sha256 string"
 #: Texts are taken in groups of about this many bytes, so that numpy's temporaries stay small.
@@ -70,32 +70,34 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def level_lengths(least: int) -> list[int]:
-    """Window lengths, each at most twice the one before, up to ``least`` words."""
-    return [max(1, (least + 1) // 2), least] if least > 1 else [1]
-
-
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
-    """One row per input row: (id, n_words, n_removed, kept_sha256).
+    """One row per input row: (id, n_words, n_removed, kept_sha256, longest_repeat).
 
     A word goes if it lies in a window of ``least`` consecutive words whose sequence also starts
-    in a row with a smaller id; windows are judged on the input.
-
-    Level one takes windows of half that length. Among the starts that a full window spans, the
-    one with the least hash is its anchor, so equal full windows share their anchor. Anchors that
-    only one word sequence has are dropped; those that repeat are extended to twice their length:
-    each full window around a repeated anchor becomes a candidate. Candidates that more than one
-    row has, keep the smallest id as their first place; all later places are cut. Rows with the
-    same words as a row with a smaller id are cut whole without any windows.
+    in a row with a smaller id; windows are judged on the input. ``longest_repeat`` is the longest
+    doubled length at which a window of the row also starts in another row, 0 if none does; for a
+    row that is cut whole it is the row's own length.
+
+    Level one takes windows of half the least length. Among the starts that a full window spans,
+    the one with the least hash is its anchor, so equal full windows share their anchor. Anchors
+    that only one word sequence has are dropped; those that repeat are extended to twice their
+    length: each full window around a repeated anchor becomes a candidate. From then on a window
+    that repeats at one length is extended by the window that follows it, if that repeats too, and
+    the result is a candidate at twice the length; this goes on until no candidates survive, on
+    tables of survivors alone. Windows of ``least`` words that more than one row has keep the
+    smallest id as their first place; all later places are cut. Rows with the same words as a row
+    with a smaller id are cut whole without any windows.
 
     Nulls and texts of white space have no words. Null ids come before all others and are not
-    smaller than one another. Rows of the same id never cut each other. Extra columns are ignored.
-    Windows are compared by two 64-bit hashes; texts are never cut into prefixes.
+    smaller than one another. Rows of the same id never cut each other. Extra columns, also of
+    clashing names, are ignored; an empty table gives no rows. Windows are compared by two 64-bit
+    hashes; very long texts are taken whole, never cut into prefixes.
     """
-    half = level_lengths(least)[0]
+    half = max(1, (least + 1) // 2)
     reach = least - half + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
     def anchors_of(h: np.ndarray) -> np.ndarray:
         return _sliding_min(window_hashes(h, half, 1), reach) if len(h) >= least else np.zeros(0, np.uint64)
@@ -106,22 +108,26 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             spans = list(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True))
             anchors = [np.unique(anchors_of(words.hash[a:b])).view(np.int64) for a, b in spans]
             digests = [_whole_digest(words, a, b) for a, b in spans]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(words.bounds)), pa.array(digests), _lists(anchors, pa.int64())], names=["key", "id", "n_words", "digest", "anchors"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.diff(words.bounds)), pa.array(digests), _lists(anchors, pa.int64())], names=["key", "id", "t", "n_words", "digest", "anchors"])
 
     scanned = materialize(source.mapInArrow(scan, SCANNED), "passage-scan")
     sequence = F.xxhash64("digest").alias("seq")
-    anchors = scanned.select("key", "digest", sequence, F.explode("anchors").alias("h"))
+    anchors = scanned.select(F.struct("key", "t").alias("row"), "digest", sequence, F.explode("anchors").alias("h"))
     repeated = materialize(anchors.groupBy("h").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a < b").select("h"), "passage-anchors")
-    found = anchors.join(repeated, "h").groupBy("digest").agg(F.min("key").alias("key"), F.collect_set("h").alias("anchors"))
+    found = anchors.join(repeated, "h").groupBy("digest").agg(F.min("row").alias("row"), F.collect_set("h").alias("anchors"))
+    found = found.select("row.key", "row.t", "digest", "anchors")  # one row of each word sequence
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for part in _groups(batches, 2):
             words = Words(part.column(2).to_pylist())
             rows, starts, windows, checks = [], [], [], []
             for i, known in enumerate(part.column(3)):
                 a, b = words.bounds[i], words.bounds[i + 1]
-                if _whole_digest(words, a, b) != part.column(1)[i].as_py():
-                    continue  # another row with this id
+                this = (part.column(0)[i].as_py(), part.column(1)[i].as_py())
+                if this == done or _whole_digest(words, a, b) != this[1]:
+                    continue  # the row before again, or another text of the same hash
+                done = this
                 h = words.hash[a:b]
                 at = np.flatnonzero(np.isin(anchors_of(h), known.values.to_numpy().view(np.uint64)))
                 rows.append(i)
@@ -131,11 +137,31 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             taken = part.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), _lists(starts, pa.int32()), _lists(windows, pa.int64()), _lists(checks, pa.int64())], names=["key", "digest", "text", "starts", "windows", "checks"])
 
-    joined = found.join(source.select("key", "text"), "key").select("key", "digest", "text", "anchors")
+    joined = found.join(source.select("key", "t", "text"), ["key", "t"]).select("key", "digest", "text", "anchors")
     extended = materialize(joined.mapInArrow(extend, EXTENDED), "passage-windows")
+    if not extended.groupBy("key", "digest").count().where("count > 1").isEmpty():  # repeated rows that met in different tasks
+        extended = materialize(extended.dropDuplicates(["key", "digest"]), "passage-windows-once")
     places = extended.select("key", "digest", F.inline(F.arrays_zip("starts", "windows", "checks"))).toDF("key", "digest", "start", "window", "check")
-    firsts = materialize(places.groupBy("window", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "check", "first"), "passage-firsts")
-    later = places.join(firsts, ["window", "check"]).where("key > first").groupBy("key", "digest").agg(F.collect_set("start").alias("cut"))
+
+    def repeated_of(candidates: DataFrame, length: int) -> DataFrame:
+        """The candidates whose words stand in rows of more than one id, with the first of these."""
+        firsts = candidates.groupBy("window", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "check", "first")
+        return materialize(candidates.join(materialize(firsts, f"passage-firsts-{length}"), ["window", "check"]), f"passage-level-{length}")
+
+    length, survivors, levels = least, repeated_of(places, least), []
+    cuts_of = survivors
+    while not survivors.isEmpty():
+        levels.append(survivors.select("key", "digest").distinct().withColumn("length", F.lit(length)))
+        ahead = survivors.select("key", "digest", (F.col("start") - length).alias("start"), F.col("window").alias("w"), F.col("check").alias("c"))
+        longer = survivors.drop("first").join(ahead, ["key", "digest", "start"])
+        longer = longer.select("key", "digest", "start", F.xxhash64("window", "w").alias("window"), F.xxhash64("c", "check").alias("check"))
+        length *= 2
+        survivors = repeated_of(longer, length)
+    later = cuts_of.where("key > first").groupBy("key", "digest").agg(F.collect_set("start").alias("cut"))
+    reached = None
+    for level in levels:
+        reached = level if reached is None else reached.unionByName(level)
+    reached = reached.groupBy("key", "digest").agg(F.max("length").alias("longest")) if reached is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 2):
@@ -152,9 +178,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 digests.append(_digest(words, a, b, keep))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["key", "digest", "n_removed", "kept_sha256"])
 
-    cuts = extended.select("key", "digest", "text").join(later, ["key", "digest"]).select("key", "digest", "text", "cut").mapInArrow(cut, CUT).dropDuplicates(["key", "digest"])
+    cuts = extended.select("key", "digest", "text").join(later, ["key", "digest"]).select("key", "digest", "text", "cut").mapInArrow(cut, CUT)
     copies = materialize(scanned.where(F.col("n_words") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first"), "passage-copies")
     rows = scanned.select("key", "id", "n_words", "digest").join(copies, "digest", "left").join(cuts, ["key", "digest"], "left")
+    rows = rows.join(reached, ["key", "digest"], "left") if reached is not None else rows.withColumn("longest", F.lit(0))
     whole = F.col("key") > F.col("first")
     nothing = hashlib.sha256(b"").hexdigest()
     return rows.select(
@@ -162,4 +189,5 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("longest", F.lit(0))).cast("long").alias("longest_repeat"),
     )

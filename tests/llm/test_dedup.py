@@ -97,17 +97,37 @@ def test_line_dedup_single_twin(spark):
     assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_removed"] for r in got) > 0
 
 
-def test_substring_dedup(spark, corpus):
-    first, want = {}, {}
-    for d, t in corpus:
-        w = WORD.findall(t)
+@pytest.mark.parametrize("least", [1, 7, 50])
+def test_substring_dedup(spark, corpus, least):
+    rows = [(d, WORD.findall(t)) for d, t in corpus]
+    if least == 1:
+        rows = rows[:12]
+    want, whole = {}, {}
+    starts = defaultdict(set)  # (length, words) -> ids; one row of each word sequence has windows
+    lengths = [least * 2**k for k in range(12)]
+    once = {}
+    for d, w in rows:
+        once.setdefault(tuple(w), d)
+    for w, d in once.items():
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                starts[w[i : i + n]].add(d)
+    for d, w in rows:
         keep = [True] * len(w)
-        for i in range(len(w) - 49):
-            if first.setdefault(tuple(w[i : i + 50]), d) < d:
-                keep[i : i + 50] = [False] * 50
-        want[d] = (len(w), keep.count(False), sha(" ".join(x for x, k in zip(w, keep, strict=True) if k)))
-    got = {r[0]: tuple(r[1:]) for r in substring_dedup(spark.createDataFrame(corpus, DOCS)).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 500
+        w = tuple(w)
+        if len(w) >= least and once[w] < d:
+            want[d] = (len(w), len(w), sha(""), len(w))
+            continue
+        for i in range(len(w) - least + 1):
+            if min(starts[w[i : i + least]]) < d:
+                keep[i : i + least] = [False] * least
+        longest = max((n for n in lengths for i in range(len(w) - n + 1) if len(starts[w[i : i + n]]) > 1), default=0)
+        want[d] = (len(w), keep.count(False), sha(" ".join(x for x, k in zip(w, keep, strict=True) if k)), longest)
+    df = spark.createDataFrame([r for r in corpus if r[0] in want], DOCS)
+    got = {r[0]: tuple(r[1:]) for r in substring_dedup(df, least=least).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 100
+    if least == 50:
+        assert {v[3] for v in want.values()} > {0, 50, 100}
 
 
 def test_exact_dedup(spark, corpus):
@@ -212,6 +232,17 @@ def test_null_ids_come_first(spark):
     assert got == {None: 0, 5: 60}
 
 
+def test_substrings_of_repeated_rows(spark):
+    """Repeated ids and rows, and many null ids, are judged row by row and meet no row but their own."""
+    p = [f"w{i}" for i in range(130)]
+    rows = [(None, " ".join([*p[:110], f"n{k}"])) for k in range(6)] + [(None, " ".join(p[5:120]))] * 3
+    rows += [(4, " ".join([*p, "x"]))] * 3 + [(4, " ".join(["y", *p[:60]])), (9, "a " + " ".join(p[40:100]))]
+    got = sorted(substring_dedup(spark.createDataFrame(rows, DOCS).withColumn("T", F.lit(1))).collect(), key=str)
+    removed = sorted((r["n_words"], r["n_removed"], r["longest_repeat"]) for r in got if r["doc_id"] is not None)
+    assert removed == [(61, 60, 50), (61, 60, 50), (131, 120, 100), (131, 120, 100), (131, 120, 100)]
+    assert len(got) == len(rows) and all(r["n_removed"] == 0 and r["longest_repeat"] == 100 for r in got if r["doc_id"] is None)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     for op in (exact_dedup, line_dedup, substring_dedup, jaccard_join):
