@@ -141,14 +141,33 @@ def test_exact_dedup(spark, corpus):
     assert len({r["bucket"] for r in got}) > 8
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_texts_of_equal_hash_are_told_apart(spark, corpus, bits):
+    """With a hash of no or three bits nearly all texts collide; chains compare bytes."""
+    df = spark.createDataFrame(corpus, DOCS)
+    want = {r[0]: tuple(r[1:5]) for r in exact_dedup(df).collect()}
+    got = exact_dedup(df, bucket_keys=4, max_depth=6, hashed=lambda c: F.shiftleft(F.xxhash64(c), 64 - bits) if bits else F.lit(0).cast("long")).collect()
+    assert {r[0]: tuple(r[1:5]) for r in got} == want and max(r["chain_pos"] for r in got) > 5
+    assert len({(r["bucket"], r["chain_pos"]) for r in got}) <= len({r["text_sha256"] for r in got})
+
+
+def test_repeated_rows_keep_one(spark):
+    rows = [(None, "a")] * 3 + [(5, "b")] * 4 + [(4, "B")] + [(6, None), (6, "")]
+    got = exact_dedup(spark.createDataFrame(rows, DOCS).withColumn("ROW", F.lit(1)).withColumn("again", F.lit(2))).collect()
+    assert sorted(r["text_sha256"] for r in got if r["kept"]) == sorted([sha("a"), sha("b"), sha("")])
+    assert sorted((r["keep_id"] or 0, r["group_size"]) for r in got) == [(0, 3)] * 3 + [(5, 5)] * 5 + [(6, 2)] * 2
+
+
 def test_directory_splits_only_overfull_buckets():
     counts = {i: 1 for i in range(8)} | {15: 100}
-    buckets = split_directory(counts, 4, 4)
-    assert len(buckets) == 16 and buckets == sorted(buckets)
+    directory = split_directory(counts, 4, 4)
+    assert len(directory) == 16 and directory == sorted(directory)
     load = Counter()
     for i, n in counts.items():
-        load[buckets[i]] += n
-    assert all(n <= 4 for b, n in load.items() if b != buckets[15])
+        load[directory[i]] += n
+    assert all(n <= 4 for b, n in load.items() if b != directory[15])
+    assert split_directory(counts, 200, 4) == [0] and split_directory({0: 3, 8: 3}, 4, 4) == [0, 1]
+    assert split_directory({0: 3, 1: 3, 4: 3}, 4, 3) == [0, 1, 2, 2, 3, 3, 3, 3]
 
 
 def brute_jaccard(rows, threshold=0.8):
