@@ -11,28 +11,36 @@ from .common import materialize
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, alone: int | None = None) -> DataFrame:
     """The input's columns with later repeats of runs of ``window`` or more lines deleted from the text.
 
-    Adds n_lines and n_removed. Lines are split at newlines and compared byte for byte through
-    64-bit hashes; lines of white space only are no part of a run and always stay. A line is
-    deleted if it lies in a run of ``window`` consecutive other lines that also starts earlier:
-    in a row with a smaller id, or further up in the same row. Runs are judged on the input.
+    Adds n_lines and n_removed. Lines are split at newlines and told apart by two 64-bit hashes;
+    lines of white space only are no part of a run and always stay. A line is deleted if it lies in
+    a run of ``window`` consecutive other lines that also starts earlier: in a row with a smaller
+    id, or further up in the same row. Runs are judged on the input.
 
     The smallest of each ``window`` neighbouring line hashes is a fingerprint, so every repeated
-    run holds one. Fingerprints that occur once are dropped; around the others each run of
-    ``window`` lines that reaches up or down from the fingerprint is compared with the first place
-    that has the same run, and longer matches are the union of those runs. Only first places
-    travel, never pairs of places, so a line that a third of all rows hold costs its own rows.
-    A repeated line whose neighbours differ is in no such run and stays, unless ``alone`` is
-    given: lines of ``alone`` or more characters then count as runs by themselves as well.
+    run holds one. Fingerprints that occur once are dropped; from the others a match is extended up
+    and down: each run of ``window`` lines that reaches up or down from the fingerprint is compared
+    with the first place that has the same run, and longer matches are the union of those runs.
+    Only first places travel, never pairs of places, so a line that a third of all rows hold costs
+    its own rows. A repeated line whose neighbours differ is in no such run and stays, unless
+    ``alone`` is given: a match of one line of ``alone`` or more characters that cannot be extended
+    then counts as a run by itself as well.
 
     Null texts stay null and have no lines. Rows with null ids come first. Rows with the same id
-    and text count as one document: each gets the same result. Extra columns are passed on; an
-    input column called n_lines or n_removed is replaced; names that start with _cut are taken.
+    and text count as one document: each gets the same result. Very long texts cost time in
+    proportion to their lines; an empty table gives no rows. Extra columns are passed on; an input
+    column called n_lines or n_removed, in any case, is replaced; names that start with _cut are
+    taken.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
-    nl = F.split(text, "\n")
+    second = F.lit(7)  # another seed
     single = (lambda x: [(F.length(x) >= alone).alias("single")]) if alone is not None else (lambda x: [])
-    lines = F.filter(F.transform(nl, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x, F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64(x)).alias("h"), *single(x))), lambda s: s["h"].isNotNull())
+
+    def unit(x, i):
+        solid = F.trim(x, F.lit(" \t\r\x0b\x0c")) != ""
+        return F.struct(i.alias("i"), F.when(solid, F.xxhash64(x)).alias("h"), F.xxhash64(second, x).alias("g"), *single(x))
+
+    lines = F.filter(F.transform(F.split(text, "\n"), unit), lambda s: s["h"].isNotNull())
     every = docs.select(key.alias("key"), lines.alias("lines"))
     hashed = every.where(F.size("lines") >= window)
 
@@ -50,31 +58,43 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             out = out | t
         return out
 
-    units = hashed.select("key", F.transform("lines", lambda s: s["i"]).alias("at"), F.transform("lines", lambda s: s["h"]).alias("hashes"))
+    columns = {"hashes": "h", "checks": "g", "at": "i"}
+    units = hashed.select("key", *[F.col("lines")[c].alias(name) for name, c in columns.items()])
     marks = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda j: F.coalesce(low_in_a_window(j), F.lit(False)))
-    prints = units.select("key", "at", "hashes", F.explode(marks).alias("j")).select("key", "at", F.col("j"), F.element_at("hashes", F.col("j") + 1).alias("print"), F.slice("hashes", F.greatest(F.col("j") - window + 2, F.lit(1)), F.least(F.col("j") + window, F.size("hashes")) - F.greatest(F.col("j") - window + 2, F.lit(1)) + 1).alias("near"), F.slice("at", F.greatest(F.col("j") - window + 2, F.lit(1)), F.least(F.col("j") + window, F.size("at")) - F.greatest(F.col("j") - window + 2, F.lit(1)) + 1).alias("near_at"))
-    prints = materialize(prints.select("key", "print", "near", "near_at"), "line-prints")
+    prints = units.select("*", F.explode(marks).alias("j"))
+    top = F.greatest(F.col("j") - window + 2, F.lit(1))  # how far a run that holds the fingerprint can reach
+    length = F.least(F.col("j") + window, F.size("hashes")) - top + 1
+    prints = prints.select("key", F.element_at("hashes", F.col("j") + 1).alias("print"), *[F.slice(name, top, length).alias(name) for name in columns])
+    prints = materialize(prints, "line-prints")
     shared = materialize(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "line-shared")
     found = prints.join(shared, "print")
-    starts = F.sequence(F.lit(1), F.size("near") - window + 1)
-    reach = F.transform(starts, lambda s: F.struct(F.xxhash64(F.slice("near", s, window)).alias("run"), F.slice("near_at", s, window).alias("at")))
-    places = found.where(F.size("near") >= window).select("key", F.inline(reach))
+
+    def run_of(hashes, checks) -> list:
+        return [F.xxhash64(hashes).alias("run"), F.xxhash64(second, checks).alias("check")]
+
+    starts = F.sequence(F.lit(1), F.size("hashes") - window + 1)
+    extended = F.transform(starts, lambda s: F.struct(*run_of(F.slice("hashes", s, window), F.slice("checks", s, window)), F.slice("at", s, window).alias("at")))
+    places = found.where(F.size("hashes") >= window).select("key", F.inline(extended))
     if alone is not None:
         singles = every.select("key", F.inline(F.filter("lines", lambda s: s["single"])))
-        places = places.unionByName(singles.select("key", F.xxhash64(F.array("h")).alias("run"), F.array("i").alias("at")))
+        places = places.unionByName(singles.select("key", *run_of(F.array("h"), F.array("g")), F.array("i").alias("at")))
     places = materialize(places, "line-runs")
     place = F.struct("key", F.col("at")[0].alias("first"))
-    firsts = materialize(places.groupBy("run").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last")).select("run", "origin"), "line-firsts")
-    later = places.join(firsts, "run").where(place > F.col("origin"))
+    firsts = places.groupBy("run", "check").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last"))
+    firsts = materialize(firsts.select("run", "check", "origin"), "line-firsts")
+    later = places.join(firsts, ["run", "check"]).where(place > F.col("origin"))
     cuts = later.select("key", F.explode("at").alias("i")).groupBy("key").agg(F.collect_set("i").alias("cut"))
     cuts = cuts.select(F.col("key.id").alias("_cut_id"), F.col("key.t").alias("_cut_text"), F.col("cut").alias("_cut"))
 
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     own = docs.drop("n_lines", "n_removed").withColumn("_cut_key", F.xxhash64(text))
     joined = own.join(cuts, own[id_col].eqNullSafe(cuts["_cut_id"]) & (own["_cut_key"] == cuts["_cut_text"]), "left")
-    kept = F.filter(nl, lambda x, i: ~F.array_contains("_cut", i))
-    out = [F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    joined = joined.withColumn("_cut_lines", F.split(F.col(text_col), "\n"))  # split once for each row
+    rest = F.array_except(F.sequence(F.lit(0), F.size("_cut_lines") - 1), "_cut")
+    new = F.concat_ws("\n", F.transform(rest, lambda i: F.get("_cut_lines", i)))
+    out = [F.when(F.col("_cut").isNull(), F.col(c)).otherwise(new).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in kept]
     return joined.select(
         *out,
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(nl)).cast("long").alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_cut_lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
     )

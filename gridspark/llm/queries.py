@@ -33,12 +33,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Runs of two or more lines, and lines of 20 or more characters by themselves."""
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), alone=20)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op4_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), alone=20)
+def op4_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more lines only."""
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -71,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
-    "op4_line_dedup_single": op4_line_dedup_single,
+    "op4_line_dedup_runs": op4_line_dedup_runs,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
@@ -88,7 +90,7 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WINDOW g AS (PARTITION BY norm)
     """,
-    "op4_line_dedup": """
+    "op4_line_dedup_runs": """
         WITH lines AS (
             SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
             FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
@@ -102,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id
     """,
-    "op4_line_dedup_single": """
+    "op4_line_dedup": """
         WITH lines AS (
             SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
             FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)

@@ -85,15 +85,28 @@ def test_lines_repeated_alone(spark, corpus, least):
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup(df).collect()}[910] == 0
 
 
-def test_line_dedup_single_twin(spark):
+def test_lines_of_long_texts_and_clashing_names(spark):
+    """Many cuts in one long text, and extra columns whose names differ in case alone."""
+    base = [f"line number {i}" for i in range(30_000)]
+    rows = [(1, "\n".join(base)), (2, "\n".join(["own", *base, "own end"])), (3, None), (4, ""), (None, "\n\n \n")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("N_LINES", F.lit("x")).withColumn("run", F.lit(1)).withColumn("i", F.lit(2)).withColumn("check", F.lit(2))
+    out = line_dedup(df)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "run", "i", "check", "n_lines", "n_removed"]
+    assert got[2]["text"] == "own\nown end" and got[2]["n_removed"] == 30_000 and got[1]["n_removed"] == 0
+    assert got[3]["text"] is None and got[3]["n_lines"] == 0 and got[None]["text"] == "\n\n \n"
+
+
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op4_line_dedup_runs"])
+def test_line_dedup_twins(spark, name):
     import duckdb
 
     import __spark_entry__ as entry
 
     c = duckdb.connect()
     c.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
-    got = entry.queries()["op4_line_dedup_single"](spark, "/root/testdata/sf0.001").collect()
-    want = c.sql(entry.oracle_sql()["op4_line_dedup_single"]).fetchall()
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    want = c.sql(entry.oracle_sql()[name]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_removed"] for r in got) > 0
 
 
