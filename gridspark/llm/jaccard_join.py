@@ -19,7 +19,8 @@ _RANDOM = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(
 _FACTORS = (_RANDOM[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (_RANDOM[BANDS * ROWS :] >> np.uint64(32)).astype(np.uint32)
 
-SCANNED = "key long, id long, n_grams long, node long, bands array<long>"
+SCANNED = "key long, id long, t long, n_grams long, node long, check long, bands array<long>"
+ALIVE = "unit long, node long"
 PREPARED = "node long, signature binary, grams array<long>"
 COMPARED = "node long, links long, root long"
 
@@ -49,13 +50,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def _node(grams: np.ndarray) -> int:
-    """A 64-bit identity of a set of grams; 0 for the empty set."""
+def _node(grams: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit identities of a set of grams; zeros for the empty set."""
     if not len(grams):
-        return 0
-    spread = mix64(grams + np.uint64(0x5851F42D4C957F2D))
-    both = np.array([np.bitwise_xor.reduce(spread), np.add.reduce(spread), len(grams)], np.uint64)
-    return int(mix64(mix64(mix64(both[:1]) + both[1:2]) + both[2:])[0].view(np.int64))
+        return 0, 0
+    out = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        spread = mix64(grams ^ np.uint64(seed))
+        both = np.array([np.bitwise_xor.reduce(spread), np.add.reduce(spread), len(grams)], np.uint64)
+        out.append(int(mix64(mix64(mix64(both[:1]) + both[1:2]) + both[2:])[0].view(np.int64)))
+    return out[0], out[1]
 
 
 def least_matches(threshold: float, tolerance: float, step: int, total: int = BANDS * ROWS) -> list[tuple[int, int]]:
@@ -76,14 +80,33 @@ def least_matches(threshold: float, tolerance: float, step: int, total: int = BA
     return out
 
 
-def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], threshold: float, plan: list[tuple[int, int]], cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links (in rows of the other sets) and the least linked node of each set in one unit.
+def likely_pairs(sides: np.ndarray, sigs: np.ndarray, plan: list[tuple[int, int]], cross: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of a unit the later ones that may be similar to it, by MinHash values alone.
 
     Two sets are a candidate pair if they share a band key and, in a unit of two chunks (``cross``),
-    come from different chunks; if one of the two is empty there is no pair. MinHash values are compared a block at a time, and the survivors exactly.
+    come from different chunks; if one of the two is empty there is no pair. MinHash values are
+    compared a block at a time, and pairs that fall behind ``plan`` are dropped.
     """
-    m = len(nodes)
+    m = len(sides)
     keys = band_keys(sigs)
+    for i in range(m - 1):
+        other = np.arange(i + 1, m)
+        if cross:
+            other = other[sides[other] != sides[i]]
+        other = other[(keys[other] == keys[i]).any(axis=1)]
+        matches, done = np.zeros(len(other), np.int64), 0
+        for n, least in plan:
+            if not len(other):
+                break
+            matches += (sigs[other, done:n] == sigs[i, done:n]).sum(axis=1)
+            other, matches, done = other[matches >= least], matches[matches >= least], n
+        if len(other):
+            yield i, other
+
+
+def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs: np.ndarray, grams: list[np.ndarray], threshold: float, plan: list[tuple[int, int]], cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (in rows of the other sets) and the least linked node of each set in one unit; likely pairs are verified exactly."""
+    m = len(nodes)
     links, parent = np.zeros(m, np.int64), np.arange(m)
 
     def root(i: int) -> int:
@@ -97,19 +120,7 @@ def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs:
     ends = np.cumsum(sizes)
     own = [flat[e - s : e] for s, e in zip(sizes, ends, strict=True)]
     member = np.zeros(len(universe), bool)
-    for i in range(m - 1):
-        other = np.arange(i + 1, m)
-        if cross:
-            other = other[sides[other] != sides[i]]
-        other = other[(keys[other] == keys[i]).any(axis=1)]
-        matches, done = np.zeros(len(other), np.int64), 0
-        for n, least in plan:
-            if not len(other):
-                break
-            matches += (sigs[other, done:n] == sigs[i, done:n]).sum(axis=1)
-            other, matches, done = other[matches >= least], matches[matches >= least], n
-        if not len(other):
-            continue
+    for i, other in likely_pairs(sides, sigs, plan, cross):
         member[own[i]] = True
         counts = np.add.reduceat(member[np.concatenate([own[j] for j in other])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[other])[:-1]]))
         member[own[i]] = False
@@ -123,28 +134,34 @@ def compare_unit(nodes: np.ndarray, copies: np.ndarray, sides: np.ndarray, sigs:
     return links, nodes[[root(i) for i in range(m)]]
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, unit_sets: int = 600, unit_grams: int = 600_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, unit_sets: int = 600, unit_grams: int = 600_000, node_bits: int = 64) -> DataFrame:
     """One row per input row: (id, class_id, class_size, n_links, n_grams).
 
     Rows are linked if the Jaccard similarity of their sets of word n-grams is at least
     ``threshold``. ``n_links`` counts the linked rows, copies of the same set included; a class is
     what links join, and ``class_id`` its least id.
 
-    Rows of equal sets are one node. Nodes that share one of 48 bands of 7 MinHash values are
-    candidates (a pair at 0.8 is missed with a chance of 1e-5). Each node is tied to the least node
-    of its bands, never to all of them; components of those ties hold all candidate pairs. Small
-    components are dealt to units together. A large component is cut into chunks, one unit for
-    each pair of chunks, so no unit outgrows memory and no pairs become rows. A unit compares
-    MinHash values in blocks, drops pairs whose posterior chance of reaching the threshold is below
-    ``tolerance``, verifies the rest on the full sets, and returns sums and a spanning forest.
+    Rows of equal sets are one node; sets are told apart by two 64-bit numbers, of which the first
+    (its lower ``node_bits`` bits) names the node, and where two sets meet in one name they get new
+    ones. Nodes that share one of 48 bands of 7 MinHash values are candidates (a pair at 0.8 is
+    missed with a chance of 1e-5). Each node is tied to the least node of its bands, never to all
+    of them; components of those ties hold all candidate pairs. Small components are dealt to units
+    together. A large component is cut into chunks, one unit for each pair of chunks, so no unit
+    outgrows memory and no pairs become rows. A unit first gets MinHash values alone, compares them
+    in blocks, drops pairs whose posterior chance of reaching the threshold is below ``tolerance``,
+    and names the sets that are left; only these are then sent in full, and verified exactly. A unit
+    returns sums and a spanning forest.
 
     Words are as they stand. A text shorter than ``words`` has one gram; nulls and texts without
     words have none and are copies of one another, linked to nothing else. Null ids are kept; a
-    class of null ids only has a null ``class_id``. Extra columns are ignored.
+    class of null ids only has a null ``class_id``. Repeated rows and rows of one id are rows like
+    any others. Very long texts are taken whole; an empty table gives no rows; extra columns, also
+    of clashing names, are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
-    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    mask = (1 << node_bits) - 1 if node_bits < 64 else -1
 
     def sets_of(part: pa.RecordBatch) -> list[np.ndarray]:
         w = Words(part.column("text").to_pylist())
@@ -155,24 +172,32 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             sets = sets_of(part)
             sigs = {}  # copies in one batch share the work
             bands = []
-            nodes = [_node(g) for g in sets]
-            for node, g in zip(nodes, sets, strict=True):
-                if node not in sigs:
-                    sigs[node] = band_keys(signature(g)).view(np.int64) if len(g) else np.zeros(0, np.int64)
-                bands.append(sigs[node])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(g) for g in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(bands, pa.int64())], names=["key", "id", "n_grams", "node", "bands"])
+            names = [_node(g) for g in sets]
+            for name, g in zip(names, sets, strict=True):
+                if name not in sigs:
+                    sigs[name] = band_keys(signature(g)).view(np.int64) if len(g) else np.zeros(0, np.int64)
+                bands.append(sigs[name])
+            first = pa.array([a & mask for a, _ in names], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(g) for g in sets], pa.int64()), first, pa.array([b for _, b in names], pa.int64()), _lists(bands, pa.int64())], names=["key", "id", "t", "n_grams", "node", "check", "bands"])
+
+    def nodes_of(rows: DataFrame) -> DataFrame:
+        row = F.min(F.struct("key", "t")).alias("row")
+        sums = [row, F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.max("n_grams").alias("n_grams"), F.min("check").alias("check"), F.max("check").alias("other"), F.first("bands").alias("bands")]
+        return materialize(rows.groupBy("node").agg(*sums), "near-nodes")
 
     scanned = materialize(source.mapInArrow(scan, SCANNED), "near-scan")
-    nodes = materialize(
-        scanned.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
-        "near-nodes",
-    )
+    nodes = nodes_of(scanned)
+    shared_names = nodes.where("check < other").select("node", F.lit(True).alias("shared"))
+    if not shared_names.isEmpty():  # different sets of one name: name them by both numbers
+        named = scanned.join(shared_names, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node")))
+        scanned = materialize(named.drop("shared"), "near-scan-named")
+        nodes = nodes_of(scanned)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialize(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"), "near-bands")
     ties = banded.join(shared, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     parts = connected_components(ties)
 
-    members = materialize(parts.join(nodes.select("node", "key", "copies", "n_grams"), "node"), "near-members")
+    members = materialize(parts.join(nodes.select("node", "check", "row.key", "row.t", "copies", "n_grams"), "node"), "near-members")
     loads = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
     loads = materialize(loads.withColumn("chunks", F.greatest(F.ceil(F.col("n") / unit_sets), F.ceil(F.col("g") / unit_grams)).cast("int")), "near-loads")
     small = loads.where("chunks = 1").agg(F.sum("n"), F.sum("g")).first()
@@ -187,23 +212,36 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 1):
             sets = sets_of(part)
-            wanted = part.column(0).to_pylist()
-            rows = [i for i, g in enumerate(sets) if _node(g) == wanted[i]]  # else another row of this id
+            wanted, checks = part.column(0).to_pylist(), part.column(2).to_pylist()
+            rows = [i for i, g in enumerate(sets) if _node(g)[1] == checks[i]]  # else another text of the same hash
             yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in rows], pa.int64()), pa.array([signature(sets[i]).tobytes() for i in rows], pa.binary()), _lists([sets[i].view(np.int64) for i in rows], pa.int64())], names=["node", "signature", "grams"])
 
-    texts = members.select("node", "key").hint("merge").join(source.select("key", "text"), "key").select("node", "text")
-    prepared = materialize(texts.mapInArrow(prepare, PREPARED), "near-sets").dropDuplicates(["node"])
+    texts = members.select("node", "check", "key", "t").hint("merge").join(source.select("key", "t", "text"), ["key", "t"]).select("node", "text", "check")
+    prepared = materialize(texts.mapInArrow(prepare, PREPARED), "near-sets")
+    if not prepared.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows
+        prepared = materialize(prepared.dropDuplicates(["node"]), "near-sets-once")
     plan = least_matches(threshold, tolerance, 2 * ROWS)
 
+    def signatures(t: pa.Table) -> np.ndarray:
+        return np.stack([np.frombuffer(x.as_py(), np.uint32) for x in t["signature"]])
+
+    def prune(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        alive = np.zeros(t.num_rows, bool)
+        for i, other in likely_pairs(t["side"].to_numpy(), signatures(t), plan, t["cross"][0].as_py()):
+            alive[i] = alive[other] = True
+        return t.select(["unit", "node"]).filter(pa.array(alive))
+
     def compare(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        sigs = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in t["signature"]])
         grams = [x.values.to_numpy().view(np.uint64) for x in t["grams"]]
         ids = t["node"].to_numpy()
-        links, roots = compare_unit(ids, t["copies"].to_numpy(), t["side"].to_numpy(), sigs, grams, threshold, plan, t["cross"][0].as_py())
+        links, roots = compare_unit(ids, t["copies"].to_numpy(), t["side"].to_numpy(), signatures(t), grams, threshold, plan, t["cross"][0].as_py())
         return pa.table({"node": ids, "links": links, "root": roots})
 
-    compared = materialize(tasks.join(prepared, "node").groupBy("unit").applyInArrow(compare, COMPARED), "near-links")
+    alive = materialize(tasks.drop("copies").join(prepared.select("node", "signature"), "node").groupBy("unit").applyInArrow(prune, ALIVE), "near-alive")
+    compared = tasks.join(alive, ["unit", "node"]).join(prepared, "node").groupBy("unit").applyInArrow(compare, COMPARED)
+    compared = materialize(compared, "near-links")
     totals = compared.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "copies", "least_id").join(classes, "node", "left").join(totals, "node", "left").withColumn("root", F.coalesce("root", "node"))
