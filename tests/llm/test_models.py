@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from gridspark.llm.hidden_markov import expected_counts, fit_hidden_markov, forw
 from gridspark.llm.language_id import language_id, visible_text
 from gridspark.llm.packing import load_tokenizer, pack_documents, pack_lengths, tokenizer_path
 from gridspark.llm.sharding import rendezvous, shard_records
-from gridspark.llm.toxicity import features, toxicity_scores
+from gridspark.llm.toxicity import _heads, _tokens, features, fit_kneser_ney, toxicity_scores
 
 DOCS = "doc_id long, text string"
 RNG = random.Random(11)
@@ -194,7 +196,7 @@ def test_toxicity_held_out(spark):
             w.insert(RNG.randrange(len(w)), RNG.choice(["nasty", "awful", "vile"]))
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
-    rows += [(1000, None), (1001, ""), (None, "vile nasty"), (3, "aab")]
+    rows += [(1000, None), (1001, ""), (None, "vile nasty"), (3, "aab"), (1002, "vile " * 300_000)]
     labels += [(0, 0), (5, None), (None, 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("toxic", F.lit(1))
     got = toxicity_scores(df, spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
@@ -203,10 +205,71 @@ def test_toxicity_held_out(spark):
     assert (held["predicted"] == (held["doc_id"] % 4 == 0)).mean() > 0.95
     assert bool(got[got["doc_id"] == 1]["held_out"].iloc[0]) == (zlib.crc32(b"1") % 5 == 0)
     assert features(np.zeros(0)) == (0.0, 0.0, 0.0, 0.0)
+    carried = toxicity_scores(df.withColumn("score", F.lit(5)).withColumn("carry0", F.col("doc_id")), spark.createDataFrame(labels, "doc_id long, toxic int"), carry=["carry0"]).toPandas()
+    assert carried["carry0"].equals(carried["doc_id"]) and np.allclose(np.sort(carried["score"]), np.sort(got["score"]))
     none = toxicity_scores(df, spark.createDataFrame([], "doc_id long, toxic int")).toPandas()
     assert (none["score"] == 0).all() and len(none) == len(rows)
 
 
+def reference_kneser_ney(texts, d, least_pairs, least_words):
+    """The two models in plain Python: P(word | context) for each class, and the vocabulary."""
+    pairs, head = {0: Counter(), 1: Counter()}, {}
+    for text, toxic in texts:
+        words = re.findall(r"[^\s.,;:!?\"'()\[\]]+", text.lower())
+        for h, w in zip(["", *words], words, strict=False):
+            pairs[toxic][h, w] += 1
+            head[w] = w[:5]
+    every = set(pairs[0]) | set(pairs[1])
+    kept_pairs = {x for x in every if pairs[0][x] + pairs[1][x] >= least_pairs}
+    seen = Counter(w for _, w in every)
+    kept_words = {w for w in seen if seen[w] >= least_words}
+    k = {c: Counter(w for _, w in pairs[c]) for c in (0, 1)}
+    heads = {g: [w for w in head if head[w] == g] for g in set(head.values())}
+    kept_heads = {g for g, ws in heads.items() if len(ws) > 1 or set(ws) & kept_words}
+    n = {c: {g: sum(k[c][w] for w in heads[g]) for g in heads} for c in (0, 1)}
+    classes = {g: sum(n[c][g] > 0 for c in (0, 1)) for g in kept_heads}
+    share = sum(classes.values()) + 1
+    less = lambda x: max(x - d, 0)
+
+    def word(c, w):
+        total = sum(k[c].values())
+        rest_heads = 1 - sum(less(n[c][g]) for g in kept_heads) / total
+        rest_words = 1 - sum(less(k[c][x]) for x in kept_words) / total
+        g = w[:5] if not w.endswith("\0") else w[:-1]  # a head and "\0": an unseen word of that head
+        p = rest_heads / share
+        if g in kept_heads:
+            p = (less(n[c][g]) / total + rest_heads * classes[g] / share) / (sum(x in kept_words for x in heads[g]) + 1)
+        return rest_words * p + (less(k[c][w]) / total if w in kept_words else 0)
+
+    def pair(c, h, w):
+        total = sum(x for (a, _), x in pairs[c].items() if a == h)
+        if not total:
+            return word(c, w)
+        rest = 1 - sum(less(pairs[c][x]) for x in kept_pairs if x[0] == h) / total
+        return (less(pairs[c][h, w]) / total if (h, w) in kept_pairs else 0) + rest * word(c, w)
+
+    return pair, kept_words, kept_heads
+
+
+@pytest.mark.parametrize("least_pairs,least_words", [(1, 1), (3, 2)])
+def test_kneser_ney_against_plain_python(spark, least_pairs, least_words):
+    """Ratios equal a plain model whose distributions sum to one over kept, unseen and unknown words."""
+    rng = random.Random(9)
+    bank = ["vile", "vilest", "awful", "calm", "calmly", "sun", "sunny", "road", "roads", "roadside", "tree"]
+    texts = [(" ".join(rng.choice(bank[: 5 + 6 * (1 - i % 2)] + [f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "!"]), i % 2) for i in range(60)]
+    pair, kept_words, kept_heads = reference_kneser_ney(texts, 0.75, least_pairs, least_words)
+    for c in (0, 1):
+        for h in ("", "vile", "sun", "never"):
+            total = sum(pair(c, h, w) for w in kept_words) + sum(pair(c, h, g + "\0") for g in kept_heads) + pair(c, h, "unknown")
+            assert total == pytest.approx(1, abs=1e-9)
+    model = fit_kneser_ney(spark.createDataFrame(texts, "text string, toxic int"), least_pairs=least_pairs, least_words=least_words)
+    for text in [texts[0][0], texts[7][0], "vile calm vilest unknown sunset roadsign sun sun.", "w1 w2 w3 w4 w29"]:
+        w, before = _tokens(pa.RecordBatch.from_pydict({"text": [text]}))
+        words = re.findall(r"[^\s.,;:!?]+", text.lower())
+        want = [math.log(pair(1, h, x) / pair(0, h, x)) for h, x in zip(["", *words], words, strict=False)]
+        assert np.allclose(model.ratios(before, w.hash, _heads(w)), want, atol=1e-5)
+
+
 def test_forward_is_exact_and_counts_match():
     rng = np.random.default_rng(4)
     start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3).T
@@ -387,12 +450,12 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in clean.collect()}
     scores = toxicity_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
     assert kept == {r["doc_id"] for r in scores if r["predicted"] == 0}
-    from test_dedup import brute_jaccard, brute_lines
+    from test_dedup import brute_alone, brute_jaccard
 
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     lines = corpus_pipeline.drop_repeated_lines(spark, docs, sf)
     assert lines.columns == docs.columns
-    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {d: t for d, (_, t) in brute_lines(rows).items()}
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {d: t for d, (_, t) in brute_alone(rows, 20).items()}
     near = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert {r["doc_id"] for r in near.collect()} == {d for d, (c, _) in brute_jaccard(rows).items() if c == d}
     leaks = corpus_pipeline.drop_contaminated(spark, docs, sf)
@@ -402,3 +465,33 @@ def test_pipeline_stages(spark):
     assert not any(i in flat(t) for d, t in rows if d in left for i in items) and len(left) > 0.8 * len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram jaccard join", "benchmark decontamination", "packing"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_judges_rows_whatever_their_ids(spark, tmp_path):
+    """Null and repeated ids, extra columns, empty texts: toxic, copied and leaking rows go, others stay."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = [r["text"] for r in docs.join(toxicity_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")), "doc_id").where("predicted = 1 and length(text) > 40").limit(3).collect()]
+    item = pq.read_table(f"{sf}/benchmark.parquet").to_pylist()[0]["text"]
+    clean = docs.where("doc_id = 5").first()["text"]
+    own = [prose(30) for _ in range(4)]
+    rows = [(None, t) for t in toxic] + [(5, t) for t in toxic] + [(None, prose(20) + " " + item), (5, prose(20) + " " + item), (None, own[0]), (None, own[0]), (7, own[0]), (7, own[1]), (7, own[1]), (None, own[2]), (None, None), (8, ""), (5, own[3])]
+    extra = spark.createDataFrame([(d, t, "en", "own", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = extra.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    both = docs.unionByName(extra).withColumn("JUDGED", F.lit(1)).withColumn("judged_", F.lit(2))
+
+    def own_rows(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.where("source = 'own'").collect()), key=str)
+
+    left = corpus_pipeline.drop_toxic(spark, both, sf)
+    assert left.columns == both.columns and not {t for _, t in own_rows(left)} & set(toxic) and len(own_rows(left)) == len(rows) - 2 * len(toxic) and toxic
+    left = corpus_pipeline.drop_contaminated(spark, left, sf)
+    assert len(own_rows(left)) == len(rows) - 2 * len(toxic) - 2 and clean in {r["text"] for r in left.where("doc_id = 5").collect()}
+    left = corpus_pipeline.drop_near_duplicates(spark, left, sf)
+    kept = own_rows(left)
+    assert left.columns == both.columns and [x for x in kept if x[1]] == sorted([(7, own[0]), (7, own[1]), (None, own[2]), (5, own[3])], key=str)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
