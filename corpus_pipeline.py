@@ -17,35 +17,47 @@ from gridspark.llm.toxicity import toxicity_scores
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; rows with a null id stay, rows of one id go together."""
-    ids = materialize(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "stage-ids").hint("merge")
-    return docs.where("doc_id is null").unionByName(docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi"))
+ROW = "pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written number for each row, so that stages judge rows one by one, whatever their ids."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+
+
+def _only(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """The rows that are (``left_semi``) or are not (``left_anti``) among these numbers, as documents."""
+    numbers = materialize(numbers.select(F.col(ROW).alias("judged")).distinct(), "stage-judged").hint("merge")
+    return rows.join(numbers, rows[ROW] == numbers["judged"], how).drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity models reject go."""
-    scores = toxicity_scores(docs, read_table(spark, sf_dir, "labels"))
-    return _kept(docs, scores.where("predicted = 0 and doc_id is not null"))
+    rows = _keyed(docs)
+    scores = toxicity_scores(rows, read_table(spark, sf_dir, "labels"), carry=[ROW])
+    return _only(rows, scores.where("predicted = 1"), "left_anti")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of two or more lines are deleted; n_chars follows the text."""
-    out = line_dedup(docs)
+    """Later repeats of runs of lines, and of longer lines alone, are deleted; n_chars follows the text."""
+    out = line_dedup(docs, alone=20)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each class of near-duplicates stays."""
-    classes = jaccard_join(docs)
-    return _kept(docs, classes.where(F.col("doc_id") == F.col("class_id")))
+    """One row of each class of near-duplicates stays, that with the least id; null ids come last."""
+    rows = _keyed(docs)
+    classes = jaccard_join(rows, id_col=ROW).select(F.col(ROW).alias("judged"), "class_id")
+    named = rows.select(ROW, F.col("doc_id").alias("id")).join(classes, F.col(ROW) == F.col("judged"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first")
+    return _only(rows, named.groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW)), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that leak a benchmark item go."""
-    leaks = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("doc_id is not null")
-    leaks = materialize(leaks.select(F.col("doc_id").alias("leak_id")).distinct(), "stage-leaks").hint("merge")
-    return docs.join(leaks, docs["doc_id"] == leaks["leak_id"], "left_anti")
+    rows = _keyed(docs)
+    leaks = decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _only(rows, leaks.select(F.col("doc_id").alias(ROW)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
