@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, materialize, window_hashes
 
-SCANNED = "key long, id long, t long, n_words long, digest string, anchors array<long>"
-EXTENDED = "key long, digest string, text string, starts array<int>, windows array<long>, checks array<long>"
-CUT = "key long, digest string, n_removed long, kept_sha256 string"
+SCANNED = "key long, id long, t long, n_words long, digest string, seq long, more long, anchors array<long>"
+EXTENDED = "key long, seq long, more long, text string, starts array<int>, windows array<long>, checks array<long>"
+CUT = "row long, n_removed long, kept_sha256 string, anchors array<array<long>>"
 #: Texts are taken in groups of about this many bytes, so that numpy's temporaries stay small.
 GROUP_BYTES = 4_000_000
 
@@ -60,6 +60,12 @@ def _whole_digest(words: Words, a: int, b: int) -> str:
     return hashlib.sha256(out.tobytes()).hexdigest()
 
 
+def _names(digests: list[str]) -> tuple[pa.Array, pa.Array]:
+    """The first 128 bits of hex digests, as two columns: they name a sequence of words in shuffles."""
+    both = np.frombuffer(b"".join(bytes.fromhex(d[:32]) for d in digests), "<i8").reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Minimum of each ``n`` consecutive values, by doubling."""
     out, length = x, 1
@@ -70,23 +76,49 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def doubled_anchors(h: np.ndarray, repeated: np.ndarray, least: int) -> list[np.ndarray]:
+    """Anchors among the windows of ``2 * least`` words both of whose halves repeat.
+
+    Of each ``least`` neighbouring starts the one with the least hash is an anchor. An anchor's
+    array has two hashes for its window, and two for each doubling of it that the text still holds.
+    """
+    n = len(h) - 2 * least + 1
+    if n <= 0:
+        return []
+    seen = np.zeros(len(h) - least + 1, bool)
+    seen[repeated] = True
+    use = seen[:n] & seen[least:]
+    if not use.any():
+        return []
+    doubles = []
+    length = 2 * least
+    while length <= len(h):
+        doubles.append((window_hashes(h, length, 2).view(np.int64), window_hashes(h, length, 3).view(np.int64)))
+        length *= 2
+    order = np.where(use, doubles[0][0].view(np.uint64), np.uint64(2**64 - 1))
+    at = np.flatnonzero(np.isin(order, _sliding_min(order, min(least, n))) & use)
+    return [np.array([x[i] for pair in doubles for x in pair if i < len(x)], np.int64) for i in at.tolist()]
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """One row per input row: (id, n_words, n_removed, kept_sha256, longest_repeat).
 
     A word goes if it lies in a window of ``least`` consecutive words whose sequence also starts
     in a row with a smaller id; windows are judged on the input. ``longest_repeat`` is the longest
-    doubled length at which a window of the row also starts in another row, 0 if none does; for a
-    row that is cut whole it is the row's own length.
+    doubled length (``least`` times a power of two) at which a window of the row was found in
+    another row too, 0 if none was: a passage of that length is shared, and a shared passage of
+    n words is found at each length up to n - ``least`` + 1. For a row that is cut whole it is the
+    row's own length.
 
     Level one takes windows of half the least length. Among the starts that a full window spans,
     the one with the least hash is its anchor, so equal full windows share their anchor. Anchors
     that only one word sequence has are dropped; those that repeat are extended to twice their
-    length: each full window around a repeated anchor becomes a candidate. From then on a window
-    that repeats at one length is extended by the window that follows it, if that repeats too, and
-    the result is a candidate at twice the length; this goes on until no candidates survive, on
-    tables of survivors alone. Windows of ``least`` words that more than one row has keep the
-    smallest id as their first place; all later places are cut. Rows with the same words as a row
-    with a smaller id are cut whole without any windows.
+    length: each full window around a repeated anchor becomes a candidate. Windows of ``least``
+    words that more than one row has keep the smallest id as their first place; all later places
+    are cut. The doubling goes on until no candidates survive: where both halves of a window of
+    twice the length repeat, it is a candidate (one anchor of each ``least`` neighbouring ones), and
+    a candidate that repeats is extended to twice its length, on tables of survivors alone. Rows
+    with the same words as a row with a smaller id are cut whole without any windows.
 
     Nulls and texts of white space have no words. Null ids come before all others and are not
     smaller than one another. Rows of the same id never cut each other. Extra columns, also of
@@ -108,24 +140,23 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             spans = list(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True))
             anchors = [np.unique(anchors_of(words.hash[a:b])).view(np.int64) for a, b in spans]
             digests = [_whole_digest(words, a, b) for a, b in spans]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.diff(words.bounds)), pa.array(digests), _lists(anchors, pa.int64())], names=["key", "id", "t", "n_words", "digest", "anchors"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.diff(words.bounds)), pa.array(digests), *_names(digests), _lists(anchors, pa.int64())], names=["key", "id", "t", "n_words", "digest", "seq", "more", "anchors"])
 
     scanned = materialize(source.mapInArrow(scan, SCANNED), "passage-scan")
-    sequence = F.xxhash64("digest").alias("seq")
-    anchors = scanned.select(F.struct("key", "t").alias("row"), "digest", sequence, F.explode("anchors").alias("h"))
+    anchors = scanned.select(F.struct("key", "t").alias("row"), "seq", "more", F.explode("anchors").alias("h"))
     repeated = materialize(anchors.groupBy("h").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a < b").select("h"), "passage-anchors")
-    found = anchors.join(repeated, "h").groupBy("digest").agg(F.min("row").alias("row"), F.collect_set("h").alias("anchors"))
-    found = found.select("row.key", "row.t", "digest", "anchors")  # one row of each word sequence
+    found = anchors.join(repeated, "h").groupBy("seq", "more").agg(F.min("row").alias("row"), F.collect_set("h").alias("anchors"))
+    found = found.select("row.key", "row.t", "seq", "more", "anchors")  # one row of each word sequence
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None
-        for part in _groups(batches, 2):
-            words = Words(part.column(2).to_pylist())
+        for part in _groups(batches, 3):
+            words = Words(part.column(3).to_pylist())
             rows, starts, windows, checks = [], [], [], []
-            for i, known in enumerate(part.column(3)):
+            for i, known in enumerate(part.column(4)):
                 a, b = words.bounds[i], words.bounds[i + 1]
-                this = (part.column(0)[i].as_py(), part.column(1)[i].as_py())
-                if this == done or _whole_digest(words, a, b) != this[1]:
+                this = tuple(part.column(k)[i].as_py() for k in range(3))
+                if this == done or this[1:] != tuple(x[0].as_py() for x in _names([_whole_digest(words, a, b)])):
                     continue  # the row before again, or another text of the same hash
                 done = this
                 h = words.hash[a:b]
@@ -135,53 +166,55 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 windows.append(window_hashes(h, least, 2)[at].view(np.int64))
                 checks.append(window_hashes(h, least, 3)[at].view(np.int64))
             taken = part.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), _lists(starts, pa.int32()), _lists(windows, pa.int64()), _lists(checks, pa.int64())], names=["key", "digest", "text", "starts", "windows", "checks"])
-
-    joined = found.join(source.select("key", "t", "text"), ["key", "t"]).select("key", "digest", "text", "anchors")
-    extended = materialize(joined.mapInArrow(extend, EXTENDED), "passage-windows")
-    if not extended.groupBy("key", "digest").count().where("count > 1").isEmpty():  # repeated rows that met in different tasks
-        extended = materialize(extended.dropDuplicates(["key", "digest"]), "passage-windows-once")
-    places = extended.select("key", "digest", F.inline(F.arrays_zip("starts", "windows", "checks"))).toDF("key", "digest", "start", "window", "check")
-
-    def repeated_of(candidates: DataFrame, length: int) -> DataFrame:
-        """The candidates whose words stand in rows of more than one id, with the first of these."""
-        firsts = candidates.groupBy("window", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "check", "first")
-        return materialize(candidates.join(materialize(firsts, f"passage-firsts-{length}"), ["window", "check"]), f"passage-level-{length}")
-
-    length, survivors, levels = least, repeated_of(places, least), []
-    cuts_of = survivors
-    while not survivors.isEmpty():
-        levels.append(survivors.select("key", "digest").distinct().withColumn("length", F.lit(length)))
-        ahead = survivors.select("key", "digest", (F.col("start") - length).alias("start"), F.col("window").alias("w"), F.col("check").alias("c"))
-        longer = survivors.drop("first").join(ahead, ["key", "digest", "start"])
-        longer = longer.select("key", "digest", "start", F.xxhash64("window", "w").alias("window"), F.xxhash64("c", "check").alias("check"))
-        length *= 2
-        survivors = repeated_of(longer, length)
-    later = cuts_of.where("key > first").groupBy("key", "digest").agg(F.collect_set("start").alias("cut"))
-    reached = None
-    for level in levels:
-        reached = level if reached is None else reached.unionByName(level)
-    reached = reached.groupBy("key", "digest").agg(F.max("length").alias("longest")) if reached is not None else None
+            yield pa.RecordBatch.from_arrays([*taken.columns[:4], _lists(starts, pa.int32()), _lists(windows, pa.int64()), _lists(checks, pa.int64())], names=["key", "seq", "more", "text", "starts", "windows", "checks"])
+
+    joined = found.join(source.select("key", "t", "text"), ["key", "t"]).select("key", "seq", "more", "text", "anchors")
+    number = F.monotonically_increasing_id().alias("row")
+    extended = materialize(joined.mapInArrow(extend, EXTENDED).select("*", number), "passage-windows")
+    if not extended.groupBy("key", "seq", "more").count().where("count > 1").isEmpty():  # repeated rows that met in different tasks
+        extended = materialize(extended.dropDuplicates(["key", "seq", "more"]), "passage-windows-once")
+    places = extended.select("row", "key", F.inline(F.arrays_zip("starts", "windows", "checks"))).toDF("row", "key", "start", "window", "check")
+    firsts = places.groupBy("window", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "check", "first")
+    repeated = places.join(materialize(firsts, "passage-firsts"), ["window", "check"])
+    marks = repeated.groupBy("row").agg(F.collect_list(F.col("start") * 2 + (F.col("key") > F.col("first")).cast("int")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, 2):
-            words = Words(part.column(2).to_pylist())
-            removed, digests = [], []
-            for i, starts in enumerate(part.column(3)):
+        for part in _groups(batches, 1):
+            words = Words(part.column(1).to_pylist())
+            removed, digests, anchors = [], [], []
+            for i, marked in enumerate(part.column(2)):
                 a, b = words.bounds[i], words.bounds[i + 1]
-                at = starts.values.to_numpy()
+                at = marked.values.to_numpy()
                 edge = np.zeros(b - a + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + least, -1)
+                later = at[at % 2 == 1] // 2
+                np.add.at(edge, later, 1)
+                np.add.at(edge, later + least, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 removed.append(int((~keep).sum()))
-                digests.append(_digest(words, a, b, keep))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["key", "digest", "n_removed", "kept_sha256"])
-
-    cuts = extended.select("key", "digest", "text").join(later, ["key", "digest"]).select("key", "digest", "text", "cut").mapInArrow(cut, CUT)
-    copies = materialize(scanned.where(F.col("n_words") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first"), "passage-copies")
-    rows = scanned.select("key", "id", "n_words", "digest").join(copies, "digest", "left").join(cuts, ["key", "digest"], "left")
-    rows = rows.join(reached, ["key", "digest"], "left") if reached is not None else rows.withColumn("longest", F.lit(0))
+                digests.append(_digest(words, a, b, keep) if len(later) else None)
+                anchors.append(doubled_anchors(words.hash[a:b], at // 2, least))
+            counts = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
+            nested = pa.ListArray.from_arrays(pa.array(counts), _lists([x for row in anchors for x in row], pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), nested], names=["row", "n_removed", "kept_sha256", "anchors"])
+
+    joined = extended.select("row", "text").join(marks, "row").select("row", "text", "marks")
+    cuts = materialize(joined.mapInArrow(cut, CUT), "passage-cuts")
+    owners = extended.select("row", "key", "seq", "more")
+    level, survivors = 1, cuts.join(owners, "row").select("row", "key", F.explode("anchors").alias("hashes"))
+    reached = cuts.select("row", F.lit(least).alias("length"))
+    while True:
+        window, check = F.get("hashes", F.lit(2 * level - 2)), F.get("hashes", F.lit(2 * level - 1))
+        candidates = survivors.where(F.size("hashes") >= 2 * level).select("row", "key", "hashes", window.alias("window"), check.alias("check"))
+        twice = candidates.groupBy("window", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "check")
+        survivors = materialize(candidates.join(materialize(twice, "passage-twice"), ["window", "check"]).drop("window", "check"), "passage-survivors")
+        if survivors.isEmpty():
+            break
+        reached = reached.unionByName(survivors.select("row", F.lit(least * 2**level).alias("length")))
+        level += 1
+    reached = reached.groupBy("row").agg(F.max("length").alias("longest"))
+    cuts = cuts.drop("anchors").join(reached, "row").join(owners, "row").drop("row")
+    copies = materialize(scanned.where(F.col("n_words") >= least).groupBy("seq", "more").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("seq", "more", "first"), "passage-copies")
+    rows = scanned.drop("anchors", "t").join(copies, ["seq", "more"], "left").join(materialize(cuts, "passage-results"), ["key", "seq", "more"], "left")
     whole = F.col("key") > F.col("first")
     nothing = hashlib.sha256(b"").hexdigest()
     return rows.select(
