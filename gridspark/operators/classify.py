@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .posterior import array_sum
 
-Fit = Callable[[DataFrame], "LinearModel"]
+#: A fit returns a model whose ``apply`` adds ``logit``; a calibration returns a temperature for scored rows.
+Fit = Callable[[DataFrame], "LinearModel | CovarianceModel"]
+Calibrate = Callable[[DataFrame], float]
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,10 @@ class LinearModel:
         w = F.lit([float(v) for v in self.weights])
         return (array_sum(F.zip_with(F.col(x), w, lambda a, b: a * b)) + self.intercept) / temperature
 
+    def apply(self, df: DataFrame, x: str = "x") -> DataFrame:
+        """Add ``logit``."""
+        return df.withColumn("logit", self.score(x))
+
 
 def score_linear(df: DataFrame, model: LinearModel, temperature: float = 1.0, x: str = "x") -> DataFrame:
     return df.withColumn("logit", model.score(x, temperature))
@@ -106,16 +113,32 @@ def standard_scaler(df: DataFrame, x: str = "x") -> DataFrame:
     return df.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
+def _ridge(rows: DataFrame, x: Column, y: str, pos_weight: float, penalty: float, max_iter: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the weighted mean log loss plus half the penalty times the squared weights."""
+    rows = rows.select(array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"), F.when(F.col(y) == 1, pos_weight).otherwise(1.0).alias("w"))
+    fitted = LogisticRegression(weightCol="w", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(rows)
+    return np.asarray(fitted.coefficients), float(fitted.intercept)
+
+
 def fit_logistic(df: DataFrame, alpha: float = 0.01, pos_weight: float = 5.0, x: str = "x", y: str = "y", max_iter: int = 100) -> LinearModel:
     """Class-weighted ridge logistic regression on standardised features."""
-    m = pooled(list(moments(df, y, x).values()))
+    parts = moments(df, y, x)
+    m = pooled(list(parts.values()))
     mean, std = m.mean, np.sqrt(np.maximum(np.diag(m.covariance), 1e-18))
     z = F.zip_with(F.zip_with(F.col(x), F.lit(mean.tolist()), lambda a, b: a - b), F.lit(std.tolist()), lambda a, b: a / b)
-    rows = df.select(array_to_vector(z).alias("features"), F.col(y).cast("double").alias("label"), F.when(F.col(y) == 1, pos_weight).otherwise(1.0).alias("w"))
-    total = rows.agg(F.sum("w")).first()[0]
-    fitted = LogisticRegression(weightCol="w", regParam=alpha * m.n / total, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(rows)
-    w = np.asarray(fitted.coefficients) / std
-    return LinearModel(w, float(fitted.intercept - (w * mean).sum()))
+    total = sum(p.n * (pos_weight if k == 1 else 1.0) for k, p in parts.items())
+    w, intercept = _ridge(df, z, y, pos_weight, alpha * m.n / total, max_iter)
+    return LinearModel(w / std, float(intercept - (w / std * mean).sum()))
+
+
+def fit_balanced_logistic(df: DataFrame, c: float = 1.0, x: str = "x", y: str = "y", max_iter: int = 500) -> LinearModel:
+    """Logistic regression on features as they are; classes weigh the same in total, and the squared
+    weights count 1 / (2 c) against the summed loss of all rows."""
+    sizes = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
+    if not (sizes.get(0) and sizes.get(1)):
+        raise ValueError("both classes are needed")
+    w, intercept = _ridge(df, F.col(x), y, sizes[0] / sizes[1], 1 / (c * sum(sizes.values())), max_iter)
+    return LinearModel(w, intercept)
 
 
 def _t_tail(t: float, dof: float) -> float:
@@ -135,30 +158,30 @@ def _t_tail(t: float, dof: float) -> float:
 def _stepwise(gram: np.ndarray, xy: np.ndarray, yy: float, n: float, p_enter: float, p_remove: float, most: int) -> list[int]:
     """Forward and backward selection on moments of an intercept (column 0) and features."""
     chosen: list[int] = []
-
-    def tests(use: list[int]) -> dict[int, float]:
-        cols = [0, *use]
+    for _ in range(min(most, len(gram) - 1)):
+        cols = [0, *chosen]
         inverse = np.linalg.pinv(gram[np.ix_(cols, cols)])
         b = inverse @ xy[cols]
-        dof = max(n - len(cols), 1.0)
-        noise = max(yy - b @ xy[cols], 1e-12) / dof
-        return {f: _t_tail(b[k] / math.sqrt(max(noise * inverse[k, k], 1e-300)), dof) for k, f in enumerate(cols) if k}
-
-    for _ in range(4 * most):
-        rest = [f for f in range(1, len(gram)) if f not in chosen]
-        if not rest or len(chosen) >= most:
-            break
-        p, best = min((tests([*chosen, f])[f], f) for f in rest)
-        if p > p_enter and chosen:
+        noise = max(yy - b @ xy[cols], 0.0) / max(n - len(cols), 1.0)
+        rest = np.array([f for f in range(1, len(gram)) if f not in chosen])
+        lever = gram[np.ix_(rest, cols)]
+        left = np.maximum(gram[rest, rest] - ((lever @ inverse) * lever).sum(axis=1), 1e-12)  # what the chosen do not explain
+        t = (xy[rest] - lever @ b) / np.sqrt(np.maximum(noise * left, 1e-12))
+        best = int(np.argmax(np.abs(t)))
+        if chosen and _t_tail(float(t[best]), max(n - len(cols) - 1, 1.0)) >= p_enter:
             break
-        chosen.append(best)
+        chosen.append(int(rest[best]))
         while len(chosen) > 1:
-            worst_p, worst = max((v, f) for f, v in tests(chosen).items())
-            if worst_p <= p_remove:
+            cols = [0, *chosen]
+            inverse = np.linalg.pinv(gram[np.ix_(cols, cols)])
+            b = inverse @ xy[cols]
+            dof = max(n - len(cols), 1.0)
+            error = np.sqrt(np.maximum(np.diag(inverse) * max(yy - b @ xy[cols], 0.0) / dof, 1e-300))
+            p = [_t_tail(float(v), dof) for v in (b / error)[1:]]
+            worst = int(np.argmax(p))
+            if p[worst] <= p_remove:
                 break
-            chosen.remove(worst)
-            if worst == best:
-                return chosen
+            del chosen[worst]
     return chosen
 
 
@@ -166,13 +189,13 @@ def _swlda(parts: dict, p_enter: float, p_remove: float, most: int, weights: tup
     p = len(parts[1].total)
     gram, xy, yy = np.zeros((p + 1, p + 1)), np.zeros(p + 1), 0.0
     for label, w in ((0, weights[0]), (1, weights[1])):
-        m, t = parts[label], 1.0 if label else -1.0
+        m, t = parts[label], float(label)
         gram[0, 0] += w * m.n
         gram[0, 1:] += w * m.total
         gram[1:, 0] += w * m.total
         gram[1:, 1:] += w * m.gram
         xy += w * t * np.r_[m.n, m.total]
-        yy += w * m.n
+        yy += w * t * m.n
     n = parts[0].n + parts[1].n
     cols = [0, *_stepwise(gram, xy, yy, n, p_enter, p_remove, most)]
     b = np.linalg.pinv(gram[np.ix_(cols, cols)]) @ xy[cols]
@@ -182,8 +205,8 @@ def _swlda(parts: dict, p_enter: float, p_remove: float, most: int, weights: tup
 
 
 def fit_swlda(df: DataFrame, p_enter: float = 0.05, p_remove: float = 0.1, max_features: int = 35, weights: tuple[float, float] = (1.0, 7.0), x: str = "x", y: str = "y") -> LinearModel:
-    """Weighted stepwise regression of ±1 on features, from one pass of moments; the first pick stays
-    even if it is not significant."""
+    """Weighted stepwise regression of the label (0 or 1) on features, from one pass of moments; one
+    feature always stays, even if it is not significant."""
     return _swlda(moments(df, y, x), p_enter, p_remove, max_features, weights)
 
 
@@ -257,47 +280,66 @@ def _second_moments(df: DataFrame, channels: int, x: str, y: str) -> dict[int, t
     return out
 
 
-def fit_xdawn(df: DataFrame, channels: int, nfilter: int = 4, x: str = "x", y: str = "y") -> np.ndarray:
-    """Spatial filters (filters x channels): for each class the directions in which its mean epoch
-    stands out most from the covariance of all epochs."""
+def _xdawn(df: DataFrame, channels: int, nfilter: int, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Spatial filters of all classes, and the classes' mean epochs seen through their own filters."""
     stats = _second_moments(df, channels, x, y)
     n = sum(s[0] for s in stats.values())
-    cov = sum(s[0] * s[2] for s in stats.values()) / n + 1e-9 * np.eye(channels)
+    centre = sum(s[0] * s[1].mean(axis=1) for s in stats.values()) / n
+    cov = sum(s[0] * s[2] for s in stats.values()) / n - np.outer(centre, centre) + 1e-9 * np.eye(channels)
     low = np.linalg.inv(np.linalg.cholesky(cov))
-    out = []
+    filters, prototypes = [], []
     for k in sorted(stats):
         mean = stats[k][1]
-        values, vectors = np.linalg.eigh(low @ (mean @ mean.T / mean.shape[1]) @ low.T)
-        out.append((low.T @ vectors[:, np.argsort(-values)[:nfilter]]).T)
-    return np.concatenate(out)
+        even = mean - mean.mean(axis=1, keepdims=True)
+        values, vectors = np.linalg.eigh(low @ (even @ even.T / mean.shape[1]) @ low.T)
+        own = (low.T @ vectors[:, np.argsort(-values)[:nfilter]]).T
+        filters.append(own)
+        prototypes.append(own @ mean)
+    return np.concatenate(filters), np.concatenate(prototypes)
+
+
+def fit_xdawn(df: DataFrame, channels: int, nfilter: int = 4, x: str = "x", y: str = "y") -> np.ndarray:
+    """Spatial filters (filters x channels): for each class the directions in which its mean epoch
+    stands out most from the covariance of all epochs."""
+    return _xdawn(df, channels, nfilter, x, y)[0]
+
+
+def _stacked(xs, rows: int) -> np.ndarray:
+    """A series of arrays as one (epoch, row, column) array."""
+    return np.stack([np.asarray(v, float) for v in xs]).reshape(len(xs), rows, -1) if len(xs) else np.zeros((0, rows, 1))
 
 
 def apply_filters(df: DataFrame, filters: np.ndarray, x: str = "x") -> DataFrame:
     """Epochs projected on spatial filters, filter-major."""
-    channels = filters.shape[1]
 
     @F.pandas_udf("array<double>")
     def project(xs):
-        return xs.map(lambda v: (filters @ np.asarray(v, float).reshape(channels, -1)).ravel())
+        out = np.einsum("fc,nct->nft", filters, _stacked(xs, filters.shape[1]))
+        return pd.Series(list(out.reshape(len(xs), -1)), dtype=object)
 
     return df.withColumn(x, project(x))
 
 
-def _spd(f: Callable[[np.ndarray], np.ndarray], m: np.ndarray) -> np.ndarray:
+def _spd(f: Callable[[np.ndarray], np.ndarray], m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
+    """A function of the eigenvalues (``floor`` at least) of symmetric matrices."""
     values, vectors = np.linalg.eigh(m)
-    return np.einsum("...ij,...j,...kj->...ik", vectors, f(np.maximum(values, 1e-12)), vectors)
+    return np.einsum("...ij,...j,...kj->...ik", vectors, f(np.maximum(values, floor)), vectors)
 
 
-def epoch_covariances(df: DataFrame, channels: int, x: str = "x", ridge: float = 1e-6) -> DataFrame:
-    """Replace each epoch by its channel covariance (row-major)."""
+def epoch_covariances(df: DataFrame, filters: np.ndarray, prototypes: np.ndarray, x: str = "x", ridge: float = 1e-6) -> DataFrame:
+    """Replace each epoch by the covariance (row-major) of its filtered signals and the prototypes.
+
+    The cross terms say how much of each class's typical response the epoch holds. ``ridge`` keeps
+    matrices of dependent rows invertible.
+    """
 
     @F.pandas_udf("array<double>")
     def covariance(xs):
-        def one(v):
-            e = np.asarray(v, float).reshape(channels, -1)
-            return (e @ e.T / e.shape[1] + ridge * np.eye(channels)).ravel()
-
-        return xs.map(one)
+        own = np.einsum("fc,nct->nft", filters, _stacked(xs, filters.shape[1]))
+        both = np.concatenate([np.broadcast_to(prototypes, (len(own), *prototypes.shape)), own], axis=1)
+        both = both - both.mean(axis=2, keepdims=True)
+        out = np.einsum("nat,nbt->nab", both, both) / both.shape[2] + ridge * np.eye(both.shape[1])
+        return pd.Series(list(out.reshape(len(xs), -1)), dtype=object)
 
     return df.withColumn(x, covariance(x))
 
@@ -319,7 +361,7 @@ def riemannian_mean(covs: DataFrame, channels: int, x: str = "x", tolerance: flo
 
         got = covs.select(x).mapInArrow(logs, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()["v"].to_numpy()
         step = (got[1:] / got[0]).reshape(channels, channels)
-        mean = half @ _spd(np.exp, step) @ half
+        mean = half @ _spd(np.exp, step, -np.inf) @ half
         if np.linalg.norm(step) < tolerance:
             break
     return mean
@@ -327,49 +369,75 @@ def riemannian_mean(covs: DataFrame, channels: int, x: str = "x", tolerance: flo
 
 def tangent_vectors(covs: DataFrame, mean: np.ndarray, x: str = "x") -> DataFrame:
     """Upper triangles of the matrix logs at ``mean``; off-diagonal terms times the root of 2."""
-    channels = len(mean)
-    inverse, (i, j) = _spd(lambda v: 1 / np.sqrt(v), mean), np.triu_indices(channels)
+    size = len(mean)
+    inverse, (i, j) = _spd(lambda v: 1 / np.sqrt(v), mean), np.triu_indices(size)
     weight = np.where(i == j, 1.0, math.sqrt(2))
 
     @F.pandas_udf("array<double>")
     def project(xs):
-        return xs.map(lambda v: _spd(np.log, inverse @ np.asarray(v, float).reshape(channels, channels) @ inverse)[i, j] * weight)
+        logs = _spd(np.log, inverse @ _stacked(xs, size).reshape(-1, size, size) @ inverse)
+        return pd.Series(list(logs[:, i, j] * weight), dtype=object)
 
     return covs.withColumn(x, project(x))
 
 
-def tangent_space_lr(df: DataFrame, channels: int, x: str = "x", y: str = "y") -> tuple[np.ndarray, LinearModel]:
-    """Covariances, their Riemannian mean, and a class-balanced logistic regression on tangent vectors."""
-    covs = epoch_covariances(df, channels, x)
-    mean = riemannian_mean(covs, channels, x)
-    sizes = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
-    return mean, fit_logistic(tangent_vectors(covs, mean, x), pos_weight=sizes[0] / sizes[1], x=x, y=y)
+@dataclass(frozen=True)
+class CovarianceModel:
+    """Scores of epochs through xDAWN covariances: a linear model on tangent vectors, or distances to class means."""
 
+    filters: np.ndarray
+    prototypes: np.ndarray
+    means: tuple[np.ndarray, ...]
+    linear: LinearModel | None = None
 
-def mdm_scores(df: DataFrame, channels: int, x: str = "x", y: str = "y") -> DataFrame:
-    """Add ``logit``: Riemannian distance to the mean of class 0 minus that to class 1."""
-    covs = epoch_covariances(df, channels, x)
-    means = [_spd(lambda v: 1 / np.sqrt(v), riemannian_mean(covs.where(F.col(y) == k), channels, x)) for k in (0, 1)]
+    def apply(self, df: DataFrame, x: str = "x") -> DataFrame:
+        """Add ``logit``; the epochs stay as they are."""
+        covs = epoch_covariances(df.withColumn("_cov", F.col(x)), self.filters, self.prototypes, "_cov")
+        if self.linear is not None:
+            return tangent_vectors(covs, self.means[0], "_cov").withColumn("logit", self.linear.score("_cov")).drop("_cov")
+        inverses, size = [_spd(lambda v: 1 / np.sqrt(v), m) for m in self.means], len(self.means[0])
 
-    @F.pandas_udf("double")
-    def score(xs):
-        def one(v):
-            m = np.asarray(v, float).reshape(channels, channels)
-            d = [np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(h @ m @ h), 1e-12)) ** 2).sum()) for h in means]
-            return d[0] - d[1]
+        @F.pandas_udf("double")
+        def nearer(xs):
+            m = _stacked(xs, size).reshape(-1, size, size)
+            far = [np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(h @ m @ h), 1e-12)) ** 2).sum(axis=1)) for h in inverses]
+            return pd.Series(far[0] - far[1])
 
-        return xs.map(one)
+        return covs.withColumn("logit", nearer("_cov")).drop("_cov")
 
-    return covs.withColumn("logit", score(x))
 
+def tangent_space_lr(df: DataFrame, channels: int, nfilter: int = 4, c: float = 1.0, x: str = "x", y: str = "y") -> CovarianceModel:
+    """xDAWN covariances, their Riemannian mean, and a class-balanced logistic regression on tangent vectors."""
+    filters, prototypes = _xdawn(df, channels, nfilter, x, y)
+    covs = epoch_covariances(df, filters, prototypes, x)
+    mean = riemannian_mean(covs, 2 * len(filters), x)
+    return CovarianceModel(filters, prototypes, (mean,), fit_balanced_logistic(tangent_vectors(covs, mean, x), c, x, y))
 
-def stack_scores(a: DataFrame, b: DataFrame, on: str, y: str = "y", c: float = 0.1) -> tuple[DataFrame, LinearModel]:
-    """Logistic regression on two score columns; ids that only one side has are an error."""
+
+def fit_mdm(df: DataFrame, channels: int, nfilter: int = 4, x: str = "x", y: str = "y") -> CovarianceModel:
+    """xDAWN covariances and the Riemannian mean of each class; an epoch's score is its distance to
+    the mean of class 0 minus that to class 1."""
+    filters, prototypes = _xdawn(df, channels, nfilter, x, y)
+    covs = epoch_covariances(df, filters, prototypes, x)
+    return CovarianceModel(filters, prototypes, tuple(riemannian_mean(covs.where(F.col(y) == k), 2 * len(filters), x) for k in (0, 1)))
+
+
+def mdm_scores(df: DataFrame, channels: int, nfilter: int = 4, x: str = "x", y: str = "y") -> DataFrame:
+    """Add ``logit`` by ``fit_mdm`` on the same rows."""
+    return fit_mdm(df, channels, nfilter, x, y).apply(df, x)
+
+
+def _aligned(a: DataFrame, b: DataFrame, on: str, y: str) -> DataFrame:
     both = a.select(on, y, F.col("logit").alias("_a")).join(b.select(on, F.col("logit").alias("_b")), on, "full")
-    whole = both.withColumn("x", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("the two score tables have different ids")).cast("array<double>")).otherwise(F.array("_a", "_b")))
-    sizes = {r[y]: r["count"] for r in whole.groupBy(y).count().collect()}
-    n = sum(sizes.values())
-    model = fit_logistic(whole, alpha=1 / (c * n), pos_weight=sizes.get(0, 1) / max(sizes.get(1, 1), 1), y=y)
+    broken = F.raise_error(F.lit("the two score tables have different ids")).cast("array<double>")
+    return both.withColumn("x", F.when(F.col("_a").isNull() | F.col("_b").isNull(), broken).otherwise(F.array("_a", "_b")))
+
+
+def stack_scores(a: DataFrame, b: DataFrame, on: str, y: str = "y", c: float = 0.1) -> tuple[DataFrame, LinearModel]:
+    """Balanced logistic regression on two score columns, which should be out-of-fold scores; ids that
+    only one side has are an error."""
+    whole = _aligned(a, b, on, y)
+    model = fit_balanced_logistic(whole, c, y=y)
     return score_linear(whole, model).select(on, y, "logit"), model
 
 
@@ -380,11 +448,54 @@ def cross_fit(df: DataFrame, fit: Fit, group: str, k: int) -> DataFrame:
     marked = group_kfold(df, group, k)
     out = None
     for f in range(k):
-        part = score_linear(marked.where(F.col("fold") == f), fit(marked.where(F.col("fold") != f)))
+        part = fit(marked.where(F.col("fold") != f)).apply(marked.where(F.col("fold") == f))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def fit_final(df: DataFrame, fit: Fit, group: str, k: int, calibrate: Calibrate) -> tuple[LinearModel | CovarianceModel, float]:
+    """The model of the whole pool, and the temperature that suits the pool's out-of-fold scores."""
+    return fit(df), calibrate(cross_fit(df, fit, group, k))
+
+
+def nested_cross_fit(df: DataFrame, fit: Fit, group: str, outer: int, inner: int, calibrate: Calibrate) -> tuple[DataFrame, list[float]]:
+    """Out-of-fold scores, raw (``logit``) and calibrated, and the temperature of each outer fold.
+
+    A fold is scored by a model of the other folds, at a temperature fitted on the out-of-fold
+    scores of ``inner`` folds within these, so neither saw the fold.
+    """
+    from .splits import group_kfold
+
+    marked = group_kfold(df, group, outer)
+    out, temperatures = None, []
+    for f in range(outer):
+        model, temperature = fit_final(marked.where(F.col("fold") != f).drop("fold"), fit, group, inner, calibrate)
+        temperatures.append(temperature)
+        part = model.apply(marked.where(F.col("fold") == f)).withColumn("calibrated", F.col("logit") / temperature)
+        out = part if out is None else out.unionByName(part)
+    return out, temperatures
+
+
+def nested_stack(df: DataFrame, fits: tuple[Fit, Fit], group: str, on: str, outer: int, inner: int, c: float = 0.1, y: str = "y") -> tuple[DataFrame, list[LinearModel]]:
+    """Out-of-fold scores of a stack of two models, and the stack of each outer fold.
+
+    The stack of a fold is fitted on base scores that are out of fold among the other folds; the
+    base models it is applied to are fitted on all of these.
+    """
+    from .splits import group_kfold
+
+    marked = group_kfold(df, group, outer)
+    out, stacks = None, []
+    for f in range(outer):
+        train, test = marked.where(F.col("fold") != f).drop("fold"), marked.where(F.col("fold") == f)
+        stack = stack_scores(*[cross_fit(train, fit, group, inner) for fit in fits], on, y, c)[1]
+        stacks.append(stack)
+        scored = score_linear(_aligned(*[fit(train).apply(test) for fit in fits], on, y), stack)
+        part = scored.select(on, y, "logit", F.lit(f).alias("fold"))
+        out = part if out is None else out.unionByName(part)
+    return out, stacks
+
+
 def average_scores(df: DataFrame, keys: Sequence[str], score: str = "logit") -> DataFrame:
     """Mean over seeds; NaN counts as missing."""
     return df.groupBy(*keys).agg(F.avg(F.when(~F.isnan(score), F.col(score))).alias(score))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Sequence
 
@@ -105,23 +106,23 @@ def balanced_sample(df: DataFrame, label: str, n: int, seed: int, id_col: str, p
     return near.withColumn("_rank", F.row_number().over(order)).where("_rank <= _quota").select(*df.columns)
 
 
-def group_kfold(df: DataFrame, group: str, k: int, exact_groups: int = 100_000) -> DataFrame:
-    """Add ``fold``: groups go, largest first, to the fold with fewest rows.
+def group_kfold(df: DataFrame, group: str, k: int, most_groups: int = 500_000) -> DataFrame:
+    """Add ``fold``: groups go, largest first, to the fold with fewest rows; null is a group like any other.
 
-    The greedy pass runs over the table of group sizes if that has at most ``exact_groups`` rows;
-    for more groups the fold is a hash of the group, which balances by itself.
+    The greedy pass runs on the driver over the table of group sizes, which has one row a group; more
+    than ``most_groups`` are an error (``hash_split`` balances so many by itself).
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), group).limit(exact_groups + 1).collect()
-    if len(top) > exact_groups:
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    loads, folds = [0] * k, []
+    top = sizes.orderBy(F.desc("n"), group).limit(most_groups + 1).collect()
+    if len(top) > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    loads, folds = [(0, f) for f in range(k)], []
     for r in top:
-        f = loads.index(min(loads))
-        loads[f] += r["n"]
+        load, f = heapq.heappop(loads)
+        heapq.heappush(loads, (load + r["n"], f))
         folds.append((r[group], f))
-    schema = f"{group} {dict(df.dtypes)[group]}, fold int"
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(folds, schema)), group)
+    table = df.sparkSession.createDataFrame(folds, f"_group {dict(df.dtypes)[group]}, fold int")
+    return df.join(F.broadcast(table), df[group].eqNullSafe(F.col("_group"))).drop("_group")  # at most ``most_groups`` rows
 
 
 def protocol_audit(runs: DataFrame, heldout: DataFrame, id_col: str = "session_id") -> DataFrame:

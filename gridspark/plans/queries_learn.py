@@ -77,26 +77,53 @@ def fit_xdawn(t: Tables) -> DataFrame:
 
 @query("tangent_space_lr")
 def tangent_space_lr(t: Tables) -> DataFrame:
-    data = epochs(t)
-    mean, model = C.tangent_space_lr(data, CHANNELS)
-    return fitted(C.tangent_vectors(C.epoch_covariances(data, CHANNELS), mean), model)
+    scored = C.tangent_space_lr(epochs(t), CHANNELS, nfilter=2).apply(epochs(t))
+    return scored.select("vec_id", "y", F.round("logit", 6).alias("logit"))
 
 
 @query("mdm_scores")
 def mdm_scores(t: Tables) -> DataFrame:
-    return C.mdm_scores(epochs(t), CHANNELS).select("vec_id", "y", F.round("logit", 6).alias("logit"))
+    return C.mdm_scores(epochs(t), CHANNELS, nfilter=2).select("vec_id", "y", F.round("logit", 6).alias("logit"))
+
+
+def shrunk(data: DataFrame) -> C.LinearModel:
+    return C.fit_shrinkage_lda(data)
 
 
 @query("stack_scores")
 def stack_scores(t: Tables) -> DataFrame:
+    """Both base scores are out of fold."""
     data = epochs(t)
-    a, b = C.score_linear(data, C.fit_shrinkage_lda(data)), C.score_linear(data, C.fit_logistic(data))
+    a, b = (C.cross_fit(data, fit, "run", 3) for fit in (shrunk, C.fit_logistic))
     return C.stack_scores(a, b, "vec_id")[0].withColumn("logit", F.round("logit", 6))
 
 
+@query("nested_stack")
+def nested_stack(t: Tables) -> DataFrame:
+    scored = C.nested_stack(epochs(t), (shrunk, C.fit_swlda), "run", "vec_id", 2, 2)[0]
+    return scored.select("vec_id", "fold", F.round("logit", 6).alias("logit"))
+
+
 @query("cross_fit")
 def cross_fit(t: Tables) -> DataFrame:
-    return C.cross_fit(epochs(t), C.fit_shrinkage_lda, "run", 3).select("vec_id", "run", "fold", F.round("logit", 6).alias("logit"))
+    return C.cross_fit(epochs(t), shrunk, "run", 3).select("vec_id", "run", "fold", F.round("logit", 6).alias("logit"))
+
+
+def best_of(scored: DataFrame) -> float:
+    return K.fit_temperature(scored)[0]
+
+
+@query("nested_cross_fit")
+def nested_cross_fit(t: Tables) -> DataFrame:
+    scored = C.nested_cross_fit(epochs(t), shrunk, "run", 3, 3, best_of)[0]
+    return scored.select("vec_id", "run", "fold", F.round("logit", 6).alias("logit"), F.round("calibrated", 6).alias("calibrated"))
+
+
+@query("fit_final")
+def fit_final(t: Tables) -> DataFrame:
+    """The model of all rows at the temperature of its out-of-fold scores."""
+    model, temperature = C.fit_final(epochs(t), shrunk, "run", 3, best_of)
+    return C.score_linear(epochs(t), model, temperature).select("vec_id", F.round("logit", 6).alias("logit"), F.lit(round(temperature, 6)).alias("temperature"))
 
 
 @query("prob_to_logit", "SELECT event_id, round(ln(greatest(least(value / 400, 1 - 1e-7), 1e-7)) - ln(1 - greatest(least(value / 400, 1 - 1e-7), 1e-7)), 6) AS logit FROM {events}")

@@ -48,6 +48,179 @@ def test_cross_fit_scores_each_row_once(planted):
     assert out.groupBy("run").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
 
 
+def test_folds_keep_every_row(spark):
+    rows = [(None, 1), (None, 2), ("a", 3), ("b", 4), ("b", 5), ("b", 6)]
+    got = S.group_kfold(spark.createDataFrame(rows, "g string, id int"), "g", 2)
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4, 5, 6]
+    assert {(r["g"], r["fold"]) for r in got.collect()} == {("b", 0), (None, 1), ("a", 1)}
+    with pytest.raises(ValueError, match="groups"):
+        S.group_kfold(spark.createDataFrame(rows, "g string, id int"), "g", 2, most_groups=2)
+
+
+def arrays(df):
+    rows = df.orderBy("id").collect()
+    return np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+
+
+def test_stepwise_matches_least_squares(planted):
+    """Weighted least squares of the 0/1 label on the chosen features; features left out add nothing significant."""
+    x, y = arrays(planted)
+    model = C.fit_swlda(planted)
+    use = np.flatnonzero(model.weights)
+    root = np.sqrt(np.where(y == 1, 7.0, 1.0))
+    design = np.column_stack([np.ones(len(y)), x[:, use]])
+    b, *_ = np.linalg.lstsq(design * root[:, None], y * root, rcond=None)
+    assert np.allclose(model.weights[use], b[1:]) and model.intercept == pytest.approx(b[0])
+    left = y * root - (design * root[:, None]) @ b
+    noise = left @ left / (len(y) - len(b))
+    q, _ = np.linalg.qr(design * root[:, None])
+    for f in set(range(12)) - set(use.tolist()):
+        v = x[:, f] * root
+        t = v @ left / np.sqrt(noise * (v @ v - ((q.T @ v) ** 2).sum()))
+        assert C._t_tail(float(t), len(y) - len(b) - 1) >= 0.05
+
+
+def newton(x, y, c):
+    """Balanced logistic regression with squared weights / (2 c), intercept free."""
+    z, w = np.column_stack([np.ones(len(y)), x]), np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
+    b, ridge = np.zeros(z.shape[1]), np.diag([0.0] + [1 / c] * x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b - np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
+    return b
+
+
+def test_balanced_logistic_matches_newton(planted):
+    x, y = arrays(planted)
+    for c in (1.0, 0.01):
+        model, b = C.fit_balanced_logistic(planted, c), newton(x, y, c)
+        assert np.allclose(model.weights, b[1:], atol=1e-4) and model.intercept == pytest.approx(b[0], abs=1e-4)
+
+
+def test_stack_is_a_balanced_regression_of_both(planted):
+    a, b = C.cross_fit(planted, C.fit_shrinkage_lda, "run", 2), C.cross_fit(planted, C.fit_swlda, "run", 2)
+    scored, model = C.stack_scores(a, b, "id")
+    both = np.array([[r[1], r[2]] for r in a.select("id", "logit").join(b.select("id", F.col("logit").alias("b")), "id").orderBy("id").collect()])
+    want = newton(both, arrays(planted)[1], 0.1)
+    assert np.allclose(model.weights, want[1:], atol=1e-4)
+    got = np.array([r["logit"] for r in scored.orderBy("id").collect()])
+    assert np.allclose(got, both @ want[1:] + want[0], atol=1e-3)
+    with pytest.raises(Exception, match="different ids"):
+        C.stack_scores(a, b.where("id > 3"), "id")[0].collect()
+
+
+@pytest.fixture(scope="module")
+def signals(spark):
+    rng = np.random.default_rng(5)
+    wave = np.sin(np.arange(20) / 3)
+    e = rng.normal(size=(160, 3, 20))
+    y = np.arange(160) % 2
+    e[y == 1] += np.array([0.9, -0.5, 0.2])[:, None] * wave
+    return spark.createDataFrame([(i, i % 8, v.ravel().tolist(), int(k)) for i, (v, k) in enumerate(zip(e, y, strict=True))], "id int, run int, x array<double>, y int")
+
+
+def power(m, f):
+    w, v = np.linalg.eigh(m)
+    return (v * f(w)) @ v.T
+
+
+def plain_covariances(x, y, nfilter):
+    """xDAWN filters and covariances of epochs with prototypes, epoch by epoch."""
+    e = x.reshape(len(x), 3, -1)
+    flat = np.concatenate(list(e), axis=1)
+    cov = np.cov(flat, bias=True)
+    filters, protos = [], []
+    for k in (0, 1):
+        mean = e[y == k].mean(axis=0)
+        half = power(cov, lambda w: 1 / np.sqrt(w))
+        w, v = np.linalg.eigh(half @ np.cov(mean, bias=True) @ half)
+        own = (half @ v[:, np.argsort(-w)[:nfilter]]).T
+        filters.append(own)
+        protos.append(own @ mean)
+    f, p = np.concatenate(filters), np.concatenate(protos)
+    return np.array([np.cov(np.vstack([p, f @ one]), bias=True) + 1e-6 * np.eye(2 * len(f)) for one in e])
+
+
+def plain_mean(covs):
+    m = covs.mean(axis=0)
+    for _ in range(40):
+        half, inverse = power(m, np.sqrt), power(m, lambda w: 1 / np.sqrt(w))
+        m = half @ power(np.mean([power(inverse @ c @ inverse, np.log) for c in covs], axis=0), np.exp) @ half
+    return m
+
+
+def test_xdawn_filters_solve_the_eigenproblem(signals):
+    x, y = arrays(signals)
+    filters = C.fit_xdawn(signals, 3, 2)
+    cov = np.cov(np.concatenate(list(x.reshape(len(x), 3, -1)), axis=1), bias=True)
+    for k in (0, 1):
+        own = filters[2 * k : 2 * k + 2]
+        assert np.allclose(own @ cov @ own.T, np.eye(2), atol=1e-6)
+        signal = np.cov(x[y == k].reshape(-1, 3, 20).mean(axis=0), bias=True)
+        seen = own @ signal @ own.T
+        assert np.allclose(seen, np.diag(np.sort(np.diag(seen))[::-1]), atol=1e-8)
+        assert seen[0, 0] == pytest.approx(np.linalg.eigvals(np.linalg.solve(cov, signal)).real.max(), rel=1e-5)
+
+
+def test_tangent_space_and_distances_match_numpy(signals):
+    x, y = arrays(signals)
+    covs = plain_covariances(x, y, 1)
+    mean = plain_mean(covs)
+    inverse = power(mean, lambda w: 1 / np.sqrt(w))
+    i, j = np.triu_indices(len(mean))
+    vectors = np.array([(power(inverse @ c @ inverse, np.log) * np.where(np.eye(len(mean)) == 1, 1, np.sqrt(2)))[i, j] for c in covs])
+    b = newton(vectors, y, 1.0)
+    got = np.array([r["logit"] for r in C.tangent_space_lr(signals, 3, 1).apply(signals).orderBy("id").collect()])
+    # the signs of filters are free, and change signs of tangent vectors with them, not scores
+    assert np.allclose(got, vectors @ b[1:] + b[0], atol=2e-2) and np.corrcoef(got, vectors @ b[1:])[0, 1] > 0.9999
+    far = []
+    for k in (0, 1):
+        h = power(plain_mean(covs[y == k]), lambda w: 1 / np.sqrt(w))
+        far.append(np.array([np.sqrt((np.log(np.linalg.eigvalsh(h @ c @ h)) ** 2).sum()) for c in covs]))
+    got = np.array([r["logit"] for r in C.mdm_scores(signals, 3, 1).orderBy("id").collect()])
+    assert np.allclose(got, far[0] - far[1], atol=1e-3)
+    assert ((got > 0) == y).mean() > 0.8
+
+
+def test_nested_folds_never_see_what_they_score(planted):
+    seen = []
+
+    def fit(df):
+        seen.append({r["run"] for r in df.select("run").distinct().collect()})
+        return C.fit_shrinkage_lda(df)
+
+    out, temperatures = C.nested_cross_fit(planted, fit, "run", 2, 2, lambda scored: 2.0 + scored.count() / 1e6)
+    rows = out.collect()
+    assert len(rows) == 500 and len(seen) == 6 and temperatures == [2.00025, 2.00025]
+    assert all(r["calibrated"] == pytest.approx(r["logit"] / 2.00025) for r in rows)
+    for f in (0, 1):
+        test = {r["run"] for r in rows if r["fold"] == f}
+        assert all(not test & s for s in seen[3 * f : 3 * f + 3])
+    model, t = C.fit_final(planted, C.fit_shrinkage_lda, "run", 2, lambda scored: K.fit_temperature(scored)[0])
+    assert np.allclose(model.weights, C.fit_shrinkage_lda(planted).weights) and t > 0
+
+
+def test_nested_stack_scores_each_row_once(planted):
+    out, stacks = C.nested_stack(planted, (C.fit_shrinkage_lda, C.fit_swlda), "run", "id", 2, 2)
+    rows = out.collect()
+    assert sorted(r["id"] for r in rows) == list(range(500)) and len(stacks) == 2
+    assert np.mean([(r["logit"] > 0) == r["y"] for r in rows]) > 0.85
+
+
+def test_tuned_stepwise_is_the_best_of_the_grid(planted):
+    from gridspark.operators.metrics import roc_auc
+
+    grid = [(0.05, 0.1), (0.2, 0.25)]
+    best, aucs = C.tune_swlda(planted, grid, "run")
+    for (enter, remove), auc in zip(grid, aucs, strict=True):
+        marked, each = S.group_kfold(planted, "run", 2), []
+        for f in (0, 1):
+            model = C.fit_swlda(marked.where(F.col("fold") != f), enter, remove)
+            each.append(roc_auc(model.apply(marked.where(F.col("fold") == f)), "logit", "y").first()["auc"])
+        assert auc == pytest.approx(np.mean(each))
+    assert best == grid[int(np.argmax(aucs))]
+
+
 def test_temperature_above_one(spark):
     rows = [(2.0 if i % 2 else -2.0, (i % 2) ^ int(i % 5 == 0)) for i in range(80)]
     df = spark.createDataFrame(rows, "logit double, y int")
