@@ -68,3 +68,10 @@ def mean_trace(epochs: DataFrame, keys: Sequence[str], col: str = "x") -> DataFr
     """Average value at each sample over the epochs of a key."""
     rows = epochs.select(*keys, F.posexplode(col).alias("t", "v"))
     return rows.groupBy(*keys, "t").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+
+
+def channel_trace(epochs: DataFrame, keys: Sequence[str], have: Sequence[str], channel: str | None = None, fallback: str = "Pz", col: str = "x") -> DataFrame:
+    """``mean_trace`` of one channel of nested epochs: the one asked for, else the fallback, else the first."""
+    name = next((c for c in (channel, fallback) if c in have), have[0])
+    one = epochs.withColumn(col, F.get(F.col(col), F.lit(list(have).index(name))))
+    return mean_trace(one, keys, col).withColumn("channel", F.lit(name))

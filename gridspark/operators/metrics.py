@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, itr, logit_to_prob
+from ..functions.numeric import clip, itr, logit_to_prob, soft_gate, sufficiency_gate
 from ..functions.sizes import parameter_table
+from ..sources.scratch import written
 from .decode import decode_argmax
-from .posterior import CHARACTER, array_sum, log_softmax_at, with_softmax
+from .posterior import CHARACTER, argmax, array_sum, log_softmax_at, with_softmax
 
 
 def accuracy_rollup(decisions: DataFrame, by: str = "condition", seconds: str = "seconds", sequences: str = "sequences_used", flashes: str = "flashes_used") -> DataFrame:
@@ -55,6 +56,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), parts
         below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_n")
         area = points.withColumn("_a", F.col("_p") * (below + F.col("_n") / 2))
     else:
+        points = written(points, "auc-points")  # read for the cuts, the totals and the area
         cuts = points.approxQuantile("_s", [i / parts for i in range(1, parts)], 0.001)
         cuts = sorted(set(cuts))
         bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_s")))
@@ -68,6 +70,49 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), parts
     return out.select(*by, (F.col("_a") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
+def rag_grid_sweep(rows: DataFrame, params: DataFrame, cells: int, objective: str = "nll", seconds: float = 60.0, sharp: float = 30, prior: str = "prior", confidence: str = "confidence", target: str = "target", evidence: str | None = None, eps: float = 1e-9) -> DataFrame:
+    """Loss, accuracy and bits per selection of every (weight, threshold, alpha) in ``params``.
+
+    ``rows`` has for each character a retrieval prior (array), its confidence, the target cell and
+    perhaps the summed log evidence. Matches do not depend on the parameters, so they are made
+    once. The prior counts by ``weight`` times a soft gate of the confidence, the rest is uniform;
+    its log counts ``alpha`` times beside the evidence. ``best`` marks the least loss ("nll") or
+    the most bits a minute ("itr") at ``seconds`` a selection.
+    """
+    if objective not in ("nll", "itr"):
+        raise ValueError("objective is nll or itr")
+    each = rows.join(parameter_table(params))
+    w = F.col("weight") * soft_gate(F.col(confidence), F.col("threshold"), sharp)
+    mixed = F.transform(prior, lambda v: F.log(F.greatest((1 - w) / cells + w * v, F.lit(eps))) * F.col("alpha"))
+    each = each.withColumn("_l", F.zip_with(mixed, evidence, lambda a, b: a + b) if evidence else mixed)
+    each = with_softmax(each, "_l", "_p")
+    loss = -F.log(F.greatest(F.get("_p", F.col(target)), F.lit(eps)))
+    keys = ["weight", "threshold", "alpha"]
+    out = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("characters"), F.avg(loss).alias("nll"), F.avg((argmax(F.col("_l")) == F.col(target)).cast("double")).alias("accuracy"))
+    out = out.withColumn("itr", itr(cells, F.col("accuracy"), F.lit(seconds)))
+    first = F.col("nll") if objective == "nll" else -F.col("itr")
+    return out.withColumn("best", F.row_number().over(Window.orderBy(first, *keys)) == 1)  # one row per parameter set
+
+
+def tier_accuracy(rows: DataFrame, banks: DataFrame, asked: DataFrame, cells: int, weight: float = 0.25, eps: float = 1e-9) -> DataFrame:
+    """What each bank size is worth: (tier, tokens, gate, characters, matched, accuracy, nll).
+
+    ``rows`` has the retrieval prior (array) and target cell of each matched character of a tier,
+    ``banks`` the tier's phrases, ``asked`` (tier, count) how many characters were asked. The prior
+    counts by ``weight`` times the gate of the bank's words. Characters without a match are decided
+    on the uniform prior, so on the first cell, and count as missed.
+    """
+    sizes = banks.groupBy("tier").agg(F.sum(F.size(F.split("text", " "))).alias("tokens")).withColumn("gate", sufficiency_gate(F.col("tokens")))
+    each = rows.join(sizes, "tier")
+    w = F.lit(weight) * F.col("gate")
+    p = (1 - w) / cells + w * F.get("prior", F.col("target"))
+    hit = (argmax(F.col("prior")) == F.col("target")).cast("long")
+    found = each.groupBy("tier").agg(F.count(F.lit(1)).alias("matched"), F.sum(hit).alias("_hits"), F.sum(-F.log(F.greatest(p, F.lit(eps)))).alias("_loss"))
+    out = sizes.join(asked.withColumnRenamed("count", "characters"), "tier").join(found, "tier", "left").fillna(0, ["matched", "_hits", "_loss"])
+    loss = (F.col("_loss") + (F.col("characters") - F.col("matched")) * F.log(F.lit(float(cells)))) / F.col("characters")
+    return out.select("tier", "tokens", F.round("gate", 6).alias("gate"), "characters", "matched", F.round(F.col("_hits") / F.col("characters"), 6).alias("accuracy"), F.round(loss, 6).alias("nll"))
+
+
 def balanced_accuracy(df: DataFrame, logit: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     hit = ((F.col(logit) > 0).cast("int") == F.col(label)).cast("double")
     recall = lambda k: F.avg(F.when(F.col(label) == k, hit))

@@ -157,19 +157,29 @@ def accumulate_evidence(post: DataFrame, keys: Sequence[str] = CHARACTER, order:
 
     ``bias`` (keys, bias) is added once per character. With ``missing="uniform"`` the step is the
     sequence number itself, as sequences without evidence add a constant; with ``"skip"`` steps
-    count the sequences that have evidence. Steps past ``max_sequences`` are dropped first.
+    count the sequences that have evidence. Steps past ``max_sequences`` are dropped first; without
+    that bound the sums run cell by cell, so their cost stays in proportion to the sequences.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     step = F.row_number().over(w) if missing == "skip" else F.col(order)
     rows = post.withColumn("step", step.cast("int"))
     if max_sequences:
         rows = rows.where(F.col("step") <= max_sequences)
-    rows = rows.withColumn("_logs", F.transform("posterior", lambda v: F.log(clip(v, eps, 1.0)))).withColumn("_seen", F.collect_list("_logs").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_logs", F.transform("posterior", lambda v: F.log(clip(v, eps, 1.0))))
     if "flashes" in post.columns:
         rows = rows.withColumn("flashes", F.sum("flashes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.transform("_logs", lambda v: F.lit(0.0))
     if bias is not None:
         rows = rows.join(bias.select(*keys, "bias"), list(keys))
         start = F.col("bias")
-    total = F.aggregate("_seen", start, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return rows.withColumn("evidence", total).drop("_logs", "_seen", "bias", "posterior")
+    if max_sequences:  # a step gathers at most that many arrays
+        rows = rows.withColumn("_seen", F.collect_list("_logs").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        total = F.aggregate("_seen", start, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        return rows.withColumn("evidence", total).drop("_logs", "_seen", "bias", "posterior")
+    cells = rows.select(*keys, order, F.posexplode("_logs").alias("_c", "_v"))
+    running = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.withColumn("_v", F.sum("_v").over(running)).groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("_c", "_v"))).alias("_sum"))
+    summed = summed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, order])], F.transform("_sum", lambda s: s["_v"]).alias("_sum"))
+    same = [rows[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, order])]
+    out = rows.join(summed, same).withColumn("evidence", F.zip_with("_sum", start, lambda a, b: a + b))
+    return out.drop("_logs", "_sum", "bias", "posterior", *[f"_k{i}" for i in range(len(same))])

@@ -6,8 +6,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,10 +151,12 @@ def blend_priors(df: DataFrame, base: str = "base", global_prior: str = "global_
     return w.withColumn("prior", normalize_probs(F.zip_with("_base", "_mix", lambda b, m: (1 - F.col("_w")) * b + F.col("_w") * m))).drop("_mix", "_base", "_w")
 
 
-def flip_diagnostics(df: DataFrame, base: str = "base", final: str = "prior", target: str = "target", by: Sequence[str] = ()) -> DataFrame:
-    """How often the blend changes the best cell: toward the target, away from it, or between others."""
+def flip_diagnostics(df: DataFrame, base: str = "base", final: str = "prior", target: str = "target", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """How often the blend changes the best cell: toward the target, away from it, or between others;
+    with ``weight`` also the least, greatest and mean weight of the blend (0 if it has none)."""
     b, f, t = argmax(F.col(base)), argmax(F.col(final)), F.col(target)
     flip = b != f
+    spread = [F.coalesce(g(weight), F.lit(0.0)).alias(f"weight_{name}") for name, g in (("min", F.min), ("max", F.max), ("mean", F.avg))] if weight else []
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(flip).alias("flips"),
@@ -159,9 +164,17 @@ def flip_diagnostics(df: DataFrame, base: str = "base", final: str = "prior", ta
         F.count_if(flip & (f != t) & (b == t)).alias("away"),
         F.count_if(flip & (f != t) & (b != t)).alias("other"),
         F.avg(flip.cast("double")).alias("rate"),
+        *spread,
     )
 
 
+def source_counts(df: DataFrame, source: str = "source", by: Sequence[str] = ()) -> DataFrame:
+    """How many decisions each source of a prior was used for, and its share; no source counts as base."""
+    out = df.groupBy(*by, F.coalesce(F.col(source), F.lit("base")).alias(source)).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row per source
+    return out.withColumn("share", F.col("n") / F.sum("n").over(whole))
+
+
 def session_growth(trials: DataFrame, subject: str = "subject", order: str = "pos", text: str = "text", initial: DataFrame | None = None) -> DataFrame:
     """Phrases and words that a subject's bank has before each trial: the initial bank plus the
     phrases of earlier trials, as running sums."""
@@ -175,14 +188,54 @@ def session_growth(trials: DataFrame, subject: str = "subject", order: str = "po
     return out.withColumn("phrases", F.col("phrases") + F.coalesce("_p", F.lit(0))).withColumn("tokens", F.col("tokens") + F.coalesce("_t", F.lit(0))).drop("_p", "_t")
 
 
+def _count_grams(texts: list[str], size: int) -> dict[str, int]:
+    """How often each stretch of ``size`` characters stands inside these texts."""
+    whole = "".join(texts)
+    if len(whole) < size:
+        return {}
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, place = np.unique(codes, return_inverse=True)
+    key = np.zeros(len(codes) - size + 1, np.int64)
+    for k in range(size):
+        key = key * len(letters) + place[k : k + len(key)]
+    ends = np.cumsum([len(t) for t in texts])
+    over = np.zeros(len(codes) + 1, bool)  # stretches that cross the end of a text
+    for k in range(1, size):
+        over[np.maximum(ends - k, 0)] = True
+    key, n = np.unique(key[~over[: len(key)]], return_counts=True)
+    chars = [letters[key // len(letters) ** (size - 1 - k) % len(letters)] for k in range(size)]
+    grams = np.column_stack(chars).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return {grams[i * size : (i + 1) * size]: c for i, c in enumerate(n.tolist())}
+
+
 def ngram_counts(corpus: DataFrame, order: int = 3, text: str = "text") -> DataFrame:
-    """(history, ch, n) for histories of 0 to ``order`` characters; texts are padded at the start."""
+    """(history, ch, n) for histories of 0 to ``order`` characters; texts are padded at the start.
+
+    Tasks count the stretches of whole batches of texts and emit each once; ``order`` is 3 at most,
+    so that a stretch of any characters fits a 64-bit number.
+    """
+    if not 0 <= order <= 3:
+        raise ValueError("order is 0 to 3")
     padded = F.concat(F.lit(" " * order), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")))
-    chars = corpus.select(F.filter(F.split(padded, ""), lambda c: c != "").alias("_c"))
-    gram = F.col("_c")
-    for k in range(1, order + 1):  # the characters from each place on; null past the end
-        gram = F.zip_with(gram, F.slice("_c", F.lit(k + 1), F.greatest(F.size("_c") - k, F.lit(0))), lambda g, c: F.concat(g, c))
-    grams = chars.select(F.explode(gram).alias("_g")).where("_g is not null").groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            texts, size = [], 0
+            for t in batch.column(0):
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size > 1_000_000:
+                    held.update(_count_grams(texts, order + 1))
+                    texts, size = [], 0
+            held.update(_count_grams(texts, order + 1))
+            if len(held) > 2_000_000:
+                yield pa.RecordBatch.from_pydict({"_g": list(held), "n": list(held.values())})
+                held.clear()
+        if held:
+            yield pa.RecordBatch.from_pydict({"_g": list(held), "n": list(held.values())})
+
+    grams = corpus.select(padded.alias("_t")).mapInArrow(count, "_g string, n long").groupBy("_g").agg(F.sum("n").alias("n"))
     whole = grams.select(F.substring("_g", 1, order).alias("_h"), F.substring("_g", order + 1, 1).alias("ch"), "n")
     suffixes = F.array(*[F.substring("_h", order - k + 1, k) for k in range(order + 1)])
     return whole.select(F.explode(suffixes).alias("history"), "ch", "n").groupBy("history", "ch").agg(F.sum("n").alias("n"))

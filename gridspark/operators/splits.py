@@ -134,6 +134,27 @@ def protocol_audit(runs: DataFrame, heldout: DataFrame, id_col: str = "session_i
     return joined.groupBy("condition", "phase").agg(F.count(F.lit(1)).alias("runs"), F.count_if("held").alias("held_out"), F.count_if(F.col("held") & (F.col("phase") == "Train")).alias("overlap"))
 
 
+def _phased(runs: DataFrame, id_col: str) -> DataFrame:
+    condition = F.when(F.col(id_col).contains("DynBigram"), "DynBigram").when(F.col(id_col).contains("Dyn"), "Dyn").otherwise("RC")
+    return runs.withColumn("condition", condition).withColumn("phase", F.when(F.col(id_col).contains("Train"), "Train").otherwise("Test"))
+
+
+def protocol_overlaps(runs: DataFrame, heldout: DataFrame, id_col: str = "session_id") -> DataFrame:
+    """The runs that break the protocol: (id, condition, phase, held_out, test_labelled), one row each.
+
+    ``runs`` are those a model trains on; held-out ones and ones of the test phase should not be there.
+    """
+    out = heldout.select(F.col(id_col).alias("_h")).distinct()
+    rows = _phased(runs.select(id_col).distinct(), id_col).join(out, F.col(id_col) == F.col("_h"), "left")
+    rows = rows.withColumn("held_out", F.col("_h").isNotNull()).withColumn("test_labelled", F.col("phase") == "Test").drop("_h")
+    return rows.where("held_out or test_labelled")
+
+
+def target_counts(flashes: DataFrame, subject: str = "subject", run: str = "run", y: str = "y") -> DataFrame:
+    """Target and other flashes, and runs, that each subject has in a training pool."""
+    return flashes.groupBy(subject).agg(F.count_if(F.col(y) == 1).alias("target"), F.count_if(F.col(y) == 0).alias("non_target"), F.countDistinct(run).alias("runs"))
+
+
 def usable_characters(flashes: DataFrame, n_codes: int, min_sequences: int = 1, keys: Sequence[str] = ("run", "char_idx")) -> DataFrame:
     """Characters with at least ``min_sequences`` sequences that have a valid code."""
     return flashes.where(F.col("stim_code").between(1, n_codes)).groupBy(*keys).agg(F.countDistinct("seq_idx").alias("sequences")).where(F.col("sequences") >= min_sequences)

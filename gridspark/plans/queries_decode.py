@@ -214,7 +214,18 @@ def zero_coverage(t: Tables) -> DataFrame:
     return D.zero_coverage(t("trials"), evidence(t)).select("run", "char_idx", "zero_coverage")
 
 
-@query("row_shortlist_decode")
+_SCORED = "(SELECT run, char_idx, seq_idx, " + ", ".join(f"coalesce(sum(logit) FILTER (stim_code = {c}), 0) AS s{c}" for c in range(1, 7)) + " FROM {flashes} GROUP BY run, char_idx, seq_idx HAVING count(*) FILTER (stim_code <= 3) = 3 AND count(*) FILTER (stim_code > 3) = 3)"
+_ROWED = f"""(SELECT *, exp(l) / sum(exp(l)) OVER (PARTITION BY run, char_idx, seq_idx) AS rp FROM (SELECT s.run, s.char_idx, s.seq_idx, r.r, ln(least(greatest(sum(p.p), 1e-9), 1)) + max(CASE r.r WHEN 0 THEN s1 ELSE s2 END) AS l
+    FROM {_SCORED} s JOIN {{prior}} p ON s.run = p.run AND s.char_idx = p.char_idx JOIN (VALUES (0), (1)) r(r) ON CAST(floor(p.cell_idx / 3.0) AS INT) = r.r GROUP BY s.run, s.char_idx, s.seq_idx, r.r))"""
+_SHORT = f"""(SELECT * FROM (SELECT *, max(rp) OVER w - min(rp) OVER w AS gap, row_number() OVER (PARTITION BY run, char_idx, seq_idx ORDER BY rp DESC, r DESC) AS k FROM {_ROWED} WINDOW w AS (PARTITION BY run, char_idx, seq_idx)) WHERE k = 1 OR gap <= 0.08)"""
+
+
+@query(
+    "row_shortlist_decode",
+    f"""SELECT run, char_idx, seq_idx, CAST(arg_max(cell_idx, round(q, 9) - cell_idx * 1e-12) AS INT) AS decision, round(max(q), 6) AS confidence, CAST(count(DISTINCT r) AS INT) AS rows_kept FROM (
+        SELECT *, exp(l) / sum(exp(l)) OVER (PARTITION BY run, char_idx, seq_idx) AS q FROM (SELECT s.run, s.char_idx, s.seq_idx, p.cell_idx, k.r, ln(greatest(p.p, 1e-9)) + CASE k.r WHEN 0 THEN s1 ELSE s2 END + CASE p.cell_idx % 3 WHEN 0 THEN s4 WHEN 1 THEN s5 ELSE s6 END AS l
+        FROM {_SHORT} k JOIN {_SCORED} s ON s.run = k.run AND s.char_idx = k.char_idx AND s.seq_idx = k.seq_idx JOIN {{prior}} p ON p.run = s.run AND p.char_idx = s.char_idx AND CAST(floor(p.cell_idx / 3.0) AS INT) = k.r)) GROUP BY run, char_idx, seq_idx""",
+)
 def row_shortlist_decode(t: Tables) -> DataFrame:
     scored = P.row_col_scores(t("flashes"), SHAPE, F.col("logit"), ["run", "char_idx", "seq_idx"]).where("n_row = 3 and n_col = 3")
     out = D.row_shortlist_decode(scored.join(prior_arrays(t), ["run", "char_idx"]), SHAPE, rows=2, keys=["run", "char_idx", "seq_idx"])

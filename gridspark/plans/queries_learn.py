@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..functions.sizes import parameter_table
 from ..operators import calibrate as K
 from ..operators import classify as C
 from ..operators import epochs as E
 from ..operators import metrics as M
 from ..operators import posterior as P
+from ..operators import retrieval as R
+from ..sources.scratch import new_path
 from ..sources.tables import upsert_results
 from ..streaming import streams as X
 from .queries_decode import _ACC, KEYS, SHAPE, _soft, evidence, prior_arrays, rounded
-from .queries_retrieval import bank
+from .queries_retrieval import _PRIOR, bank, contexts
 from .registry import Tables, query
 
 CHANNELS, LENGTH = 4, 16
@@ -182,22 +181,34 @@ def best_sequence_temperature(t: Tables) -> DataFrame:
 
 # Further sweeps ----------------------------------------------------------------------------------
 
-_WEIGHT_GRID, _THRESHOLDS = (0.25, 0.7), (0.4, 0.6)
-_RAG = f"""(SELECT w, th, count(*) AS characters, avg(-ln(p)) AS nll FROM (SELECT v.w, h.th, q.run, q.char_idx, g.gate, (1 - v.w * g.gate) / 9 + v.w * g.gate * q.p AS p FROM {{prior}} q JOIN {{trials}} t ON q.run = t.run AND q.char_idx = t.char_idx AND q.cell_idx = t.target_cell
-    CROSS JOIN (VALUES (0.25), (0.7)) v(w) CROSS JOIN (VALUES (0.4), (0.6)) h(th)
-    JOIN (SELECT run, char_idx, h.th, 1 / (1 + exp(-30 * (max(p) * 2 - h.th))) AS gate FROM {{prior}} CROSS JOIN (VALUES (0.4), (0.6)) h(th) GROUP BY run, char_idx, h.th) g ON g.run = q.run AND g.char_idx = q.char_idx AND g.th = h.th) GROUP BY w, th)"""
+_NEXT = "(SELECT context, min(cell_idx) AS target FROM (SELECT lower(substr(p_name, 1, CAST(1 + p_partkey % 8 AS INT))) AS context, lower(substr(p_name, CAST(2 + p_partkey % 8 AS INT), 1)) AS ch FROM {part}) n JOIN {letters} l ON n.ch = l.ch GROUP BY context)"
+_SETS = "(VALUES (0.25), (0.7)) v(w) CROSS JOIN (VALUES (0.4), (0.6)) h(th) CROSS JOIN (VALUES (0.5), (1.0)) a(alpha)"
+_CELLS = "(SELECT count(*) AS n FROM {letters})"
+_RAG = f"""(SELECT w, th, alpha, count(*) AS characters, avg(-ln(greatest(hit / (mass + (n - m) * power(rest, alpha)), 1e-9))) AS nll FROM (
+      SELECT w, th, alpha, context, n, max(rest) AS rest, count(*) AS m, sum(power(rest + g * p, alpha)) AS mass, power(max(rest) + coalesce(max(g * p) FILTER (cell_idx = target), 0), alpha) AS hit FROM (
+        SELECT v.w, h.th, a.alpha, q.context, q.cell_idx, q.p, t.target, c.n, v.w / (1 + exp(-30 * (q.confidence - h.th))) AS g, (1 - v.w / (1 + exp(-30 * (q.confidence - h.th)))) / c.n AS rest
+        FROM {_PRIOR} q JOIN {_NEXT} t ON q.context = t.context CROSS JOIN {_CELLS} c CROSS JOIN {_SETS}) GROUP BY w, th, alpha, context, n) GROUP BY w, th, alpha)"""
 
 
-@query("rag_grid_sweep", f"SELECT CAST(w AS DOUBLE) AS weight, CAST(th AS DOUBLE) AS threshold, characters, round(nll, 6) AS nll, row_number() OVER (ORDER BY nll, w, th) = 1 AS best FROM {_RAG}")
+def matched(t: Tables, prior: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Retrieval priors as arrays over the grid's cells, with the cell that follows each context."""
+    keys = [*by, "context"]
+    cells = t("letters").count()
+    found = prior.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell_idx", "p"))).alias("_m"), F.max("confidence").alias("confidence"))
+    array = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+    k = (1 + F.col("p_partkey") % 8).cast("int")
+    after = t("part").select(F.lower(F.substr("p_name", F.lit(1), k)).alias("context"), F.lower(F.substr("p_name", k + 1, F.lit(1))).alias("ch"))
+    after = after.join(t("letters"), "ch").groupBy("context").agg(F.min("cell_idx").alias("target"))
+    return found.withColumn("prior", array).drop("_m").join(after, "context")
+
+
+@query("rag_grid_sweep", f"SELECT CAST(w AS DOUBLE) AS weight, CAST(th AS DOUBLE) AS threshold, CAST(alpha AS DOUBLE) AS alpha, characters, round(nll, 6) AS nll, row_number() OVER (ORDER BY nll, w, th, alpha) = 1 AS best FROM {_RAG}")
 def rag_grid_sweep(t: Tables) -> DataFrame:
-    """Retrieval weight and threshold: matches do not depend on them, so priors are made once."""
-    params = t.spark.sql("SELECT cast(w as double) weight, cast(h as double) threshold FROM VALUES (0.25), (0.7) AS a(w) CROSS JOIN (SELECT * FROM VALUES (0.4), (0.6) AS b(h))")
-    rows = prior_arrays(t).join(t("trials"), ["run", "char_idx"]).select("prior", "target_cell", (F.array_max("prior") * 2).alias("conf")).join(parameter_table(params))
-    w = F.col("weight") * N.soft_gate(F.col("conf"), F.col("threshold"), 30)
-    p = (1 - w) / 9 + w * F.get("prior", F.col("target_cell"))
-    out = rows.groupBy("weight", "threshold").agg(F.count(F.lit(1)).alias("characters"), F.avg(-F.log(p)).alias("_nll"))
-    best = F.row_number().over(Window.orderBy("_nll", "weight", "threshold")) == 1  # one row per parameter pair
-    return out.withColumn("best", best).select("weight", "threshold", "characters", F.round("_nll", 6).alias("nll"), "best")
+    """Retrieval weight, threshold and exponent over the matches of every context; matches are made once."""
+    rows = matched(t, R.retrieval_prior(R.phrase_matches(contexts(t), bank(t), t("letters"))))
+    params = t.spark.sql("SELECT cast(w as double) weight, cast(h as double) threshold, cast(a as double) alpha FROM VALUES (0.25), (0.7) AS a(w) CROSS JOIN (SELECT * FROM VALUES (0.4), (0.6) AS b(h)) CROSS JOIN (SELECT * FROM VALUES (0.5), (1.0) AS c(a))")
+    out = M.rag_grid_sweep(rows, params, t("letters").count())
+    return out.select("weight", "threshold", "alpha", "characters", F.round("nll", 6).alias("nll"), "best")
 
 
 _TIERS = "(VALUES (18), (150), (1000)) s(n)"
@@ -217,6 +228,18 @@ def sufficiency_sweep(t: Tables) -> DataFrame:
     return out.withColumn("gate", F.round(N.sufficiency_gate(F.col("tokens")), 6))
 
 
+@query("sufficiency_accuracy")
+def sufficiency_accuracy(t: Tables) -> DataFrame:
+    """Gate, accuracy and loss per size of the bank: the tier is a key of matches and priors."""
+    draws = bank(t).withColumn("_h", F.md5(F.concat(F.lit("5:"), F.col("bank_pos").cast("string")))).orderBy("_h", "bank_pos").limit(1000)
+    ranked = draws.withColumn("_r", F.row_number().over(Window.orderBy("_h", "bank_pos")))  # at most 1000 rows
+    sizes = F.explode(F.array(F.lit(18), F.lit(150), F.lit(1000)))
+    tiers = ranked.withColumn("tier", sizes).where("_r <= tier")
+    asked = contexts(t).withColumn("tier", sizes)
+    prior = R.retrieval_prior(R.phrase_matches(asked, tiers, t("letters"), by=["tier"]), by=["tier"])
+    return M.tier_accuracy(matched(t, prior, ("tier",)), tiers, asked.groupBy("tier").count(), t("letters").count())
+
+
 @query("config_screen")
 def config_screen(t: Tables) -> DataFrame:
     """The same fit and measure for a few feature configurations, one row each."""
@@ -233,13 +256,15 @@ def config_screen(t: Tables) -> DataFrame:
 # Streams -----------------------------------------------------------------------------------------
 
 
-def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], files: int = 3) -> DataFrame:
-    """Write ``source`` as files, stream them through ``build`` to a Parquet sink, and read that."""
+def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], part: Column | None = None, parts: int = 3, files: int = 2) -> DataFrame:
+    """Write ``source`` in ``parts``, one after the other, stream them through ``build``, a part a
+    micro-batch, to a Parquet sink, and read that."""
     spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{folder}/in")
-    out = build(spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
+    folder = new_path(spark, "stream")
+    rows = source.withColumn("_part", F.pmod(F.xxhash64(*source.columns), F.lit(parts)) if part is None else part)
+    for k in range(parts):
+        rows.where(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(f"{folder}/in")
+    out = build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
@@ -247,7 +272,7 @@ def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFr
 
 @query("stream_edges", "SELECT run, CAST(sample AS BIGINT) AS sample, signal FROM (SELECT run, sample, signal, lag(signal) OVER (PARTITION BY run ORDER BY sample) AS p FROM {samples}) WHERE p <= 25 AND signal > 25")
 def stream_edges(t: Tables) -> DataFrame:
-    return run_stream(t, t("samples").select("run", "sample", "signal").repartition(6), lambda s: X.stream_edges(s, 25.0))
+    return run_stream(t, t("samples").select("run", "sample", "signal"), lambda s: X.stream_edges(s, 25.0))
 
 
 _FIRST = f"(SELECT run, char_idx, step, max(p) AS confidence, arg_max(cell_idx, round(p, 9) - cell_idx * 1e-12) AS decision FROM {_soft(_ACC, 'run, char_idx, step')} GROUP BY run, char_idx, step)"
@@ -259,9 +284,10 @@ _FIRST = f"(SELECT run, char_idx, step, max(p) AS confidence, arg_max(cell_idx,
           SELECT *, row_number() OVER (PARTITION BY run, char_idx ORDER BY step) AS k FROM {_FIRST} WHERE step = 2 OR confidence >= 0.5) WHERE k = 1""",
 )
 def stream_dynamic_stop(t: Tables) -> DataFrame:
-    """Characters that reach the threshold or the last sequence; the rest waits for its timeout."""
+    """Characters that reach the threshold or the last sequence; the rest waits for its timeout. Each
+    sequence number is a micro-batch, so evidence is carried in the state."""
     posts = evidence(t).select("run", "char_idx", "seq_idx", "posterior", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("seq_idx"))).alias("ts"))
-    out = run_stream(t, posts.repartitionByRange(2, "seq_idx"), lambda s: X.stream_dynamic_stop(s.withWatermark("ts", "1 hour"), 0.5, 1, 2), files=10_000)
+    out = run_stream(t, posts, lambda s: X.stream_dynamic_stop(s.withWatermark("ts", "1 hour"), 0.5, 1, 2), F.col("seq_idx") - 1, 2)
     return out.select("run", "char_idx", "decision", F.round("confidence", 6).alias("confidence"), "sequences_used")
 
 
@@ -272,12 +298,19 @@ def stream_dynamic_stop(t: Tables) -> DataFrame:
 )
 def stream_phrase_growth(t: Tables) -> DataFrame:
     phrases = t("part").selectExpr("p_brand subject", "p_partkey pos", "p_name text")
-    return run_stream(t, phrases.repartition(4), X.stream_phrase_growth, files=10_000)
+    last = phrases.agg(F.max("pos")).first()[0] or 0
+    return run_stream(t, phrases, X.stream_phrase_growth, F.floor(F.col("pos") * 3 / (last + 1)).cast("int"), 3)
 
 
-@query("stream_metrics")
+@query(
+    "stream_metrics",
+    """SELECT CAST(epoch(date_trunc('day', CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type AS condition, count(*) AS characters, round(avg(CAST(value > 30 AS DOUBLE)), 6) AS accuracy, round(avg(value), 6) AS flashes FROM {events}
+       WHERE date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM {events}) GROUP BY 1, 2""",
+)
 def stream_metrics(t: Tables) -> DataFrame:
-    """Windows that the watermark has passed; a batch rollup of the same rows is its test."""
+    """Windows that the watermark has passed; parts arrive in the order of time."""
     rows = t("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("condition"), (F.col("value") > 30).alias("correct"), F.col("value").alias("flashes_used"))
-    out = run_stream(t, rows.repartitionByRange(6, "ts"), X.stream_metrics)
-    return out.select(F.col("window.start").alias("start"), "condition", "characters", F.round("accuracy", 6).alias("accuracy"), F.round("flashes", 4).alias("flashes"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).select(F.unix_timestamp("min(ts)"), F.unix_timestamp("max(ts)")).first()
+    part = F.floor((F.unix_timestamp("ts") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1)).cast("int")
+    out = run_stream(t, rows, X.stream_metrics, part, 3)
+    return out.select(F.unix_timestamp("window.start").alias("start"), "condition", "characters", F.round("accuracy", 6).alias("accuracy"), F.round("flashes", 6).alias("flashes"))

@@ -176,12 +176,19 @@ _BEST = "(SELECT run, char_idx, arg_max(cell_idx, round(p, 9) - cell_idx * 1e-12
 
 @query(
     "flip_diagnostics",
-    f"""SELECT count(*) AS n, count(*) FILTER (b <> f) AS flips, count(*) FILTER (b <> f AND f = t) AS toward, count(*) FILTER (b <> f AND f <> t AND b = t) AS away, count(*) FILTER (b <> f AND f <> t AND b <> t) AS other, round(avg(CAST(b <> f AS DOUBLE)), 6) AS rate
-        FROM (SELECT x.f AS f, y.f AS b, t.target_cell AS t FROM {_BEST.format('(SELECT run, char_idx, 8 - cell_idx AS cell_idx, p FROM {prior})')} x JOIN {_BEST.format('{prior}')} y ON x.run = y.run AND x.char_idx = y.char_idx JOIN {{trials}} t ON t.run = x.run AND t.char_idx = x.char_idx)""",
+    f"""SELECT min(w) AS weight_min, max(w) AS weight_max, round(avg(w), 6) AS weight_mean, count(*) AS n, count(*) FILTER (b <> f) AS flips, count(*) FILTER (b <> f AND f = t) AS toward, count(*) FILTER (b <> f AND f <> t AND b = t) AS away, count(*) FILTER (b <> f AND f <> t AND b <> t) AS other, round(avg(CAST(b <> f AS DOUBLE)), 6) AS rate
+        FROM (SELECT x.f AS f, y.f AS b, t.target_cell AS t, CAST(x.run % 5 AS DOUBLE) / 10 AS w FROM {_BEST.format('(SELECT run, char_idx, 8 - cell_idx AS cell_idx, p FROM {prior})')} x JOIN {_BEST.format('{prior}')} y ON x.run = y.run AND x.char_idx = y.char_idx JOIN {{trials}} t ON t.run = x.run AND t.char_idx = x.char_idx)""",
 )
 def flip_diagnostics(t: Tables) -> DataFrame:
     rows = prior_arrays(t).withColumn("base", F.col("prior")).withColumn("prior", F.reverse("prior")).join(t("trials"), ["run", "char_idx"])
-    return R.flip_diagnostics(rows, target="target_cell").withColumn("rate", F.round("rate", 6))
+    out = R.flip_diagnostics(rows.withColumn("w", F.col("run") % 5 / 10), target="target_cell", weight="w")
+    return out.withColumns({c: F.round(c, 6) for c in ("rate", "weight_mean")})
+
+
+@query("source_counts", "SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT coalesce(CASE WHEN flash_id % 3 = 1 THEN 'global' WHEN flash_id % 3 = 2 THEN 'subject' END, 'base') AS source FROM {scores}) GROUP BY source")
+def source_counts(t: Tables) -> DataFrame:
+    source = F.when(F.col("flash_id") % 3 == 1, "global").when(F.col("flash_id") % 3 == 2, "subject")
+    return R.source_counts(t("scores").withColumn("source", source)).withColumn("share", F.round("share", 6))
 
 
 @query(

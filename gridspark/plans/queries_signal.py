@@ -232,6 +232,13 @@ def mean_trace(t: Tables) -> DataFrame:
     return E.mean_trace(one, ["y"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("channel_trace", f"SELECT y, i - 32 AS t, round(avg(v), 6) AS mean, count(*) AS n, 'c' AS channel FROM {_LONG} WHERE i BETWEEN 32 AND 47 GROUP BY y, i")
+def channel_trace(t: Tables) -> DataFrame:
+    """No channel ``q`` there: the fallback is taken."""
+    nested = E.crop_decimate(t("epochs").withColumn("x", F.transform("x", lambda v: v.cast("double"))), 4, 16, 0.0, 10.0, 1.6, 1)
+    return E.channel_trace(nested, ["y"], "abcd", "q", "c").withColumn("mean", F.round("mean", 6))
+
+
 # Summaries ---------------------------------------------------------------------------------------
 
 _FILES = "(SELECT run, (max(sample) + 1) / 256.0 AS seconds, count(*) AS events, count(*) FILTER (stim_type > 0) AS targets, avg(CAST(stim_type > 0 AS DOUBLE)) AS target_fraction, count(DISTINCT stim_code) AS codes, min(stim_code) AS min_code, max(stim_code) AS max_code FROM {samples} GROUP BY run)"

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import splits as P
 from ..sources import tables as S
+from ..sources.scratch import new_path
 from .registry import Tables, query
 
 _CONDITION = "CASE WHEN contains(session_id, 'DynBigram') THEN 'DynBigram' WHEN contains(session_id, 'Dyn') THEN 'Dyn' ELSE 'RC' END"
@@ -71,11 +70,10 @@ def read_phrase_bank(t: Tables) -> DataFrame:
     return S.clean_phrase_bank(t("phrase_bank"))
 
 
-@query("write_epochs")
+@query("write_epochs", "SELECT CAST(run AS INT) AS run_id, count(*) AS epochs FROM {epochs} GROUP BY run")
 def write_epochs(t: Tables) -> DataFrame:
     """Epochs written to the shared folder, and counted per run from the store."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/epochs-{t.spark.sparkContext.applicationId}-{id(t)}"
+    path = new_path(t.spark, "epochs")
     S.write_epochs(t("epochs").withColumnRenamed("run", "run_id"), path, {"sfreq": "256", "channels": "4"})
     return t.spark.read.parquet(f"{path}/epochs").groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"))
 
@@ -85,6 +83,13 @@ def incremental_runs(t: Tables) -> DataFrame:
     return S.incremental_runs(t("registry").select("session_id"), t("heldout"), "session_id")
 
 
+@query("split_failures", "SELECT event_id, 'no value in range' AS error FROM {events} WHERE value > 100 OR value IS NULL")
+def split_failures(t: Tables) -> DataFrame:
+    """The failures table: one row per record that was skipped, with its error."""
+    bad = F.col("value").isNull() | (F.col("value") > 100)
+    return S.split_failures(t("events"), F.when(bad, F.lit("no value in range")))[1].select("event_id", "error")
+
+
 @query(
     "upsert_results",
     """SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM {customer} WHERE c_custkey % 3 <> 0
@@ -96,11 +101,10 @@ def upsert_results(t: Tables) -> DataFrame:
     return S.upsert_results(old, new, ["k"])
 
 
-@query("write_summary_tables")
+@query("write_summary_tables", "SELECT run, count(*) AS count FROM {flashes} GROUP BY run")
 def write_summary_tables(t: Tables) -> DataFrame:
     """Two summaries written as CSV and read back."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/summary-{t.spark.sparkContext.applicationId}-{id(t)}"
+    path = new_path(t.spark, "summary")
     S.write_summary_tables({"by_type": t("events").groupBy("event_type").count(), "by_run": t("flashes").groupBy("run").count()}, path)
     return t.spark.read.csv(f"{path}/by_run", header=True, schema="run long, count long")
 
@@ -194,6 +198,19 @@ def protocol_audit(t: Tables) -> DataFrame:
     return P.protocol_audit(t("registry").select("session_id"), t("heldout"))
 
 
+@query(
+    "protocol_overlaps",
+    f"""SELECT session_id, condition, phase, held_out, phase = 'Test' AS test_labelled FROM (SELECT session_id, {_CONDITION} AS condition, CASE WHEN contains(session_id, 'Train') THEN 'Train' ELSE 'Test' END AS phase, c_custkey % 5 = 0 AS held_out FROM {{registry}}) WHERE held_out OR phase = 'Test'""",
+)
+def protocol_overlaps(t: Tables) -> DataFrame:
+    return P.protocol_overlaps(t("registry"), t("heldout"))
+
+
+@query("target_counts", "SELECT subject, count(*) FILTER (y = 1) AS target, count(*) FILTER (y = 0) AS non_target, count(DISTINCT run) AS runs FROM {flashes} GROUP BY subject")
+def target_counts(t: Tables) -> DataFrame:
+    return P.target_counts(t("flashes"))
+
+
 @query("usable_characters", "SELECT run, char_idx, count(DISTINCT seq_idx) AS sequences FROM {flashes} WHERE stim_code BETWEEN 1 AND 6 GROUP BY run, char_idx HAVING count(DISTINCT seq_idx) >= 2")
 def usable_characters(t: Tables) -> DataFrame:
     return P.usable_characters(t("flashes"), 6, 2)

@@ -11,19 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_edges(stream: DataFrame, threshold: float, run: str = "run", order: str = "sample", value: str = "signal") -> DataFrame:
+def stream_edges(stream: DataFrame, threshold: float, run: str = "run", order: str = "sample", value: str = "signal", ts: str | None = None, timeout: str = "10 minutes") -> DataFrame:
     """Rising edges of samples that arrive in any order within a recording.
 
     Samples are numbered without gaps. A recording's state is the last value passed and the
-    samples that wait for an earlier one, so an edge is found once its predecessor has come.
+    samples that wait for an earlier one, so an edge is found once its predecessor has come. With
+    an event time ``ts`` (with a watermark) a recording is closed when the watermark passes its
+    last event by ``timeout``: samples that still wait are passed over their gaps, where no edge is
+    found, and the state goes. Without ``ts`` state stays.
     """
+    limit = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def find(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, value_at, waiting_at, waiting = state.get if state.exists else (-1, float("nan"), [], [])
         held = dict(zip(waiting_at, waiting, strict=True))
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            for k in sorted(held):
+                if k - 1 in held and held[k - 1] <= threshold < held[k]:
+                    out.append((key[0], k, held[k]))
+            yield pd.DataFrame(out, columns=[run, order, value])
+            return
+        newest = 0
         for f in frames:
             held.update(zip(f[order].tolist(), f[value].tolist(), strict=True))
-        out = []
+            if ts:
+                newest = max(newest, int(f[ts].max().timestamp() * 1000))
         while last + 1 in held:
             last += 1
             now = held.pop(last)
@@ -32,10 +46,13 @@ def stream_edges(stream: DataFrame, threshold: float, run: str = "run", order: s
             value_at = now
         held = {k: v for k, v in held.items() if k > last}
         state.update((last, value_at, list(held), list(held.values())))
+        if ts:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + limit)
         yield pd.DataFrame(out, columns=[run, order, value])
 
-    return stream.select(run, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).groupBy(run).applyInPandasWithState(
-        find, f"{run} long, {order} long, {value} double", "last long, value double, waiting_at array<long>, waiting array<double>", "append", GroupStateTimeout.NoTimeout
+    columns = [F.col(run), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value), *([F.col(ts)] if ts else [])]
+    return stream.select(*columns).groupBy(run).applyInPandasWithState(
+        find, f"{run} long, {order} long, {value} double", "last long, value double, waiting_at array<long>, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
     )
 
 
@@ -61,12 +78,17 @@ def stream_dynamic_stop(stream: DataFrame, tau: float = 0.8, min_sequences: int
             if not done and seen:
                 yield result(key, np.array(log), len(seen), False)
             return
-        newest = 0
-        rows = pd.concat(list(frames)).sort_values("seq_idx")
-        for seq, posterior, ts in zip(rows["seq_idx"], rows["posterior"], rows["ts"], strict=True):
-            newest = max(newest, int(ts.timestamp() * 1000))
-            if done or seq in seen:
-                continue
+        newest, fresh = 0, {}
+        for f in frames:  # what a decided character still gets is only looked at for its time
+            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
+            if not done:
+                for seq, posterior in zip(f["seq_idx"], f["posterior"], strict=True):
+                    if seq not in seen:
+                        fresh.setdefault(seq, posterior)
+        for seq in sorted(fresh):
+            if done:
+                break
+            posterior = fresh[seq]
             seen = [*seen, int(seq)]
             add = np.log(np.clip(np.asarray(posterior, float), eps, 1.0))
             log = (np.asarray(log) + add if len(log) else add).tolist()

@@ -287,3 +287,95 @@ def test_epoch_store_is_append_once(spark, tmp_path):
         T.write_epochs(df, str(tmp_path / "s"), {})
     with pytest.raises(ValueError, match="values"):
         T.write_epochs(df.unionByName(spark.createDataFrame([(3, [1.0])], df.schema)), str(tmp_path / "t"), {})
+
+
+def test_gram_counts_of_any_characters(spark):
+    from collections import Counter
+
+    texts = ["Ab  cd\tAB", None, "", "é𝄞x é𝄞x", "a", "ba"]
+    got = {(r["history"], r["ch"]): r["n"] for r in R.ngram_counts(spark.createDataFrame([(t,) for t in texts], "text string"), 2).collect()}
+    want = Counter()
+    for t in texts:
+        padded = "  " + " ".join((t or "").lower().split())
+        for i in range(2, len(padded)):
+            want.update((padded[i - k : i], padded[i]) for k in range(3))
+    assert got == want
+    with pytest.raises(ValueError, match="order"):
+        R.ngram_counts(spark.createDataFrame([("a",)], "text string"), 4)
+
+
+def test_rag_sweep_against_numpy(spark):
+    from gridspark.functions.numeric import itr
+    from gridspark.operators.metrics import rag_grid_sweep, tier_accuracy
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.dirichlet(np.ones(4)).tolist(), float(rng.uniform(0.2, 0.9)), int(rng.integers(4)), rng.normal(size=4).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, prior array<double>, confidence double, target int, evidence array<double>")
+    params = spark.createDataFrame([(w, t, a) for w in (0.2, 0.7) for t in (0.3, 0.6) for a in (0.5, 1.0)], "weight double, threshold double, alpha double")
+    want = {}
+    for w, t, a in [tuple(r) for r in params.collect()]:
+        losses, hits = [], 0
+        for _, p, c, y, e in rows:
+            g = w / (1 + np.exp(-30 * (c - t)))
+            log = a * np.log((1 - g) / 4 + g * np.array(p)) + np.array(e)
+            losses.append(-(log - np.log(np.exp(log).sum()))[y])
+            hits += log.argmax() == y
+        want[w, t, a] = (np.mean(losses), hits / 40)
+    for objective in ("nll", "itr"):
+        got = rag_grid_sweep(df, params, 4, objective, evidence="evidence").withColumn("bits", itr(4, F.col("accuracy"), F.lit(60.0))).collect()
+        for r in got:
+            assert (r["nll"], r["accuracy"]) == pytest.approx(want[r["weight"], r["threshold"], r["alpha"]]) and r["itr"] == pytest.approx(r["bits"])
+        best = [r for r in got if r["best"]]
+        assert len(best) == 1 and (best[0]["nll"] == min(r["nll"] for r in got) if objective == "nll" else best[0]["itr"] == max(r["itr"] for r in got))
+    banks = spark.createDataFrame([(1, "a b"), (2, "a b c d"), (2, "e")], "tier int, text string")
+    tiers = spark.createDataFrame([(1, [0.1, 0.9], 1), (2, [0.6, 0.4], 1)], "tier int, prior array<double>, target int")
+    asked = spark.createDataFrame([(1, 2), (2, 1)], "tier int, count long")
+    got = {r["tier"]: r for r in tier_accuracy(tiers, banks, asked, 2).collect()}
+    gate = 1 / (1 + np.exp(-0.2 * (2 - 15)))
+    assert got[1]["tokens"] == 2 and got[1]["accuracy"] == 0.5 and got[2]["accuracy"] == 0
+    assert got[1]["nll"] == pytest.approx((np.log(2) - np.log((1 - gate / 4) / 2 + gate / 4 * 0.9)) / 2, abs=1e-5)
+
+
+def test_evidence_with_and_without_a_bound(spark):
+    from gridspark.operators.posterior import accumulate_evidence
+
+    rng = np.random.default_rng(8)
+    rows = [(r, c, s, rng.dirichlet(np.ones(5)).tolist(), 6) for r in (1, None) for c in (0, 1) for s in range(1, 5)]
+    df = spark.createDataFrame(rows, "run int, char_idx int, seq_idx int, posterior array<double>, flashes int")
+
+    def shown(out):
+        return sorted(((str(r["run"]), r["char_idx"], r["step"], r["flashes"], *np.round(r["evidence"], 9)) for r in out.collect()))
+
+    assert shown(accumulate_evidence(df)) == shown(accumulate_evidence(df, max_sequences=9)) and len(rows) == accumulate_evidence(df).count()
+    bias = df.where("run = 1").select("run", "char_idx").distinct().withColumn("bias", F.array(*[F.lit(float(i)) for i in range(5)]))
+    assert shown(accumulate_evidence(df, bias=bias)) == shown(accumulate_evidence(df, max_sequences=9, bias=bias))
+
+
+def test_edges_close_with_the_watermark(spark, tmp_path):
+    """A recording with a missing sample is closed when its time has passed: waiting samples pass, the gap has no edge."""
+    from gridspark.streaming.streams import stream_edges
+
+    base = [(1, 0, 0.0, 0), (1, 1, 9.0, 1), (1, 3, 0.0, 3), (1, 4, 8.0, 4), (1, 6, 9.0, 6)]
+    later = [(2, 0, 0.0, 7200), (2, 1, 9.0, 7201)]
+    for k, part in enumerate((base, later, [(2, 2, 0.0, 9000)])):
+        df = spark.createDataFrame(part, "run long, sample long, signal double, s int").selectExpr("run", "sample", "signal", "timestamp_seconds(1700000000 + s) ts")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
+    query = stream_edges(stream, 5.0, ts="ts").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("run", "sample", "signal").collect())
+    assert got == [(1, 1, 9.0), (1, 4, 8.0), (2, 1, 9.0)]
+
+
+
+def test_hierarchical_bootstrap_brackets_the_accuracy(spark):
+    """The mean of replicates is near the mean accuracy of equal subjects; one sure subject has no spread; a seed repeats."""
+    from gridspark.operators.stats import hierarchical_bootstrap
+
+    rows = [("a", s, 10 + s, 40) for s in range(12)] + [("b", 0, 7, 7)]
+    df = spark.createDataFrame(rows, "method string, subject int, correct int, characters int")
+    got = {r["method"]: r for r in hierarchical_bootstrap(df, ["method"], 300).collect()}
+    want = np.mean([(10 + s) / 40 for s in range(12)])
+    assert got["a"]["mean"] == pytest.approx(want, abs=0.02) and got["a"]["low"] < want < got["a"]["high"] and got["a"]["high"] - got["a"]["low"] < 0.3
+    assert (got["b"]["low"], got["b"]["mean"], got["b"]["high"]) == (1, 1, 1)
+    assert {r["method"]: r["low"] for r in hierarchical_bootstrap(df, ["method"], 300).collect()}["a"] == got["a"]["low"]
