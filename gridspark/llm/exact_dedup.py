@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     texts = routed(rows.withColumn("h", hashed(F.col("norm"))))
     entries = texts.groupBy("bucket", "h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("bucket", "h", digest, "keep_id", "group_size")
+    entries = materialize(entries.select("bucket", "h", digest, "keep_id", "group_size"), "dedup-entries")  # read twice: bounds of ranges, then rows
     chain = Window.partitionBy("bucket", "h").orderBy("digest")
     index = materialize(entries.repartitionByRange("bucket", "h").withColumn("chain_pos", F.row_number().over(chain) - 1), "dedup-index")
 
