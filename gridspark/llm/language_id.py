@@ -15,14 +15,30 @@ from .common import materialize
 from .substring_dedup import _groups
 
 BUCKETS = 1 << 15
-_DROP = re.compile(r"<(script|style|nav|footer|aside|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DROPPED = {"script", "style", "nav", "footer", "aside", "noscript", "template"}
+_MARK = re.compile(r"<!--|-->|<(/?)([A-Za-z][^\s/<>]*)[^<>]*>|<[!?/][^<>]*>")
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
 def visible_text(page: str) -> str:
-    """The text of a page without scripts, styles, navigation, comments and tags."""
-    return entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
+    """The text of a page without scripts, styles, navigation, comments and tags.
+
+    One pass over the marks of the page; a dropped element or comment without an end reaches to the
+    end of the page.
+    """
+    out, at, inside = [], 0, None
+    for m in _MARK.finditer(page):
+        mark, close, name = m[0], m[1], (m[2] or "").lower()
+        if inside is None:
+            out += page[at : m.start()], " "
+            if mark == "<!--" or (not close and name in _DROPPED):
+                inside = name or mark
+        elif mark == "-->" if inside == "<!--" else close and name == inside:
+            inside = None
+        at = m.end()
+    if inside is None:
+        out.append(page[at:])
+    return entities.unescape("".join(out))
 
 
 def trigram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,25 +53,30 @@ def trigram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside] % BUCKETS, owner[:-2][inside]
 
 
-def language_id(pages: DataFrame, labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 5_000, text_weight: float = 0.05, strength: float = 8.0) -> DataFrame:
+def language_id(pages: DataFrame, labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 5_000, text_weight: float = 0.05, strength: float = 8.0, most_langs: int = 500) -> DataFrame:
     """One row per page: (id, lang, probability, text_lang, declared, host, n_chars).
 
     Text likelihoods are byte-trigram counts per language, from about ``sample_rows`` labelled
     rows of each language (the documented bound), sent to all tasks as a table of fixed size. The
     posterior by text alone is summed over all pages by host, domain (last two labels), address
     suffix (last label) and declared language (``lang`` of the html tag). Host priors are smoothed
-    by their domain and that by the whole, with ``strength`` pages of the level above, and leave
-    the page itself out; suffix and declared language give likelihood ratios smoothed likewise.
-    The answer has the greatest product; ties go to the first language by name.
+    by their domain and that by the whole, with ``strength`` pages of the level above; suffix and
+    declared language give likelihood ratios smoothed likewise. All four leave the page itself out,
+    so a page is judged by its own text and by what other pages say. The answer has the greatest
+    product; ties go to the first language by name.
 
     ``text_weight`` tempers the text's log-likelihood, for neighbouring trigrams depend on each
     other. A page without html or address is judged by what is left, in the end by the overall
-    prior. Null ids and repeated rows are kept, row by row; extra columns are ignored. Without
-    labelled rows the language is null.
+    prior. Null ids and repeated rows are kept, row by row; very long pages are read whole, in time
+    proportional to their length; an empty table gives no rows; extra columns are ignored. Without
+    labelled rows the language is null. More than ``most_langs`` languages are an error, for each is
+    a column.
     """
     spark = pages.sparkSession
     named = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     langs = sorted(sizes)
     width = len(langs)
     page = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -115,15 +136,14 @@ def language_id(pages: DataFrame, labelled: DataFrame, *, id_col: str = "page_id
     for by, prefix in (("host", "h_"), ("domain", "d_"), ("suffix", "s_"), ("declared", "c_")):
         joined = joined.join(sums(by, prefix), by)
 
-    def smoothed(prefix: str, c: str, above: Column, own: bool) -> Column:
-        less = F.col(c) if own else F.lit(0.0)
-        return (F.greatest(F.col(prefix + c) - less, F.lit(0.0)) + strength * above) / (F.col(prefix + "n") - int(own) + strength)
+    def smoothed(prefix: str, c: str, above: Column) -> Column:
+        return (F.greatest(F.col(prefix + c) - F.col(c), F.lit(0.0)) + strength * above) / (F.col(prefix + "n") - 1 + strength)
 
     scores = []
     for c, g in zip(chances, overall, strict=True):
-        domain = smoothed("d_", c, F.lit(g), True)
-        prior = smoothed("h_", c, domain, True)
-        suffix, declared = (smoothed(x, c, F.lit(g), False) / g for x in ("s_", "c_"))
+        domain = smoothed("d_", c, F.lit(g))
+        prior = smoothed("h_", c, domain)
+        suffix, declared = (smoothed(x, c, F.lit(g)) / g for x in ("s_", "c_"))
         scores.append(F.greatest(F.col(c), F.lit(1e-300)) * prior * suffix * F.when(F.col("declared") == "", 1.0).otherwise(declared))
     result = joined.select("id", "declared", "host", "n_chars", *chances, *[s.alias(f"s{i}") for i, s in enumerate(scores)])
     finals = [F.col(f"s{i}") for i in range(width)]
