@@ -37,7 +37,8 @@ def shard_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hash to blocks of about ``block_rows`` rows, block sizes give offsets, and rows are numbered
     inside their block, so no task orders a whole shard. Null texts count as empty for size and
     checksum; null ids share a shard and are spread over blocks by their text; repeated rows get
-    slots of their own.
+    slots of their own. Texts are only measured where they lie, however long, and never shuffled;
+    an empty table gives no rows; extra columns, also of clashing names, are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col).cast("string")
