@@ -33,11 +33,11 @@ def shard_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Assign each row a shard by its key and a gapless slot inside the shard.
 
     Returns (id, size, text_crc32, law, shard, slot, grown_shard): size is the UTF-8 length plus
-    1, ``grown_shard`` the shard under one more shard of weight 1. Slots are dealt in blocks: keys
-    hash to blocks of about ``block_rows`` rows, block sizes give offsets, and rows are numbered
-    inside their block, so no task orders a whole shard. Null texts count as empty for size and
-    checksum; null ids share a shard and are spread over blocks by their text; repeated rows get
-    slots of their own. Texts are only measured where they lie, however long, and never shuffled;
+    1, ``grown_shard`` the shard under one more shard of weight 1. Slots are dealt in blocks: row numbers
+    (written once) hash to blocks of about ``block_rows`` rows, block sizes give offsets, and rows
+    are numbered inside their block, so no task orders a whole shard, nor all rows of one id. Null
+    texts count as empty for size and checksum; null ids share a shard; repeated rows get slots of
+    their own. Texts are only measured where they lie, however long, and never shuffled;
     an empty table gives no rows; extra columns, also of clashing names, are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -50,14 +50,15 @@ def shard_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             F.crc32(text.cast("binary")).alias("text_crc32"),
             rendezvous(key, range(shards), weights).alias("shard"),
             rendezvous(key, range(shards + 1), grown).alias("grown_shard"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
     blocks = max(32, rows.count() // (block_rows * shards) + 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("text_crc32").cast("string")))), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     ends = Window.partitionBy("shard").orderBy("block")
     offsets = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.sum("n").over(ends) - F.col("n")).drop("n")
-    inside = Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "block").orderBy("row")
     return (
         rows.withColumn("place", F.row_number().over(inside) - 1)
         .join(offsets, ["shard", "block"])
