@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _span_hashes, materialize
+from .common import Words, materialize, mix64
 from .substring_dedup import _groups, _lists
 from .toxicity import part_of
 
@@ -22,12 +22,26 @@ COUNTS = "word long, class int, n long"
 SCORED = "uid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
-def tokens_of(part: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and classes of all tokens, end tokens included, and the bounds of each text."""
+def tokens_of(part: pa.RecordBatch, classes: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], np.ndarray]:
+    """Hashes of all tokens, end tokens included, a function from tokens' places to their classes, and
+    the bounds of each text. The class of a word comes from its last bytes; an end token has class 0."""
     w = Words(part.column("text").to_pylist(), lower=True)
-    kind = (_span_hashes(w.data, np.maximum(w.start, w.end - TAIL), w.end) % np.uint64(classes)).astype(np.int32)
-    ends = w.bounds[1:]
-    return np.insert(w.hash, ends, END), np.insert(kind, ends, 0), w.bounds + np.arange(len(w.bounds))
+    bounds = w.bounds + np.arange(len(w.bounds))
+
+    def classes_of(at: np.ndarray) -> np.ndarray:
+        text = np.searchsorted(bounds, at, side="right") - 1
+        word = np.flatnonzero(at != bounds[text + 1] - 1)
+        last = at[word] - text[word]
+        size, end = np.minimum(w.end[last] - w.start[last], TAIL), w.end[last]
+        key = size.astype(np.uint64)
+        for k in range(TAIL):
+            byte = np.where(k < size, w.data[np.maximum(end - 1 - k, 0)], 0)
+            key = key << np.uint64(8) | byte.astype(np.uint64)
+        out = np.zeros(len(at), np.int32)
+        out[word] = (mix64(key) % np.uint64(classes)).astype(np.int32)
+        return out
+
+    return np.insert(w.hash, w.bounds[1:], END), classes_of, bounds
 
 
 def symbol_groups(batches: Iterator[pa.RecordBatch], tokens: int = 700_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -57,12 +71,14 @@ class Vocabulary:
         self.own, self.class_sizes, self.total, self.distinct = min(own, len(words)), class_sizes, total, distinct
         self.size = self.own + len(class_sizes)
 
-    def look_up(self, hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, hashes: np.ndarray, classes_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and counts of tokens; the count is -1 where it is not in this table."""
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         hit = self.words[at] == hashes
-        own = np.where(hit, self.symbol[at], -1)
-        return np.where(own >= 0, own, self.own + kinds), np.where(hit, self.counts[at], -1)
+        symbols = np.where(hit, self.symbol[at], -1)
+        rare = np.flatnonzero(symbols < 0)
+        symbols[rare] = self.own + classes_of(rare)
+        return symbols, np.where(hit, self.counts[at], -1)
 
 
 def in_step(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,22 +95,6 @@ def in_step(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index, offsets, order
 
 
-def forward(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Exact natural log-likelihood of each text by the scaled forward recursion."""
-    index, offsets, order = in_step(bounds[:-1], np.diff(bounds))
-    out = np.zeros(len(order))
-    state = None
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        seen = emit[symbols[index[a:b]]]
-        state = (start if state is None else state[: b - a] @ move) * seen
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        out[: b - a] += np.log(scale)
-    result = np.zeros(len(order))
-    result[order] = out
-    return result
-
-
 def segments_of(bounds: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and sizes of segments of at most ``longest`` tokens, and their number in their text."""
     sizes = np.diff(bounds)
@@ -117,6 +117,8 @@ def borders(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number:
     if not len(many):
         return inlet, outlet
     through = np.empty((len(many), states, states), emit.dtype)
+    ones = np.ones(states * states, emit.dtype)
+    even = emit / emit.max(axis=1, keepdims=True)  # factors of a token cancel; so products stay large for some steps
     for x in range(0, len(many), at_once):
         part = many[x : x + at_once]
         index, offsets, order = in_step(starts[part], sizes[part])
@@ -126,8 +128,8 @@ def borders(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number:
             here = product[: b - a]
             if t:
                 here = (here.reshape(-1, states) @ move).reshape(here.shape)
-            here = here * emit[symbols[index[a:b]]][:, None, :]
-            product[: b - a] = here / here.sum(axis=(1, 2), keepdims=True)
+            here = here * even[symbols[index[a:b]]][:, None, :]
+            product[: b - a] = here if t % 4 else here / (here.reshape(len(here), -1) @ ones)[:, None, None]
         through[x + order] = product
     place, own = number[many], np.arange(len(many))
     for r in range(1, int(place.max()) + 1):
@@ -142,6 +144,26 @@ def borders(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number:
     return inlet, outlet
 
 
+def forward(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, longest: int = 512) -> np.ndarray:
+    """Exact natural log-likelihood of each text by the scaled forward recursion.
+
+    The segments of a long text advance together; each begins with the state that the text before
+    it implies.
+    """
+    starts, sizes, number = segments_of(bounds, longest)
+    inlet, _ = borders(symbols, starts, sizes, number, start, move, emit)
+    index, offsets, order = in_step(starts, sizes)
+    out, ones = np.zeros(len(order)), np.ones(emit.shape[1])
+    state = np.where((number == 0)[:, None], start, inlet @ move)[order]
+    for t, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        state = (state[: b - a] @ move if t else state) * emit[symbols[index[a:b]]]
+        scale = state @ ones
+        state /= scale[:, None]
+        out[: b - a] += np.log(scale)
+    owner = np.cumsum(number == 0) - 1
+    return np.bincount(owner[order], weights=out, minlength=len(bounds) - 1)
+
+
 def expected_counts(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, longest: int, out: np.ndarray, at_once: int = 700_000) -> None:
     """Add one batch's expected Baum-Welch counts to ``out``.
 
@@ -164,12 +186,17 @@ def _segment_counts(symbols, starts, sizes, first, inlet, outlet, start, move, e
     size, states = emit.shape
     seen = emit[symbols[index]]
     alpha, scale = np.empty_like(seen), np.empty(len(index), seen.dtype)
-    state = None
+    alpha[: len(sizes)] = np.where(first[:, None], start, inlet @ move)
+    ones = np.ones(states, seen.dtype)
+    p = 0
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        state = (np.where(first[:, None], start, inlet @ move) if state is None else state[: b - a] @ move) * seen[a:b]
-        scale[a:b] = state.sum(axis=1)
-        state = state / scale[a:b, None]
-        alpha[a:b] = state
+        state = alpha[a:b]
+        if a:
+            np.matmul(alpha[p : p + b - a], move, out=state)
+        state *= seen[a:b]
+        np.matmul(state, ones, out=scale[a:b])
+        state /= scale[a:b, None]
+        p = a
     last = alpha[offsets[sizes - 1] + np.arange(len(sizes))]
     beta = outlet / (last * outlet).sum(axis=1, keepdims=True)
     back = move.T.copy()
@@ -177,10 +204,12 @@ def _segment_counts(symbols, starts, sizes, first, inlet, outlet, start, move, e
     for k in range(len(offsets) - 2, 0, -1):
         a, b, p = offsets[k], offsets[k + 1], offsets[k - 1]
         n = b - a
-        ahead = beta[:n] * seen[a:b] / scale[a:b, None]
+        ahead = seen[a:b]
+        ahead *= beta[:n]
+        ahead /= scale[a:b, None]
         moves += alpha[p : p + n].T @ ahead
         alpha[a:b] *= beta[:n]  # from here on the posterior
-        beta[:n] = ahead @ back
+        np.matmul(ahead, back, out=beta[:n])
     heads = int(offsets[1])
     entered = (beta[:heads] * seen[:heads] / scale[:heads, None])[~first]
     moves += inlet[~first].T @ entered
@@ -293,7 +322,7 @@ def fit_hidden_markov(train: DataFrame, *, states: int = 8, own: int = 16_384, c
         for part in _groups(batches, 0):
             h, k, _ = tokens_of(part, classes)
             u, at, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((u, k[at], n))
+            held.append((u, k(at), n))
             size += len(u)
             if size > 3_000_000:
                 yield rows()
@@ -415,7 +444,7 @@ def score_texts(source: DataFrame, model: HiddenMarkov) -> DataFrame:
 
             known = per_text(np.log10(np.maximum(seen, 0) + 1.0))
             in_class = symbols >= vocabulary.own
-            shares = np.where(in_class, np.log10(vocabulary.class_sizes[np.where(in_class, k, 0)]), 0.0)
+            shares = np.where(in_class, np.log10(vocabulary.class_sizes[np.where(in_class, symbols - vocabulary.own, 0)]), 0.0)
             # a class symbol's word takes (count + 1) / size; an own symbol takes all
             in_table = per_text(np.where(in_class, np.log10(np.maximum(seen, 0) + 1.0), 0.0))
             likelihood = forward(symbols, bounds, *final.value) / np.log(10)

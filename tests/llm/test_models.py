@@ -16,7 +16,7 @@ import corpus_pipeline
 from gridspark.llm.common import Words, window_hashes
 from gridspark.llm.decontaminate import Passages, aligned, decontaminate
 from gridspark.llm.hidden_markov import expected_counts, fit_hidden_markov, forward, hidden_markov_scores, score_texts, tokens_of
-from gridspark.llm.language_id import language_id, visible_text
+from gridspark.llm.language_id import BUCKETS, language_id, trigram_buckets, visible_text
 from gridspark.llm.packing import load_tokenizer, pack_documents, pack_lengths, tokenizer_path
 from gridspark.llm.sharding import rendezvous, shard_records
 from gridspark.llm.toxicity import _heads, _tokens, features, fit_kneser_ney, toxicity_scores
@@ -163,6 +163,29 @@ def test_rendezvous_moves_few(spark):
     assert abs((got["w"] == 3).mean() - 0.5) < 0.04 and set(got["w"][got["w"] != got["a"]]) == {3}
 
 
+def test_rendezvous_against_plain_python(spark):
+    """The shard with the highest -weight / ln(u), u from 64-bit hashes of key and shard, in plain Python."""
+    import struct
+
+    import xxhash
+
+    def score(key, shard, weight):
+        first = xxhash.xxh64(struct.pack("<i", shard), seed=xxhash.xxh64(key.encode(), seed=42).intdigest()).intdigest() if key is not None else xxhash.xxh64(struct.pack("<i", shard), seed=42).intdigest()
+        bits = xxhash.xxh64(struct.pack("<i", shard), seed=xxhash.xxh64(struct.pack("<Q", first), seed=42).intdigest()).intdigest() >> 11
+        return -weight / math.log((bits + 0.5) / 2**53)
+
+    keys = [str(i) for i in range(300)] + ["é", "", None]
+    weights = [1.0, 2.0, 0.5, 1.0, 3.0]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r["k"]: r["s"] for r in df.select("k", rendezvous(F.col("k"), range(5), weights).alias("s")).collect()}
+    assert got == {k: max(range(5), key=lambda s: (score(k, s, weights[s]), s)) for k in keys}
+    rows = [(i, "x" * (i % 9)) for i in range(200)] + [(None, None)]
+    out = shard_records(spark.createDataFrame(rows, DOCS), block_rows=4).collect()
+    for r in out:
+        key = None if r["doc_id"] is None else str(r["doc_id"])
+        assert r["shard"] == max(range(16), key=lambda s: (score(key, s, 1.0), s)) and r["grown_shard"] == max(range(17), key=lambda s: (score(key, s, 1.0), s))
+
+
 def test_sharding_slots(spark):
     rows = [(i, "é" * (i % 5)) for i in range(500)] + [(None, None), (None, "q"), (7, "éé"), (7, "éé")]
     got = shard_records(spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("s")), block_rows=5).toPandas()
@@ -187,6 +210,64 @@ def test_language_priors_help(spark):
     assert language_id(spark.createDataFrame([], "page_id long, url string, html string"), docs).count() == 0
 
 
+def test_language_posterior_against_plain_python(spark):
+    """Trigram likelihoods, and priors of host, domain, suffix and declared language without the page itself."""
+    rng = random.Random(4)
+    banks = {"de": ["der", "und", "nicht"], "en": ["the", "and", "not"], "fr": ["le", "et", "pas"]}
+    docs = [(" ".join(rng.choice(banks[k]) for _ in range(12)), k) for k in banks for _ in range(5)]
+    hosts = ["a.x.de", "b.x.de", "c.y.com", "d.z.fr", ""]
+    pages = []
+    for i in range(40):
+        k = rng.choice(sorted(banks))
+        body = " ".join(rng.choice(banks[rng.choice([k, k, "en"])]) for _ in range(rng.randint(0, 9)))
+        declared = rng.choice([f' lang="{k}"', ' lang="xx"', ""])
+        pages.append((i, f"http://{rng.choice(hosts)}/{i}", f"<html{declared}><nav>the the</nav><p>{body}</p></html>"))
+    pages += [pages[3], (50, None, None), (51, "nonsense", "")]
+    got = language_id(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "text string, lang string")).collect()
+    langs = sorted(banks)
+
+    def buckets(text):
+        return trigram_buckets([text])[0].tolist()
+
+    counts = {k: Counter(x for t, lang in docs if lang == k for x in buckets(t)) for k in langs}
+    logs = {k: lambda x, c=counts[k]: math.log((c[x] + 0.5) / (sum(c.values()) + 0.5 * BUCKETS)) for k in langs}
+    seen = []
+    for i, url, html in pages:
+        z = [0.05 * sum(logs[k](x) for x in buckets(visible_text(html or ""))) for k in langs]
+        p = [math.exp(v - max(z)) for v in z]
+        m = re.search(r'<html lang="(\w+)"', html or "")
+        host = re.match(r"https?://([^/]*)", url or "")
+        host = host[1] if host else ""
+        seen.append({"id": i, "p": [v / sum(p) for v in p], "declared": m[1] if m else "", "host": host, "domain": ".".join(host.split(".")[-2:]), "suffix": host.split(".")[-1]})
+    overall = [(sum(s["p"][k] for s in seen) + 1) / (len(seen) + 3) for k in range(3)]
+    want = []
+    for row, s in enumerate(seen):
+        def smooth(by, k, above, s=s, row=row):
+            others = [o["p"][k] for j, o in enumerate(seen) if j != row and o[by] == s[by]]
+            return (sum(others) + 8 * above) / (len(others) + 8)
+
+        score = []
+        for k in range(3):
+            v = s["p"][k] * smooth("host", k, smooth("domain", k, overall[k])) * smooth("suffix", k, overall[k]) / overall[k]
+            score.append(v * (smooth("declared", k, overall[k]) / overall[k] if s["declared"] else 1))
+        want.append((s["id"], langs[score.index(max(score))], round(max(score) / sum(score), 9)))
+    assert sorted((r["page_id"], r["lang"], round(r["probability"], 9)) for r in got) == sorted(want)
+    with pytest.raises(ValueError, match="languages"):
+        language_id(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "text string, lang string"), most_langs=2)
+
+
+def test_pages_without_ends_are_read_once(spark):
+    """Openings without an end, hundreds of thousands of them, take one pass."""
+    import time
+
+    began = time.time()
+    for mark in ("<script ", "<script>", "<!-- ", "<a ", "<", "<nav>x</p>"):
+        visible_text(mark * 200_000)
+    assert time.time() - began < 10
+    assert visible_text("a<script>b<p>c</script >d<!-- <script> -->e<STYLE>f</style>g<nav>h").split() == ["a", "d", "e", "g"]
+    assert visible_text("<!DOCTYPE html>1 &lt; 2 <p>x").split() == ["1", "<", "2", "x"]
+
+
 def test_toxicity_held_out(spark):
     rows, labels = [], []
     for i in range(600):
@@ -331,7 +412,7 @@ def test_scores_are_a_distribution_and_exact(spark):
     v = model.vocabulary
 
     def emission(word: int, kind: int) -> np.ndarray:
-        own = v.look_up(np.array([word], np.int64).view(np.uint64), np.array([kind]))[0][0]
+        own = v.look_up(np.array([word], np.int64).view(np.uint64), lambda at: np.full(len(at), kind))[0][0]
         share = 1.0 if own < v.own else (counts.get(word, (0, 0))[1] + 1) / v.class_sizes[kind]
         return model.emit[own] * share
 
@@ -341,7 +422,7 @@ def test_scores_are_a_distribution_and_exact(spark):
     assert len(scored) == len(rows) and sum(n for _, n in counts.values()) == scored[0]["train_tokens"]
     for text in ["new W1 newer", "", rows[5][1], rows[11][1]]:
         h, k, _ = tokens_of(pa.RecordBatch.from_pydict({"text": [text]}), 4)
-        e = [emission(int(x), int(y)) for x, y in zip(h.view(np.int64), k, strict=True)]
+        e = [emission(int(x), int(y)) for x, y in zip(h.view(np.int64), k(np.arange(len(h))), strict=True)]
         total = 0.0
         for s in itertools.product(range(2), repeat=len(e)):
             p = model.start[s[0]] * e[0][s[0]]
@@ -441,6 +522,32 @@ def test_added_tokens_have_their_ids(spark, tmp_path):
             assert r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(part.tobytes())
 
 
+def test_ids_of_a_whole_corpus(spark):
+    """Every document of the 1000-row table has the ids that ``tokenizers`` gives it."""
+    from tokenizers import Tokenizer
+
+    from gridspark.llm.queries import op10_packing
+
+    model = Tokenizer.from_file(tokenizer_path())
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {d: np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
+    rows = op10_packing(spark, sf).collect()
+    assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+
+
+def test_documents_longer_than_the_window(spark):
+    long_ = prose(6000)
+    rows = [(1, long_), (2, "short"), (3, long_ + " x"), (3, None)]
+    got = pack_documents(spark.createDataFrame(rows, DOCS).withColumn("LENGTH", F.lit(1)), window_tokens=3000).toPandas()
+    whole = got.groupby(["doc_id", "doc_tokens"])["length"].sum().reset_index()
+    assert sorted(whole["length"]) == sorted(whole["doc_tokens"]) and whole["doc_tokens"].max() > 6000 and len(whole) == 4
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 def test_pipeline_stages(spark):
     """Each stage keeps the columns, and its decisions equal those of its operator or of brute force."""
     sf = "/root/testdata/sf0.001"
