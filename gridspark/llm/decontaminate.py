@@ -147,6 +147,7 @@ class Passages:
         order = inside[np.argsort(flat[inside], kind="stable")]
         self.place = order
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.load = np.add.reduceat(self.over[order], self.first) if len(order) else self.count  # passages over all places of a q-gram
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         self.longest, self.least = int(m.max(initial=0)), int(self.needed.min(initial=1))
@@ -206,7 +207,7 @@ class Passages:
         near = joined >= self.needed[key // span]
         return key[near], joined[near]
 
-    def _long(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int, at_once: int = 4_000_000) -> list[tuple[int, int, int, int, int, int, int]]:
+    def _long(self, whole: np.ndarray, normal: list, ends: np.ndarray, gap: int, at_once: int = 500_000) -> list[tuple[int, int, int, int, int, int, int]]:
         """Items of two q-grams or more, by their passages."""
         h = gram_hashes(whole, self.q)
         hit = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -224,8 +225,8 @@ class Passages:
         hit, slot = hit[use], slot[use]
         half = self.slack + 1
         span = len(whole) // half + self.longest // half + 3
-        # stretches of hits with a bounded number of places; each reads on over one region's length
-        load = np.cumsum(self.count[slot])
+        # stretches of hits with a bounded number of passages; each reads on over one region's length
+        load = np.cumsum(self.load[slot])
         keys, found, a = [], [], 0
         while a < len(hit):
             b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + at_once, side="right")))
