@@ -17,25 +17,26 @@ from gridspark.llm.toxicity import toxicity_scores
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-ROW = "pipeline_row"
+ROW, TEXT, MORE = "pipeline_row", "pipeline_text", "pipeline_more"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a written number for each row, so that stages judge rows one by one, whatever their ids."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes of the text: what is decided by texts alone holds for all rows of a text, whatever their ids."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn(TEXT, F.xxhash64(text)).withColumn(MORE, F.xxhash64(F.lit(7), text))
 
 
-def _only(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
-    """The rows that are (``left_semi``) or are not (``left_anti``) among these numbers, as documents."""
-    numbers = materialize(numbers.select(F.col(ROW).alias("judged")).distinct(), "stage-judged").hint("merge")
-    return rows.join(numbers, rows[ROW] == numbers["judged"], how).drop(ROW)
+def _without(rows: DataFrame, rejected: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose text is not among the rejected ones, as documents."""
+    out = materialize(rejected.select(*[F.col(c).alias(f"{c}_out") for c in names]).distinct(), "stage-rejected").hint("merge")
+    return rows.join(out, [rows[c] == out[f"{c}_out"] for c in names], "left_anti").drop(TEXT, MORE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity models reject go."""
-    rows = _keyed(docs)
-    scores = toxicity_scores(rows, read_table(spark, sf_dir, "labels"), carry=[ROW])
-    return _only(rows, scores.where("predicted = 1"), "left_anti")
+    """Rows that the toxicity models reject go; a score depends on the text alone."""
+    rows = _named(docs)
+    scores = toxicity_scores(rows, read_table(spark, sf_dir, "labels"), carry=[TEXT, MORE])
+    return _without(rows, scores.where("predicted = 1"), [TEXT, MORE])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +46,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates stays, that with the least id; null ids come last."""
-    rows = _keyed(docs)
+    """One row of each class of near-duplicates stays, that with the least id; null ids come last.
+
+    Rows get a written number first, so that rows of one id, or of none, are judged one by one.
+    """
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
     classes = jaccard_join(rows, id_col=ROW).select(F.col(ROW).alias("judged"), "class_id")
-    named = rows.select(ROW, F.col("doc_id").alias("id")).join(classes, F.col(ROW) == F.col("judged"))
+    numbered = rows.select(ROW, F.col("doc_id").alias("id")).join(classes, F.col(ROW) == F.col("judged"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first")
-    return _only(rows, named.groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW)), "left_semi")
+    kept = materialize(numbered.groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias("judged")), "stage-kept").hint("merge")
+    return rows.join(kept, rows[ROW] == kept["judged"], "left_semi").drop(ROW)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak a benchmark item go."""
-    rows = _keyed(docs)
-    leaks = decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return _only(rows, leaks.select(F.col("doc_id").alias(ROW)), "left_anti")
+    """Rows that leak a benchmark item go; a leak depends on the text alone."""
+    rows = _named(docs)
+    leaks = decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col=TEXT)
+    return _without(rows, leaks.select(F.col("doc_id").alias(TEXT)), [TEXT])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
