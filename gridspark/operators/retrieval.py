@@ -52,36 +52,74 @@ def sample_bank(corpus: DataFrame, exclude: DataFrame, sizes: Sequence[int], see
     return each.where("size > _r").withColumn("rep", F.explode(F.sequence(F.lit(0), reps))).select("size", (F.col("_r") + F.col("rep") * have).alias("place"), "word")
 
 
+#: What tells stretches of text apart in the index: two hashes and the length.
+STRETCH = ("_h", "_g", "_n")
+
+
+def _stretch(x: Column) -> list[Column]:
+    return [F.xxhash64(x).alias("_h"), F.hash(x).alias("_g"), F.length(x).alias("_n")]
+
+
+def phrase_index(bank: DataFrame, cells: DataFrame, top_k: int = 20, by: Sequence[str] = (), order: Sequence[str] = ("bank_pos",), names: Sequence[str] = ("bank_pos",)) -> DataFrame:
+    """Inverted index: for each stretch of a phrase that starts at a word, and has a character of the
+    grid after it, where the best phrases hold it first and what follows there.
+
+    Rows are (*by, hashes and length of the stretch, first, start, cell_idx, weight, *names). Phrases that
+    begin with the stretch (``first``) and others have a list each, of the ``top_k`` of greatest weight,
+    then least ``order``. More are never needed: all phrases of one stretch match the same length, and
+    a phrase that holds a longer suffix of a context holds the shorter ones with the same character
+    after it, so a context's best ``top_k`` are among these lists. A stretch that all phrases share
+    leaves each task with ``top_k`` rows of a list, before any shuffle.
+    """
+    chars = "".join(r["ch"] for r in parameter_table(cells).select("ch").distinct().collect())
+    known = lambda at: F.position(F.substr("text", at, F.lit(1)), F.lit(chars)) > 0
+    starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | (F.substr(F.col("text"), i - 1, F.lit(1)) == " "))
+    rows = bank.where(F.length("text") > 1).withColumn("_starts", starts).withColumn("start", F.explode("_starts")).where(F.col("start") < F.length("text"))
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("start")))).where(known(F.col("start") + F.col("_n")))
+    sub = F.substr("text", F.col("start"), F.col("_n"))
+    alone = F.position(F.concat(F.lit(" "), sub), F.concat(F.lit(" "), F.col("text"))) == F.col("start")
+    earlier = F.exists("_starts", lambda i: (i < F.col("start")) & (F.substr("text", i, F.col("_n")) == sub) & known(i + F.col("_n")))
+    rows = rows.where(F.when(alone, F.lit(True)).otherwise(~earlier))
+    rows = rows.select(*by, *_stretch(sub), (F.col("start") == 1).alias("first"), "start", F.substr("text", F.col("start") + F.col("_n"), F.lit(1)).alias("ch"), "weight", *names)
+    best = Window.partitionBy(*by, *STRETCH, "first").orderBy(F.desc("weight"), *order)
+    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top_k).drop("_r")
+    return rows.join(parameter_table(cells.select("ch", "cell_idx")), "ch").drop("ch")
+
+
+def _asked(contexts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All suffixes of each context, as the index tells them apart."""
+    whole = contexts.select(*keys, normalize_context(F.col("context")).alias("_c"))
+    rows = whole.withColumn("_s", F.explode(context_suffixes(F.col("_c"))))
+    return rows.select(*keys, *_stretch(F.col("_s")), (F.col("_s") == F.col("_c")).alias("_all"))
+
+
+def _best_matches(found: DataFrame, keys: Sequence[str], names: Sequence[str], order: Sequence[str], top_k: int) -> DataFrame:
+    """Of the index entries that contexts met: the best of each phrase, and of these the ``top_k`` longest and best."""
+    score = F.col("weight") * (1.0 + F.col("_n")) * F.when(F.col("first") & F.col("_all"), 2.0).otherwise(1.0)
+    best = F.max(F.struct(score.alias("score"), F.col("_n").alias("len"), (-F.col("start")).alias("_s"), F.col("cell_idx"))).alias("_b")
+    one = found.groupBy(*keys, *names).agg(best).select(*keys, *names, "_b.score", "_b.len", "_b.cell_idx")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("len"), F.desc("score"), *order))
+    return one.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
 def phrase_matches(contexts: DataFrame, bank: DataFrame, cells: DataFrame, top_k: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Best match of each phrase for each context, the ``top_k`` longest and best per context.
 
     A suffix of the context (from a word on) must stand in the phrase at a word, with a character
     of the grid after it. Score: weight * (1 + length), doubled if the whole context starts the
-    phrase. An inverted index of all stretches from word starts makes this an equi-join; ties go
-    to the longer suffix, the earlier start, and the earlier phrase.
+    phrase. Ties go to the longer suffix, the earlier start, and the earlier phrase. Contexts meet
+    ``phrase_index`` in an equi-join that gives at most 2 ``top_k`` rows for each suffix.
     """
-    context = normalize_context(F.col("context"))
-    asked = contexts.select(*by, "context", context.alias("_c")).withColumn("suffix", F.explode(context_suffixes(F.col("_c"))))
-    starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | (F.substr(F.col("text"), i - 1, F.lit(1)) == " "))
-    index = bank.where(F.length("text") > 1).select(*by, "bank_pos", "text", "weight", F.explode(starts).alias("start")).where(F.col("start") < F.length("text"))
-    index = index.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("start"))))
-    index = index.select(*by, "bank_pos", "weight", "start", F.substr("text", F.col("start"), F.col("_n")).alias("suffix"), F.substr("text", F.col("start") + F.col("_n"), F.lit(1)).alias("ch"))
-    index = index.join(cells, "ch")
-    found = asked.join(index, [*by, "suffix"])
-    whole = (F.col("start") == 1) & (F.col("suffix") == F.col("_c"))
-    score = F.col("weight") * (1.0 + F.length("suffix")) * F.when(whole, 2.0).otherwise(1.0)
-    found = found.withColumn("score", score).withColumn("len", F.length("suffix"))
-    best = F.max(F.struct("score", "len", (-F.col("start")).alias("_s"), "cell_idx"))
-    one = found.groupBy(*by, "context", "bank_pos").agg(best.alias("_b")).select(*by, "context", "bank_pos", "_b.score", "_b.len", "_b.cell_idx")
-    order = Window.partitionBy(*by, "context").orderBy(F.desc("len"), F.desc("score"), "bank_pos")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    keys = [*by, "context"]
+    found = _asked(contexts, keys).join(phrase_index(bank, cells, top_k, by), [*by, *STRETCH])
+    return _best_matches(found, keys, ["bank_pos"], ["bank_pos"], top_k)
 
 
 def retrieval_prior(matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of match scores per cell, with the context's confidence (greatest share) and margin."""
     keys = [*by, "context"]
     sums = matches.groupBy(*keys, "cell_idx").agg(F.sum("score").alias("_s"))
-    p = sums.withColumn("p", F.col("_s") / F.sum("_s").over(Window.partitionBy(*keys))).drop("_s")
+    p = sums.withColumn("p", F.try_divide(F.col("_s"), F.sum("_s").over(Window.partitionBy(*keys)))).drop("_s")
     top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("p"), "cell_idx"))
     whole = Window.partitionBy(*keys)
     out = p.withColumn("_k", top)
@@ -89,6 +127,18 @@ def retrieval_prior(matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("confidence", first).withColumn("margin", first - F.coalesce(second, F.lit(0.0))).drop("_k")
 
 
+def prior_reasons(contexts: DataFrame, matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row for each context: how many phrases matched, the confidence and margin of its prior, and
+    ``reason``: available, no_matches, or no_grid_compatible_next_char (all matches weigh nothing)."""
+    keys = [*by, "context"]
+    top = retrieval_prior(matches, by).groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.max("margin").alias("margin"))
+    counts = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"), F.max("len").alias("matched_len"), F.sum("score").alias("_s"))
+    out = contexts.select(*keys).distinct().join(counts.join(top, keys), keys, "left")
+    reason = F.when(F.col("matches").isNull(), "no_matches").when(F.col("_s") <= 0, "no_grid_compatible_next_char").otherwise("available")
+    zero = lambda c: F.when(F.col("_s") > 0, F.col(c)).otherwise(0.0).alias(c)
+    return out.select(*keys, F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("matched_len", F.lit(0)).alias("matched_len"), zero("confidence"), zero("margin"), reason.alias("reason"))
+
+
 def char_bigrams(bank: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weighted counts of neighbouring characters inside phrases, never across them."""
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))

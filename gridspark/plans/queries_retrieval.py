@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.sizes import parameter_table
 from ..operators import retrieval as R
+from ..operators import session as G
 from .queries_decode import prior_arrays
 from .registry import Tables, query
 
@@ -108,6 +109,21 @@ def retrieval_prior(t: Tables) -> DataFrame:
     return R.retrieval_prior(matches(t)).withColumns({c: F.round(c, 6) for c in ("p", "confidence", "margin")})
 
 
+@query(
+    "prior_reasons",
+    f"""SELECT a.context, coalesce(m.n, 0) AS matches, CAST(coalesce(m.len, 0) AS INT) AS matched_len, round(coalesce(p.confidence, 0), 6) AS confidence, round(coalesce(p.margin, 0), 6) AS margin,
+               CASE WHEN m.n IS NULL THEN 'no_matches' WHEN m.s <= 0 THEN 'no_grid_compatible_next_char' ELSE 'available' END AS reason
+        FROM (SELECT DISTINCT lower(context) AS context FROM {{contexts}} UNION SELECT DISTINCT lower(n_name) FROM {{nation}}) a
+        LEFT JOIN (SELECT context, count(*) AS n, max(len) AS len, sum(score) AS s FROM {_MATCHES} GROUP BY context) m ON m.context = a.context
+        LEFT JOIN (SELECT context, max(confidence) AS confidence, max(margin) AS margin FROM {_PRIOR} GROUP BY context) p ON p.context = a.context""",
+)
+def prior_reasons(t: Tables) -> DataFrame:
+    """Names of nations are contexts without a match."""
+    asked = contexts(t).unionByName(t("nation").select(F.lower("n_name").alias("context"))).distinct()
+    out = R.prior_reasons(asked, R.phrase_matches(asked, bank(t), t("letters")))
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "margin")})
+
+
 _BIGRAMS = f"(SELECT substr(text, i, 1) AS a, substr(text, i + 1, 1) AS b, sum(weight) AS n FROM (SELECT *, unnest(range(1, length(text))) AS i FROM {_BANK}) GROUP BY 1, 2)"
 
 
@@ -201,6 +217,67 @@ def session_growth(t: Tables) -> DataFrame:
     return R.session_growth(trials).select("p_partkey", "phrases", F.col("tokens").cast("long").alias("tokens"))
 
 
+_OBSERVED = "(SELECT p_brand AS subject, CAST(p_partkey AS BIGINT) AS pos, lower(p_name) AS text FROM {part})"
+_INITIAL = "(SELECT subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY text) AS BIGINT) AS bank_pos, text, weight FROM (SELECT p_brand AS subject, lower(p_type) AS text, CAST(count(*) AS DOUBLE) AS weight FROM {part} GROUP BY 1, 2))"
+_SESSION_BANK = f"(SELECT subject, 0 AS origin, bank_pos, text, weight, CAST(-1 AS BIGINT) AS since FROM {_INITIAL} UNION ALL SELECT subject, 1, pos, text, 1.0, pos FROM {_OBSERVED})"
+_SESSION_ASKED = "(SELECT p_brand AS subject, CAST(p_partkey AS BIGINT) AS pos, lower(substr(p_name, 1, CAST(1 + p_partkey % 8 AS INT))) AS context FROM {part} UNION ALL SELECT p_brand, CAST(p_partkey AS BIGINT), chr(CAST(97 + p_partkey % 26 AS INT)) || 'q' FROM {part})"
+_SESSION = f"""
+    WITH asked AS (SELECT DISTINCT * FROM {_SESSION_ASKED}), bank AS (SELECT * FROM {_SESSION_BANK}),
+    suffixes AS (SELECT DISTINCT subject, pos, context, array_to_string(w[i:], ' ') AS suffix FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, string_split(context, ' ') AS w FROM asked)) WHERE array_to_string(w[i:], ' ') <> ''),
+    found AS (
+        SELECT s.subject, s.pos, s.context, b.origin, b.bank_pos, length(s.suffix) AS len, b.start, l.cell_idx, b.weight * (1.0 + length(s.suffix)) * CASE WHEN b.start = 1 AND s.suffix = s.context THEN 2 ELSE 1 END AS score
+        FROM suffixes s JOIN (SELECT *, unnest(range(1, length(text) + 1)) AS start FROM bank) b ON b.subject = s.subject AND b.since < s.pos
+             AND (b.start = 1 OR substr(b.text, b.start - 1, 1) = ' ') AND substr(b.text, b.start, length(s.suffix)) = s.suffix AND b.start + length(s.suffix) <= length(b.text)
+        JOIN {{letters}} l ON l.ch = substr(b.text, b.start + length(s.suffix), 1)),
+    matches AS (
+        SELECT *, row_number() OVER (PARTITION BY subject, pos, context ORDER BY len DESC, score DESC, origin, bank_pos) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY subject, pos, context, origin, bank_pos ORDER BY score DESC, len DESC, start) AS k FROM found) WHERE k = 1
+        QUALIFY row_number() OVER (PARTITION BY subject, pos, context ORDER BY len DESC, score DESC, origin, bank_pos) <= 20),
+    words AS (SELECT subject, pos, context, cell_idx, sum(score) / sum(sum(score)) OVER (PARTITION BY subject, pos, context) AS p, 'word_match' AS source FROM matches GROUP BY subject, pos, context, cell_idx),
+    pairs AS (
+        SELECT a.subject, a.pos, a.context, l.cell_idx, sum(b.weight) AS n
+        FROM (SELECT * FROM asked ANTI JOIN words USING (subject, pos, context)) a
+        JOIN (SELECT *, unnest(range(1, length(text))) AS i FROM bank) b ON a.subject = b.subject AND b.since < a.pos AND substr(b.text, b.i, 1) = substr(a.context, -1, 1)
+        JOIN {{letters}} l ON l.ch = substr(b.text, b.i + 1, 1) GROUP BY ALL),
+    shares AS (SELECT *, count(*) OVER w AS k, -sum(p * ln(p)) OVER w AS h FROM (SELECT *, n / sum(n) OVER (PARTITION BY subject, pos, context) AS p FROM pairs WHERE n >= 2) WINDOW w AS (PARTITION BY subject, pos, context)),
+    evened AS (SELECT subject, pos, context, cell_idx, p, CASE WHEN k > 1 THEN h / ln(k) ELSE 0 END AS h FROM shares),
+    priors AS (SELECT * FROM words UNION ALL SELECT subject, pos, context, cell_idx, p, 'char_backoff' FROM evened WHERE h <= 0.65),
+    sizes AS (SELECT a.subject, a.pos, count(b.text) AS phrases, CAST(coalesce(sum(len(string_split(b.text, ' '))), 0) AS BIGINT) AS tokens FROM (SELECT DISTINCT subject, pos FROM asked) a LEFT JOIN bank b ON a.subject = b.subject AND b.since < a.pos GROUP BY ALL)
+    SELECT a.subject, a.pos, a.context, p.cell_idx, round(p.p, 6) AS p, round(coalesce(max(p.p) OVER (PARTITION BY a.subject, a.pos, a.context), 0), 6) AS confidence, coalesce(p.source, 'none') AS source,
+           CASE WHEN p.cell_idx IS NOT NULL THEN 'available' WHEN s.phrases = 0 THEN 'no_matches' WHEN e.subject IS NOT NULL THEN 'high_entropy' ELSE 'below_min_count' END AS reason, s.phrases, s.tokens
+    FROM asked a LEFT JOIN priors p USING (subject, pos, context) LEFT JOIN (SELECT DISTINCT subject, pos, context FROM evened WHERE h > 0.65) e USING (subject, pos, context) JOIN sizes s USING (subject, pos)
+"""
+
+
+def session_asked(t: Tables) -> DataFrame:
+    """The start of each trial's text, and a context that no phrase holds."""
+    start = "p_brand subject", "CAST(p_partkey AS BIGINT) pos"
+    return t("part").selectExpr(*start, "lower(substr(p_name, 1, 1 + p_partkey % 8)) context").unionByName(t("part").selectExpr(*start, "concat(chr(97 + p_partkey % 26), 'q') context"))
+
+
+def session_observed(t: Tables) -> DataFrame:
+    return t("part").selectExpr("p_brand subject", "CAST(p_partkey AS BIGINT) pos", "lower(p_name) text")
+
+
+def session_initial(t: Tables) -> DataFrame:
+    rows = t("part").groupBy(F.col("p_brand").alias("subject"), F.lower("p_type").alias("text")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return rows.withColumn("bank_pos", F.row_number().over(Window.partitionBy("subject").orderBy("text")))
+
+
+@query("session_prior", _SESSION.replace(f"SELECT * FROM {_SESSION_BANK}", f"SELECT * FROM {_SESSION_BANK} WHERE origin = 1"))
+def session_prior(t: Tables) -> DataFrame:
+    """Only earlier phrases of the same session: the first trials of a subject have none."""
+    out = G.session_prior(session_asked(t), session_observed(t), t("letters"))
+    return out.withColumns({c: F.round(c, 6) for c in ("p", "confidence")})
+
+
+@query("session_prior_initial", _SESSION)
+def session_prior_initial(t: Tables) -> DataFrame:
+    """The same over an initial bank of weighted phrases."""
+    out = G.session_prior(session_asked(t), session_observed(t), t("letters"), session_initial(t))
+    return out.withColumns({c: F.round(c, 6) for c in ("p", "confidence")})
+
+
 _TEXT = r"(SELECT '  ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM {documents})"
 _COUNTS = f"(SELECT h AS history, ch, sum(n) AS n FROM (SELECT substr(w, 3 - k, k) AS h, ch, n FROM (SELECT substr(t, i - 2, 2) AS w, substr(t, i, 1) AS ch, count(*) AS n FROM (SELECT t, unnest(range(3, length(t) + 1)) AS i FROM {_TEXT} WHERE length(t) > 2) GROUP BY 1, 2) CROSS JOIN (VALUES (0), (1), (2)) o(k)) GROUP BY h, ch)"
 
