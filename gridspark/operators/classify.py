@@ -1,7 +1,8 @@
 """Linear classifiers from sufficient statistics.
 
 Rows (``x`` array<double>, ``y`` 0/1, a group column) are reduced to moment matrices in Spark;
-systems of the feature dimension are solved on the driver and coefficients go back as a model.
+systems of the feature dimension are solved on the driver and coefficients go back as a model. For
+more than ``DENSE`` features the matrices stay in blocks, and only vectors reach the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .moments import DENSE, Moments, _pilot, conjugate_gradients, moments, pooled, wide_gram, wide_shrunk_covariance
+from .moments import matrix as _matrix
 from .posterior import array_sum
 
 #: A fit returns a model whose ``apply`` adds ``logit``; a calibration returns a temperature for scored rows.
@@ -45,72 +49,12 @@ def score_linear(df: DataFrame, model: LinearModel, temperature: float = 1.0, x:
     return df.withColumn("logit", model.score(x, temperature))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
-
-
-@dataclass(frozen=True)
-class Moments:
-    """Weighted count, sums, squares and products of one key's rows."""
-
-    n: float
-    total: np.ndarray
-    gram: np.ndarray
-    squares: np.ndarray  # of products: sum of x_i^2 x_j^2
-
-    @property
-    def mean(self) -> np.ndarray:
-        return self.total / self.n
-
-    @property
-    def covariance(self) -> np.ndarray:
-        return self.gram / self.n - np.outer(self.mean, self.mean)
-
-
-def moments(df: DataFrame, key: str, x: str = "x", shift: np.ndarray | None = None, scale: np.ndarray | None = None) -> dict:
-    """Moments per value of an integer ``key`` (few values), after shifting and scaling.
-
-    Each task adds up blocks of rows and emits one row per key and matrix row, which a grouped
-    sum brings together; a task holds one matrix per key and emits it row by row.
-    """
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            xs = _matrix(batch.column(1))
-            if not len(xs):
-                continue
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            for k in dict.fromkeys(keys.tolist()):
-                one = xs[keys == k]
-                one = one if shift is None else (one - (shift[k] if isinstance(shift, dict) else shift)) / (scale[k] if isinstance(scale, dict) else scale)
-                sq = one * one
-                new = np.concatenate([[np.r_[len(one), one.sum(axis=0)]], np.column_stack([np.zeros(one.shape[1]), one.T @ one]), np.column_stack([np.zeros(one.shape[1]), sq.T @ sq])])
-                held[k] = held[k] + new if k in held else new
-        for k, m in held.items():
-            i, j = np.nonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(i), pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m[i, j])], names=["k", "i", "j", "v"])
-
-    got = df.select(F.col(key).cast("long"), x).mapInArrow(partial, "k long, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    out = {}
-    k, i, j, v = (got[c].to_numpy(zero_copy_only=False) for c in ("k", "i", "j", "v"))
-    for key_value in dict.fromkeys(k.tolist()):
-        use = k == key_value
-        p = int(j[use].max())
-        m = np.zeros((2 * p + 1, p + 1))
-        m[i[use], j[use]] = v[use]
-        out[key_value] = Moments(m[0, 0], m[0, 1:], m[1 : p + 1, 1:], m[p + 1 :, 1:])
-    return out
-
-
-def pooled(parts: Sequence[Moments]) -> Moments:
-    return Moments(*(sum(getattr(p, f) for p in parts) for f in ("n", "total", "gram", "squares")))
-
-
 def standard_scaler(df: DataFrame, x: str = "x") -> DataFrame:
-    """Mean and population deviation of each feature: (i, mean, std)."""
-    return df.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    """Mean and population deviation of each feature: (i, mean, std), from one sum vector a task."""
+    sums = moments(df.withColumn("_one", F.lit(0)), "_one", x, wanted="")
+    m = sums.get(0)
+    rows = [] if m is None else [(i, float(a), float(v)) for i, (a, v) in enumerate(zip(m.at + m.unit * m.mean, m.unit * np.sqrt(np.maximum(m.second / m.n - m.mean**2, 0.0)), strict=True))]
+    return df.sparkSession.createDataFrame(rows, "i int, mean double, std double")
 
 
 def _ridge(rows: DataFrame, x: Column, y: str, pos_weight: float, penalty: float, max_iter: int) -> tuple[np.ndarray, float]:
@@ -122,9 +66,9 @@ def _ridge(rows: DataFrame, x: Column, y: str, pos_weight: float, penalty: float
 
 def fit_logistic(df: DataFrame, alpha: float = 0.01, pos_weight: float = 5.0, x: str = "x", y: str = "y", max_iter: int = 100) -> LinearModel:
     """Class-weighted ridge logistic regression on standardised features."""
-    parts = moments(df, y, x)
+    parts = moments(df, y, x, wanted="")
     m = pooled(list(parts.values()))
-    mean, std = m.mean, np.sqrt(np.maximum(np.diag(m.covariance), 1e-18))
+    mean, std = m.at + m.unit * m.mean, m.unit * m.deviation
     z = F.zip_with(F.zip_with(F.col(x), F.lit(mean.tolist()), lambda a, b: a - b), F.lit(std.tolist()), lambda a, b: a / b)
     total = sum(p.n * (pos_weight if k == 1 else 1.0) for k, p in parts.items())
     w, intercept = _ridge(df, z, y, pos_weight, alpha * m.n / total, max_iter)
@@ -155,26 +99,33 @@ def _t_tail(t: float, dof: float) -> float:
     return float(min(1.0, 2 * math.exp(log_norm) * math.sqrt(dof) * area))
 
 
-def _stepwise(gram: np.ndarray, xy: np.ndarray, yy: float, n: float, p_enter: float, p_remove: float, most: int) -> list[int]:
-    """Forward and backward selection on moments of an intercept (column 0) and features."""
+def _stepwise(column: Callable[[int], np.ndarray], diagonal: np.ndarray, xy: np.ndarray, yy: float, n: float, p_enter: float, p_remove: float, most: int) -> tuple[list[int], np.ndarray]:
+    """Forward and backward selection on moments of an intercept (column 0) and features: the chosen columns and
+    their coefficients. Of the products only the chosen columns are ever asked for."""
     chosen: list[int] = []
-    for _ in range(min(most, len(gram) - 1)):
+    seen = {0: column(0)}
+
+    def solve(cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        inverse = np.linalg.pinv(np.column_stack([seen[c][cols] for c in cols]))
+        return inverse, inverse @ xy[cols]
+
+    for _ in range(min(most, len(diagonal) - 1)):
         cols = [0, *chosen]
-        inverse = np.linalg.pinv(gram[np.ix_(cols, cols)])
-        b = inverse @ xy[cols]
+        inverse, b = solve(cols)
         noise = max(yy - b @ xy[cols], 0.0) / max(n - len(cols), 1.0)
-        rest = np.array([f for f in range(1, len(gram)) if f not in chosen])
-        lever = gram[np.ix_(rest, cols)]
-        left = np.maximum(gram[rest, rest] - ((lever @ inverse) * lever).sum(axis=1), 1e-12)  # what the chosen do not explain
+        rest = np.setdiff1d(np.arange(1, len(diagonal)), chosen)
+        lever = np.column_stack([seen[c][rest] for c in cols])
+        left = np.maximum(diagonal[rest] - ((lever @ inverse) * lever).sum(axis=1), 1e-12)  # what the chosen do not explain
         t = (xy[rest] - lever @ b) / np.sqrt(np.maximum(noise * left, 1e-12))
         best = int(np.argmax(np.abs(t)))
         if chosen and _t_tail(float(t[best]), max(n - len(cols) - 1, 1.0)) >= p_enter:
             break
         chosen.append(int(rest[best]))
+        if chosen[-1] not in seen:
+            seen[chosen[-1]] = column(chosen[-1])
         while len(chosen) > 1:
             cols = [0, *chosen]
-            inverse = np.linalg.pinv(gram[np.ix_(cols, cols)])
-            b = inverse @ xy[cols]
+            inverse, b = solve(cols)
             dof = max(n - len(cols), 1.0)
             error = np.sqrt(np.maximum(np.diag(inverse) * max(yy - b @ xy[cols], 0.0) / dof, 1e-300))
             p = [_t_tail(float(v), dof) for v in (b / error)[1:]]
@@ -182,32 +133,61 @@ def _stepwise(gram: np.ndarray, xy: np.ndarray, yy: float, n: float, p_enter: fl
             if p[worst] <= p_remove:
                 break
             del chosen[worst]
-    return chosen
+    return chosen, solve([0, *chosen])[1]
+
+
+@dataclass(frozen=True)
+class MomentFit:
+    """A fit that needs nothing of its rows but moments of the two classes.
+
+    Folds then share one pass: the moments of a training set are sums of those of its cells.
+    """
+
+    solve: Callable[[dict[int, Moments]], LinearModel]
+    wanted: str
+    x: str = "x"
+    y: str = "y"
 
+    def __call__(self, df: DataFrame) -> LinearModel:
+        return self.solve(moments(df, self.y, self.x, self.wanted))
 
-def _swlda(parts: dict, p_enter: float, p_remove: float, most: int, weights: tuple[float, float]) -> LinearModel:
-    p = len(parts[1].total)
-    gram, xy, yy = np.zeros((p + 1, p + 1)), np.zeros(p + 1), 0.0
+
+def _regression_sums(parts: dict[int, Moments], weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Column 0 of the products, their diagonal, products with the label, its square, and the number of rows."""
+    first, diagonal, xy, yy = 0.0, 0.0, 0.0, 0.0
     for label, w in ((0, weights[0]), (1, weights[1])):
-        m, t = parts[label], float(label)
-        gram[0, 0] += w * m.n
-        gram[0, 1:] += w * m.total
-        gram[1:, 0] += w * m.total
-        gram[1:, 1:] += w * m.gram
-        xy += w * t * np.r_[m.n, m.total]
-        yy += w * t * m.n
-    n = parts[0].n + parts[1].n
-    cols = [0, *_stepwise(gram, xy, yy, n, p_enter, p_remove, most)]
-    b = np.linalg.pinv(gram[np.ix_(cols, cols)]) @ xy[cols]
-    out = np.zeros(p)
-    out[[c - 1 for c in cols[1:]]] = b[1:]
-    return LinearModel(out, float(b[0]))
-
-
-def fit_swlda(df: DataFrame, p_enter: float = 0.05, p_remove: float = 0.1, max_features: int = 35, weights: tuple[float, float] = (1.0, 7.0), x: str = "x", y: str = "y") -> LinearModel:
+        m = parts[label]
+        first = first + w * np.r_[m.n, m.total]
+        diagonal = diagonal + w * np.r_[m.n, m.second]
+        xy = xy + w * label * np.r_[m.n, m.total]
+        yy += w * label * m.n
+    return first, diagonal, xy, yy, parts[0].n + parts[1].n
+
+
+def _swlda(parts: dict[int, Moments], p_enter: float, p_remove: float, most: int, weights: tuple[float, float], columns: Callable[[int], np.ndarray] | None = None) -> LinearModel:
+    first, diagonal, xy, yy, n = _regression_sums(parts, weights)
+    if columns is None:
+        columns = lambda j: weights[0] * parts[0].gram[:, j] + weights[1] * parts[1].gram[:, j]
+    cols, b = _stepwise(lambda j: first if j == 0 else np.r_[first[j], columns(j - 1)], diagonal, xy, yy, n, p_enter, p_remove, most)
+    out = np.zeros(len(first) - 1)
+    out[[c - 1 for c in cols]] = b[1:]
+    return LinearModel(*parts[0].back(out, b[0]))
+
+
+def swlda_fit(p_enter: float = 0.05, p_remove: float = 0.1, max_features: int = 35, weights: tuple[float, float] = (1.0, 7.0), x: str = "x", y: str = "y") -> MomentFit:
+    """``fit_swlda`` as a fit whose folds share one pass."""
+    return MomentFit(lambda parts: _swlda(parts, p_enter, p_remove, max_features, weights), "g", x, y)
+
+
+def fit_swlda(df: DataFrame, p_enter: float = 0.05, p_remove: float = 0.1, max_features: int = 35, weights: tuple[float, float] = (1.0, 7.0), x: str = "x", y: str = "y", dense: int = DENSE) -> LinearModel:
     """Weighted stepwise regression of the label (0 or 1) on features, from one pass of moments; one
-    feature always stays, even if it is not significant."""
-    return _swlda(moments(df, y, x), p_enter, p_remove, max_features, weights)
+    feature always stays, even if it is not significant. Over ``dense`` features the products stay in
+    blocks, of which the chosen columns are read."""
+    at, unit = _pilot(df, x)
+    if len(at) <= dense:
+        return swlda_fit(p_enter, p_remove, max_features, weights, x, y)(df)
+    products = wide_gram(df, x, y, at, unit, {0: weights[0], 1: weights[1]})
+    return _swlda(moments(df, y, x, "", (at, unit)), p_enter, p_remove, max_features, weights, products.column)
 
 
 def tune_swlda(df: DataFrame, grid: Sequence[tuple[float, float]], group: str, folds: int = 2, x: str = "x", y: str = "y") -> tuple[tuple[float, float], list[float]]:
@@ -216,7 +196,7 @@ def tune_swlda(df: DataFrame, grid: Sequence[tuple[float, float]], group: str, f
     from .splits import group_kfold
 
     marked = group_kfold(df, group, folds).withColumn("_cell", F.col("fold") * 2 + F.col(y))
-    cells = moments(marked, "_cell", x)
+    cells = moments(marked, "_cell", x, "g")
     aucs = []
     for enter, remove in grid:
         each = []
@@ -228,28 +208,44 @@ def tune_swlda(df: DataFrame, grid: Sequence[tuple[float, float]], group: str, f
     return grid[int(np.argmax(aucs))], aucs
 
 
-def _ledoit_wolf(m: Moments) -> np.ndarray:
+def _ledoit_wolf(n: float, gram: np.ndarray, squares: np.ndarray) -> np.ndarray:
     """Shrunk covariance of centred rows from their moments of second and fourth order."""
-    p, s = len(m.total), m.gram / m.n
+    p, s = len(gram), gram / n
     mu = np.trace(s) / p
     delta = ((s - mu * np.eye(p)) ** 2).sum() / p
-    beta = min((m.squares / m.n - s**2).sum() / (m.n * p), delta)
+    beta = min((squares / n - s**2).sum() / (n * p), delta)
     shrink = 0.0 if delta == 0 else beta / delta
     return (1 - shrink) * s + shrink * mu * np.eye(p)
 
 
-def fit_shrinkage_lda(df: DataFrame, x: str = "x", y: str = "y") -> LinearModel:
-    """Linear discriminant with equal priors and Ledoit-Wolf covariance per class.
+def _shrinkage_lda(parts: dict[int, Moments]) -> LinearModel:
+    cov = 0.0
+    for k in (0, 1):
+        m = parts[k]
+        cov = cov + _ledoit_wolf(m.n, *m.moved(m.mean, m.deviation)) * np.outer(m.deviation, m.deviation) / 2
+    w = np.linalg.solve(cov, parts[1].mean - parts[0].mean)
+    return LinearModel(*parts[0].back(w, float(-w @ (parts[0].mean + parts[1].mean) / 2)))
 
-    Pass one: means and deviations per class. Pass two: products of class-standardised rows. The
-    shrunk matrices are scaled back and averaged.
+
+def lda_fit(x: str = "x", y: str = "y") -> MomentFit:
+    """``fit_shrinkage_lda`` as a fit whose folds share one pass."""
+    return MomentFit(_shrinkage_lda, "gcq", x, y)
+
+
+def fit_shrinkage_lda(df: DataFrame, x: str = "x", y: str = "y", dense: int = DENSE) -> LinearModel:
+    """Linear discriminant with equal priors and Ledoit-Wolf covariance per class, standardised by class.
+
+    One pass gives all sums, up to products of squares, from which those of class-standardised rows
+    follow. Over ``dense`` features a first pass gives means and deviations, a second the products in
+    blocks; the system is then solved by conjugate gradients over the blocks.
     """
-    first = moments(df, y, x)
-    mean = {k: m.mean for k, m in first.items()}
-    std = {k: np.sqrt(np.maximum(np.diag(m.covariance), 1e-18)) for k, m in first.items()}
-    second = moments(df, y, x, mean, std)
-    cov = sum(_ledoit_wolf(second[k]) * np.outer(std[k], std[k]) for k in (0, 1)) / 2
-    w = np.linalg.solve(cov, mean[1] - mean[0])
+    at, unit = _pilot(df, x)
+    if len(at) <= dense:
+        return lda_fit(x, y)(df)
+    sums = moments(df, y, x, "", (at, unit))
+    cov = wide_shrunk_covariance(df, x, y, sums)
+    mean = {k: m.at + m.unit * m.mean for k, m in sums.items()}
+    w = conjugate_gradients(cov.times, mean[1] - mean[0], cov.diagonal())
     return LinearModel(w, float(-w @ (mean[0] + mean[1]) / 2))
 
 
@@ -441,11 +437,34 @@ def stack_scores(a: DataFrame, b: DataFrame, on: str, y: str = "y", c: float = 0
     return score_linear(whole, model).select(on, y, "logit"), model
 
 
+def _logits(models: Sequence[LinearModel], index: Column, x: str) -> Column:
+    """The score by one of several models, picked row by row."""
+    weights = F.array(*[F.lit([float(v) for v in m.weights]) for m in models])
+    own = F.element_at(weights, index + 1)
+    intercept = F.element_at(F.array(*[F.lit(float(m.intercept)) for m in models]), index + 1)
+    return array_sum(F.zip_with(F.col(x), own, lambda a, b: a * b)) + intercept
+
+
+def _of_cells(cells: dict[int, Moments], codes: Sequence[int], fit: MomentFit) -> LinearModel:
+    """The model of the rows of some cells; cell c holds its classes under 2 c and 2 c + 1."""
+    parts = {y: [cells[2 * c + y] for c in codes if 2 * c + y in cells] for y in (0, 1)}
+    if not (parts[0] and parts[1]):
+        raise ValueError("a training set of the folds lacks a class")
+    return fit.solve({y: pooled(p) for y, p in parts.items()})
+
+
 def cross_fit(df: DataFrame, fit: Fit, group: str, k: int) -> DataFrame:
-    """Out-of-fold scores with grouped folds: every row is scored once, by a model that saw none of its group."""
+    """Out-of-fold scores with grouped folds: every row is scored once, by a model that saw none of its group.
+
+    A ``MomentFit`` reads the rows once for all folds, and once more to score them.
+    """
     from .splits import group_kfold
 
     marked = group_kfold(df, group, k)
+    if isinstance(fit, MomentFit):
+        cells = moments(marked.withColumn("_cell", F.col("fold") * 2 + F.col(fit.y)), "_cell", fit.x, fit.wanted)
+        models = [_of_cells(cells, [g for g in range(k) if g != f], fit) for f in range(k)]
+        return marked.withColumn("logit", _logits(models, F.col("fold"), fit.x))
     out = None
     for f in range(k):
         part = fit(marked.where(F.col("fold") != f)).apply(marked.where(F.col("fold") == f))
@@ -455,17 +474,50 @@ def cross_fit(df: DataFrame, fit: Fit, group: str, k: int) -> DataFrame:
 
 def fit_final(df: DataFrame, fit: Fit, group: str, k: int, calibrate: Calibrate) -> tuple[LinearModel | CovarianceModel, float]:
     """The model of the whole pool, and the temperature that suits the pool's out-of-fold scores."""
-    return fit(df), calibrate(cross_fit(df, fit, group, k))
+    if not isinstance(fit, MomentFit):
+        return fit(df), calibrate(cross_fit(df, fit, group, k))
+    from .splits import group_kfold
+
+    marked = group_kfold(df, group, k)
+    cells = moments(marked.withColumn("_cell", F.col("fold") * 2 + F.col(fit.y)), "_cell", fit.x, fit.wanted)
+    models = [_of_cells(cells, [g for g in range(k) if g != f], fit) for f in range(k)]
+    return _of_cells(cells, range(k), fit), calibrate(marked.withColumn("logit", _logits(models, F.col("fold"), fit.x)))
+
+
+def _nested_models(marked: DataFrame, fit: MomentFit, outer: int, inner: int) -> tuple[list[LinearModel], list[list[LinearModel]]]:
+    """From one pass: for each outer fold the model of all others, and for each of its inner folds the
+    model of those others without it."""
+    others = F.array(*[F.when(F.col("fold") != f, (f * inner + F.col("inner")[f]) * 2 + F.col(fit.y)) for f in range(outer)])
+    cells = moments(marked.withColumn("_cells", F.filter(others, lambda c: c.isNotNull())), "_cells", fit.x, fit.wanted)
+    whole = [_of_cells(cells, [f * inner + i for i in range(inner)], fit) for f in range(outer)]
+    return whole, [[_of_cells(cells, [f * inner + g for g in range(inner) if g != i], fit) for i in range(inner)] for f in range(outer)]
+
+
+def _nested_logits(marked: DataFrame, fit: MomentFit, outer: int, inner: int) -> tuple[Column, Column]:
+    """The score by the model that saw nothing of a row's outer fold, and an array: for each other outer
+    fold, as whose training row it is scored by a model without its inner fold."""
+    whole, parts = _nested_models(marked, fit, outer, inner)
+    flat = [m for models in parts for m in models]
+    each = [F.when(F.col("fold") != f, _logits(flat, f * inner + F.coalesce(F.col("inner")[f], F.lit(0)), fit.x)) for f in range(outer)]
+    return _logits(whole, F.col("fold"), fit.x), F.array(*each)
 
 
 def nested_cross_fit(df: DataFrame, fit: Fit, group: str, outer: int, inner: int, calibrate: Calibrate) -> tuple[DataFrame, list[float]]:
     """Out-of-fold scores, raw (``logit``) and calibrated, and the temperature of each outer fold.
 
     A fold is scored by a model of the other folds, at a temperature fitted on the out-of-fold
-    scores of ``inner`` folds within these, so neither saw the fold.
+    scores of ``inner`` folds within these, so neither saw the fold. A ``MomentFit`` reads the rows once
+    for all models; its scores are written without the features, and that is what ``calibrate`` gets.
     """
-    from .splits import group_kfold
-
+    from .splits import group_kfold, nested_folds
+
+    if isinstance(fit, MomentFit):
+        marked = nested_folds(df, group, outer, inner)
+        raw, inside = _nested_logits(marked, fit, outer, inner)
+        narrow = written(marked.select(*[c for c in df.columns if c != fit.x], "fold", inside.alias("_inside")), "nested")
+        temperatures = [calibrate(narrow.where(F.col("fold") != f).withColumn("logit", F.col("_inside")[f]).drop("_inside")) for f in range(outer)]
+        by_fold = F.element_at(F.array(*[F.lit(float(t)) for t in temperatures]), F.col("fold") + 1)
+        return marked.drop("inner").withColumn("logit", raw).withColumn("calibrated", F.col("logit") / by_fold), temperatures
     marked = group_kfold(df, group, outer)
     out, temperatures = None, []
     for f in range(outer):
@@ -480,10 +532,18 @@ def nested_stack(df: DataFrame, fits: tuple[Fit, Fit], group: str, on: str, oute
     """Out-of-fold scores of a stack of two models, and the stack of each outer fold.
 
     The stack of a fold is fitted on base scores that are out of fold among the other folds; the
-    base models it is applied to are fitted on all of these.
+    base models it is applied to are fitted on all of these. Two ``MomentFit`` read the rows once each
+    and once more for all scores, which are written without the features.
     """
-    from .splits import group_kfold
-
+    from .splits import group_kfold, nested_folds
+
+    if all(isinstance(fit, MomentFit) for fit in fits):
+        marked = nested_folds(df, group, outer, inner)
+        (raw_a, in_a), (raw_b, in_b) = (_nested_logits(marked, fit, outer, inner) for fit in fits)
+        both = marked.select(on, y, "fold", F.array(raw_a, raw_b).alias("x"), F.arrays_zip(in_a.alias("a"), in_b.alias("b")).alias("_inside"))
+        narrow = written(both, "nested")
+        stacks = [fit_balanced_logistic(narrow.where(F.col("fold") != f).select(y, F.array(F.col("_inside")[f]["a"], F.col("_inside")[f]["b"]).alias("x")), c, y=y) for f in range(outer)]
+        return narrow.select(on, y, _logits(stacks, F.col("fold"), "x").alias("logit"), "fold"), stacks
     marked = group_kfold(df, group, outer)
     out, stacks = None, []
     for f in range(outer):

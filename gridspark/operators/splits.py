@@ -106,23 +106,58 @@ def balanced_sample(df: DataFrame, label: str, n: int, seed: int, id_col: str, p
     return near.withColumn("_rank", F.row_number().over(order)).where("_rank <= _quota").select(*df.columns)
 
 
+def _greedy(sizes: Sequence[int], k: int) -> list[int]:
+    """Fold of each size, the largest first (ties in the order given): the one with fewest rows so far."""
+    loads, folds = [(0, f) for f in range(k)], [0] * len(sizes)
+    for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        load, f = heapq.heappop(loads)
+        heapq.heappush(loads, (load + sizes[at], f))
+        folds[at] = f
+    return folds
+
+
+def _group_sizes(df: DataFrame, group: str, most: int) -> tuple[list, list[int]]:
+    """The ``most`` largest groups and their rows."""
+    top = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(most).collect()
+    return [r[group] for r in top], [r["n"] for r in top]
+
+
+def _with_folds(df: DataFrame, group: str, rows: list[tuple], columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add columns of a table of groups, or their defaults for groups that it lacks."""
+    kinds = ", ".join(f"_{c} {kind}" for c, (kind, _) in columns.items())
+    table = df.sparkSession.createDataFrame(rows, f"_group {dict(df.dtypes)[group]}, _known boolean, {kinds}")
+    out = df.join(F.broadcast(table), df[group].eqNullSafe(F.col("_group")), "left")  # at most ``most_groups`` rows
+    return out.select(*[df[c] for c in df.columns], *[F.when(F.col("_known"), F.col(f"_{c}")).otherwise(rest).alias(c) for c, (_, rest) in columns.items()])
+
+
 def group_kfold(df: DataFrame, group: str, k: int, most_groups: int = 500_000) -> DataFrame:
     """Add ``fold``: groups go, largest first, to the fold with fewest rows; null is a group like any other.
 
-    The greedy pass runs on the driver over the table of group sizes, which has one row a group; more
-    than ``most_groups`` are an error (``hash_split`` balances so many by itself).
+    The greedy pass runs on the driver over the ``most_groups`` largest groups. Any others, smaller than
+    all these, go to folds by a hash, which balances so many by itself.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), group).limit(most_groups + 1).collect()
-    if len(top) > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
-    loads, folds = [(0, f) for f in range(k)], []
-    for r in top:
-        load, f = heapq.heappop(loads)
-        heapq.heappush(loads, (load + r["n"], f))
-        folds.append((r[group], f))
-    table = df.sparkSession.createDataFrame(folds, f"_group {dict(df.dtypes)[group]}, fold int")
-    return df.join(F.broadcast(table), df[group].eqNullSafe(F.col("_group"))).drop("_group")  # at most ``most_groups`` rows
+    groups, sizes = _group_sizes(df, group, most_groups)
+    rows = [(g, True, f) for g, f in zip(groups, _greedy(sizes, k), strict=True)]
+    return _with_folds(df, group, rows, {"fold": ("int", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))})
+
+
+def nested_folds(df: DataFrame, group: str, outer: int, inner: int, most_groups: int = 500_000) -> DataFrame:
+    """Add ``fold``, and ``inner``: for each other fold f, the inner fold among the rows outside f.
+
+    All folds come from one count of groups; they are those of ``group_kfold`` on the whole table, and on
+    what is left without each fold.
+    """
+    groups, sizes = _group_sizes(df, group, most_groups)
+    fold = _greedy(sizes, outer)
+    inside = [[None] * outer for _ in groups]
+    for f in range(outer):
+        rest = [i for i in range(len(groups)) if fold[i] != f]
+        for i, g in zip(rest, _greedy([sizes[i] for i in rest], inner), strict=True):
+            inside[i][f] = g
+    rows = [(g, True, o, i) for g, o, i in zip(groups, fold, inside, strict=True)]
+    own = F.pmod(F.xxhash64(group), F.lit(outer)).cast("int")
+    rest = F.array(*[F.when(own != f, F.pmod(F.xxhash64(F.lit(f), group), F.lit(inner)).cast("int")) for f in range(outer)])
+    return _with_folds(df, group, rows, {"fold": ("int", own), "inner": ("array<int>", rest)})
 
 
 def protocol_audit(runs: DataFrame, heldout: DataFrame, id_col: str = "session_id") -> DataFrame:

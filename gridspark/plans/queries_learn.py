@@ -85,8 +85,7 @@ def mdm_scores(t: Tables) -> DataFrame:
     return C.mdm_scores(epochs(t), CHANNELS, nfilter=2).select("vec_id", "y", F.round("logit", 6).alias("logit"))
 
 
-def shrunk(data: DataFrame) -> C.LinearModel:
-    return C.fit_shrinkage_lda(data)
+shrunk = C.lda_fit()
 
 
 @query("stack_scores")
@@ -99,7 +98,7 @@ def stack_scores(t: Tables) -> DataFrame:
 
 @query("nested_stack")
 def nested_stack(t: Tables) -> DataFrame:
-    scored = C.nested_stack(epochs(t), (shrunk, C.fit_swlda), "run", "vec_id", 2, 2)[0]
+    scored = C.nested_stack(epochs(t), (shrunk, C.swlda_fit()), "run", "vec_id", 2, 2)[0]
     return scored.select("vec_id", "fold", F.round("logit", 6).alias("logit"))
 
 
@@ -247,7 +246,7 @@ def config_screen(t: Tables) -> DataFrame:
     for name, window, decim, names in (("all", 1.5, 1, "abcd"), ("decim_3", 1.5, 3, "abcd"), ("short", 0.8, 1, "abcd"), ("two", 1.5, 1, "ac")):
         nested = E.crop_decimate(epochs(t), CHANNELS, LENGTH, 0.0, 10.0, window, decim)
         features = E.flatten_features(E.pick_channels(nested, "abcd", names))
-        scored = C.cross_fit(features, C.fit_shrinkage_lda, "run", 3)
+        scored = C.cross_fit(features, shrunk, "run", 3)
         row = M.roc_auc(scored, "logit", "y").select(F.lit(name).alias("config"), F.round("auc", 4).alias("auc"))
         results = row if results is None else upsert_results(results, row, ["config"])
     return results

@@ -53,8 +53,14 @@ def test_folds_keep_every_row(spark):
     got = S.group_kfold(spark.createDataFrame(rows, "g string, id int"), "g", 2)
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4, 5, 6]
     assert {(r["g"], r["fold"]) for r in got.collect()} == {("b", 0), (None, 1), ("a", 1)}
-    with pytest.raises(ValueError, match="groups"):
-        S.group_kfold(spark.createDataFrame(rows, "g string, id int"), "g", 2, most_groups=2)
+    # past the largest groups, folds go by a hash: whole groups still, none left out
+    many = [(f"g{i % 400}" if i % 7 else None, i) for i in range(3000)]
+    got = S.group_kfold(spark.createDataFrame(many, "g string, id int"), "g", 4, most_groups=5).collect()
+    folds = {}
+    for r in got:
+        folds.setdefault(r["g"], set()).add(r["fold"])
+    assert len(got) == 3000 and all(len(f) == 1 for f in folds.values())
+    assert min(sum(1 for f in folds.values() if f == {k}) for k in range(4)) > 60
 
 
 def arrays(df):
