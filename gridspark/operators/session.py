@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import parameter_table
 from ..functions.text import normalize_context, normalize_text
+from ..sources.scratch import written
 from .asof import SPAN, sum_before
 from .retrieval import STRETCH, _asked, _best_matches, phrase_index, retrieval_prior
 
@@ -67,6 +68,20 @@ def session_bigrams(asked: DataFrame, bank: DataFrame, cells: DataFrame, subject
     return out.where("context is not null and n > 0").select(subject, order, "context", "cell_idx", "n")
 
 
+def session_backoff(asked: DataFrame, bank: DataFrame, cells: DataFrame, subject: str = "subject", order: str = "pos", min_count: float = 2, max_entropy: float = 0.65, span: int = SPAN) -> DataFrame:
+    """Shares of the frequent successors of each context's last character, as of its position: (subject,
+    pos, context, cell_idx, p), or null cell with ``even`` set if they are too even. Contexts without any have no row."""
+    keys = [subject, order, "context"]
+    whole = Window.partitionBy(*keys)
+    good = session_bigrams(asked, bank, cells, subject, order, span).where(F.col("n") >= min_count).withColumn("p", F.col("n") / F.sum("n").over(whole))
+    k = F.count(F.lit(1)).over(whole)
+    entropy = F.when(k > 1, -F.sum(F.col("p") * F.log("p")).over(whole) / F.log(k.cast("double"))).otherwise(0.0)
+    good = good.withColumn("even", entropy > max_entropy)
+    none = F.lit(None)
+    out = good.select(*keys, F.when(~F.col("even"), F.col("cell_idx")).otherwise(none).alias("cell_idx"), F.when(~F.col("even"), F.col("p")).otherwise(none).alias("p"), "even")
+    return out.distinct()
+
+
 def session_prior(asked: DataFrame, observed: DataFrame, cells: DataFrame, initial: DataFrame | None = None, subject: str = "subject", order: str = "pos", top_k: int = 20, min_count: float = 2, max_entropy: float = 0.65, span: int = SPAN) -> DataFrame:
     """The prior of each asked context, from its subject's bank as it was before that position.
 
@@ -80,14 +95,10 @@ def session_prior(asked: DataFrame, observed: DataFrame, cells: DataFrame, initi
     asked = asked.select(subject, F.col(order).cast("long").alias(order), "context").distinct()
     bank = session_bank(observed, initial, subject, order)
     words = retrieval_prior(session_matches(asked, bank, cells, subject, order, top_k), [subject, order]).select(*keys, "cell_idx", "p", "confidence", F.lit("word_match").alias("source"))
-    counts = session_bigrams(asked.join(words.select(*keys).distinct(), keys, "left_anti"), bank, cells, subject, order, span)
-    whole = Window.partitionBy(*keys)
-    good = counts.withColumn("_good", F.col("n") >= min_count).withColumn("p", F.when(F.col("_good"), F.col("n") / F.sum(F.when(F.col("_good"), F.col("n"))).over(whole)))
-    k = F.count(F.when(F.col("_good"), 1)).over(whole)
-    entropy = F.when(k > 1, -F.sum(F.col("p") * F.log("p")).over(whole) / F.log(k.cast("double"))).otherwise(0.0)
-    good = good.withColumn("_k", k).withColumn("_h", entropy).where("_good")
-    backoff = good.where(F.col("_h") <= max_entropy).select(*keys, "cell_idx", "p", F.max("p").over(whole).alias("confidence"), F.lit("char_backoff").alias("source"))
-    too_even = good.where(F.col("_h") > max_entropy).select(*keys).distinct().withColumn("_even", F.lit(True))
-    out = asked.join(words.unionByName(backoff), keys, "left").join(too_even, keys, "left").join(session_sizes(asked, bank, subject, order, span), [subject, order])
-    reason = F.when(F.col("cell_idx").isNotNull(), "available").when(F.col("phrases") == 0, "no_matches").when(F.col("_even"), "high_entropy").otherwise("below_min_count")
+    words = written(words, "session-matches")
+    backoff = session_backoff(asked.join(words.select(*keys).distinct(), keys, "left_anti"), bank, cells, subject, order, min_count, max_entropy, span)
+    backoff = backoff.select(*keys, "cell_idx", "p", F.max("p").over(Window.partitionBy(*keys)).alias("confidence"), F.when(~F.col("even"), "char_backoff").alias("source"), "even")
+    found = words.withColumn("even", F.lit(False)).unionByName(backoff)
+    out = asked.join(found, keys, "left").join(session_sizes(asked, bank, subject, order, span), [subject, order])
+    reason = F.when(F.col("cell_idx").isNotNull(), "available").when(F.col("phrases") == 0, "no_matches").when(F.col("even"), "high_entropy").otherwise("below_min_count")
     return out.select(*keys, "cell_idx", "p", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("source", F.lit("none")).alias("source"), reason.alias("reason"), "phrases", "tokens")

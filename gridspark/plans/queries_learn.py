@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import posterior as P
 from ..operators import retrieval as R
 from ..sources.scratch import new_path
+from ..sources.results import ResultStore
 from ..sources.tables import upsert_results
 from ..streaming import streams as X
 from .queries_decode import _ACC, KEYS, SHAPE, _soft, evidence, prior_arrays, rounded
@@ -255,39 +256,80 @@ def config_screen(t: Tables) -> DataFrame:
 # Streams -----------------------------------------------------------------------------------------
 
 
-def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], part: Column | None = None, parts: int = 3, files: int = 2) -> DataFrame:
-    """Write ``source`` in ``parts``, one after the other, stream them through ``build``, a part a
-    micro-batch, to a Parquet sink, and read that."""
+def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], part: Column | None = None, parts: int = 3, files: int = 2, last: DataFrame | None = None) -> DataFrame:
+    """Write ``source`` in ``parts``, one after the other, and ``last`` after them, stream them through
+    ``build``, a part a micro-batch, to a Parquet sink, and read that."""
+    out, folder = start_stream(t, source, build, part, parts, files, last)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def start_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], part: Column | None = None, parts: int = 3, files: int = 2, last: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """The stream of such parts through ``build``, and the folder for its state."""
     spark = t.spark
     folder = new_path(spark, "stream")
     rows = source.withColumn("_part", F.pmod(F.xxhash64(*source.columns), F.lit(parts)) if part is None else part)
     for k in range(parts):
         rows.where(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(f"{folder}/in")
-    out = build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    if last is not None:
+        last.select(*source.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return build(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")), folder
+
+
+def at_second(n: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_704_067_200) + n.cast("long"))
+
+
+def end_of(t: Tables, source: DataFrame, key: str) -> DataFrame:
+    """A row of no data, years after all others: it moves the watermark past every timer."""
+    columns = [F.lit(-1).cast(f.dataType).alias(f.name) if f.name == key else at_second(F.lit(10**9)).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    return t.spark.range(1).select(*columns)
 
 
 @query("stream_edges", "SELECT run, CAST(sample AS BIGINT) AS sample, signal FROM (SELECT run, sample, signal, lag(signal) OVER (PARTITION BY run ORDER BY sample) AS p FROM {samples}) WHERE p <= 25 AND signal > 25")
 def stream_edges(t: Tables) -> DataFrame:
-    return run_stream(t, t("samples").select("run", "sample", "signal"), lambda s: X.stream_edges(s, 25.0))
+    """Samples in any order, over three micro-batches; at the end the watermark closes all recordings."""
+    rows = t("samples").select(F.col("run").cast("long").alias("run"), "sample", "signal", at_second(F.col("sample")).alias("ts"))
+    with X.rocksdb(t.spark):
+        return run_stream(t, rows, lambda s: X.stream_edges(s.withWatermark("ts", "1 day"), 25.0), last=end_of(t, rows, "run"))
 
 
-_FIRST = f"(SELECT run, char_idx, step, max(p) AS confidence, arg_max(cell_idx, round(p, 9) - cell_idx * 1e-12) AS decision FROM {_soft(_ACC, 'run, char_idx, step')} GROUP BY run, char_idx, step)"
+_FIRST = f"(SELECT run, char_idx, step, max(p) AS confidence, arg_max(cell_idx, round(p, 9) - cell_idx * 1e-12) AS decision, max(step) OVER (PARTITION BY run, char_idx) AS steps FROM {_soft(_ACC, 'run, char_idx, step')} GROUP BY run, char_idx, step)"
 
 
 @query(
     "stream_dynamic_stop",
-    f"""SELECT run, char_idx, CAST(decision AS INT) AS decision, round(confidence, 6) AS confidence, CAST(step AS INT) AS sequences_used FROM (
-          SELECT *, row_number() OVER (PARTITION BY run, char_idx ORDER BY step) AS k FROM {_FIRST} WHERE step = 2 OR confidence >= 0.5) WHERE k = 1""",
+    f"""SELECT run, char_idx, CAST(decision AS INT) AS decision, round(confidence, 6) AS confidence, CAST(step AS INT) AS sequences_used, confidence >= 0.5 AS stopped FROM (
+          SELECT *, row_number() OVER (PARTITION BY run, char_idx ORDER BY step) AS k FROM {_FIRST} WHERE step = least(steps, 2) OR confidence >= 0.5) WHERE k = 1""",
 )
 def stream_dynamic_stop(t: Tables) -> DataFrame:
-    """Characters that reach the threshold or the last sequence; the rest waits for its timeout. Each
-    sequence number is a micro-batch, so evidence is carried in the state."""
-    posts = evidence(t).select("run", "char_idx", "seq_idx", "posterior", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("seq_idx"))).alias("ts"))
-    out = run_stream(t, posts, lambda s: X.stream_dynamic_stop(s.withWatermark("ts", "1 hour"), 0.5, 1, 2), F.col("seq_idx") - 1, 2)
-    return out.select("run", "char_idx", "decision", F.round("confidence", 6).alias("confidence"), "sequences_used")
+    """Every character gets its decision: at the threshold, at the last sequence, or when the watermark has
+    passed it. Each sequence number is a micro-batch, so evidence is carried in the state."""
+    posts = evidence(t).select("run", "char_idx", "seq_idx", "posterior", at_second(F.col("seq_idx")).alias("ts"))
+    with X.rocksdb(t.spark):
+        return rounded(run_stream(t, posts, lambda s: X.stream_dynamic_stop(s.withWatermark("ts", "1 hour"), 0.5, 1, 2), F.col("seq_idx") - 1, 2, last=end_of(t, posts, "run")), "confidence")
+
+
+@query(
+    "stream_session_prior",
+    """WITH trials AS (SELECT p_brand AS subject, CAST(p_partkey AS BIGINT) AS pos, lower(substr(p_name, 1, CAST(1 + p_partkey % 8 AS INT))) AS c, lower(p_name) AS text FROM {part}),
+       asked AS (SELECT subject, pos, trim(c) || CASE WHEN c LIKE '% ' THEN ' ' ELSE '' END AS context FROM trials),
+       pairs AS (SELECT a.subject, a.pos, a.context, l.cell_idx, CAST(count(*) AS DOUBLE) AS n FROM asked a
+                 JOIN (SELECT *, unnest(range(1, length(text))) AS i FROM trials) b ON a.subject = b.subject AND b.pos < a.pos AND substr(b.text, b.i, 1) = substr(a.context, -1, 1)
+                 JOIN {letters} l ON l.ch = substr(b.text, b.i + 1, 1) GROUP BY ALL),
+       shares AS (SELECT *, count(*) OVER w AS k, -sum(p * ln(p)) OVER w AS h FROM (SELECT *, n / sum(n) OVER (PARTITION BY subject, pos, context) AS p FROM pairs WHERE n >= 2) WINDOW w AS (PARTITION BY subject, pos, context)),
+       evened AS (SELECT subject, pos, context, cell_idx, p, CASE WHEN k > 1 THEN h / ln(k) ELSE 0 END AS h FROM shares),
+       sizes AS (SELECT a.subject, a.pos, count(b.text) AS phrases, CAST(coalesce(sum(len(string_split(b.text, ' '))), 0) AS BIGINT) AS tokens FROM asked a LEFT JOIN trials b ON a.subject = b.subject AND b.pos < a.pos GROUP BY ALL)
+       SELECT a.subject, a.pos, a.context, e.cell_idx, round(e.p, 6) AS p, s.phrases, s.tokens, false AS late,
+              CASE WHEN e.cell_idx IS NOT NULL THEN 'available' WHEN s.phrases = 0 THEN 'no_matches' WHEN x.subject IS NOT NULL THEN 'high_entropy' ELSE 'below_min_count' END AS reason
+       FROM asked a LEFT JOIN (SELECT * FROM evened WHERE h <= 0.65) e USING (subject, pos, context) LEFT JOIN (SELECT DISTINCT subject, pos, context FROM evened WHERE h > 0.65) x USING (subject, pos, context) JOIN sizes s USING (subject, pos)""",
+)
+def stream_session_prior(t: Tables) -> DataFrame:
+    """Trials arrive in any order, over three micro-batches, and are answered in that of their positions."""
+    trials = t("part").select(F.col("p_brand").alias("subject"), F.col("p_partkey").alias("pos"), F.expr("lower(substr(p_name, 1, 1 + p_partkey % 8))").alias("context"), F.lower("p_name").alias("text"), at_second(F.col("p_partkey")).alias("ts"))
+    with X.rocksdb(t.spark):
+        return rounded(run_stream(t, trials, lambda s: X.stream_session_prior(s.withWatermark("ts", "3650 days"), t("letters")), last=end_of(t, trials, "subject")), "p")
 
 
 @query(
@@ -301,15 +343,42 @@ def stream_phrase_growth(t: Tables) -> DataFrame:
     return run_stream(t, phrases, X.stream_phrase_growth, F.floor(F.col("pos") * 3 / (last + 1)).cast("int"), 3)
 
 
-@query(
-    "stream_metrics",
-    """SELECT CAST(epoch(date_trunc('day', CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type AS condition, count(*) AS characters, round(avg(CAST(value > 30 AS DOUBLE)), 6) AS accuracy, round(avg(value), 6) AS flashes FROM {events}
-       WHERE date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM {events}) GROUP BY 1, 2""",
-)
-def stream_metrics(t: Tables) -> DataFrame:
-    """Windows that the watermark has passed; parts arrive in the order of time."""
+_ITR = "CASE WHEN bits > 0 AND flashes > 0 THEN bits * 60 / (flashes * 0.2) ELSE 0 END"
+_RUNNING = f"""SELECT start, condition, characters, round(accuracy, 6) AS accuracy, round(flashes, 6) AS flashes, round({_ITR}, 5) AS itr FROM (
+    SELECT *, CASE WHEN accuracy >= 1 THEN log2(72) WHEN accuracy <= 0 THEN 0 ELSE log2(72) + accuracy * log2(accuracy) + (1 - accuracy) * log2((1 - accuracy) / 71) END AS bits FROM (
+    SELECT CAST(epoch(date_trunc('day', CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type AS condition, count(*) AS characters, avg(CAST(value > 30 AS DOUBLE)) AS accuracy, avg(value) AS flashes FROM {{events}} GROUP BY 1, 2))"""
+
+
+def characters(t: Tables) -> tuple[DataFrame, Column]:
+    """Decided characters, and in which of three parts they arrive, in the order of time."""
     rows = t("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("condition"), (F.col("value") > 30).alias("correct"), F.col("value").alias("flashes_used"))
     low, high = rows.agg(F.min("ts"), F.max("ts")).select(F.unix_timestamp("min(ts)"), F.unix_timestamp("max(ts)")).first()
-    part = F.floor((F.unix_timestamp("ts") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1)).cast("int")
-    out = run_stream(t, rows, X.stream_metrics, part, 3)
-    return out.select(F.unix_timestamp("window.start").alias("start"), "condition", "characters", F.round("accuracy", 6).alias("accuracy"), F.round("flashes", 6).alias("flashes"))
+    return rows, F.floor((F.unix_timestamp("ts") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1)).cast("int")
+
+
+def running(out: DataFrame) -> DataFrame:
+    return rounded(out.select(F.unix_timestamp("window.start").alias("start"), "condition", "characters", "accuracy", "flashes", F.round("itr", 5).alias("itr")), "accuracy", "flashes")
+
+
+@query("stream_metrics", f"SELECT * FROM ({_RUNNING}) WHERE to_timestamp(start) + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM {{events}})")
+def stream_metrics(t: Tables) -> DataFrame:
+    """Windows that the watermark has passed."""
+    rows, part = characters(t)
+    return running(run_stream(t, rows, X.stream_metrics, part, 3))
+
+
+@query("stream_metrics_store", _RUNNING)
+def stream_metrics_store(t: Tables) -> DataFrame:
+    """All windows as they stand after each micro-batch, in a table of results with versions; each batch is given
+    to the table twice, as after a failure, and counts once."""
+    rows, part = characters(t)
+    out, folder = start_stream(t, rows, X.stream_metrics, part, 3)
+    store = ResultStore(t.spark, f"{folder}/results", ["start", "condition"])
+    write = store.sink("metrics", running)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    out.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return store.read()

@@ -1,112 +1,306 @@
-"""Stateful streams: edges, early-stopping decisions, growing banks, running metrics."""
+"""Stateful streams: edges, early-stopping decisions, growing banks, running metrics.
+
+The processors keep lists, maps and timers in the RocksDB state store: put a query together and start it
+inside ``with rocksdb(spark):``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.numeric import itr
+from ..functions.text import normalize_context, normalize_text
 
-def stream_edges(stream: DataFrame, threshold: float, run: str = "run", order: str = "sample", value: str = "signal", ts: str | None = None, timeout: str = "10 minutes") -> DataFrame:
-    """Rising edges of samples that arrive in any order within a recording.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    Samples are numbered without gaps. A recording's state is the last value passed and the
-    samples that wait for an earlier one, so an edge is found once its predecessor has come. With
-    an event time ``ts`` (with a watermark) a recording is closed when the watermark passes its
-    last event by ``timeout``: samples that still wait are passed over their gaps, where no edge is
-    found, and the state goes. Without ``ts`` state stays.
-    """
-    limit = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
-    def find(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, value_at, waiting_at, waiting = state.get if state.exists else (-1, float("nan"), [], [])
-        held = dict(zip(waiting_at, waiting, strict=True))
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            for k in sorted(held):
-                if k - 1 in held and held[k - 1] <= threshold < held[k]:
-                    out.append((key[0], k, held[k]))
-            yield pd.DataFrame(out, columns=[run, order, value])
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside use the state store that has lists, maps and timers."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _millis(x) -> int:
+    return int(pd.Timedelta(x).total_seconds() * 1000)
+
+
+def _newest(ts: pd.Series) -> int:
+    return int(ts.max().timestamp() * 1000)
+
+
+class _Timed(StatefulProcessor):
+    """A processor that closes a key when the watermark passes its last event by ``limit`` milliseconds."""
+
+    limit = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
+
+    def close_at(self, newest: int, timer_values) -> None:
+        """One timer a key: it moves on with each event."""
+        now = self.until.get()
+        at = max(newest, timer_values.getCurrentWatermarkInMs(), now[0] - self.limit if now else 0) + self.limit
+        if now and now[0] != at:
+            self.handle.deleteTimer(now[0])
+        if not now or now[0] != at:
+            self.handle.registerTimer(at)
+            self.until.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+class _Edges(_Timed):
+    def __init__(self, threshold: float, limit: int, names: tuple[str, str, str, str]):
+        self.threshold, self.limit, self.names = threshold, limit, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.passed = handle.getValueState("passed", "last long, value double, closed boolean")
+        self.waiting = handle.getListState("waiting", "samples array<long>, signals array<double>")
+
+    def _rows(self, key: tuple, at: np.ndarray, values: np.ndarray, last: int, value: float) -> pd.DataFrame:
+        """Edges among samples that follow ``last`` in order; a gap has none."""
+        before, start = np.r_[value, values[:-1]], np.r_[last, at[:-1]]
+        hit = (at == start + 1) & (before <= self.threshold) & (values > self.threshold)
+        run, order, signal, _ = self.names
+        return pd.DataFrame({run: np.full(hit.sum(), key[0]), order: at[hit], signal: values[hit]})
+
+    def _held(self) -> dict:
+        return {k: v for at, values in self.waiting.get() for k, v in zip(at, values, strict=True)}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, order, signal, ts = self.names
+        new = pd.concat(list(rows))
+        newest = _newest(new[ts])
+        new = new.dropna(subset=[order, signal])
+        if not len(new):
             return
-        newest = 0
-        for f in frames:
-            held.update(zip(f[order].tolist(), f[value].tolist(), strict=True))
-            if ts:
-                newest = max(newest, int(f[ts].max().timestamp() * 1000))
-        while last + 1 in held:
-            last += 1
-            now = held.pop(last)
-            if value_at <= threshold < now:
-                out.append((key[0], last, now))
-            value_at = now
+        last, value, _ = self.passed.get() or (-1, float("nan"), False)
+        held = dict(zip(new[order].tolist(), new[signal].tolist(), strict=True))
         held = {k: v for k, v in held.items() if k > last}
-        state.update((last, value_at, list(held), list(held.values())))
-        if ts:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + limit)
-        yield pd.DataFrame(out, columns=[run, order, value])
-
-    columns = [F.col(run), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value), *([F.col(ts)] if ts else [])]
-    return stream.select(*columns).groupBy(run).applyInPandasWithState(
-        find, f"{run} long, {order} long, {value} double", "last long, value double, waiting_at array<long>, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
-    )
+        if last + 1 in held:
+            held = self._held() | held
+            at = np.array(sorted(held), np.int64)
+            run = at[: int(np.argmax(np.r_[at != last + 1 + np.arange(len(at)), True]))]
+            values = np.array([held.pop(k) for k in run.tolist()])
+            yield self._rows(key, run, values, last, value)
+            self.passed.update((int(run[-1]), float(values[-1]), False))
+            self.waiting.clear()
+        if held:
+            self.waiting.appendValue((list(held), list(held.values())))
+        self.close_at(newest, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, value, closed = self.passed.get() or (-1, float("nan"), False)
+        held = self._held()
+        self.waiting.clear()
+        if held:
+            at = np.array(sorted(held), np.int64)
+            values = np.array([held[k] for k in at.tolist()])
+            yield self._rows(key, at, values, last, value)
+            last, value, closed = int(at[-1]), float(values[-1]), False
+        at = expiredTimerInfo.getExpiryTimeInMs() + self.limit
+        if closed or at <= timerValues.getCurrentWatermarkInMs():
+            self.passed.clear()
+            self.until.clear()
+            return
+        self.passed.update((last, value, True))
+        self.handle.registerTimer(at)
+        self.until.update((at,))
 
 
-def stream_dynamic_stop(stream: DataFrame, tau: float = 0.8, min_sequences: int = 2, max_sequences: int = 10, eps: float = 1e-9, timeout: str = "10 minutes") -> DataFrame:
-    """One decision per character as soon as its evidence suffices.
+def stream_edges(stream: DataFrame, threshold: float, run: str = "run", order: str = "sample", value: str = "signal", ts: str = "ts", timeout: str = "10 minutes") -> DataFrame:
+    """Rising edges of samples that arrive in any order within a recording.
 
-    ``stream`` has a posterior per sequence: (run, char_idx, seq_idx, posterior, ts) with a
-    watermark on ``ts``. Sequences count in order of arrival; repeated ones are ignored. A decided
-    character keeps only a mark and drops what comes later; an abandoned one is decided on what it
-    has when the watermark passes its last event by ``timeout``.
+    Samples are numbered without gaps. A recording's state is the last value passed and a list of the
+    samples that wait for an earlier one, so an edge is found once its predecessor has come. When the
+    watermark (on ``ts``) passes a recording's last event by ``timeout``, samples that still wait are
+    passed over their gaps, where no edge is found; after as long again its state goes. Until then a
+    recording that was only paused goes on where it stood. Rows without a sample number or value only
+    move the time on.
     """
-    limit = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    rows = stream.select(F.col(run).cast("long").alias(run), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value), ts)
+    return rows.groupBy(run).transformWithStateInPandas(_Edges(threshold, _millis(timeout), (run, order, value, ts)), f"{run} long, {order} long, {value} double", "append", "eventTime")
+
+
+class _Stop(_Timed):
+    def __init__(self, tau: float, low: int, high: int, eps: float, limit: int):
+        self.tau, self.low, self.high, self.eps, self.limit = tau, low, high, eps, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.done = handle.getValueState("done", "done boolean")
+        self.log = handle.getValueState("log", "log array<double>")
+        self.seen = handle.getListState("seen", "seq long")
 
-    def result(key: tuple, log: np.ndarray, steps: int, stopped: bool) -> pd.DataFrame:
+    def _result(self, key: tuple, log: np.ndarray, steps: int, stopped: bool) -> pd.DataFrame:
         p = np.exp(log - log.max())
         p /= p.sum()
         return pd.DataFrame([(key[0], key[1], int(p.argmax()), float(p.max()), steps, stopped)], columns=["run", "char_idx", "decision", "confidence", "sequences_used", "stopped"])
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, seen, log = state.get if state.exists else (False, [], [])
-        if state.hasTimedOut:
-            state.remove()
-            if not done and seen:
-                yield result(key, np.array(log), len(seen), False)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        newest = _newest(new["ts"])
+        new = new.dropna(subset=["seq_idx", "posterior"])
+        if not len(new):
             return
-        newest, fresh = 0, {}
-        for f in frames:  # what a decided character still gets is only looked at for its time
-            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
-            if not done:
-                for seq, posterior in zip(f["seq_idx"], f["posterior"], strict=True):
-                    if seq not in seen:
-                        fresh.setdefault(seq, posterior)
-        for seq in sorted(fresh):
-            if done:
-                break
-            posterior = fresh[seq]
-            seen = [*seen, int(seq)]
-            add = np.log(np.clip(np.asarray(posterior, float), eps, 1.0))
-            log = (np.asarray(log) + add if len(log) else add).tolist()
-            top = np.exp(np.array(log) - max(log))
-            if (len(seen) >= min_sequences and top.max() / top.sum() >= tau) or len(seen) >= max_sequences:
-                done = True
-                yield result(key, np.array(log), len(seen), bool(len(seen) >= min_sequences and top.max() / top.sum() >= tau))
-                seen, log = [], []
-        state.update((done, seen, log))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + limit)
-
-    return stream.groupBy("run", "char_idx").applyInPandasWithState(
-        decide,
-        "run long, char_idx int, decision int, confidence double, sequences_used int, stopped boolean",
-        "done boolean, seen array<int>, log array<double>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+        if not self.done.exists():
+            seen, fresh = [s for (s,) in self.seen.get()], {}
+            for seq, posterior in zip(new["seq_idx"].tolist(), new["posterior"], strict=True):
+                if seq not in seen:
+                    fresh.setdefault(int(seq), posterior)
+            log = np.array(self.log.get()[0]) if seen else 0.0
+            added = []
+            for seq in sorted(fresh):
+                log = log + np.log(np.clip(np.asarray(fresh[seq], float), self.eps, 1.0))
+                added.append((seq,))
+                top, steps = np.exp(log - log.max()), len(seen) + len(added)
+                sure = steps >= self.low and top.max() / top.sum() >= self.tau
+                if sure or steps >= self.high:
+                    yield self._result(key, log, steps, bool(sure))
+                    self.done.update((True,))
+                    self.log.clear()
+                    self.seen.clear()
+                    break
+            else:
+                if added:
+                    self.log.update((log.tolist(),))
+                    self.seen.appendList(added)
+        self.close_at(newest, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.done.exists() and self.log.exists():
+            yield self._result(key, np.array(self.log.get()[0]), sum(1 for _ in self.seen.get()), False)
+        for state in (self.done, self.log, self.seen, self.until):
+            state.clear()
+
+
+def stream_dynamic_stop(stream: DataFrame, tau: float = 0.8, min_sequences: int = 2, max_sequences: int = 10, eps: float = 1e-9, timeout: str = "10 minutes") -> DataFrame:
+    """One decision per character as soon as its evidence suffices.
+
+    ``stream`` has a posterior per sequence: (run, char_idx, seq_idx, posterior, ts) with a watermark on
+    ``ts``. Sequences count in order of arrival, those of one micro-batch by number; repeated ones are
+    ignored. A decided character keeps only a mark and drops what comes later; an abandoned one is decided
+    on what it has when the watermark passes its last event by ``timeout``, and then no state is left.
+    Rows without a posterior only move the time on.
+    """
+    rows = stream.select(F.col("run").cast("long").alias("run"), F.col("char_idx").cast("int").alias("char_idx"), F.col("seq_idx").cast("long").alias("seq_idx"), "posterior", "ts")
+    return rows.groupBy("run", "char_idx").transformWithStateInPandas(_Stop(tau, min_sequences, max_sequences, eps, _millis(timeout)), "run long, char_idx int, decision int, confidence double, sequences_used int, stopped boolean", "append", "eventTime")
+
+
+class _Growth(_Timed):
+    def __init__(self, cells: Sequence[tuple[str, int]], min_count: float, max_entropy: float, weight: float, limit: int, names: tuple[str, str, str]):
+        self.cells, self.min_count, self.max_entropy, self.weight, self.limit, self.names = dict(cells), min_count, max_entropy, weight, limit, names
+        self.columns = [names[0], names[1], "context", "cell_idx", "p", "reason", "phrases", "tokens", "late"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.size = handle.getValueState("size", "phrases long, tokens long, last long")
+        self.follow = handle.getMapState("follow", "a string", "chars array<string>, n array<double>")
+        self.waiting = handle.getListState("waiting", "pos long, context string, text string, ms long")
+
+    def _answer(self, key: tuple, trials: list[tuple], late: bool) -> pd.DataFrame:
+        """Priors of trials in their order, each learned after it is answered; only what the trials touch is read and written."""
+        phrases, tokens, last = self.size.get() or (0, 0, -(1 << 62))
+        table: dict[str, Counter] = {}
+        changed, out = set(), []
+
+        def successors(a: str) -> Counter:
+            if a not in table:
+                known = self.follow.getValue((a,)) if self.follow.containsKey((a,)) else ([], [])
+                table[a] = Counter(dict(zip(*known, strict=True)))
+            return table[a]
+
+        for pos, context, text, _ in trials:
+            good = {self.cells[c]: n for c, n in successors(context[-1:] or " ").items() if c in self.cells and n >= self.min_count}
+            total = sum(good.values())
+            shares = {c: n / total for c, n in good.items()}
+            entropy = -sum(p * math.log(p) for p in shares.values()) / math.log(len(shares)) if len(shares) > 1 else 0.0
+            reason = "no_matches" if not phrases else "below_min_count" if not shares else "high_entropy" if entropy > self.max_entropy else "available"
+            rows = sorted(shares.items()) if reason == "available" else [(None, None)]
+            out += [(key[0], pos, context, c, p, reason, phrases, tokens, late) for c, p in rows]
+            last = max(last, pos)
+            if not text:
+                continue
+            phrases, tokens = phrases + 1, tokens + len(text.split(" "))
+            for a, b in zip(text, text[1:], strict=False):
+                successors(a)[b] += self.weight
+                changed.add(a)
+        for a in changed:
+            self.follow.updateValue((a,), (list(table[a]), [float(n) for n in table[a].values()]))
+        self.size.update((phrases, tokens, last))
+        frame = pd.DataFrame(out, columns=self.columns)
+        return frame.astype({"cell_idx": "Int32", "p": "float64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, order, ts = self.names
+        new = pd.concat(list(rows))
+        newest = _newest(new[ts])
+        new = new.dropna(subset=[order])
+        if not len(new):
+            return
+        last = (self.size.get() or (0, 0, -(1 << 62)))[2]
+        millis = (new[ts].astype("datetime64[ms]").astype("int64")).tolist()
+        trials = sorted(zip(new[order].astype("int64").tolist(), new["context"].fillna("").tolist(), new["text"].fillna("").tolist(), millis, strict=True))
+        late = [t for t in trials if t[0] <= last]
+        if late:
+            yield self._answer(key, late, True)
+        wait = [t for t in trials if t[0] > last]
+        if wait:
+            self.waiting.appendList(wait)
+            self.handle.registerTimer(max(t[3] for t in wait))
+        self.close_at(newest, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        trials = sorted(self.waiting.get())
+        due = [t for t in trials if t[3] <= now]
+        if due:
+            yield self._answer(key, due, False)
+            self.waiting.clear()
+            if len(due) < len(trials):
+                self.waiting.appendList([t for t in trials if t[3] > now])
+        closing = self.until.get()
+        if closing and closing[0] <= now:
+            for state in (self.size, self.follow, self.waiting, self.until):
+                state.clear()
+
+
+def stream_session_prior(stream: DataFrame, cells: DataFrame, subject: str = "subject", order: str = "pos", ts: str = "ts", min_count: float = 2, max_entropy: float = 0.65, weight: float = 1.0, timeout: str = "1 day") -> DataFrame:
+    """For each trial of a session, the next-character prior from the phrases completed before it.
+
+    ``stream`` has (subject, pos, context, text, ts) with a watermark on ``ts``, which rises with ``pos``.
+    A trial waits until the watermark passes it, so trials may arrive in any order within the watermark's
+    delay. The bank is a map with an entry for each character: what followed it in earlier phrases. Rows
+    are (subject, pos, context, cell_idx, p, reason, phrases, tokens, late), one for each cell with a
+    share, or one with null cell and the reason, as ``session_backoff`` gives them for a whole table. A
+    trial behind one that is already answered is answered at once from the bank as it is, marked ``late``,
+    and learned; rows behind the watermark are dropped. A session's state goes when the watermark passes its last event by ``timeout``.
+    """
+    known = [(r["ch"], r["cell_idx"]) for r in cells.select("ch", "cell_idx").collect()]  # the grid
+    rows = stream.select(F.col(subject).cast("string").alias(subject), F.col(order).cast("long").alias(order), normalize_context(F.col("context")).alias("context"), normalize_text(F.col("text")).alias("text"), ts)
+    kind = f"{subject} string, {order} long, context string, cell_idx int, p double, reason string, phrases long, tokens long, late boolean"
+    return rows.groupBy(subject).transformWithStateInPandas(_Growth(known, min_count, max_entropy, weight, _millis(timeout), (subject, order, ts)), kind, "append", "eventTime")
 
 
 def stream_phrase_growth(stream: DataFrame, subject: str = "subject", order: str = "pos", text: str = "text") -> DataFrame:
@@ -130,8 +324,9 @@ def stream_phrase_growth(stream: DataFrame, subject: str = "subject", order: str
     return stream.groupBy(subject).applyInPandasWithState(grow, f"{subject} string, {order} long, phrases long, tokens long, bigrams long", "phrases long, tokens long, pairs array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_metrics(stream: DataFrame, watermark: str = "1 hour", window: str = "1 day", ts: str = "ts", by: str = "condition") -> DataFrame:
-    """Characters, accuracy and flashes per condition and time window; rows behind the watermark are dropped."""
-    return stream.withWatermark(ts, watermark).groupBy(F.window(ts, window), by).agg(
+def stream_metrics(stream: DataFrame, watermark: str = "1 hour", window: str = "1 day", ts: str = "ts", by: str = "condition", cells: int = 72, seconds_per_flash: float = 0.2) -> DataFrame:
+    """Characters, accuracy, flashes and bits a minute per condition and time window; rows behind the watermark are dropped."""
+    out = stream.withWatermark(ts, watermark).groupBy(F.window(ts, window), by).agg(
         F.count(F.lit(1)).alias("characters"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("flashes_used").alias("flashes")
     )
+    return out.withColumn("itr", itr(cells, F.col("accuracy"), F.col("flashes") * seconds_per_flash))

@@ -357,23 +357,6 @@ def test_evidence_with_and_without_a_bound(spark):
     assert shown(accumulate_evidence(df, bias=bias)) == shown(accumulate_evidence(df, max_sequences=9, bias=bias))
 
 
-def test_edges_close_with_the_watermark(spark, tmp_path):
-    """A recording with a missing sample is closed when its time has passed: waiting samples pass, the gap has no edge."""
-    from gridspark.streaming.streams import stream_edges
-
-    base = [(1, 0, 0.0, 0), (1, 1, 9.0, 1), (1, 3, 0.0, 3), (1, 4, 8.0, 4), (1, 6, 9.0, 6)]
-    later = [(2, 0, 0.0, 7200), (2, 1, 9.0, 7201)]
-    for k, part in enumerate((base, later, [(2, 2, 0.0, 9000)])):
-        df = spark.createDataFrame(part, "run long, sample long, signal double, s int").selectExpr("run", "sample", "signal", "timestamp_seconds(1700000000 + s) ts")
-        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
-    query = stream_edges(stream, 5.0, ts="ts").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("run", "sample", "signal").collect())
-    assert got == [(1, 1, 9.0), (1, 4, 8.0), (2, 1, 9.0)]
-
-
-
 def test_hierarchical_bootstrap_brackets_the_accuracy(spark):
     """The mean of replicates is near the mean accuracy of equal subjects; one sure subject has no spread; a seed repeats."""
     from gridspark.operators.stats import hierarchical_bootstrap
