@@ -219,7 +219,7 @@ class _Growth(_Timed):
         self.follow = handle.getMapState("follow", "a string", "chars array<string>, n array<double>")
         self.waiting = handle.getListState("waiting", "pos long, context string, text string, ms long")
 
-    def _answer(self, key: tuple, trials: list[tuple], late: bool) -> pd.DataFrame:
+    def _answer(self, key: tuple, trials: list[tuple]) -> pd.DataFrame:
         """Priors of trials in their order, each learned after it is answered; only what the trials touch is read and written."""
         phrases, tokens, last = self.size.get() or (0, 0, -(1 << 62))
         table: dict[str, Counter] = {}
@@ -238,7 +238,7 @@ class _Growth(_Timed):
             entropy = -sum(p * math.log(p) for p in shares.values()) / math.log(len(shares)) if len(shares) > 1 else 0.0
             reason = "no_matches" if not phrases else "below_min_count" if not shares else "high_entropy" if entropy > self.max_entropy else "available"
             rows = sorted(shares.items()) if reason == "available" else [(None, None)]
-            out += [(key[0], pos, context, c, p, reason, phrases, tokens, late) for c, p in rows]
+            out += [(key[0], pos, context, c, p, reason, phrases, tokens, pos <= last) for c, p in rows]
             last = max(last, pos)
             if not text:
                 continue
@@ -264,7 +264,7 @@ class _Growth(_Timed):
         trials = sorted(zip(new[order].astype("int64").tolist(), new["context"].fillna("").tolist(), new["text"].fillna("").tolist(), millis, strict=True))
         late = [t for t in trials if t[0] <= last]
         if late:
-            yield self._answer(key, late, True)
+            yield self._answer(key, late)
         wait = [t for t in trials if t[0] > last]
         if wait:
             self.waiting.appendList(wait)
@@ -276,7 +276,7 @@ class _Growth(_Timed):
         trials = sorted(self.waiting.get())
         due = [t for t in trials if t[3] <= now]
         if due:
-            yield self._answer(key, due, False)
+            yield self._answer(key, due)
             self.waiting.clear()
             if len(due) < len(trials):
                 self.waiting.appendList([t for t in trials if t[3] > now])
