@@ -277,7 +277,38 @@ def _index(tag: str, sent, q: int, length: int, rate: float, step: int) -> Passa
     return _indexes[tag]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 128, rate: float = 0.08, step: int = 16, block_chars: int = 4_000_000) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator:
+    """The benchmark's items in broadcasts of about ``block_chars`` characters, all texts of an item in one."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_chars))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = [(r["item"], r["text"]) for r in items.where(F.col("block") == block).select("item", "text").collect()]  # one block
+        yield benchmark.sparkSession.sparkContext.broadcast(rows)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 48, rate: float = 0.08, step: int = 8, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` in which ``decontaminate`` finds nothing, as they are.
+
+    The rows go through the search itself, a pass for each block of the benchmark; nothing is joined,
+    hashed or shuffled, so null and repeated ids are judged row by row.
+    """
+    place = docs.columns.index(text_col)
+    out = docs
+    for sent in _blocks(benchmark, item_col, item_text, block_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, tag=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(tag, sent, q, length, rate, step)
+            for part in _groups(batches, place):
+                leaking = {row[0] for row in index.search(part.column(place).to_pylist())}
+                yield part.filter(pa.array([i not in leaking for i in range(part.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, length: int = 48, rate: float = 0.08, step: int = 8, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document and benchmark item that it leaks: the best match and its span.
 
     Columns: doc_id, item_id, edits, shared (q-grams), text_start, text_end (characters of the
@@ -285,8 +316,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     Texts are compared in lower case with runs of other characters than letters and digits as one
     space. An item is cut into passages of ``length`` characters, one every ``step`` characters
-    and at the end, so each stretch of ``length + step - 1`` characters of it holds a whole one; a
-    leak of a shorter part of a longer item can be missed. A shorter item is one passage; items
+    and at the end, so each stretch of ``length + step - 1`` characters of it (some nine words by
+    default) holds a whole one; a leak of a shorter part of a longer item can be missed. A shorter item is one passage; items
     under two q-grams are found as they are, as whole words; null items are not searched. A passage
     of m characters matches a stretch of text within k edits, k the lesser of rate * m and m / q - 2,
     rounded down: at q = 8 and a rate of 0.08 the second is the lesser one for some m under 50, where
@@ -305,15 +336,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     reported row by row, items with a null id as one item; very long texts are searched whole, one
     at a time; empty tables give no rows; extra columns, also of clashing names, are ignored.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in range(blocks):
-        rows = [(r["item"], r["text"]) for r in items.where(F.col("block") == block).select("item", "text").collect()]  # one block
-        sent = source.sparkSession.sparkContext.broadcast(rows)
+    for sent in _blocks(benchmark, item_col, item_text, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, tag=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = _index(tag, sent, q, length, rate, step)

@@ -109,12 +109,12 @@ def test_search_against_brute_force():
         assert bool(p.search([text])) == (distance <= int(p.budget[0])), (n, distance)
 
 
-def brute_leaks(docs, items, p):
+def brute_leaks(docs, items, length, step):
     """Documents and items of which a passage lies within its budget in the text, by plain edit distance."""
     flat = lambda s: " ".join("".join(c if c.isalnum() else " " for c in (s or "").lower()).split())
     out = set()
     for item, text in items:
-        one = Passages([(item, text)], 8, 128, 0.08)
+        one = Passages([(item, text)], 8, length, 0.08, step)
         for codes, k in zip(one.codes, one.budget, strict=True):
             out |= {(d, item) for d, t in docs if edits("".join(map(chr, codes)), flat(t)) <= k}
         if not one.codes and flat(text):
@@ -122,8 +122,8 @@ def brute_leaks(docs, items, p):
     return out
 
 
-@pytest.mark.parametrize("block", [20, 4_000_000])
-def test_decontamination_edges(spark, block):
+@pytest.mark.parametrize(("block", "length", "step"), [(20, 128, 16), (4_000_000, 128, 16), (20, 48, 8), (4_000_000, 48, 8)])
+def test_decontamination_edges(spark, block, length, step):
     """Texts that open or end inside an item, periodic and repeated items, repeated and null ids, several blocks."""
     rng = random.Random(21)
     long_ = "".join(rng.choice("abcdefgh ") for _ in range(126))
@@ -132,8 +132,8 @@ def test_decontamination_edges(spark, block):
     texts += [prose(3) + " " + t for _, t in items] + [t + " " + prose(3) for _, t in items] + [items[1][1] + " " + items[2][1]]
     docs = [(i if i % 5 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3])]
     df = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("x")).withColumn("EDITS", F.lit(1))
-    got = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=block).collect()
-    want = sorted(((d, i) for row in docs for d, i in {(row[0], x) for _, x in brute_leaks([row], items, None)}), key=str)
+    got = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=block, length=length, step=step).collect()
+    want = sorted(((d, i) for row in docs for d, i in {(row[0], x) for _, x in brute_leaks([row], items, length, step)}), key=str)
     assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == want and len(want) > 25
 
 

@@ -260,3 +260,47 @@ def test_whitening_equals_numpy(spark):
 def test_whitening_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     check_whitened(op13_embedding_whitening(spark, SF).collect(), rows)
+
+
+# ---- decontamination: parts of items
+
+
+def test_partial_leaks_are_found(spark):
+    """Stretches of 55 or more characters of an item always hold a whole passage; clean texts stay."""
+    from gridspark.llm.decontaminate import decontaminate, drop_leaks
+
+    item = " ".join("".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(3, 8))) for _ in range(60))
+    prose = lambda: " ".join("".join(RNG.choice("klmnopqrst") for _ in range(RNG.randint(3, 8))) for _ in range(40))
+    rows = []
+    for n in (55, 60, 75, 90, 110, 142, 200):
+        for _ in range(5):
+            a = RNG.randrange(len(item) - n)
+            rows.append((len(rows), f"{prose()} {item[a : a + n]} {prose()}"))
+    leaking = len(rows)
+    rows += [(leaking + i, prose()) for i in range(20)] + [(None, None), (None, item), (leaking, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("N", F.array(F.lit(1))).repartition(3)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "unseen words of another item that nobody copied anywhere")], "item_id long, text string")
+    for block in (4_000_000, 100):
+        assert {r["doc_id"] for r in decontaminate(docs, bench, block_chars=block).collect()} == {*range(leaking), None}
+        left = drop_leaks(docs, bench, block_chars=block)
+        assert left.schema == docs.schema
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(rows[leaking : leaking + 21] + rows[-1:])
+    assert drop_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_near_duplicate_rows_of_files_and_of_frames(spark, tmp_path):
+    """Row numbers from files and written ones drop the same rows; few and many dropped rows do, too."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, f"text {i % 6} " * 9, "en", "s", 3) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    assert "pipeline_file" not in P._numbered(stored).columns and P._numbered(stored).select(P.ROW).distinct().count() == 60
+    shown = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    whole = shown(P.drop_near_duplicates(spark, stored, ""))
+    assert len(whole) == 6 == sum(whole.values()) and whole == shown(P.drop_near_duplicates(spark, stored.where("n_chars = 3"), ""))
+    before, P.SENT_ROWS = P.SENT_ROWS, 0
+    try:
+        assert shown(P.drop_near_duplicates(spark, stored, "")) == whole
+    finally:
+        P.SENT_ROWS = before
