@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64, window_hashes
+from .common import Words, discard, materialize, mix64, window_hashes
 from .components import connected_components
 from .substring_dedup import _groups, _lists
 
@@ -196,6 +196,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"), "near-bands")
     ties = banded.join(shared, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     parts = connected_components(ties)
+    discard(shared)
 
     members = materialize(parts.join(nodes.select("node", "check", "row.key", "row.t", "copies", "n_grams"), "node"), "near-members")
     loads = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
@@ -242,10 +243,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     alive = materialize(tasks.drop("copies").join(prepared.select("node", "signature"), "node").groupBy("unit").applyInArrow(prune, ALIVE), "near-alive")
     compared = tasks.join(alive, ["unit", "node"]).join(prepared, "node").groupBy("unit").applyInArrow(compare, COMPARED)
     compared = materialize(compared, "near-links")
+    discard(prepared, alive, loads, members)
     totals = compared.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "copies", "least_id").join(classes, "node", "left").join(totals, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "near-named")
     heads = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     looked = materialize(named.join(materialize(heads, "near-heads"), "root").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-classes")
+    discard(named, compared, nodes)
     return scanned.select("id", "node", "n_grams").join(looked, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", "n_grams")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, alone: int | None = None) -> DataFrame:
@@ -79,6 +79,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         singles = every.select("key", F.inline(F.filter("lines", lambda s: s["single"])))
         places = places.unionByName(singles.select("key", *run_of(F.array("h"), F.array("g")), F.array("i").alias("at")))
     places = materialize(places, "line-runs")
+    discard(prints, shared)
     place = F.struct("key", F.col("at")[0].alias("first"))
     firsts = places.groupBy("run", "check").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last"))
     firsts = materialize(firsts.select("run", "check", "origin"), "line-firsts")
