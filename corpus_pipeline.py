@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import materialize, read_table
-from gridspark.llm.decontaminate import decontaminate
+from gridspark.llm.common import discard, materialize, read_table
+from gridspark.llm.decontaminate import drop_leaks
 from gridspark.llm.jaccard_join import jaccard_join
 from gridspark.llm.line_dedup import line_dedup
 from gridspark.llm.packing import pack_documents
@@ -17,26 +17,16 @@ from gridspark.llm.toxicity import toxicity_scores
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-ROW, TEXT, MORE = "pipeline_row", "pipeline_text", "pipeline_more"
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """``docs`` with two 64-bit hashes of the text: what is decided by texts alone holds for all rows of a text, whatever their ids."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn(TEXT, F.xxhash64(text)).withColumn(MORE, F.xxhash64(F.lit(7), text))
-
-
-def _without(rows: DataFrame, rejected: DataFrame, names: list[str]) -> DataFrame:
-    """The rows whose text is not among the rejected ones, as documents."""
-    out = materialize(rejected.select(*[F.col(c).alias(f"{c}_out") for c in names]).distinct(), "stage-rejected").hint("merge")
-    return rows.join(out, [rows[c] == out[f"{c}_out"] for c in names], "left_anti").drop(TEXT, MORE)
+ROW = "pipeline_row"
+#: Up to so many dropped rows are sent to all tasks, at some 20 bytes each; beyond, rows are joined by number.
+SENT_ROWS = 4_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity models reject go; a score depends on the text alone."""
-    rows = _named(docs)
-    scores = toxicity_scores(rows, read_table(spark, sf_dir, "labels"), carry=[TEXT, MORE])
-    return _without(rows, scores.where("predicted = 1"), [TEXT, MORE])
+    """Rows that the toxicity models reject go; they are carried through the pass that scores them."""
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"row_{i}") for i, c in enumerate(docs.columns)])
+    scores = toxicity_scores(rows, read_table(spark, sf_dir, "labels"), carry=[f"row_{i}" for i in range(len(docs.columns))])
+    return scores.where("predicted = 0").select(*[F.col(f"row_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,24 +35,41 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row that every reading gives alike: for a table in files the file's
+    number and the place in it; any other frame is written with numbers first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+    files = docs.select(F.col("_metadata.file_path").alias("file"))
+    paths = sorted(r["file"] for r in files.distinct().collect())  # one row a file
+    numbers = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(paths)), "number long, file string"))
+    placed = docs.select("*", F.col("_metadata.file_path").alias("pipeline_file"), F.col("_metadata.row_index").alias("pipeline_place"))
+    row = F.shiftleft("number", 36) + F.col("pipeline_place")
+    return placed.join(numbers, F.col("pipeline_file") == F.col("file")).select(*[placed[c] for c in docs.columns], row.alias(ROW))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates stays, that with the least id; null ids come last.
 
-    Rows get a written number first, so that rows of one id, or of none, are judged one by one.
+    Rows are told apart by numbers, so rows of one id, or of none, are judged one by one. Only the numbers
+    of dropped rows travel.
     """
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
-    classes = jaccard_join(rows, id_col=ROW).select(F.col(ROW).alias("judged"), "class_id")
+    rows = _numbered(docs)
+    classes = jaccard_join(rows, id_col=ROW).select(F.col(ROW).alias("judged"), "class_id", "class_size").where("class_size > 1")
     numbered = rows.select(ROW, F.col("doc_id").alias("id")).join(classes, F.col(ROW) == F.col("judged"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first")
-    kept = materialize(numbered.groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias("judged")), "stage-kept").hint("merge")
-    return rows.join(kept, rows[ROW] == kept["judged"], "left_semi").drop(ROW)
+    one = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW))
+    classed = materialize(numbered.select("class_id", one.alias("one")), "stage-classes")
+    first = classed.groupBy("class_id").agg(F.min("one").alias("first"))
+    dropped = classed.join(first, "class_id").where(F.col("one") > F.col("first")).select(F.col(f"one.{ROW}").alias("judged"))
+    dropped = materialize(dropped, "stage-dropped")
+    discard(classed)
+    small = dropped.count() <= SENT_ROWS
+    return rows.join(F.broadcast(dropped) if small else dropped, rows[ROW] == dropped["judged"], "left_anti").drop(ROW)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak a benchmark item go; a leak depends on the text alone."""
-    rows = _named(docs)
-    leaks = decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col=TEXT)
-    return _without(rows, leaks.select(F.col("doc_id").alias(TEXT)), [TEXT])
+    """Rows that leak a benchmark item go, inside the pass that searches them."""
+    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +91,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; every stage but the last is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = before = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)  # what the stage read, unless it is the input
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
