@@ -341,7 +341,8 @@ def epoch_covariances(df: DataFrame, filters: np.ndarray, prototypes: np.ndarray
 
 
 def riemannian_mean(covs: DataFrame, channels: int, x: str = "x", tolerance: float = 1e-6, most: int = 20) -> np.ndarray:
-    """Geometric mean of covariances: one aggregate per step until the step is small."""
+    """Geometric mean of covariances: one aggregate per step until the step is under ``tolerance``; an
+    error if ``most`` steps do not reach a thousand times that."""
     mean = np.array([r["m"] for r in covs.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]).reshape(channels, channels)
     for _ in range(most):
         half, inverse = _spd(np.sqrt, mean), _spd(lambda v: 1 / np.sqrt(v), mean)
@@ -359,7 +360,9 @@ def riemannian_mean(covs: DataFrame, channels: int, x: str = "x", tolerance: flo
         step = (got[1:] / got[0]).reshape(channels, channels)
         mean = half @ _spd(np.exp, step, -np.inf) @ half
         if np.linalg.norm(step) < tolerance:
-            break
+            return mean
+    if np.linalg.norm(step) >= 1000 * tolerance:
+        raise ArithmeticError(f"no Riemannian mean after {most} steps")
     return mean
 
 

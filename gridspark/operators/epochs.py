@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 def epoch_windows(samples: DataFrame, events: DataFrame, keys: Sequence[str], order: str, value: str, low: int, high: int) -> DataFrame:
     """The values from ``low`` to ``high`` samples around each event, as an array in order.
 
-    Each event is exploded into the samples it needs and equi-joined. Events whose window is cut
-    off by the recording's ends are dropped, together with their other columns.
+    Samples are packed into arrays of consecutive ones, at least two windows long; an event meets the
+    one or two arrays that its window lies in, and takes its part of them. Events whose window is cut
+    off by the recording's ends, or has a gap, are dropped, together with their other columns.
     """
-    need = events.withColumn("_on", F.col(order)).withColumn("_off", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(order, F.col("_on") + F.col("_off"))
-    got = need.join(samples.select(*keys, order, F.col(value).alias("_v")), [*keys, order])
+    size = max(2 * (high - low + 1), 64)
+    packed = samples.groupBy(*keys, F.floor(F.col(order) / size).alias("_b")).agg(F.collect_list(F.struct(F.col(order).alias("_at"), F.col(value).alias("_v"))).alias("_s"))
+    on = F.col("_on")
+    spans = F.sequence(F.floor((on + low) / size), F.floor((on + high) / size))
+    need = events.withColumn("_on", F.col(order)).withColumn("_b", F.explode(spans))
+    own = F.filter("_s", lambda s: (s["_at"] >= on + low) & (s["_at"] <= on + high))
+    got = need.join(packed, [*keys, "_b"]).withColumn("_part", own)
     rest = [c for c in events.columns if c not in (*keys, order)]
-    out = got.groupBy(*keys, "_on").agg(F.array_sort(F.collect_list(F.struct("_off", "_v"))).alias("_w"), *[F.first(c).alias(c) for c in rest])
+    out = got.groupBy(*keys, "_on").agg(F.array_sort(F.flatten(F.collect_list("_part"))).alias("_w"), *[F.first(c).alias(c) for c in rest])
     out = out.where(F.size("_w") == high - low + 1)
     return out.select(*keys, F.col("_on").alias(order), *rest, F.transform("_w", lambda s: s["_v"]).alias("x"))
 

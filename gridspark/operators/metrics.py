@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +25,31 @@ def accuracy_rollup(decisions: DataFrame, by: str = "condition", seconds: str =
     )
 
 
+def accuracy_strata(decisions: DataFrame, by: str = "condition", merged: Mapping[str, Sequence[str]] | None = None, overall: str = "overall", seconds: str = "seconds", sequences: str = "sequences_used", flashes: str = "flashes_used") -> DataFrame:
+    """Accuracy and cost per stratum: each condition, ``merged`` groups of conditions, and all rows.
+
+    A row counts for all its strata in one aggregation, which sums before anything is shuffled.
+    """
+    groups = [F.when(F.col(by).isin(list(members)), F.lit(name)) for name, members in (merged or {}).items()]
+    strata = F.filter(F.array(F.lit(overall), F.col(by).cast("string"), *groups), lambda s: s.isNotNull())
+    return decisions.withColumn("stratum", F.explode(strata)).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("characters"),
+        F.avg(F.col("correct").cast("double")).alias("accuracy"),
+        F.avg(sequences).alias("sequences_per_char"),
+        F.avg(flashes).alias("flashes_per_char"),
+        F.avg(seconds).alias("seconds_per_char"),
+    )
+
+
 def with_itr(rollup: DataFrame, n: int) -> DataFrame:
     return rollup.withColumn("itr", itr(n, F.col("accuracy"), F.col("seconds_per_char")))
 
 
-def selection_time(sequences: Column, seconds_per_sequence: Column | None = None, flashes_per_seq: int | None = None, interval: Column | None = None) -> Column:
-    """Seconds of one decision: sequences of fixed length, or flashes of a measured interval."""
+def selection_time(sequences: Column, seconds_per_sequence: Column | None = None, flashes_per_seq: int | None = None, interval: Column | None = None, flashes: Column | None = None, seconds_per_flash: float | None = None) -> Column:
+    """Seconds of one decision: sequences of fixed length, sequences of flashes at a measured interval,
+    or the flashes that were really shown, at so many seconds each."""
+    if flashes is not None and seconds_per_flash is not None:
+        return flashes * seconds_per_flash
     return sequences * (seconds_per_sequence if seconds_per_sequence is not None else F.lit(flashes_per_seq) * interval)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, prob_to_logit
+from ..sources.scratch import written
 
 SEQUENCE = ("run", "char_idx", "seq_idx")
 CHARACTER = ("run", "char_idx")
@@ -158,7 +159,8 @@ def accumulate_evidence(post: DataFrame, keys: Sequence[str] = CHARACTER, order:
     ``bias`` (keys, bias) is added once per character. With ``missing="uniform"`` the step is the
     sequence number itself, as sequences without evidence add a constant; with ``"skip"`` steps
     count the sequences that have evidence. Steps past ``max_sequences`` are dropped first; without
-    that bound the sums run cell by cell, so their cost stays in proportion to the sequences.
+    that bound rows are written once and the sums run cell by cell, so their cost stays in proportion
+    to the sequences.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     step = F.row_number().over(w) if missing == "skip" else F.col(order)
@@ -176,6 +178,8 @@ def accumulate_evidence(post: DataFrame, keys: Sequence[str] = CHARACTER, order:
         rows = rows.withColumn("_seen", F.collect_list("_logs").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         total = F.aggregate("_seen", start, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
         return rows.withColumn("evidence", total).drop("_logs", "_seen", "bias", "posterior")
+    rows = written(rows, "evidence")  # read twice: cell by cell, and to put the sums back
+    start = F.transform("_logs", lambda v: F.lit(0.0)) if bias is None else F.col("bias")
     cells = rows.select(*keys, order, F.posexplode("_logs").alias("_c", "_v"))
     running = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cells.withColumn("_v", F.sum("_v").over(running)).groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("_c", "_v"))).alias("_sum"))

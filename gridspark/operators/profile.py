@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .signal import block_majority, classify_channels
+
 
 def file_summary(samples: DataFrame, sfreq: float, run: str = "run", order: str = "sample", type_col: str = "stim_type", code_col: str = "stim_code") -> DataFrame:
     """Duration, events, targets and codes of each recording, in one pass."""
@@ -39,6 +41,51 @@ def quality_flags(files: DataFrame, n_codes: int, low_fraction: float = 0.1, blo
     return files.select(run, F.explode(flags).alias("flag"))
 
 
+#: Event channels that a recording must have.
+EVENT_CHANNELS = ("StimulusBegin", "StimulusType", "StimulusCode", "CurrentTarget")
+
+
+def channel_summary(channels: DataFrame, event_channels: Sequence[str] = EVENT_CHANNELS, run: str = "run", col: str = "channel") -> DataFrame:
+    """Per recording: signal and other channels, which event channels are missing, and its grid's rows,
+    columns, cells and missing cells, from one row a channel in one pass."""
+    kinds = classify_channels(channels.select(run, col).distinct(), col)
+    cell = F.when(F.col("kind") == "grid", F.struct("row", "col"))
+    out = kinds.groupBy(run).agg(
+        F.count_if(F.col("kind") == "signal").alias("signal_channels"),
+        F.count_if(F.col("kind") != "signal").alias("other_channels"),
+        F.array_sort(F.array_except(F.array(*[F.lit(c) for c in event_channels]), F.collect_set(F.when(F.col(col).isin(list(event_channels)), F.col(col))))).alias("missing_events"),
+        F.coalesce(F.max("row"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.max("col"), F.lit(0)).alias("n_cols"),
+        F.countDistinct(cell).alias("cells"),
+    )
+    return out.withColumn("missing_cells", F.col("n_rows") * F.col("n_cols") - F.col("cells"))
+
+
+def structure_flags(summary: DataFrame, run: str = "run") -> DataFrame:
+    """One row per recording and problem of its channels: (run, flag, detail)."""
+    tests = [
+        ("missing_event_channels", F.size("missing_events") > 0, F.array_join("missing_events", ", ")),
+        ("missing_grid_channels", F.col("cells") == 0, F.lit("")),
+        ("incomplete_grid", F.col("missing_cells") > 0, F.col("missing_cells").cast("string")),
+    ]
+    flags = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("flag"), detail.alias("detail"))) for name, test, detail in tests]), lambda x: x.isNotNull())
+    return summary.select(run, F.inline(flags))
+
+
+def agreement_flags(targets: DataFrame, adaptive: Column, run: str = "run", order: str = "sample", code: str = "code", block: int = 20, low: float = 0.8) -> DataFrame:
+    """Blocks of target flashes whose codes agree too little: (run, block, flag, agreement).
+
+    A fixed recording is cut into whole blocks (``low_currenttarget_agreement``); an ``adaptive`` one is
+    one block of any size, whose targets are known to change (``adaptive_currenttarget_varies``).
+    """
+    marked = targets.withColumn("_adaptive", adaptive)
+    fixed = block_majority(marked.where(~F.col("_adaptive")), [run], order, code, block, low).select(run, "block", "agreement")
+    counts = marked.where("_adaptive").groupBy(run, code).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.groupBy(run).agg((F.max("_n") / F.sum("_n")).alias("agreement")).select(run, F.lit(0).alias("block"), "agreement")
+    both = fixed.withColumn("flag", F.lit("low_currenttarget_agreement")).unionByName(whole.withColumn("flag", F.lit("adaptive_currenttarget_varies")))
+    return both.where(F.col("agreement") < low).select(run, "block", "flag", "agreement")
+
+
 def coverage_by_study(files: DataFrame, study: str, subject: str, session: str, seconds: str) -> DataFrame:
     return files.groupBy(study).agg(F.count(F.lit(1)).alias("files"), F.countDistinct(subject).alias("subjects"), F.countDistinct(session).alias("sessions"), (F.sum(seconds) / 3600).alias("hours"))
 

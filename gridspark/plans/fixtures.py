@@ -30,6 +30,14 @@ VIEWS: dict[str, str] = {
                CAST(l_partkey % 6 AS INT) + 1 AS stim_code,
                CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 1 ELSE 0 END AS pulse
         FROM {lineitem}""",
+    "channels": """
+        SELECT DISTINCT run, channel FROM (
+            SELECT l_suppkey AS run, concat('EEG_', CAST(l_linenumber AS VARCHAR(10))) AS channel FROM {lineitem}
+            UNION ALL
+            SELECT l_suppkey, CASE l_orderkey % (3 + l_suppkey % 3) WHEN 0 THEN 'StimulusBegin' WHEN 1 THEN 'StimulusType' WHEN 2 THEN 'StimulusCode' WHEN 3 THEN 'CurrentTarget' ELSE 'SelectedTarget' END FROM {lineitem}
+            UNION ALL
+            SELECT l_suppkey, concat(chr(CAST(65 + l_partkey % (1 + l_suppkey % 9) AS INT)), '_', CAST(1 + CAST(floor((l_partkey % (1 + l_suppkey % 9)) / 3.0) AS INT) AS VARCHAR(10)), '_', CAST(1 + (l_partkey % (1 + l_suppkey % 9)) % 3 AS VARCHAR(10)))
+            FROM {lineitem} WHERE l_suppkey % 11 <> 0) c""",
     "registry": """
         SELECT concat('S', lpad(CAST(c_nationkey AS VARCHAR(10)), 2, '0'), '_SE001_',
                       CASE WHEN c_custkey % 3 = 0 THEN 'RC_Train' WHEN c_custkey % 3 = 1 THEN 'Dyn_Test' ELSE 'DynBigram_Test' END,

@@ -49,7 +49,8 @@ def evidence(t: Tables) -> DataFrame:
 
 
 def traces(t: Tables) -> DataFrame:
-    return P.accumulate_evidence(evidence(t))
+    """A character has two sequences in these tables."""
+    return P.accumulate_evidence(evidence(t), max_sequences=MOST)
 
 
 def decided(t: Tables) -> DataFrame:
@@ -108,7 +109,7 @@ def target_cell(t: Tables) -> DataFrame:
 
 @query("accumulate_evidence", f"SELECT run, char_idx, CAST(step AS INT) AS step, cell_idx, round(s, 6) AS p FROM {_ACC}")
 def accumulate_evidence(t: Tables) -> DataFrame:
-    return long(traces(t), "evidence", ["run", "char_idx", "step"])
+    return long(P.accumulate_evidence(evidence(t)), "evidence", ["run", "char_idx", "step"])
 
 
 @query("decode_argmax", f"SELECT run, char_idx, CAST(step AS INT) AS step, decision, round(confidence, 6) AS confidence FROM {_STEPS}")
@@ -256,6 +257,21 @@ def accuracy_rollup(t: Tables) -> DataFrame:
     return rounded(out, "accuracy", "sequences_per_char", "flashes_per_char", "seconds_per_char", "itr")
 
 
+_STRATA = ("CASE run % 3 WHEN 0 THEN 'RC' WHEN 1 THEN 'Dyn' ELSE 'DynBigram' END", {"Dyn/DynBigram": ["Dyn", "DynBigram"]})
+
+
+@query(
+    "accuracy_strata",
+    f"""SELECT stratum, characters, round(accuracy, 6) AS accuracy, round(s, 6) AS sequences_per_char, round(f, 6) AS flashes_per_char, round(z, 6) AS seconds_per_char, round(greatest({_ITR}, 0) * 60 / z, 6) AS itr
+        FROM (SELECT stratum, count(*) AS characters, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(sequences_used) AS s, avg(flashes_used) AS f, CAST(avg(seconds) AS DOUBLE) AS z
+              FROM (SELECT *, {_STRATA[0]} AS name FROM {_COSTED}) c JOIN (VALUES ('RC', 'RC'), ('Dyn', 'Dyn'), ('DynBigram', 'DynBigram'), ('Dyn', 'Dyn/DynBigram'), ('DynBigram', 'Dyn/DynBigram'), ('RC', 'overall'), ('Dyn', 'overall'), ('DynBigram', 'overall')) m(own, stratum) ON m.own = c.name GROUP BY stratum)""",
+)
+def accuracy_strata(t: Tables) -> DataFrame:
+    """Each condition, both adaptive ones together, and all."""
+    out = M.with_itr(M.accuracy_strata(costed(t).withColumn("condition", F.expr(_STRATA[0])), merged=_STRATA[1]), 9)
+    return rounded(out, "accuracy", "sequences_per_char", "flashes_per_char", "seconds_per_char", "itr")
+
+
 @query("itr", f"SELECT subject, round(greatest({_ITR}, 0) * 60 / z, 6) AS itr FROM (SELECT subject, avg(CAST(correct AS DOUBLE)) AS accuracy, CAST(avg(seconds) AS DOUBLE) AS z FROM {_COSTED} GROUP BY subject)")
 def itr(t: Tables) -> DataFrame:
     one = costed(t).groupBy("subject").agg(F.avg(F.col("correct").cast("double")).alias("p"), F.avg("seconds").alias("z"))
@@ -268,10 +284,10 @@ def wpm(t: Tables) -> DataFrame:
     return one.select("subject", F.round(N.wpm(F.col("z")), 6).alias("wpm"), F.round(N.wpm_from_itr(N.itr(9, F.col("p"), F.col("z"))), 6).alias("wpm_from_itr"))
 
 
-@query("selection_time", f"SELECT run, char_idx, CAST(sequences_used * 1.5 AS DOUBLE) AS fixed, CAST(sequences_used * 6 * 0.25 AS DOUBLE) AS measured FROM {_DECIDED}")
+@query("selection_time", f"SELECT run, char_idx, CAST(sequences_used * 1.5 AS DOUBLE) AS fixed, CAST(sequences_used * 6 * 0.25 AS DOUBLE) AS measured, CAST(round(sequences_used * 6 * 0.21, 6) AS DOUBLE) AS by_flash FROM {_DECIDED}")
 def selection_time(t: Tables) -> DataFrame:
     s = F.col("sequences_used")
-    return decided(t).select("run", "char_idx", M.selection_time(s, F.lit(1.5)).alias("fixed"), M.selection_time(s, flashes_per_seq=6, interval=F.lit(0.25)).alias("measured"))
+    return decided(t).select("run", "char_idx", M.selection_time(s, F.lit(1.5)).alias("fixed"), M.selection_time(s, flashes_per_seq=6, interval=F.lit(0.25)).alias("measured"), F.round(M.selection_time(s, flashes=s * 6, seconds_per_flash=0.21), 6).alias("by_flash"))
 
 
 @query("per_subject", f"SELECT subject, count(*) AS characters, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(flashes_used), 6) AS flashes, round(avg(-ln(confidence)), 6) AS nll FROM {_COSTED} GROUP BY subject")

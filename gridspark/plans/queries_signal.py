@@ -262,6 +262,40 @@ def quality_flags(t: Tables) -> DataFrame:
     return A.quality_flags(A.file_summary(t("samples"), 256.0), 6, 0.25)
 
 
+_CHANNELS = """(SELECT run, count(*) FILTER (channel LIKE 'EEG!_%' ESCAPE '!') AS signal_channels, count(*) FILTER (channel NOT LIKE 'EEG!_%' ESCAPE '!') AS other_channels,
+    array_to_string(list_sort(list_filter(['StimulusBegin', 'StimulusType', 'StimulusCode', 'CurrentTarget'], lambda c: NOT list_contains(list(channel), c))), ', ') AS missing_events,
+    coalesce(max(r), 0) AS n_rows, coalesce(max(c), 0) AS n_cols, count(DISTINCT (r, c)) FILTER (r IS NOT NULL) AS cells
+    FROM (SELECT *, TRY_CAST(regexp_extract(channel, '^([A-Z])_([0-9]+)_([0-9]+)$', 2) AS INT) AS r, TRY_CAST(regexp_extract(channel, '^([A-Z])_([0-9]+)_([0-9]+)$', 3) AS INT) AS c FROM {channels}) GROUP BY run)"""
+
+
+@query("channel_summary", f"SELECT *, n_rows * n_cols - cells AS missing_cells FROM {_CHANNELS}")
+def channel_summary(t: Tables) -> DataFrame:
+    return A.channel_summary(t("channels")).withColumn("missing_events", F.array_join("missing_events", ", "))
+
+
+@query(
+    "structure_flags",
+    f"""SELECT run, 'missing_event_channels' AS flag, missing_events AS detail FROM {_CHANNELS} WHERE missing_events <> '' UNION ALL SELECT run, 'missing_grid_channels', '' FROM {_CHANNELS} WHERE cells = 0
+        UNION ALL SELECT run, 'incomplete_grid', CAST(n_rows * n_cols - cells AS VARCHAR) FROM {_CHANNELS} WHERE n_rows * n_cols > cells""",
+)
+def structure_flags(t: Tables) -> DataFrame:
+    return A.structure_flags(A.channel_summary(t("channels")))
+
+
+@query(
+    "agreement_flags",
+    """WITH targets AS (SELECT run, sample, stim_code, row_number() OVER (PARTITION BY run ORDER BY sample) - 1 AS k FROM {samples} WHERE stim_type = 1),
+       counts AS (SELECT run, CASE WHEN run % 2 = 0 THEN 0 ELSE CAST(floor(k / 20) AS INT) END AS block, stim_code, count(*) AS n FROM targets GROUP BY ALL),
+       blocks AS (SELECT run, block, max(n) / sum(n) AS agreement, sum(n) AS size FROM counts GROUP BY run, block)
+       SELECT run, CAST(block AS INT) AS block, CASE WHEN run % 2 = 0 THEN 'adaptive_currenttarget_varies' ELSE 'low_currenttarget_agreement' END AS flag, round(agreement, 6) AS agreement
+       FROM blocks WHERE agreement < 0.25 AND (run % 2 = 0 OR size = 20)""",
+)
+def agreement_flags(t: Tables) -> DataFrame:
+    """Recordings of even number are adaptive."""
+    targets = t("samples").where("stim_type = 1").select("run", "sample", F.col("stim_code").alias("code"))
+    return A.agreement_flags(targets, F.col("run") % 2 == 0, low=0.25).withColumn("agreement", F.round("agreement", 6))
+
+
 @query("flag_summary", f"SELECT flag, count(*) AS n FROM {_FLAGS} GROUP BY flag")
 def flag_summary(t: Tables) -> DataFrame:
     return A.flag_summary(A.quality_flags(A.file_summary(t("samples"), 256.0), 6, 0.25))
