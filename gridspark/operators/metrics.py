@@ -66,25 +66,20 @@ def pooled_counts(decisions: DataFrame, by: Sequence[str]) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
     """Area under the ROC curve with ties counted half; groups of one class are left out.
 
-    Rows are first summed per distinct score. Per group a running sum follows. Without groups the
-    scores are dealt into ranges; running sums inside each range start from the sum of the ranges
-    below, so no task orders all scores.
+    Rows are first summed per distinct score. All scores are dealt into ``parts`` ranges of about equal
+    size; running sums inside each range of a group start from the sum of the group's ranges below. No
+    task orders more than one range, a share of the whole, even if one group has nearly all rows.
     """
     points = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label)).cast("double").alias("_p"), F.sum(1 - F.col(label)).cast("double").alias("_n"))
-    if by:
-        below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_n")
-        area = points.withColumn("_a", F.col("_p") * (below + F.col("_n") / 2))
-    else:
-        points = written(points, "auc-points")  # read for the cuts, the totals and the area
-        cuts = points.approxQuantile("_s", [i / parts for i in range(1, parts)], 0.001)
-        cuts = sorted(set(cuts))
-        bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_s")))
-        points = points.withColumn("_b", bucket)
-        totals = points.groupBy("_b").agg(F.sum("_n").alias("_t"))
-        lower = F.broadcast(totals.select(F.col("_b").alias("_o"), "_t"))  # at most ``parts`` rows
-        base = totals.select("_b").join(lower, F.col("_o") < F.col("_b"), "left").groupBy("_b").agg(F.coalesce(F.sum("_t"), F.lit(0.0)).alias("_base"))
-        inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_s")) - F.col("_n")
-        area = points.withColumn("_in", inside).join(F.broadcast(base), "_b").withColumn("_a", F.col("_p") * (F.col("_base") + F.col("_in") + F.col("_n") / 2))
+    points = written(points, "auc-points")  # read for the cuts, the totals and the area
+    cuts = sorted(set(points.approxQuantile("_s", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    points = points.withColumn("_b", F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_s"))))
+    totals = points.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows a group
+    base = totals.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_b").alias("_k_b"), F.coalesce(F.sum("_t").over(below), F.lit(0.0)).alias("_base"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_s")) - F.col("_n")
+    placed = points.withColumn("_in", inside).join(base, [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], F.col("_b") == F.col("_k_b")])
+    area = placed.withColumn("_a", F.col("_p") * (F.col("_base") + F.col("_in") + F.col("_n") / 2))
     out = area.groupBy(*by).agg(F.sum("_a").alias("_a"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n")).where("_p > 0 and _n > 0")
     return out.select(*by, (F.col("_a") / (F.col("_p") * F.col("_n"))).alias("auc"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .medians import medians, with_medians
 from .signal import block_majority, classify_channels
 
 
@@ -92,16 +93,22 @@ def coverage_by_study(files: DataFrame, study: str, subject: str, session: str,
 
 def inventory_by_condition(files: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Counts, medians and totals per group and for the whole (keys null), by one rollup."""
-    out = files.rollup(*keys).agg(F.count(F.lit(1)).alias("files"), F.percentile(value, F.lit(0.5)).alias("median"), F.sum(value).alias("total"), F.grouping_id().alias("level"))
-    return out.where(F.col("level").isin(0, (1 << len(keys)) - 1))
+    out = files.rollup(*keys).agg(F.count(F.lit(1)).alias("files"), F.sum(value).alias("total"), F.grouping_id().alias("level"))
+    out = out.where(F.col("level").isin(0, (1 << len(keys)) - 1))
+    middle = medians(files, keys, value).withColumn("level", F.lit(0)).unionByName(medians(files, [], value).withColumn("level", F.lit((1 << len(keys)) - 1)), allowMissingColumns=True)
+    middle = middle.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("level").alias("_k_level"), "median")
+    same = [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("level") == F.col("_k_level")]
+    return out.join(middle, same, "left").select(*keys, "files", "median", "total", "level")
 
 
 def grid_summary(files: DataFrame, study: str, cells: str) -> DataFrame:
-    return files.groupBy(study).agg(F.countDistinct(cells).alias("layouts"), F.percentile(cells, F.lit(0.5)).alias("median_cells"), F.max(cells).alias("max_cells"))
+    out = files.groupBy(study).agg(F.countDistinct(cells).alias("layouts"), F.max(cells).alias("max_cells"))
+    return with_medians(out, files, [study], median_cells=cells)
 
 
 def segmentation_summary(trials: DataFrame, study: str, flashes: str, agreement: str) -> DataFrame:
-    return trials.groupBy(study).agg(F.count(F.lit(1)).alias("trials"), F.percentile(flashes, F.lit(0.5)).alias("median_flashes"), F.avg(agreement).alias("mean_agreement"))
+    out = trials.groupBy(study).agg(F.count(F.lit(1)).alias("trials"), F.avg(agreement).alias("mean_agreement"))
+    return with_medians(out, trials, [study], median_flashes=flashes)
 
 
 def top_targets(trials: DataFrame, study: str, label: str, k: int = 15) -> DataFrame:
@@ -115,7 +122,7 @@ def flag_summary(flags: DataFrame, flag: str = "flag") -> DataFrame:
 
 
 def compact_stats(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(col).alias("mean"), F.percentile(col, F.lit(0.5)).alias("median"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return with_medians(df.agg(F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max")), df, [], median=col)
 
 
 def state_value_profile(samples: DataFrame, states: Sequence[str], keep: int = 10) -> DataFrame:

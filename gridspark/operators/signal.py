@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .medians import with_medians
+
 Keys = Sequence[str]
 
 
@@ -197,7 +199,8 @@ def sequence_coverage(events: DataFrame, flashes_per_seq: int, keys: Keys = ("ru
 
 def median_interval(events: DataFrame, sfreq: float, keys: Keys = ("run",), order: str = "sample") -> DataFrame:
     gaps = events.withColumn("_gap", F.col(order) - F.lag(order).over(_over(keys, order)))
-    return gaps.groupBy(*keys).agg((F.percentile("_gap", F.lit(0.5)) / sfreq).alias("median_interval"))
+    out = with_medians(gaps.select(*keys).distinct(), gaps, keys, _median="_gap")
+    return out.select(*keys, (F.col("_median") / sfreq).alias("median_interval"))
 
 
 def layout_consistency(grid: DataFrame, study: str, keys: Keys) -> DataFrame:
