@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,28 +165,86 @@ def stop_histogram(decisions: DataFrame, max_sequences: int) -> DataFrame:
     return decisions.groupBy("sequences_used").agg(F.count_if(~F.col("correct")).alias("wrong"), F.count_if("correct").alias("right")).where(F.col("sequences_used") <= max_sequences)
 
 
-def policy_sweep(traces: DataFrame, policies: DataFrame, targets: DataFrame, default: str, n_choices: int, seconds_per_sequence: float, keys: Sequence[str] = CHARACTER) -> DataFrame:
+def _policy_sums(steps: list, confidences: list, decisions: list, hits: list, policies: list[tuple], default: int) -> np.ndarray:
+    """Sums over these characters for each policy: characters, hits, steps, flips, corrected, regressed.
+
+    With steps from ``min`` to ``max``, only a step of greater confidence than all before it can end a
+    character, and it does so for the thresholds between the two: a stretch of the sorted thresholds, at
+    whose ends its numbers are added and taken off. Running sums give all thresholds at once.
+    """
+    width = max(map(len, steps), default=0)
+    shape = (len(steps), width)
+    step, conf, choice, hit = np.full(shape, np.iinfo(np.int64).max), np.full(shape, -np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
+    for i, row in enumerate(zip(steps, confidences, decisions, hits, strict=True)):
+        order = np.argsort(row[0], kind="stable")
+        for target, values in zip((step, conf, choice, hit), row, strict=True):
+            target[i, : len(order)] = np.asarray(values)[order]
+
+    def segments(low: int, high: int, taus: np.ndarray):
+        """(characters, columns, first threshold, end) of what ends each character where."""
+        within = step <= high
+        able = np.where(within & (step >= low), conf, -np.inf)
+        best = np.maximum.accumulate(able, axis=1)
+        before = np.column_stack([np.full(len(best), -np.inf), best[:, :-1]])
+        who, at = np.nonzero(able > before)
+        yield who, at, np.searchsorted(taus, before[who, at], "right"), np.searchsorted(taus, able[who, at], "right")
+        some = np.flatnonzero(within.any(axis=1))
+        last = within[some].sum(axis=1) - 1
+        yield some, last, np.searchsorted(taus, best[some, -1], "right"), np.full(len(some), len(taus))
+
+    _, tau, low, high = policies[default]
+    ref, ref_hit, has = np.zeros(len(steps), np.int64), np.zeros(len(steps), bool), np.zeros(len(steps), bool)
+    for who, at, a, e in segments(low, high, np.array([tau])):
+        own = (a == 0) & (e == 1)
+        ref[who[own]], ref_hit[who[own]], has[who[own]] = choice[who[own], at[own]], hit[who[own], at[own]], True
+    out = np.zeros((len(policies), 6))
+    for low, high in sorted({p[2:] for p in policies}):
+        rows = sorted((i for i, p in enumerate(policies) if p[2:] == (low, high)), key=lambda i: policies[i][1])
+        taus = np.array([policies[i][1] for i in rows])
+        edges = np.zeros((len(taus) + 1, 6))
+        for who, at, a, e in segments(low, high, taus):
+            ok = hit[who, at]
+            flip = has[who] & (choice[who, at] != ref[who])
+            numbers = np.column_stack([np.ones(len(who)), ok, step[who, at], flip, flip & ok & ~ref_hit[who], flip & ~ok & ref_hit[who]]).astype(float)
+            np.add.at(edges, a, numbers)
+            np.add.at(edges, e, -numbers)
+        out[rows] = np.cumsum(edges, axis=0)[:-1]
+    return out
+
+
+def policy_sweep(traces: DataFrame, policies: DataFrame, targets: DataFrame, default: str, n_choices: int, seconds_per_sequence: float, keys: Sequence[str] = CHARACTER, most: int = 1_000_000) -> DataFrame:
     """Accuracy, cost and changes against the default for each policy (policy, tau, min_sequences, max_sequences).
 
-    Traces do not depend on the policy: each step is decoded once, then met with all policies.
+    Traces do not depend on the policy: each step is decoded once, and a character's steps meet all
+    thresholds of the same bounds together (``_policy_sums``), so the cost goes with steps and distinct
+    bounds, not with policies. Tasks send one row a policy. At most ``most`` policies, else an error.
     """
-    steps = decode_argmax(traces).select(*keys, "step", "decision", "confidence")
-    each = steps.join(parameter_table(policies)).where(F.col("step") <= F.col("max_sequences"))
-    row = F.struct("step", "decision")
-    stop = (F.col("step") >= F.col("min_sequences")) & (F.col("confidence") >= F.col("tau"))
-    picked = each.groupBy(*keys, "policy").agg(F.coalesce(F.min(F.when(stop, row)), F.max(row)).alias("_d"))
-    decided = picked.join(targets.select(*keys, "cell"), list(keys)).select(*keys, "policy", "_d.step", "_d.decision", (F.col("_d.decision") == F.col("cell")).alias("ok"))
-    per = Window.partitionBy(*keys)
-    ref = F.max(F.when(F.col("policy") == default, F.struct("decision", "ok"))).over(per)
-    both = decided.withColumn("_ref", ref)
-    flip = F.col("decision") != F.col("_ref.decision")
-    out = both.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("characters"),
-        F.avg(F.col("ok").cast("double")).alias("accuracy"),
-        F.avg("step").alias("mean_sequences"),
-        F.count_if(flip).alias("flips"),
-        F.count_if(flip & F.col("ok") & ~F.col("_ref.ok")).alias("corrected"),
-        F.count_if(flip & ~F.col("ok") & F.col("_ref.ok")).alias("regressed"),
+    given = policies.select("policy", F.col("tau").cast("double"), F.col("min_sequences").cast("int"), F.col("max_sequences").cast("int")).limit(most + 1).collect()
+    if len(given) > most:
+        raise ValueError(f"more than {most} policies")
+    names, table = [r[0] for r in given], [tuple(r) for r in given]
+    at = names.index(default)
+    steps = decode_argmax(traces).select(*keys, "step", "decision", "confidence").join(targets.select(*keys, "cell"), list(keys))
+    each = steps.groupBy(*keys).agg(F.collect_list(F.struct("step", "confidence", "decision", (F.col("decision") == F.col("cell")).alias("ok"))).alias("_s"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(table), 6))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                rows = batch.column(0).slice(start, 4096).to_pylist()
+                sums += _policy_sums(*[[[s[c] for s in r] for r in rows] for c in ("step", "confidence", "decision", "ok")], table, at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), *[pa.array(c) for c in sums.T]], names=["i", "c", "h", "s", "f", "g", "r"])
+
+    summed = each.select("_s").mapInArrow(add, "i long, c double, h double, s double, f double, g double, r double").groupBy("i").agg(*[F.sum(x).alias(x) for x in "chsfgr"]).where("c > 0")
+    named = F.broadcast(policies.sparkSession.createDataFrame(list(enumerate(names)), f"i long, policy {dict(policies.dtypes)['policy']}"))  # at most ``most`` rows
+    out = summed.join(named, "i").select(
+        "policy",
+        F.col("c").cast("long").alias("characters"),
+        (F.col("h") / F.col("c")).alias("accuracy"),
+        (F.col("s") / F.col("c")).alias("mean_sequences"),
+        F.col("f").cast("long").alias("flips"),
+        F.col("g").cast("long").alias("corrected"),
+        F.col("r").cast("long").alias("regressed"),
     )
     return out.withColumn("itr", itr(n_choices, F.col("accuracy"), F.col("mean_sequences") * seconds_per_sequence))
 

@@ -111,3 +111,32 @@ def test_global_auc_equals_grouped(spark):
     rows = [(float(np.round(z, 1)), int(y), 1) for z, y in zip(rng.normal(size=800), rng.integers(0, 2, 800), strict=True)]
     df = spark.createDataFrame(rows, "s double, y int, g int")
     assert M.roc_auc(df, "s", "y", parts=16).first()["auc"] == pytest.approx(M.roc_auc(df, "s", "y", ["g"]).first()["auc"])
+
+
+def test_policy_sweep_equals_each_policy_alone(spark):
+    """Thousands of thresholds with several bounds, ties of confidence, characters without a step inside the bounds."""
+    import numpy as np
+
+    from gridspark.operators.metrics import _policy_sums
+
+    rng = np.random.default_rng(3)
+    chars = []
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        chars.append([(int(s), float(rng.choice([0.3, 0.5, 0.7, 0.9])) if rng.random() < 0.5 else float(rng.random()), int(rng.integers(0, 4)), bool(rng.random() < 0.5)) for s in rng.permutation(9)[:n] + 1])
+    policies = [(f"p{i}", float(t), int(lo), int(hi)) for i, (t, (lo, hi)) in enumerate((t, b) for t in [*rng.random(400), 0.3, 0.5, 0.7, 0.9, 0.0, 1.0, 2.0] for b in [(1, 9), (2, 4), (5, 3), (3, 9)])]
+    got = _policy_sums(*[[[s[c] for s in ch] for ch in chars] for c in range(4)], policies, 7)
+
+    def stop(ch, tau, lo, hi):
+        inside = sorted(s for s in ch if s[0] <= hi)
+        return next((s for s in inside if s[0] >= lo and s[1] >= tau), inside[-1] if inside else None)
+
+    want = np.zeros_like(got)
+    for ch in chars:
+        ref = stop(ch, *policies[7][1:])
+        for i, (_, tau, lo, hi) in enumerate(policies):
+            s = stop(ch, tau, lo, hi)
+            if s:
+                flip = ref is not None and s[2] != ref[2]
+                want[i] += [1, s[3], s[0], flip, flip and s[3] and not ref[3], flip and not s[3] and ref[3]]
+    assert np.array_equal(got, want) and want[:, 3].any()
