@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridspark.operators import retrieval as R
 from gridspark.operators import session as G
 from gridspark.operators.asof import sum_before
+from gridspark.sources.scratch import written
 
 RNG = random.Random(2)
 CHARS = "abc "
@@ -121,7 +122,7 @@ def test_a_long_session(spark, cells):
     n = 100_000
     trials = spark.range(n).selectExpr("'x' subject", "id pos", "concat(substr('abcabc', 1 + id % 3, 2), ' ab', if(id % 2 = 0, 'a', 'c')) text")
     asked = trials.selectExpr("subject", "pos", "if(pos % 2 = 0, 'ab', 'zz a') context")
-    got = G.session_prior(asked, trials, cells)
+    got = written(G.session_prior(asked, trials, cells), "long-session")
     at = {(r["pos"], r["cell_idx"]): r for r in got.where("pos in (0, 1, 2, 3, 50000, 99998, 99999)").collect()}
     assert at[0, None]["reason"] == "no_matches" and at[99_998, 3]["phrases"] == 99_998 and at[99_998, 3]["tokens"] == 2 * 99_998
     # ahead of trial 2: "ab aba" (begins with the context, a blank follows) and "bc abc" (inside, c follows)
