@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, alone: int | None = None) -> DataFrame:
-    """The input's columns with later repeats of runs of ``window`` or more lines deleted from the text.
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, least: int | None = None, alone: int | None = None) -> DataFrame:
+    """The input's columns with later repeats of runs of lines deleted from the text.
 
-    Adds n_lines and n_removed. Lines are split at newlines and told apart by two 64-bit hashes;
-    lines of white space only are no part of a run and always stay. A line is deleted if it lies in
-    a run of ``window`` consecutive other lines that also starts earlier: in a row with a smaller
-    id, or further up in the same row. Runs are judged on the input.
+    Adds n_lines and n_removed. Lines are split at newlines and told apart by two hashes of 60 and
+    64 bits; lines of white space only are no part of a run and always stay. Runs are judged on the
+    input. A run starts earlier where it starts in a row with a smaller id, or further up in the
+    same row.
 
-    The smallest of each ``window`` neighbouring line hashes is a fingerprint, so every repeated
-    run holds one. Fingerprints that occur once are dropped; from the others a match is extended up
-    and down: each run of ``window`` lines that reaches up or down from the fingerprint is compared
-    with the first place that has the same run, and longer matches are the union of those runs.
+    Lines are ordered by their hash, lines that occur once after all others, for they match
+    nothing. The first line of each ``window`` neighbouring ones in this order is a fingerprint, so
+    each repeated run of ``window`` lines holds one, and so does each repeated line whose
+    neighbours are its own. A line that is a fingerprint anywhere is an anchor at all its places.
+    From an anchor a match is extended up and down: each run of ``least`` (default ``window``) to
+    ``window`` lines that holds the anchor is compared with the first place of the same run, and
+    longer matches are the union of those runs. With ``alone``, the anchor by itself counts too if
+    it has that many characters, so a match that cannot be extended is cut as well. All runs of
+    ``window`` lines that also start earlier are deleted; shorter ones if they hold an anchor.
     Only first places travel, never pairs of places, so a line that a third of all rows hold costs
-    its own rows. A repeated line whose neighbours differ is in no such run and stays, unless
-    ``alone`` is given: a match of one line of ``alone`` or more characters that cannot be extended
-    then counts as a run by itself as well.
+    its own rows.
 
     Null texts stay null and have no lines. Rows with null ids come first. Rows with the same id
     and text count as one document: each gets the same result. Very long texts cost time in
@@ -34,52 +37,56 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
     second = F.lit(7)  # another seed
-    single = (lambda x: [(F.length(x) >= alone).alias("single")]) if alone is not None else (lambda x: [])
+    least = window if least is None else least
 
     def unit(x, i):
         solid = F.trim(x, F.lit(" \t\r\x0b\x0c")) != ""
-        return F.struct(i.alias("i"), F.when(solid, F.xxhash64(x)).alias("h"), F.xxhash64(second, x).alias("g"), *single(x))
+        order = F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
+        long = F.lit(False) if alone is None else F.length(x) >= alone
+        return F.struct(i.alias("i"), F.when(solid, order).alias("h"), F.xxhash64(second, x).alias("g"), long.alias("single"))
 
     lines = F.filter(F.transform(F.split(text, "\n"), unit), lambda s: s["h"].isNotNull())
-    every = docs.select(key.alias("key"), lines.alias("lines"))
-    hashed = every.where(F.size("lines") >= window)
-
-    runs = F.col("hashes")
-    last = F.size(runs) - window
-
-    def low_in_a_window(j):
-        """Is unit j the minimum of one of the windows that hold it?"""
-        tests = [
-            (j >= b) & (j - b <= last) & (F.element_at(runs, j + 1) == F.array_min(F.slice(runs, j - b + 1, window)))
-            for b in range(window)
-        ]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out | t
-        return out
-
-    columns = {"hashes": "h", "checks": "g", "at": "i"}
-    units = hashed.select("key", *[F.col("lines")[c].alias(name) for name, c in columns.items()])
-    marks = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda j: F.coalesce(low_in_a_window(j), F.lit(False)))
-    prints = units.select("*", F.explode(marks).alias("j"))
-    top = F.greatest(F.col("j") - window + 2, F.lit(1))  # how far a run that holds the fingerprint can reach
-    length = F.least(F.col("j") + window, F.size("hashes")) - top + 1
-    prints = prints.select("key", F.element_at("hashes", F.col("j") + 1).alias("print"), *[F.slice(name, top, length).alias(name) for name in columns])
-    prints = materialize(prints, "line-prints")
-    shared = materialize(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "line-shared")
-    found = prints.join(shared, "print")
-
-    def run_of(hashes, checks) -> list:
-        return [F.xxhash64(hashes).alias("run"), F.xxhash64(second, checks).alias("check")]
-
-    starts = F.sequence(F.lit(1), F.size("hashes") - window + 1)
-    extended = F.transform(starts, lambda s: F.struct(*run_of(F.slice("hashes", s, window), F.slice("checks", s, window)), F.slice("at", s, window).alias("at")))
-    places = found.where(F.size("hashes") >= window).select("key", F.inline(extended))
-    if alone is not None:
-        singles = every.select("key", F.inline(F.filter("lines", lambda s: s["single"])))
-        places = places.unionByName(singles.select("key", *run_of(F.array("h"), F.array("g")), F.array("i").alias("at")))
-    places = materialize(places, "line-runs")
-    discard(prints, shared)
+    units = docs.select(key.alias("key"), F.posexplode(lines).alias("j", "unit"))
+    units = materialize(units.select("key", "j", "unit.*"), "line-units")
+    place = F.xxhash64("key", "j")
+    shared = units.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("h")
+    shared = materialize(shared, "line-shared")
+    rows = units.join(shared, "h").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("j", "i", "h", "g", "single"))).alias("lines"))
+    rows = materialize(rows, "line-rows")  # lines that occur once are left out here
+    discard(units, shared)
+
+    me = F.col("me")
+    top = F.greatest(F.col("k") - window + 2, F.lit(1))
+    around = F.slice("lines", top, F.least(F.col("k") + window, F.size("lines")) - top + 1)
+    prints = rows.select("key", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("k"))
+    prints = prints.select("key", F.element_at("lines", F.col("k") + 1).alias("me"), around.alias("around"))
+    prints = prints.select("key", "me", F.filter("around", lambda s: F.abs(s["j"] - me["j"]) < window).alias("near"))
+
+    def smaller(side) -> Column:
+        """Distance to the next line of a smaller hash on one side, ``window`` if there is none so near."""
+        lower = F.filter("near", lambda s: (s["h"] < me["h"]) & side(s["j"], me["j"]))
+        return F.coalesce(F.array_min(F.transform(lower, lambda s: F.abs(s["j"] - me["j"]))), F.lit(window))
+
+    mark = smaller(lambda a, b: a < b) + smaller(lambda a, b: a > b) > window  # a window around it fits in between
+    prints = materialize(prints.select("key", me["h"].alias("print"), me["j"].alias("j"), me["single"].alias("single"), "near", mark.alias("mark")), "line-prints")
+    anchors = materialize(prints.where("mark").select("print").distinct(), "line-anchors")
+    found = prints.join(anchors, "print")
+    found = found.withColumn("at", F.size(F.filter("near", lambda s: s["j"] < F.col("j"))) + 1)
+
+    def run_of(before: int, n: int) -> Column:
+        """The run of ``n`` lines with ``before`` of them above the anchor; null if there is none."""
+        start = F.col("at") - before
+        end = start + n - 1
+        whole = (start >= 1) & (end <= F.size("near")) & (F.get("near.j", end - 1) - F.get("near.j", start - 1) == n - 1)
+        if n < least:
+            whole = whole & F.col("single")
+        hashes, checks, at = (F.slice(f"near.{c}", start, n) for c in "hgi")
+        return F.when(whole, F.struct(F.xxhash64(hashes).alias("run"), F.xxhash64(second, checks).alias("check"), at.alias("at")))
+
+    sizes = {*range(least, window + 1), *([1] if alone is not None else [])}
+    runs = F.array(*[run_of(before, n) for n in sorted(sizes) for before in range(n)])
+    places = materialize(found.select("key", F.inline(F.array_compact(runs))), "line-runs")
+    discard(rows, prints, anchors)
     place = F.struct("key", F.col("at")[0].alias("first"))
     firsts = places.groupBy("run", "check").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(F.col("origin") < F.col("last"))
     firsts = materialize(firsts.select("run", "check", "origin"), "line-firsts")

@@ -36,8 +36,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more lines, and lines of 20 or more characters by themselves."""
-    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), alone=20)
+    """Windows of four lines; matches of two or more lines, or of one line of 20 or more characters."""
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=4, least=2, alone=20)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -128,16 +128,23 @@ ORACLE_SQL: dict[str, str] = {
         WITH lines AS (
             SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
             FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
-        ), solid AS (
-            SELECT * FROM lines WHERE NOT regexp_full_match(line, '[ \t\r\v\f]*')
-        ), pairs AS (
-            SELECT doc_id, i, lead(i) OVER d AS next_i, line || chr(10) || lead(line) OVER d AS run
-            FROM solid WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), counted AS (
+            SELECT *, CASE WHEN count(*) OVER (PARTITION BY line) > 1 THEN substr(md5(line), 1, 15) END AS h
+            FROM lines WHERE NOT regexp_full_match(line, '[ \t\r\v\f]*')
+        ), marked AS (
+            SELECT *, h = min(h) OVER (d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) OR h = min(h) OVER (d ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)
+                   OR h = min(h) OVER (d ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) OR h = min(h) OVER (d ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS mark
+            FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), anchored AS (
+            SELECT doc_id, i, line, coalesce(bool_or(mark) OVER (PARTITION BY h), false) AND h IS NOT NULL AS anchor FROM marked
+        ), runs AS (
+            SELECT doc_id, n, array_agg(i) OVER w AS places, array_agg(line) OVER w AS run, bool_or(anchor) OVER w AS has_anchor
+            FROM anchored, (SELECT unnest([1, 2, 3, 4]) AS n)
+            WINDOW w AS (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)
         ), later AS (
-            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM pairs WHERE run IS NOT NULL) WHERE k > 1
-        ), again AS (
-            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM solid WHERE length(line) >= 20) WHERE k > 1
-        ), cuts AS (SELECT doc_id, i FROM later UNION SELECT doc_id, next_i FROM later UNION SELECT doc_id, i FROM again)
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, places[1]) AS k FROM runs
+                           WHERE has_anchor AND len(run) = n AND (n > 1 OR length(run[1]) >= 20)) WHERE k > 1
+        ), cuts AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM later)
         SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id

@@ -60,19 +60,38 @@ def test_line_dedup(spark, corpus, window):
     assert got == brute_lines(corpus, window) and sum(n for n, _ in got.values()) > 0
 
 
-def brute_alone(rows, least, n=2):
-    """Places that brute_lines cuts, and later places of lines of ``least`` or more characters."""
+def brute_anchored(rows, alone, window=2, least=2):
+    """Runs of lines that hold an anchor and start earlier: fingerprints from all windows, then all runs."""
+    solid = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\v\f")] for d, t in rows}
+    counts = Counter(x for units in solid.values() for _, x in units)
+    order = lambda x: hashlib.md5(x.encode()).hexdigest()[:15] if counts[x] > 1 else "~"
+    anchors = set()
+    for units in solid.values():
+        padded = [None] * (window - 1) + [x for _, x in units] + [None] * (window - 1)
+        for b in range(len(padded) - window + 1):
+            own = [x for x in padded[b : b + window] if x is not None]
+            anchors |= {min(own, key=order)} if own else set()
+    anchors = {x for x in anchors if counts[x] > 1}
     first, cut = {}, defaultdict(set)
-    for doc, text in sorted(rows):
-        units = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\v\f")]
-        for size in (1, n):
+    for doc in sorted(solid):
+        units = solid[doc]
+        for size in {1, *range(least, window + 1)}:
             for k in range(len(units) - size + 1):
                 run = tuple(x for _, x in units[k : k + size])
-                if (size > 1 or len(run[0]) >= least) and first.setdefault(run, (doc, k)) != (doc, k):
+                if anchors & set(run) and (size > 1 or len(run[0]) >= alone) and first.setdefault(run, (doc, k)) != (doc, k):
                     cut[doc].update(i for i, _ in units[k : k + size])
     return {d: (len(cut[d]), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut[d])) for d, t in rows}
 
 
+@pytest.mark.parametrize(("window", "least"), [(3, 2), (4, 2), (5, 3)])
+def test_short_matches_around_anchors(spark, window, least):
+    """Runs over few lines, so that windows hold many repeats: of all lengths, in and across rows, at both ends."""
+    rng = random.Random(window)
+    rows = [(d, "\n".join(rng.choice([f"{'long line' * 3} {rng.randrange(9)}", f"s{rng.randrange(6)}", f"own {d} {k}", "  "]) for k in range(rng.randrange(14)))) for d in range(60)]
+    got = {r["doc_id"]: (r["n_removed"], r["text"] or "") for r in line_dedup(spark.createDataFrame(rows, DOCS), window=window, least=least, alone=20).collect()}
+    assert got == brute_anchored(rows, 20, window, least) and sum(n for n, _ in got.values()) > 50
+
+
 @pytest.mark.parametrize("least", [1, 20])
 def test_lines_repeated_alone(spark, corpus, least):
     """Boilerplate with other neighbours in each row goes, also where it is the only line; short lines stay."""
@@ -80,7 +99,7 @@ def test_lines_repeated_alone(spark, corpus, least):
     rows = corpus + [(900 + i, f"{boiler}\nown line number {i} é\n}}") for i in range(6)] + [(910, boiler), (911, f"x\n{boiler}\ny\n{boiler}")]
     df = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: (r["n_removed"], r["text"] or "") for r in line_dedup(df, alone=least).collect()}
-    assert got == brute_alone(rows, least) and got[910] == (1, "") and got[911] == (2, "x\ny")
+    assert got == brute_anchored(rows, least) and got[910] == (1, "") and got[911] == (2, "x\ny")
     assert got[903][1] == "own line number 3 é" + ("\n}" if least > 1 else "")
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup(df).collect()}[910] == 0
 

@@ -557,12 +557,12 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in clean.collect()}
     scores = toxicity_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
     assert kept == {r["doc_id"] for r in scores if r["predicted"] == 0}
-    from test_dedup import brute_alone, brute_jaccard
+    from test_dedup import brute_anchored, brute_jaccard
 
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     lines = corpus_pipeline.drop_repeated_lines(spark, docs, sf)
     assert lines.columns == docs.columns
-    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {d: t for d, (_, t) in brute_alone(rows, 20).items()}
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {d: t for d, (_, t) in brute_anchored(rows, 20, 4).items()}
     near = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert {r["doc_id"] for r in near.collect()} == {d for d, (c, _) in brute_jaccard(rows).items() if c == d}
     leaks = corpus_pipeline.drop_contaminated(spark, docs, sf)
