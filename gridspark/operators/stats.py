@@ -74,36 +74,71 @@ def holm(tests: DataFrame, family: Sequence[str], p: str = "p_value", alpha: flo
     return out.withColumn("reject", F.col("p_holm") <= alpha).drop("_a")
 
 
-def _hash_index(parts: Sequence[Column], n: Column) -> Column:
-    """An index below ``n`` from the leading digits of an MD5."""
-    return (F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") % n).cast("long")
+def _hashed(parts: Sequence[Column]) -> Column:
+    """The leading 32 bits of an MD5 of ``parts``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap_ci(pairs: DataFrame, by: Sequence[str], value: str, id_col: str, n_boot: int = 1000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+#: Chances of at most 0, 1, 2, ... for a Poisson variable of mean 1, as far as 32 bits tell them from 1.
+POISSON_STEPS = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12))
+
+
+def _small_and_large(rows: DataFrame, by: Sequence[str], exact_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of up to ``exact_rows`` and of larger ones, each with the size ``_n`` of its group."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return tuple(rows.join(sizes.where(F.col("_n") <= exact_rows if small else F.col("_n") > exact_rows), list(by)) for small in (True, False))
+
+
+def _drawn(small: DataFrame, by: Sequence[str], order: str, n_boot: int, seed: int) -> DataFrame:
+    """Replicates of small groups, row by row: as many hashed draws of row numbers as the group has rows."""
+    numbered = small.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    draws = small.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    draws = draws.withColumn("_i", (_hashed([F.lit(seed), F.col("_b"), F.col("_k")]) % F.col("_n")).cast("int"))
+    return draws.drop("_n").join(numbered, [*by, "_i"])
+
+
+def _weighted(large: DataFrame, id_col: str, n_boot: int, seed: int) -> DataFrame:
+    """Replicates of large groups: each row with each replicate that has it, and how often, ``_w``.
+
+    The weights are Poisson variables of mean 1 from hashes of replicate and id. Given their sum they
+    are the counts of so many draws with replacement, and that sum differs from the size by a share
+    of 1 / sqrt(size). No row needs to know another, so nothing is numbered, sorted or joined.
+    """
+    u = _hashed([F.lit(seed), F.col("_b"), F.col(id_col)]) / float(1 << 32)
+    rows = large.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_u", u)
+    return rows.withColumn("_w", sum((F.col("_u") >= step).cast("int") for step in POISSON_STEPS)).where("_w > 0")
+
+
+def bootstrap_ci(pairs: DataFrame, by: Sequence[str], value: str, id_col: str, n_boot: int = 1000, seed: int = 0, low: float = 0.025, high: float = 0.975, exact_rows: int = 10_000) -> DataFrame:
     """Interval of the mean under resampling, by seeded hashes instead of a generator.
 
-    Values are numbered per group; each of ``n_boot`` replicates draws as many as there are.
+    In groups of up to ``exact_rows`` values are numbered and each of ``n_boot`` replicates draws as
+    many as there are. Rows of larger groups get hashed Poisson weights instead, which are added up
+    where the rows are: only ``n_boot`` sums a group and task are shuffled, and no group is ordered.
+    There ``id_col`` must tell the rows of a group apart. Null values are drawn but count in no mean.
     """
-    numbered = pairs.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(id_col)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    draws = draws.withColumn("_i", _hash_index([F.lit(seed), F.col("_b"), F.col("_k")], F.col("_n")).cast("int"))
-    means = draws.join(numbered.select(*by, "_i", F.col(value).alias("_v")), [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
+    small, large = _small_and_large(pairs, by, exact_rows)
+    means = _drawn(small, by, id_col, n_boot, seed).groupBy(*by, "_b").agg(F.avg(value).alias("_m"))
+    sums = _weighted(large, id_col, n_boot, seed).groupBy(*by, "_b").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_n"))
+    means = means.unionByName(sums.select(*by, "_b", (F.col("_s") / F.col("_n")).alias("_m")))
     return means.groupBy(*by).agg(F.percentile("_m", F.lit(low)).alias("low"), F.percentile("_m", F.lit(high)).alias("high"))
 
 
-def hierarchical_bootstrap(counts: DataFrame, by: Sequence[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
+def hierarchical_bootstrap(counts: DataFrame, by: Sequence[str], n_boot: int = 200, seed: int = 0, exact_rows: int = 10_000) -> DataFrame:
     """Interval of accuracy: resample subjects, then characters within each drawn subject.
 
     ``counts`` has (subject, correct, characters). A drawn subject's correct characters are that
-    many hashed uniforms below its accuracy.
+    many hashed uniforms below its accuracy. Groups of over ``exact_rows`` subjects are drawn by
+    hashed Poisson weights, as in ``bootstrap_ci``; each copy of a subject draws for itself.
     """
-    numbered = counts.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("subject")) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    draws = draws.withColumn("_i", _hash_index([F.lit(seed), F.col("_b"), F.col("_k")], F.col("_n")).cast("int"))
-    drawn = draws.join(numbered.select(*by, "_i", "correct", "characters"), [*by, "_i"])
-    u = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_k").cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    small, large = _small_and_large(counts, by, exact_rows)
+    drawn = _drawn(small, by, "subject", n_boot, seed).withColumn("_k", F.col("_k").cast("string"))
+    copies = _weighted(large, "subject", n_boot, seed).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_w"))))
+    copies = copies.withColumn("_k", F.concat_ws(":", F.col("subject").cast("string"), F.col("_c").cast("string")))
+    columns = [*by, "_b", "_k", "correct", "characters"]
+    drawn = drawn.select(*columns).unionByName(copies.select(*columns))
+    u = lambda j: _hashed([F.lit(seed), F.col("_b"), F.col("_k"), j]).cast("double") / float(1 << 32)
     wins = F.aggregate(F.sequence(F.lit(1), F.col("characters").cast("int")), F.lit(0), lambda a, j: a + F.when(u(j) < F.col("correct") / F.col("characters"), 1).otherwise(0))
     each = drawn.withColumn("_w", wins).groupBy(*by, "_b").agg((F.sum("_w") / F.sum("characters")).alias("_m"))
     return each.groupBy(*by).agg(F.avg("_m").alias("mean"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))

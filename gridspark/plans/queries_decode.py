@@ -450,6 +450,23 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return rounded(H.bootstrap_ci(t("methods"), ["method"], "metric", "subject", n_boot=50, seed=7), "low", "high")
 
 
+_TIMES = " + ".join(f"CAST(u >= {step!r} AS INT)" for step in H.POISSON_STEPS)
+
+
+@query(
+    "bootstrap_ci_weighted",
+    f"""SELECT event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (
+          SELECT event_type, b, sum(w * value) / sum(w) AS m FROM (
+            SELECT *, {_TIMES} AS w FROM (
+              SELECT event_type, value, b, {_DRAW.format("'7', CAST(b AS VARCHAR), CAST(event_id AS VARCHAR)")} / 4294967296.0 AS u
+              FROM {{events}} CROSS JOIN (SELECT unnest(range(1, 51)) AS b)))
+          GROUP BY event_type, b) GROUP BY event_type""",
+)
+def bootstrap_ci_weighted(t: Tables) -> DataFrame:
+    """Mean value of all events by type: groups that grow with the table, by weights."""
+    return rounded(H.bootstrap_ci(t("events"), ["event_type"], "value", "event_id", n_boot=50, seed=7, exact_rows=10), "low", "high")
+
+
 @query("hierarchical_bootstrap")
 def hierarchical_bootstrap(t: Tables) -> DataFrame:
     counts = costed(t).groupBy("condition", "subject").agg(F.sum(F.col("correct").cast("int")).alias("correct"), F.count(F.lit(1)).alias("characters"))

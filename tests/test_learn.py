@@ -368,3 +368,35 @@ def test_hierarchical_bootstrap_brackets_the_accuracy(spark):
     assert got["a"]["mean"] == pytest.approx(want, abs=0.02) and got["a"]["low"] < want < got["a"]["high"] and got["a"]["high"] - got["a"]["low"] < 0.3
     assert (got["b"]["low"], got["b"]["mean"], got["b"]["high"]) == (1, 1, 1)
     assert {r["method"]: r["low"] for r in hierarchical_bootstrap(df, ["method"], 300).collect()}["a"] == got["a"]["low"]
+
+
+def test_weights_and_draws_give_like_intervals(spark):
+    """A large group by Poisson weights against NumPy's resampling, and both ways side by side; nulls count in no mean."""
+    from gridspark.operators.stats import bootstrap_ci, hierarchical_bootstrap
+
+    rng = np.random.default_rng(3)
+    values = rng.exponential(2.0, 2000)
+    rows = [("a", i, float(v)) for i, v in enumerate(values)] + [("a", 5000 + i, None) for i in range(300)] + [("b", 1, 4.0), ("b", 2, 4.0)]
+    df = spark.createDataFrame(rows, "method string, subject int, v double")
+    means = rng.choice(values, (2000, len(values))).mean(axis=1)
+    want = np.quantile(means, [0.025, 0.975])
+    error = 0.25 * (want[1] - want[0])  # of quantiles over 300 replicates
+    for exact_rows in (10, 10_000):
+        got = {r["method"]: (r["low"], r["high"]) for r in bootstrap_ci(df, ["method"], "v", "subject", 300, 5, exact_rows=exact_rows).collect()}
+        assert np.abs(np.array(got["a"]) - want).max() < error and got["b"] == (4.0, 4.0)
+    counts = spark.createDataFrame([("a", s, 5 + s % 10, 20) for s in range(200)], "method string, subject int, correct int, characters int")
+    drawn, weighted = (hierarchical_bootstrap(counts, ["method"], 200, exact_rows=n).first() for n in (10_000, 10))
+    assert all(abs(drawn[c] - weighted[c]) < 0.01 for c in ("mean", "low", "high")) and weighted["low"] < 0.475 < weighted["high"]
+
+
+def test_weights_are_summed_where_the_rows_are(spark):
+    """A large group meets no window, no sort of its rows and no join of draws: sums by replicate come before the shuffle."""
+    from gridspark.operators.stats import POISSON_STEPS, _weighted
+
+    rows = spark.range(4000).withColumn("v", F.lit(1.0))
+    sums = _weighted(rows, "id", 100, 1).groupBy("_b").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_w")).alias("nn"))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "partial_sum" in plan and "Window" not in plan
+    got = sums.agg(F.avg("n"), F.avg("nn"), F.count(F.lit(1))).first()
+    assert got[0] / 4000 == pytest.approx(1, abs=0.01) and got[1] / 4000 == pytest.approx(2, abs=0.03) and got[2] == 100  # mean and variance 1
+    assert POISSON_STEPS[0] == pytest.approx(np.exp(-1)) and 1 - POISSON_STEPS[-1] < 2**-29

@@ -12,7 +12,7 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "parse_run_path", "read_grid_layout", "read_registry", "key_context", "hash_split", "balanced_sample", "fir_filter", "asof_char_index", "block_majority", "lit_masks",
     "epoch_windows", "crop_decimate", "quality_flags", "inventory_by_condition", "membership_posterior", "fuse_adaptive", "dynamic_stop", "evaluate_arms", "policy_sweep", "roc_auc",
-    "sequence_metrics", "holm", "bootstrap_ci", "ladder_tests", "phrase_matches", "retrieval_prior", "blend_priors", "ngram_prior", "fit_sequence_temperature", "stream_edges", "stream_dynamic_stop", "stream_phrase_growth", "stream_metrics",
+    "sequence_metrics", "holm", "bootstrap_ci", "bootstrap_ci_weighted", "ladder_tests", "phrase_matches", "retrieval_prior", "blend_priors", "ngram_prior", "fit_sequence_temperature", "stream_edges", "stream_dynamic_stop", "stream_phrase_growth", "stream_metrics",
     "write_epochs", "write_summary_tables", "split_failures", "protocol_overlaps", "target_counts", "channel_trace", "flip_diagnostics", "source_counts", "row_shortlist_decode", "rag_grid_sweep", "ngram_counts",
     "prior_reasons", "session_prior", "session_prior_initial", "stream_session_prior", "stream_metrics_store", "accuracy_strata", "selection_time", "channel_summary", "structure_flags", "agreement_flags",
 ]
