@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import Words, _span_hashes, materialize, mix64
 from .substring_dedup import _groups
 
-PUNCTUATION = b".,;:!?\"'()[]"
+BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())  # ASCII bytes that end a word
 COUNTS = "h long, w long, g long, toxic long, plain long"
 HEAD = 5  # bytes of a word that its rare forms share
 FEATURES = ("whole", "wide", "narrow", "top")
@@ -27,7 +27,7 @@ def part_of(id_col: Column, parts: int) -> Column:
 
 def _tokens(part: pa.RecordBatch) -> tuple[Words, np.ndarray]:
     """Words and for each the word before it in its text (0 at the start)."""
-    w = Words(part.column("text").to_pylist(), lower=True, breaks=PUNCTUATION)
+    w = Words(part.column("text").to_pylist(), lower=True, breaks=BREAKS)
     before = np.zeros_like(w.hash)
     before[1:] = w.hash[:-1]
     starts = w.bounds[:-1]
@@ -172,32 +172,38 @@ def features(ratios: np.ndarray) -> tuple[float, float, float, float]:
     return float(sums[-1]) / n, peak[0], peak[1], float(np.partition(ratios, n - 2)[-2:].mean()) if n > 1 else float(ratios[0]) / 2
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Intercept and weights of a ridge logistic regression by damped Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: float = 1.0, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Intercept and weights of a ridge logistic regression by damped Newton steps; rows of class 1
+    count ``weight`` times."""
+    v = np.where(y > 0, weight, 1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     b = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        gradient = z.T @ (p - y) / len(y) + ridge * np.r_[0, b[1:]]
-        hessian = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z / len(y) + ridge * np.eye(len(b))
+        gradient = z.T @ (v * (p - y)) / v.sum() + ridge * np.r_[0, b[1:]]
+        hessian = (z * np.maximum(v * p * (1 - p), 1e-6)[:, None]).T @ z / v.sum() + ridge * np.eye(len(b))
         step = np.linalg.solve(hessian, gradient)
         b -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
     return np.r_[b[0] - (b[1:] * mean / scale).sum(), b[1:] / scale]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: Sequence[str] = (), folds: int = 5, sample_rows: int = 10_000, **model_settings) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: Sequence[str] = (), folds: int = 5, sample_rows: int = 10_000, toxic_weight: float = 2.0, **model_settings) -> DataFrame:
     """One row per input row: (id, held_out, score, predicted, whole_ratio), then the columns to ``carry``.
 
     Two bigram models, of toxic and of ordinary text (``fit_kneser_ney``), are fitted on labelled
     rows outside fold 0 of ``folds`` (crc32 of the id as text) and outside the last. A text's
     features are its length-normalised log-likelihood differences over the whole text, over its
     most toxic windows of 32 and 8 words, and over its two most toxic expressions. A logistic curve
-    fitted on the last fold, which the models did not see, makes them a score.
-
-    About ``sample_rows`` labelled rows of each class are used, drawn by a hash of the id. Every row
-    and whole text is scored. Labels, ids and all other columns are no inputs of a score. Words are
-    lower-cased (A-Z) and end at white space or punctuation. A null or empty text has features of
+    fitted on the last fold, which the models did not see, makes them a score. The models that score
+    are then fitted on that fold too. To miss a toxic text counts ``toxic_weight`` times as much as
+    to mark a clean one, so a score of 0.5 stands for a chance of 1 / (1 + ``toxic_weight``).
+
+    About ``sample_rows`` labelled rows of each class are used, drawn by a hash of the id; of
+    several rows of such an id the one with the greatest text is learnt from. Every row and whole
+    text is scored. Labels, ids and all other columns are no inputs of a score. Words are
+    lower-cased (A-Z) and end at white space and at ASCII signs, so marks around a word do not
+    hide it. A null or empty text has features of
     zero; very long texts are scored whole; repeated rows and rows of one id are scored row by row.
     An id labelled twice is toxic if one label says so; null labels are ignored. Without labels of
     both classes all scores are 0. Null ids are kept, and count as not held out. An empty table
@@ -220,28 +226,34 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     for kind, n in per_class.items():
         share = F.when(F.col("toxic") == kind, F.lit(int(million * min(1.0, sample_rows / n)))).otherwise(share)
     sample = materialize(marked.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share), "toxic-sample")
-    train = source.join(F.broadcast(sample), "id")  # about 2 * sample_rows ids
+    train = source.select("id", "text").join(F.broadcast(sample), "id").groupBy("id", "fold", "toxic").agg(F.max("text").alias("text"))
+    train = materialize(train, "toxic-train")  # about 2 * sample_rows texts
     fitted = fit_kneser_ney(train.where(F.col("fold") < folds - 1), **model_settings) if len(per_class) == 2 else None
     if fitted is None:
         return result(source, F.lit(0.0), F.lit(0.0))
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
     names = [f"{x} double" for x in FEATURES]
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, 0):
-            words, before = _tokens(part)
-            ratios = model.value.ratios(before, words.hash, _heads(words))
-            rows = [features(ratios[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-            cols = np.array(rows, np.float64).reshape(-1, len(FEATURES)).T
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c) for c in cols]], names=[*part.schema.names[1:], *FEATURES])
+    def measured(rows: DataFrame, fitted: KneserNey) -> DataFrame:
+        model = rows.sparkSession.sparkContext.broadcast(fitted)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _groups(batches, 0):
+                words, before = _tokens(part)
+                ratios = model.value.ratios(before, words.hash, _heads(words))
+                found = [features(ratios[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+                cols = np.array(found, np.float64).reshape(-1, len(FEATURES)).T
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c) for c in cols]], names=[*part.schema.names[1:], *FEATURES])
+
+        kinds = [f"{c} {kind}" for c, kind in rows.dtypes if c != "text"]
+        return rows.mapInArrow(measure, ", ".join([*kinds, *names]))
 
-    tuned = train.where(F.col("fold") == folds - 1).select("text", "toxic").mapInArrow(measure, ", ".join(["toxic int", *names])).toArrow().to_pandas()
+    tuned = measured(train.where(F.col("fold") == folds - 1).select("text", "toxic"), fitted).toArrow().to_pandas()  # a row for each sampled id of a fold
+    fitted = fit_kneser_ney(train, **model_settings)
     if tuned["toxic"].nunique() > 1:
-        curve = fit_logistic(tuned[list(FEATURES)].to_numpy(), tuned["toxic"].to_numpy().astype(float))
+        curve = fit_logistic(tuned[list(FEATURES)].to_numpy(), tuned["toxic"].to_numpy().astype(float), toxic_weight)
     else:
         curve = np.r_[-1.0, 1.0, 0.0, 0.0, 0.0]
-    kinds = [f"{c} {kind}" for c, kind in source.dtypes if c != "text"]
     margin = F.lit(float(curve[0]))
     for x, b in zip(FEATURES, curve[1:].tolist(), strict=True):
         margin = margin + F.lit(b) * F.col(x)
-    return result(source.mapInArrow(measure, ", ".join([*kinds, *names])), 1 / (1 + F.exp(-margin)), F.col("whole"))
+    return result(measured(source, fitted), 1 / (1 + F.exp(-margin)), F.col("whole"))
