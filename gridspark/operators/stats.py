@@ -11,9 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
+def _difference(a: str, b: str, decimals: int | None) -> Column:
+    """b - a; rounded to ``decimals`` where equal values may differ by the order in which they were summed up."""
+    d = F.col(b) - F.col(a)
+    return d if decimals is None else F.round(d, decimals)
+
+
+def _ranked(pairs: DataFrame, by: Sequence[str], a: str, b: str, decimals: int | None = None) -> DataFrame:
     """Differences b - a that are not 0, with average ranks of their sizes."""
-    d = pairs.withColumn("_d", F.col(b) - F.col(a)).where("_d <> 0").withColumn("_m", F.abs("_d"))
+    d = pairs.withColumn("_d", _difference(a, b, decimals)).where("_d <> 0").withColumn("_m", F.abs("_d"))
     ties = Window.partitionBy(*by, "_m")
     first = F.rank().over(Window.partitionBy(*by).orderBy("_m"))
     return d.withColumn("_rank", first + (F.count(F.lit(1)).over(ties) - 1) / 2)
@@ -33,16 +39,17 @@ def signed_rank_p(n: int, statistic: float, tie_sizes: Sequence[int], zeros: boo
     return 1.0 if var <= 0 else float(min(1.0, math.erfc(abs(statistic - mean) / math.sqrt(2 * var))))
 
 
-def wilcoxon_paired(pairs: DataFrame, by: Sequence[str], a: str = "baseline", b: str = "value") -> DataFrame:
+def wilcoxon_paired(pairs: DataFrame, by: Sequence[str], a: str = "baseline", b: str = "value", decimals: int | None = None) -> DataFrame:
     """Signed-rank test of b - a per comparison: pairs, statistic, p, mean and median difference.
 
     Ranks and sums are windows and aggregates; only sums, counts and tie sizes of each comparison
     reach the small function that turns them into p. Comparisons of under 2 pairs are left out;
-    if all differences are 0 the statistic is 0 and p 1.
+    if all differences are 0 the statistic is 0 and p 1. With ``decimals`` differences are rounded
+    first: averages of doubles carry the rounding of their sums, which would break ties and zeros by chance.
     """
-    d = F.col(b) - F.col(a)
+    d = _difference(a, b, decimals)
     base = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(d).alias("mean_difference"), F.percentile(d, F.lit(0.5)).alias("median_difference"), F.count_if(d == 0).alias("_zeros")).where("n_pairs >= 2")
-    ranked = _ranked(pairs, by, a, b)
+    ranked = _ranked(pairs, by, a, b, decimals)
     sums = ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_rank"))), F.lit(0.0)).alias("_up"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_rank"))), F.lit(0.0)).alias("_down"), F.count(F.lit(1)).alias("_n"))
     ties = ranked.groupBy(*by, "_m").agg(F.count(F.lit(1)).alias("_t")).groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_k"))
     tied = ties.groupBy(*by).agg(F.sum(F.col("_k") * (F.col("_t") ** 3 - F.col("_t"))).alias("_cube"))
@@ -149,13 +156,17 @@ def rank_biserial(pairs: DataFrame, by: Sequence[str], a: str = "baseline", b: s
     return ranked.groupBy(*by).agg((F.sum(F.signum("_d") * F.col("_rank")) / F.sum("_rank")).alias("rank_biserial"))
 
 
-def better_tied_worse(pairs: DataFrame, by: Sequence[str], a: str = "baseline", b: str = "value") -> DataFrame:
-    d = F.col(b) - F.col(a)
+def better_tied_worse(pairs: DataFrame, by: Sequence[str], a: str = "baseline", b: str = "value", decimals: int | None = None) -> DataFrame:
+    """Pairs with b above, equal to and below a; with ``decimals``, by differences rounded so."""
+    d = _difference(a, b, decimals)
     return pairs.groupBy(*by).agg(F.count_if(d > 0).alias("better"), F.count_if(d == 0).alias("tied"), F.count_if(d < 0).alias("worse"))
 
 
-def ladder_tests(results: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Wilcoxon tests of all pairs of methods (or a planned list), adjusted as one family."""
+def ladder_tests(results: DataFrame, pairs: Sequence[tuple[str, str]] | None = None, decimals: int | None = None) -> DataFrame:
+    """Wilcoxon tests of all pairs of methods (or a planned list), adjusted as one family.
+
+    ``n_pairs`` counts all subjects with both methods, those without a difference too.
+    """
     left, right = results.select("subject", F.col("method").alias("a"), F.col("metric").alias("baseline")), results.select("subject", F.col("method").alias("b"), F.col("metric").alias("value"))
     both = left.join(right, "subject")
     if pairs is None:
@@ -163,4 +174,4 @@ def ladder_tests(results: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
     else:
         plan = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in pairs])
         both = both.where(F.array_contains(plan, F.struct("a", "b")))
-    return holm(wilcoxon_paired(both, ["a", "b"]).withColumn("family", F.lit("all")), ["family"])
+    return holm(wilcoxon_paired(both, ["a", "b"], decimals=decimals).withColumn("family", F.lit("all")), ["family"])

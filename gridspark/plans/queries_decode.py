@@ -478,16 +478,26 @@ def rank_biserial(t: Tables) -> DataFrame:
     return rounded(H.rank_biserial(paired(t), ["comparison"]), "rank_biserial")
 
 
-@query("better_tied_worse", f"SELECT comparison, count(*) FILTER (value > baseline) AS better, count(*) FILTER (value = baseline) AS tied, count(*) FILTER (value < baseline) AS worse FROM {_PAIRED} GROUP BY comparison")
+# Metrics are averages of doubles: differences that are equal but for the order of summing agree to 9 decimals.
+DECIMALS = 9
+
+
+@query(
+    "better_tied_worse",
+    f"""SELECT comparison, count(*) FILTER (d > 0) AS better, count(*) FILTER (d = 0) AS tied, count(*) FILTER (d < 0) AS worse
+        FROM (SELECT comparison, round(value - baseline, {DECIMALS}) AS d FROM {_PAIRED}) GROUP BY comparison""",
+)
 def better_tied_worse(t: Tables) -> DataFrame:
-    return H.better_tied_worse(paired(t), ["comparison"])
+    """Counted on differences to 9 decimals."""
+    return H.better_tied_worse(paired(t), ["comparison"], decimals=DECIMALS)
 
 
 @query(
     "ladder_tests",
-    """SELECT a, b, any_value(n) AS n_pairs, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS statistic FROM (
-         SELECT a, b, d, count(*) OVER (PARTITION BY a, b) AS n, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r
-         FROM (SELECT x.method AS a, y.method AS b, y.metric - x.metric AS d FROM {methods} x JOIN {methods} y ON x.subject = y.subject AND x.method < y.method) WHERE d <> 0) GROUP BY a, b""",
+    f"""SELECT a, b, count(*) AS n_pairs, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS statistic FROM (
+         SELECT a, b, d, rank() OVER (PARTITION BY a, b, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r
+         FROM (SELECT x.method AS a, y.method AS b, round(y.metric - x.metric, {DECIMALS}) AS d FROM {{methods}} x JOIN {{methods}} y ON x.subject = y.subject AND x.method < y.method)) GROUP BY a, b HAVING count(*) >= 2""",
 )
 def ladder_tests(t: Tables) -> DataFrame:
-    return H.ladder_tests(t("methods")).select("a", "b", "n_pairs", "statistic")
+    """Ranks of differences to 9 decimals; pairs without a difference count but have no rank."""
+    return H.ladder_tests(t("methods"), decimals=DECIMALS).select("a", "b", "n_pairs", "statistic")

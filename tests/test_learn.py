@@ -400,3 +400,29 @@ def test_weights_are_summed_where_the_rows_are(spark):
     got = sums.agg(F.avg("n"), F.avg("nn"), F.count(F.lit(1))).first()
     assert got[0] / 4000 == pytest.approx(1, abs=0.01) and got[1] / 4000 == pytest.approx(2, abs=0.03) and got[2] == 100  # mean and variance 1
     assert POISSON_STEPS[0] == pytest.approx(np.exp(-1)) and 1 - POISSON_STEPS[-1] < 2**-29
+
+
+def test_ties_hold_whatever_the_order_of_summing(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are one metric: no difference, and ties of ranks, in counts, ranks and SQL."""
+    import duckdb
+
+    from gridspark.operators.stats import better_tied_worse, ladder_tests
+    from gridspark.plans.queries_decode import DECIMALS
+    from gridspark.plans.registry import ORACLES
+
+    up, down = (0.1 + 0.2 + 0.3) / 3, (0.3 + 0.2 + 0.1) / 3
+    assert up != down
+    rows = [(0, "click", up), (0, "view", down), (1, "click", 0.0), (1, "view", up), (2, "click", down), (2, "view", 0.0), (3, "click", 0.0), (3, "view", 5.0)]
+    df = spark.createDataFrame(rows, "subject int, method string, metric double")
+    pairs = df.where("method = 'view'").withColumnRenamed("metric", "value").join(df.where("method = 'click'").select("subject", F.col("metric").alias("baseline")), "subject").select(F.col("method").alias("comparison"), "baseline", "value")
+    counts = better_tied_worse(pairs, ["comparison"], decimals=DECIMALS).first()
+    assert (counts["better"], counts["tied"], counts["worse"]) == (2, 1, 1)
+    ladder = ladder_tests(df, decimals=DECIMALS).first()
+    assert (ladder["n_pairs"], ladder["statistic"]) == (4, 1.5)
+    for name, want in (("better_tied_worse", ("view", 2, 1, 1)), ("ladder_tests", ("click", "view", 4, 1.5))):
+        with duckdb.connect() as c:
+            c.execute("CREATE TABLE m (subject INT, method VARCHAR, metric DOUBLE)")
+            c.executemany("INSERT INTO m VALUES (?, ?, ?)", rows)
+            body = ORACLES[name]
+            start = body.index(", ", body.index("GROUP BY user_id, event_type)")) if "GROUP BY user_id, event_type), " in body else body.index("GROUP BY user_id, event_type)") + len("GROUP BY user_id, event_type)")
+            assert c.execute("WITH methods AS (FROM m) " + body[start:].lstrip(", ")).fetchall() == [want]
