@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..functions.sizes import parameter_table
-from .posterior import CHARACTER, argmax, array_sum, with_softmax
+from .posterior import CHARACTER, array_sum, likeliest, with_softmax
 
 
 def decode_argmax(acc: DataFrame, col: str = "evidence") -> DataFrame:
-    """Add the best cell (lowest index on ties) and its probability."""
+    """Add the best cell (of those equally likely to 9 decimals, that of lowest index) and its probability."""
     p = with_softmax(acc, col, "_p")
-    return p.withColumn("decision", argmax(F.col(col))).withColumn("confidence", F.array_max("_p")).drop("_p")
+    return p.withColumn("decision", likeliest(F.col("_p"))).withColumn("confidence", F.array_max("_p")).drop("_p")
 
 
 def _stop(steps: DataFrame, keys: Sequence[str], when: Column) -> DataFrame:
@@ -78,7 +78,7 @@ def zero_coverage(trials: DataFrame, traces: DataFrame, keys: Sequence[str] = CH
 
 def row_shortlist_decode(scored: DataFrame, shape: tuple[int, int], rows: int = 5, margin: float = 0.08, keys: Sequence[str] = CHARACTER, prior: str = "prior") -> DataFrame:
     """Two stages: rank the first ``rows`` rows by prior mass and evidence, keep the best and a close
-    runner-up, then choose among their cells.
+    runner-up, then choose among their cells, the lowest of those equally likely to 9 decimals.
 
     ``scored`` has row and column log-odds (``rows``, ``cols``) and a prior array per character.
     """
@@ -96,4 +96,4 @@ def row_shortlist_decode(scored: DataFrame, shape: tuple[int, int], rows: int =
         for r in range(keep) for c in range(n_cols)
     ])
     out = with_softmax(chosen.withColumn("_cl", cells), "_cl", "_cp")
-    return out.select(*keys, argmax(F.col("_cl")).alias("decision"), F.array_max("_cp").alias("confidence"), F.size("_keep").alias("rows_kept"))
+    return out.select(*keys, likeliest(F.col("_cp")).alias("decision"), F.array_max("_cp").alias("confidence"), F.size("_keep").alias("rows_kept"))

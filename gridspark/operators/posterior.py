@@ -58,6 +58,12 @@ def argmax(x: Column) -> Column:
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
 
 
+def likeliest(p: Column, decimals: int = 9) -> Column:
+    """Index of the greatest probability to ``decimals``, the lowest on ties: cells that are equally
+    likely are told apart neither by rounding nor by the order in which their evidence was added."""
+    return let(F.transform(p, lambda v: F.round(v, decimals)), argmax)
+
+
 def row_col_scores(flashes: DataFrame, shape: tuple[int, int], score: Column, keys: Sequence[str] = SEQUENCE) -> DataFrame:
     """Sums of ``score`` per row and per column; repeated flashes add up, other codes are ignored."""
     rows, cols = shape

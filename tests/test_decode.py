@@ -140,3 +140,19 @@ def test_policy_sweep_equals_each_policy_alone(spark):
                 flip = ref is not None and s[2] != ref[2]
                 want[i] += [1, s[3], s[0], flip, flip and s[3] and not ref[3], flip and not s[3] and ref[3]]
     assert np.array_equal(got, want) and want[:, 3].any()
+
+
+def test_equally_likely_cells_go_to_the_lowest(spark):
+    """A prior of 0.1 with odds of 6 weighs as one of 0.2 with odds of 3, whatever the last bits of their logs say."""
+    def cases(low):
+        for k in range(1, 200):
+            a, b = math.log(0.1) + 0.3 + math.log(2.0 * k), math.log(0.2) + 0.3 + math.log(float(k))
+            if (a < b) == low and a != b:
+                yield k
+
+    ks = [next(cases(True)), next(cases(False))]
+    rows = [(k, [0.3, -9.0, -9.0], [math.log(2.0 * k), math.log(float(k)), -9.0], [0.1, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1]) for k in ks]
+    scored = spark.createDataFrame(rows, "k int, rows array<double>, cols array<double>, prior array<double>")
+    assert {r["decision"] for r in D.row_shortlist_decode(scored, (3, 3), rows=2, keys=["k"]).collect()} == {0}
+    sums = [(k, [math.log(0.1) + 0.3 + math.log(2.0 * k), math.log(0.2) + 0.3 + math.log(float(k))]) for k in ks]
+    assert {r["decision"] for r in D.decode_argmax(spark.createDataFrame(sums, "k int, evidence array<double>")).collect()} == {0}
