@@ -91,9 +91,21 @@ POISSON_STEPS = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k
 
 
 def _small_and_large(rows: DataFrame, by: Sequence[str], exact_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups of up to ``exact_rows`` and of larger ones, each with the size ``_n`` of its group."""
+    """Rows of groups of up to ``exact_rows`` and of larger ones, each with the size ``_n`` of its group.
+
+    There are at most rows / ``exact_rows`` large groups, so their list goes to the rows, which stay
+    where they are; only rows of small groups are shuffled.
+    """
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return tuple(rows.join(sizes.where(F.col("_n") <= exact_rows if small else F.col("_n") > exact_rows), list(by)) for small in (True, False))
+    many = F.broadcast(sizes.where(F.col("_n") > exact_rows))
+    small = rows.join(many, list(by), "left_anti").join(sizes.where(F.col("_n") <= exact_rows), list(by))
+    return small, rows.join(many, list(by))
+
+
+def _spread(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """``rows`` over all cores before each gives many replicates: few and light as they are, they may lie in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def _drawn(small: DataFrame, by: Sequence[str], order: str, n_boot: int, seed: int) -> DataFrame:
@@ -106,15 +118,18 @@ def _drawn(small: DataFrame, by: Sequence[str], order: str, n_boot: int, seed: i
 
 
 def _weighted(large: DataFrame, id_col: str, n_boot: int, seed: int) -> DataFrame:
-    """Replicates of large groups: each row with each replicate that has it, and how often, ``_w``.
+    """Replicates of large groups: each row with each replicate and how often it has it, ``_w``, 0 too: a
+    filter would be pushed below and hash once for every step.
 
     The weights are Poisson variables of mean 1 from hashes of replicate and id. Given their sum they
     are the counts of so many draws with replacement, and that sum differs from the size by a share
     of 1 / sqrt(size). No row needs to know another, so nothing is numbered, sorted or joined.
     """
-    u = _hashed([F.lit(seed), F.col("_b"), F.col(id_col)]) / float(1 << 32)
-    rows = large.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_u", u)
-    return rows.withColumn("_w", sum((F.col("_u") >= step).cast("int") for step in POISSON_STEPS)).where("_w > 0")
+    rows = large.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col(id_col).cast("string"))), 1, 8)
+    above = [math.ceil(step * (1 << 32)) for step in POISSON_STEPS]  # a hash of 8 hexadecimal digits, read as a share, is at least ``step``
+    rows = rows.withColumn("_u", digits)
+    return rows.withColumn("_w", sum((F.col("_u") >= f"{n:08x}").cast("int") for n in above if n < 1 << 32)).drop("_u")
 
 
 def bootstrap_ci(pairs: DataFrame, by: Sequence[str], value: str, id_col: str, n_boot: int = 1000, seed: int = 0, low: float = 0.025, high: float = 0.975, exact_rows: int = 10_000) -> DataFrame:
@@ -127,27 +142,39 @@ def bootstrap_ci(pairs: DataFrame, by: Sequence[str], value: str, id_col: str, n
     """
     small, large = _small_and_large(pairs, by, exact_rows)
     means = _drawn(small, by, id_col, n_boot, seed).groupBy(*by, "_b").agg(F.avg(value).alias("_m"))
-    sums = _weighted(large, id_col, n_boot, seed).groupBy(*by, "_b").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_n"))
-    means = means.unionByName(sums.select(*by, "_b", (F.col("_s") / F.col("_n")).alias("_m")))
+    sums = _weighted(_spread(large.select(*by, id_col, value), id_col), id_col, n_boot, seed).groupBy(*by, "_b").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_n"))
+    means = means.unionByName(sums.select(*by, "_b", F.try_divide("_s", "_n").alias("_m")))
     return means.groupBy(*by).agg(F.percentile("_m", F.lit(low)).alias("low"), F.percentile("_m", F.lit(high)).alias("high"))
 
 
+#: Characters of a drawn subject that are drawn in one place.
+STRETCH = 1000
+
+
 def hierarchical_bootstrap(counts: DataFrame, by: Sequence[str], n_boot: int = 200, seed: int = 0, exact_rows: int = 10_000) -> DataFrame:
     """Interval of accuracy: resample subjects, then characters within each drawn subject.
 
     ``counts`` has (subject, correct, characters). A drawn subject's correct characters are that
     many hashed uniforms below its accuracy. Groups of over ``exact_rows`` subjects are drawn by
-    hashed Poisson weights, as in ``bootstrap_ci``; each copy of a subject draws for itself.
+    hashed Poisson weights, as in ``bootstrap_ci``; each copy of a subject draws for itself. Characters
+    are drawn a stretch at a time, and stretches go to all cores, however few the subjects are.
     """
     small, large = _small_and_large(counts, by, exact_rows)
     drawn = _drawn(small, by, "subject", n_boot, seed).withColumn("_k", F.col("_k").cast("string"))
-    copies = _weighted(large, "subject", n_boot, seed).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_w"))))
+    copies = F.when(F.col("_w") > 0, F.sequence(F.lit(1), F.col("_w")))
+    copies = _weighted(_spread(large, "subject"), "subject", n_boot, seed).withColumn("_c", F.explode(copies))
     copies = copies.withColumn("_k", F.concat_ws(":", F.col("subject").cast("string"), F.col("_c").cast("string")))
     columns = [*by, "_b", "_k", "correct", "characters"]
     drawn = drawn.select(*columns).unionByName(copies.select(*columns))
-    u = lambda j: _hashed([F.lit(seed), F.col("_b"), F.col("_k"), j]).cast("double") / float(1 << 32)
-    wins = F.aggregate(F.sequence(F.lit(1), F.col("characters").cast("int")), F.lit(0), lambda a, j: a + F.when(u(j) < F.col("correct") / F.col("characters"), 1).otherwise(0))
-    each = drawn.withColumn("_w", wins).groupBy(*by, "_b").agg((F.sum("_w") / F.sum("characters")).alias("_m"))
+    first = F.explode(F.sequence(F.lit(1), F.greatest(F.col("characters"), F.lit(1)).cast("int"), F.lit(STRETCH)))
+    parts = _spread(drawn.withColumn("_from", first), "_b", "_k", "_from")
+    limit = F.lpad(F.lower(F.hex(F.least(F.ceil(F.try_divide("correct", "characters") * float(1 << 32)), F.lit((1 << 32) - 1)))), 8, "0")
+    sure = F.col("correct") >= F.col("characters")
+    parts = parts.withColumn("_limit", limit).withColumn("_sure", sure).withColumn("_to", F.least(F.col("_from") + STRETCH - 1, F.col("characters").cast("int")))
+    each = parts.withColumn("_j", F.explode(F.when(F.col("_to") >= F.col("_from"), F.sequence("_from", "_to"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_k"), F.col("_j").cast("string"))), 1, 8)
+    won = F.count_if(F.col("_sure") | (digits < F.col("_limit")))
+    each = each.groupBy(*by, "_b").agg(F.try_divide(won, F.count(F.lit(1))).alias("_m"))
     return each.groupBy(*by).agg(F.avg("_m").alias("mean"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
 
 

@@ -426,3 +426,29 @@ def test_ties_hold_whatever_the_order_of_summing(spark):
             body = ORACLES[name]
             start = body.index(", ", body.index("GROUP BY user_id, event_type)")) if "GROUP BY user_id, event_type), " in body else body.index("GROUP BY user_id, event_type)") + len("GROUP BY user_id, event_type)")
             assert c.execute("WITH methods AS (FROM m) " + body[start:].lstrip(", ")).fetchall() == [want]
+
+
+def test_replicates_hash_once_and_spread(spark):
+    """Weights are hashed once for each row and replicate, not once a step; rows and characters leave the task they lie in."""
+    from gridspark.operators.stats import _weighted, bootstrap_ci, hierarchical_bootstrap
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(4000).coalesce(1).select(F.lit("a").alias("k"), "id", F.col("id").cast("double").alias("v"))
+    weighted = plan(_weighted(rows, "id", 100, 1).groupBy("_b").agg(F.sum("_w")))
+    assert weighted.count("md5(") == 1
+    spread = plan(bootstrap_ci(rows, ["k"], "v", "id", 20, exact_rows=10))
+    assert "RepartitionByExpression [id" in spread
+    counts = spark.createDataFrame([("a", 1, 1300, 2500), ("a", 2, 0, 3)], "k string, subject int, correct int, characters int")
+    resampled = hierarchical_bootstrap(counts, ["k"], 40, 3)
+    assert "lambdafunction" not in plan(resampled).split("Generate explode(CASE")[0]
+
+    import hashlib
+
+    share = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    means = []
+    for b in range(1, 41):
+        drawn = [(k, [(1300, 2500), (0, 3)][share(3, b, k) % 2]) for k in (1, 2)]
+        wins = sum(sum(share(3, b, k, j) / 2**32 < right / n for j in range(1, n + 1)) for k, (right, n) in drawn)
+        means.append(wins / sum(n for _, (_, n) in drawn))
+    got = resampled.first()
+    assert got["mean"] == pytest.approx(np.mean(means)) and got["low"] == pytest.approx(np.quantile(means, 0.025)) and got["high"] == pytest.approx(np.quantile(means, 0.975))
