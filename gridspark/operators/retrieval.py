@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import soft_gate, sufficiency_gate
 from ..functions.sizes import parameter_table
 from ..functions.text import context_suffixes, hash_percent, normalize_context
+from ..sources.scratch import written
 from .posterior import argmax, array_sum, let
 
 
@@ -60,7 +61,7 @@ def _stretch(x: Column) -> list[Column]:
     return [F.xxhash64(x).alias("_h"), F.hash(x).alias("_g"), F.length(x).alias("_n")]
 
 
-def phrase_index(bank: DataFrame, cells: DataFrame, top_k: int = 20, by: Sequence[str] = (), order: Sequence[str] = ("bank_pos",), names: Sequence[str] = ("bank_pos",)) -> DataFrame:
+def phrase_index(bank: DataFrame, cells: DataFrame, top_k: int = 20, by: Sequence[str] = (), order: Sequence[str] = ("bank_pos",), names: Sequence[str] = ("bank_pos",), asked: DataFrame | None = None) -> DataFrame:
     """Inverted index: for each stretch of a phrase that starts at a word, and has a character of the
     grid after it, where the best phrases hold it first and what follows there.
 
@@ -69,14 +70,24 @@ def phrase_index(bank: DataFrame, cells: DataFrame, top_k: int = 20, by: Sequenc
     then least ``order``. More are never needed: all phrases of one stretch match the same length, and
     a phrase that holds a longer suffix of a context holds the shorter ones with the same character
     after it, so a context's best ``top_k`` are among these lists. A stretch that all phrases share
-    leaves each task with ``top_k`` rows of a list, before any shuffle.
+    leaves each task with ``top_k`` rows of a list, before any shuffle. Of equal texts only the
+    ``top_k`` best are cut up, for they hold the same stretches. ``asked`` (of ``by``, hashes and
+    length) keeps only stretches that it has.
     """
+    alike = Window.partitionBy(*by, "text").orderBy(F.desc("weight"), *order)
+    bank = bank.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= top_k).drop("_r")
+    bank = bank.repartition(max(int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * bank.sparkSession.sparkContext.defaultParallelism), F.xxhash64("text", *order))
     chars = "".join(r["ch"] for r in parameter_table(cells).select("ch").distinct().collect())
     known = lambda at: F.position(F.substr("text", at, F.lit(1)), F.lit(chars)) > 0
     starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | (F.substr(F.col("text"), i - 1, F.lit(1)) == " "))
     rows = bank.where(F.length("text") > 1).withColumn("_starts", starts).withColumn("start", F.explode("_starts")).where(F.col("start") < F.length("text"))
     rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("start")))).where(known(F.col("start") + F.col("_n")))
     sub = F.substr("text", F.col("start"), F.col("_n"))
+    if asked is not None:
+        on = [k for k in asked.columns if k not in STRETCH]
+        longest = asked.agg(F.max("_n").alias("_most"))
+        rows = rows.join(F.broadcast(longest), F.col("_n") <= F.col("_most")).drop("_most")
+        rows = rows.withColumns(dict(zip(STRETCH[:2], _stretch(sub), strict=False))).join(asked, [*on, *STRETCH], "left_semi").drop(*STRETCH[:2])
     alone = F.position(F.concat(F.lit(" "), sub), F.concat(F.lit(" "), F.col("text"))) == F.col("start")
     earlier = F.exists("_starts", lambda i: (i < F.col("start")) & (F.substr("text", i, F.col("_n")) == sub) & known(i + F.col("_n")))
     rows = rows.where(F.when(alone, F.lit(True)).otherwise(~earlier))
@@ -93,11 +104,22 @@ def _asked(contexts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, *_stretch(F.col("_s")), (F.col("_s") == F.col("_c")).alias("_all"))
 
 
-def _best_matches(found: DataFrame, keys: Sequence[str], names: Sequence[str], order: Sequence[str], top_k: int) -> DataFrame:
-    """Of the index entries that contexts met: the best of each phrase, and of these the ``top_k`` longest and best."""
+def _wanted(asked: DataFrame, by: Sequence[str], most: int = 200_000) -> DataFrame | None:
+    """The distinct stretches that are asked for, sent to all tasks; None where there are more than ``most``."""
+    rows = written(asked.select(*by, *STRETCH).distinct(), "asked")
+    return F.broadcast(rows) if rows.count() <= most else None
+
+
+def _best_of_phrase(found: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Of the index entries that contexts met: the best of each phrase."""
     score = F.col("weight") * (1.0 + F.col("_n")) * F.when(F.col("first") & F.col("_all"), 2.0).otherwise(1.0)
     best = F.max(F.struct(score.alias("score"), F.col("_n").alias("len"), (-F.col("start")).alias("_s"), F.col("cell_idx"))).alias("_b")
-    one = found.groupBy(*keys, *names).agg(best).select(*keys, *names, "_b.score", "_b.len", "_b.cell_idx")
+    return found.groupBy(*keys, *names).agg(best).select(*keys, *names, "_b.score", "_b.len", "_b.cell_idx")
+
+
+def _best_matches(found: DataFrame, keys: Sequence[str], names: Sequence[str], order: Sequence[str], top_k: int) -> DataFrame:
+    """The best entry of each phrase, and of these the ``top_k`` longest and best."""
+    one = _best_of_phrase(found, keys, names)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("len"), F.desc("score"), *order))
     return one.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
@@ -108,10 +130,12 @@ def phrase_matches(contexts: DataFrame, bank: DataFrame, cells: DataFrame, top_k
     A suffix of the context (from a word on) must stand in the phrase at a word, with a character
     of the grid after it. Score: weight * (1 + length), doubled if the whole context starts the
     phrase. Ties go to the longer suffix, the earlier start, and the earlier phrase. Contexts meet
-    ``phrase_index`` in an equi-join that gives at most 2 ``top_k`` rows for each suffix.
+    ``phrase_index`` in an equi-join that gives at most 2 ``top_k`` rows for each suffix. As long as
+    they ask for few different stretches, the index holds these only.
     """
     keys = [*by, "context"]
-    found = _asked(contexts, keys).join(phrase_index(bank, cells, top_k, by), [*by, *STRETCH])
+    asked = _asked(contexts, keys)
+    found = asked.join(phrase_index(bank, cells, top_k, by, asked=_wanted(asked, by)), [*by, *STRETCH])
     return _best_matches(found, keys, ["bank_pos"], ["bank_pos"], top_k)
 
 

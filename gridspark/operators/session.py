@@ -16,7 +16,7 @@ from ..functions.sizes import parameter_table
 from ..functions.text import normalize_context, normalize_text
 from ..sources.scratch import written
 from .asof import SPAN, sum_before
-from .retrieval import STRETCH, _asked, _best_matches, phrase_index, retrieval_prior
+from .retrieval import STRETCH, _asked, _best_of_phrase, _wanted, phrase_index, retrieval_prior
 
 START = -(1 << 62)  # the position of what was there before the session
 
@@ -36,13 +36,30 @@ def session_matches(asked: DataFrame, bank: DataFrame, cells: DataFrame, subject
     The index keeps, for each stretch, the best initial phrases and the *earliest* observed ones.
     Observed phrases weigh the same and rank by position, so whatever is known at a position, its best
     ``top_k`` are the earliest; later ones can never displace them. Entries carry the position they
-    are known since, and the join asks for a lesser one: the output is bounded by suffixes x 4
-    ``top_k``, however long the session.
+    are known since; a context has one list of them, of at most suffixes x 4 ``top_k``, however long
+    the session and however often it is asked, and each position takes from it what it knows.
     """
     keys = [subject, order, "context"]
-    index = phrase_index(bank, cells, top_k, [subject, "origin"], ["bank_pos"], ["bank_pos", "since"])
-    found = _asked(asked, keys).join(index, [subject, *STRETCH]).where(F.col("since") < F.col(order))
-    return _best_matches(found, keys, ["origin", "bank_pos"], ["origin", "bank_pos"], top_k)
+    best = session_lists(asked, bank, cells, subject, top_k)
+    known = F.slice(F.filter("_list", lambda m: m["since"] < F.col(order)), 1, top_k)
+    spark = asked.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = asked.select(*keys).distinct().repartition(tasks, subject, "context")  # light as they are, but each gives ``top_k`` rows
+    rows = rows.join(best, [subject, "context"]).select(*keys, F.posexplode(known).alias("_i", "_m"))
+    return rows.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in ("origin", "bank_pos", "score", "len", "cell_idx")], (F.col("_i") + 1).alias("rank"))
+
+
+def session_lists(asked: DataFrame, bank: DataFrame, cells: DataFrame, subject: str = "subject", top_k: int = 20) -> DataFrame:
+    """For each (subject, context), wherever it is asked: ``_list`` of all matches that the index holds,
+    the longest and best first. What is known at a position is a part of it, in the same order, so
+    nothing is joined, grouped or ordered position by position."""
+    keys = [subject, "context"]
+    stretches = _asked(asked.select(*keys).distinct(), keys)
+    index = phrase_index(bank, cells, top_k, [subject, "origin"], ["bank_pos"], ["bank_pos", "since"], _wanted(stretches, [subject]))
+    found = stretches.join(index, [subject, *STRETCH])
+    one = _best_of_phrase(found, keys, ["origin", "bank_pos", "since"])
+    match = F.struct((-F.col("len")).alias("_l"), (-F.col("score")).alias("_s"), "origin", "bank_pos", "since", "score", "len", "cell_idx")
+    return one.groupBy(*keys).agg(F.array_sort(F.collect_list(match)).alias("_list"))
 
 
 def session_sizes(asked: DataFrame, bank: DataFrame, subject: str = "subject", order: str = "pos", span: int = SPAN) -> DataFrame:

@@ -129,3 +129,17 @@ def test_a_long_session(spark, cells):
     assert [(k[1], round(r["p"], 6)) for k, r in sorted(at.items(), key=str) if k[0] == 2] == [(2, 0.333333), (3, 0.666667)]
     assert at[99_999, 1]["source"] == "word_match" and got.count() >= n
     assert got.where("source = 'none'").count() == 1
+
+
+def test_index_holds_what_is_asked_and_few_of_equal_texts(spark):
+    """Copies of a phrase are cut up ``top_k`` times at most, and only into stretches that a context has; positions meet a list, not the index."""
+    cells = spark.createDataFrame([(i, c) for i, c in enumerate("abcdefgh ")], "cell_idx int, ch string")
+    bank = spark.range(400).selectExpr("id bank_pos", "'abc def gha' text", "cast(1 + id % 7 as double) weight")
+    index = R.phrase_index(bank, cells, 3, asked=R._wanted(R._asked(spark.createDataFrame([("def",)], "context string"), ["context"]), []))
+    assert sorted((r["bank_pos"], r["start"], r["_n"]) for r in index.collect()) == [(6, 5, 3), (13, 5, 3), (20, 5, 3)]
+
+    asked = spark.range(500).selectExpr("'s' subject", "id pos", "'def' context")
+    lists = G.session_lists(asked, G.session_bank(bank.selectExpr("'s' subject", "bank_pos pos", "text")), cells, top_k=3).collect()
+    assert [(r["context"], [m["bank_pos"] for m in r["_list"]]) for r in lists] == [("def", [0, 1, 2])]
+    got = G.session_matches(asked, G.session_bank(bank.selectExpr("'s' subject", "bank_pos pos", "text")), cells, top_k=3)
+    assert {(r["pos"], r["rank"], r["bank_pos"]) for r in got.where("pos < 3").collect()} == {(1, 1, 0), (2, 1, 0), (2, 2, 1)}
