@@ -41,11 +41,12 @@ def softmax(scores: Column) -> Column:
 
 
 def with_softmax(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Add the softmax of an array column; each step is a column of its own, so nothing is computed twice."""
-    top = df.withColumn("_top", F.array_max(col))
-    weights = top.withColumn("_w", F.transform(col, lambda v: F.exp(v - F.col("_top"))))
-    total = weights.withColumn("_z", array_sum(F.col("_w")))
-    return total.withColumn(out, F.transform("_w", lambda v: v / F.col("_z"))).drop("_top", "_w", "_z")
+    """Add the softmax of an array column. What all cells share stands outside their lambdas: a column that
+    only a lambda names would be put into it, and computed for each cell."""
+    top = F.struct(F.col(col).alias("x"), F.array_max(col).alias("m"))
+    weights = df.withColumn("_w", let(top, lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"]))))
+    whole = weights.withColumn("_z", F.struct(F.col("_w").alias("w"), array_sum(F.col("_w")).alias("z")))
+    return whole.withColumn(out, let(F.col("_z"), lambda s: F.transform(s["w"], lambda v: v / s["z"]))).drop("_w", "_z")
 
 
 def log_softmax_at(scores: Column, at: Column) -> Column:
@@ -132,10 +133,12 @@ def target_cell(flashes: DataFrame, shape: tuple[int, int], keys: Sequence[str]
 
 def normalized_entropy(p: Column, epsilon: float = 0.0) -> Column:
     """Entropy of an array, renormalised after adding ``epsilon``, over that of a uniform one."""
-    q = F.transform(p, lambda v: v + epsilon)
-    z = array_sum(q)
-    h = array_sum(F.transform(q, lambda v: F.when(v > 0, -v * F.log(v)).otherwise(0.0))) / z + F.log(z)
-    return h / F.log(F.size(p).cast("double"))
+
+    def entropy(s: Column) -> Column:
+        h = F.aggregate(s["q"], F.lit(0.0), lambda a, v: a + F.when(v > 0, -v * F.log(v)).otherwise(0.0))
+        return (h / s["z"] + F.log(s["z"])) / F.log(F.size(s["q"]).cast("double"))
+
+    return let(F.transform(p, lambda v: v + epsilon), lambda q: let(F.struct(q.alias("q"), array_sum(q).alias("z")), entropy))
 
 
 def initial_bias(prior: DataFrame, alpha: float, mode: str = "fixed", epsilon: float = 1e-9, col: str = "prior") -> DataFrame:
@@ -143,8 +146,8 @@ def initial_bias(prior: DataFrame, alpha: float, mode: str = "fixed", epsilon: f
     p = F.col(col)
     if mode == "off":
         return prior.withColumn("bias", F.transform(p, lambda v: F.lit(0.0)))
-    weighted = prior.withColumn("_a", F.lit(alpha) * (1 - normalized_entropy(p, epsilon)) if mode == "adaptive" else F.lit(float(alpha)))
-    return weighted.withColumn("bias", F.transform(p, lambda v: F.when(v == 0, -1e9).otherwise(F.col("_a") * F.log(clip(v, epsilon, 1.0))))).drop("_a")
+    trust = F.lit(alpha) * (1 - normalized_entropy(p, epsilon)) if mode == "adaptive" else F.lit(float(alpha))
+    return prior.withColumn("bias", let(trust, lambda a: F.transform(p, lambda v: F.when(v == 0, -1e9).otherwise(a * F.log(clip(v, epsilon, 1.0))))))
 
 
 def fuse(pairs: DataFrame, alpha: float, mode: str = "fixed", epsilon: float = 1e-9, post: str = "posterior", prior: str = "prior") -> DataFrame:
@@ -154,9 +157,9 @@ def fuse(pairs: DataFrame, alpha: float, mode: str = "fixed", epsilon: float = 1
     """
     if mode == "off":
         return pairs.withColumn("fused", F.col(post))
-    weighted = pairs.withColumn("_a", F.lit(alpha) * normalized_entropy(F.col(post), epsilon) if mode == "adaptive" else F.lit(float(alpha)))
-    logs = F.zip_with(post, prior, lambda e, p: F.when(p == 0, F.lit(float("-inf"))).otherwise(F.log(clip(e, epsilon, 1.0)) + F.col("_a") * F.log(clip(p, epsilon, 1.0))))
-    return with_softmax(weighted.withColumn("_l", logs), "_l", "fused").drop("_a", "_l")
+    trust = F.lit(alpha) * normalized_entropy(F.col(post), epsilon) if mode == "adaptive" else F.lit(float(alpha))
+    logs = let(trust, lambda a: F.zip_with(post, prior, lambda e, p: F.when(p == 0, F.lit(float("-inf"))).otherwise(F.log(clip(e, epsilon, 1.0)) + a * F.log(clip(p, epsilon, 1.0)))))
+    return with_softmax(pairs.withColumn("_l", logs), "_l", "fused").drop("_l")
 
 
 def accumulate_evidence(post: DataFrame, keys: Sequence[str] = CHARACTER, order: str = "seq_idx", eps: float = 1e-9, max_sequences: int | None = None, bias: DataFrame | None = None, missing: str = "skip") -> DataFrame:

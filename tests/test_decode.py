@@ -156,3 +156,14 @@ def test_equally_likely_cells_go_to_the_lowest(spark):
     assert {r["decision"] for r in D.row_shortlist_decode(scored, (3, 3), rows=2, keys=["k"]).collect()} == {0}
     sums = [(k, [math.log(0.1) + 0.3 + math.log(2.0 * k), math.log(0.2) + 0.3 + math.log(float(k))]) for k in ks]
     assert {r["decision"] for r in D.decode_argmax(spark.createDataFrame(sums, "k int, evidence array<double>")).collect()} == {0}
+
+
+def test_what_cells_share_is_computed_once(spark):
+    """Neither the entropy that sets alpha nor a softmax's sum is put into the lambda over cells."""
+    df = spark.createDataFrame([([0.5, 0.3, 0.2], [0.2, 0.0, 0.8])], "posterior array<double>, prior array<double>")
+    fused = P.fuse(df, 0.85, "adaptive")
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("aggregate(") for line in plan.splitlines()) <= 2
+    e, q = np.array([0.5, 0.3, 0.2]), np.array([0.2, 0.0, 0.8])
+    weights = np.where(q > 0, e * np.maximum(q, 1e-9) ** (0.85 * -(e * np.log(e)).sum() / math.log(3)), 0)
+    assert fused.first()["fused"] == pytest.approx((weights / weights.sum()).tolist(), abs=1e-7)
