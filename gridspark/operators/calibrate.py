@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, logit_to_prob
+from ..sources.scratch import written
 from .posterior import log_softmax_at
 
 
@@ -47,4 +48,6 @@ def fit_temperature(df: DataFrame, lo: float = -4, hi: float = 4, logit: str = "
 
 
 def fit_sequence_temperature(sequences: DataFrame, lo: float = -4, hi: float = 4) -> tuple[float, float]:
+    """(temperature, loss) with the least mean row and column loss. The sequences are made once: each round reads their scores and targets."""
+    sequences = written(sequences.select("rows", "cols", "true_row", "true_col"), "sequences")
     return _search(lambda ts: sequence_temperature_nll(sequences, ts), lo, hi)

@@ -452,3 +452,14 @@ def test_replicates_hash_once_and_spread(spark):
         means.append(wins / sum(n for _, (_, n) in drawn))
     got = resampled.first()
     assert got["mean"] == pytest.approx(np.mean(means)) and got["low"] == pytest.approx(np.quantile(means, 0.025)) and got["high"] == pytest.approx(np.quantile(means, 0.975))
+
+
+def test_rounds_of_the_search_read_written_sequences(spark, monkeypatch):
+    """What the sequences are made of is read for the first time only; the rounds read a table."""
+    from gridspark.operators import calibrate as K
+
+    seen, measure = [], K.sequence_temperature_nll
+    monkeypatch.setattr(K, "sequence_temperature_nll", lambda df, ts: (seen.append(tuple(df.inputFiles())), measure(df, ts))[1])
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], 0, 1), ([0.5, 0.0], [0.0, 1.0], 1, 1)], "rows array<double>, cols array<double>, true_row int, true_col int")
+    K.fit_sequence_temperature(df)
+    assert len(seen) == 6 and len(set(seen)) == 1 and seen[0]
