@@ -15,7 +15,7 @@ from ..operators import epochs as E
 from ..operators import metrics as M
 from ..operators import posterior as P
 from ..operators import retrieval as R
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
 from ..sources.results import ResultStore
 from ..sources.tables import upsert_results
 from ..streaming import streams as X
@@ -266,10 +266,13 @@ def run_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFr
 
 
 def start_stream(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], part: Column | None = None, parts: int = 3, files: int = 2, last: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """The stream of such parts through ``build``, and the folder for its state."""
+    """The stream of such parts through ``build``, and the folder for its state. ``source`` is computed once;
+    large parts are written by all cores."""
     spark = t.spark
     folder = new_path(spark, "stream")
-    rows = source.withColumn("_part", F.pmod(F.xxhash64(*source.columns), F.lit(parts)) if part is None else part)
+    rows = written(source.withColumn("_part", F.pmod(F.xxhash64(*source.columns), F.lit(parts)) if part is None else part), "arriving")
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    files = max(files, min(min(sizes.get(k, 0) for k in range(parts)) // 100_000, spark.sparkContext.defaultParallelism))
     for k in range(parts):
         rows.where(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(f"{folder}/in")
     if last is not None:

@@ -57,6 +57,35 @@ def test_all_characters_are_decided_and_no_state_is_left(spark, tmp_path):
     assert len(got) == len(posts) and left == 0
 
 
+def test_many_characters_share_a_state(spark, tmp_path):
+    """Open characters are kept by the bucket; each is decided as by itself, also without a run or with other cells."""
+    rng = np.random.default_rng(8)
+    keys = [(r or None, c) for r in range(40) for c in range(50)]
+    posts = {(k, s): rng.dirichlet(np.full(3 + k[1] % 3, 0.5)).tolist() for k in keys for s in range(3)}
+    row = lambda k, s, seq=None: (*k, s if seq is None else seq, posts[k, s], s)
+    first = [row(k, 0) for k in keys] + [row(k, 1, 0) for k in keys[::7]]  # number 0 twice
+    second = [row(k, s) for k in keys if k[1] % 5 for s in (2, 1)] + [(*keys[0], None, None, 5), (*keys[1], 9, [], 5)]
+    third = [row(k, 2, 1) for k in keys]
+    schema = "run int, char_idx int, seq_idx int, posterior array<double>, s long"
+    build = lambda s: X.stream_dynamic_stop(s, 0.9, 1, 3, buckets=8)
+    open_, left = run(spark, tmp_path / "a", [first], schema, build)
+    want, early = set(), set()
+    for k in keys:
+        log = 0
+        for n, s in enumerate((0, 1, 2) if k[1] % 5 else (0, 2), 1):
+            log = log + np.log(np.clip(posts[k, s], 1e-9, 1))
+            p = np.exp(log) / np.exp(log).sum()
+            if p.max() >= 0.9 or n == 3:
+                break
+        want.add((*k, int(p.argmax()), round(float(p.max()), 9), n, bool(p.max() >= 0.9)))
+        if n == 1:
+            early.add(k)
+    assert {(r["run"], r["char_idx"]) for r in open_} == early and 0 < left <= 16 < len(keys) - len(early)
+    got, left = run(spark, tmp_path / "b", [first, second, third, [(-1, None, None, None, 10**6)]], schema, build)
+    assert {(r["run"], r["char_idx"], r["decision"], round(r["confidence"], 9), r["sequences_used"], r["stopped"]) for r in got} == want
+    assert len(got) == len(keys) and left == 0
+
+
 def test_growing_bank_equals_the_batch(spark, tmp_path):
     """Trials in any order within the watermark's delay; one behind it is answered late, and learned."""
     cells = spark.createDataFrame([(i, c) for i, c in enumerate("abc ")], "cell_idx int, ch string")
