@@ -36,6 +36,25 @@ def test_edges_close_with_the_watermark(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 1, 9.0), (1, 4, 8.0), (2, 1, 9.0), (3, 2, 9.0)] and left == 0
 
 
+def test_many_recordings_share_a_state(spark, tmp_path):
+    """Open recordings are kept by the bucket; edges do not wait for samples lost before them; repeated samples, samples
+    without a value and those without a recording's number do no harm."""
+    rng = np.random.default_rng(5)
+    samples = [(r or None, k, float(v)) for r in range(300) for k, v in enumerate(rng.integers(0, 10, 20)) if (r + k) % 11 or not r]
+    value = {(r, k): v for r, k, v in samples}
+    edges = {(r, k, v) for (r, k), v in value.items() if v > 5 and value.get((r, k - 1), 9) <= 5}
+    part = rng.integers(0, 3, len(samples))
+    parts = [[(*x, x[1]) for x, p in zip(samples, part, strict=True) if p == i] for i in range(3)]
+    parts[1] += parts[0][::3] + [(r, 30, None, 3) for r in range(1, 300)] + [(r, 31, float("nan"), 3) for r in range(300, 310)]
+    parts[2] += parts[2][:100] + [(r, -1, 0.0, 3) for r in range(1, 9)]
+    schema = "run long, sample long, signal double, s long"
+    build = lambda s: X.stream_edges(s, 5.0, buckets=8)
+    got, left = run(spark, tmp_path / "a", parts, schema, build)
+    assert sorted(map(tuple, got), key=str) == sorted(edges, key=str) and 0 < left <= 9
+    got, left = run(spark, tmp_path / "b", [*parts, [(-1, None, None, 10**6)]], schema, build)
+    assert sorted(map(tuple, got), key=str) == sorted(edges, key=str) and left == 0
+
+
 def test_all_characters_are_decided_and_no_state_is_left(spark, tmp_path):
     rng = np.random.default_rng(6)
     posts = {(r, c): [rng.dirichlet(np.full(4, 0.3)).tolist() for _ in range(4)] for r in (1, 2) for c in range(12)}
